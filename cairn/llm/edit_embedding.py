@@ -51,6 +51,8 @@ _BITS = (_mixed(np.arange(256 * 4096, dtype=np.uint64) ^ _SEED) >> np.uint64(40)
 def walks(texts: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     """``(level, samples)`` of each text: samples are 4-bit symbols of the sampled steps, in step order.
 
+    A symbol stands for the walk's character and the one behind it, as single letters are too few to tell texts apart.
+
     All walks of a batch advance together, longest text first, so that finished ones drop off at the end.
     """
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -58,8 +60,9 @@ def walks(texts: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     out: list[tuple[int, np.ndarray]] = [(0, np.empty(0, np.uint8))] * len(texts)
     if not len(order) or not sizes[0]:
         return out
-    data = np.concatenate([texts[i] for i in order])
-    ends = np.cumsum(sizes)
+    end = np.zeros(1, np.uint8)  # behind each text, so that its last character has a neighbour of its own
+    data = np.concatenate([x for i in order for x in (texts[i], end)])
+    ends = np.cumsum(sizes + 1) - 1
     at = ends - sizes
     levels = np.array([level_of(int(n)) for n in sizes])
     finest, rows = int(levels[sizes > 0].min()), np.arange(len(order))
@@ -78,14 +81,9 @@ def walks(texts: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
             z = int(zeros[k])
             depth = (z & -z).bit_length() - 1 if z else 40
             if depth >= finest:
-                if depth >= 20:
-                    take = slice(None)
-                    kept_row.append(rows)
-                    kept_symbol.append(char)
-                else:
-                    take = levels <= depth
-                    kept_row.append(rows[take])
-                    kept_symbol.append(char[take])
+                take = levels <= depth
+                kept_row.append(rows[take])
+                kept_symbol.append(_FOLD[char[take] * np.uint8(31) + data[at[take] + 1]])
             at += flat[classes[k] + char]
             if k & 31 == 31 or len(at) < 64:
                 going = at < ends
@@ -104,7 +102,7 @@ def walks(texts: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     if kept_row:
         all_rows, all_symbols = np.concatenate(kept_row), np.concatenate(kept_symbol)
         by = np.argsort(all_rows, kind="stable")
-        all_symbols = _FOLD[all_symbols[by]]
+        all_symbols = all_symbols[by]
         bounds = np.searchsorted(all_rows[by], np.arange(len(order) + 1))
     else:
         all_symbols, bounds = np.empty(0, np.uint8), np.zeros(len(order) + 1, np.int64)
@@ -113,7 +111,7 @@ def walks(texts: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-#: A symbol's four bits.
+#: Four bits of a character and its right neighbour, which are multiplied and added to one byte.
 _FOLD = ((_mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(33)) & np.uint64(15)).astype(np.uint8)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cairn.operators import grid
 from cairn.operators.neighbors import idw, knn
@@ -27,7 +28,8 @@ def neighborhood_covariance(edges: DataFrame, pts: DataFrame, ref: DataFrame, by
     return sums.select(by, F.col("src").alias(id_col), "k", *cov)
 
 
-_EIGEN = "nx double, ny double, nz double, l1 double, l2 double, l3 double"
+#: Built, not parsed: a schema string would need a running session at import.
+_EIGEN = StructType([StructField(c, DoubleType()) for c in ("nx", "ny", "nz", "l1", "l2", "l3")])
 
 
 @F.pandas_udf(_EIGEN)

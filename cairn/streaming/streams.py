@@ -126,10 +126,9 @@ def early_stop_stream(metrics: DataFrame, rule: EarlyStop) -> DataFrame:
 def fuse_stream(frames: DataFrame, reach: int, seq: str = "seq", order: str = "frame_no", ts: str = "ts", late: str = "1 minute") -> DataFrame:
     """Each frame with the frames of its sequence at most ``reach`` numbers away: a stream-stream join within watermarks, or a batch join."""
     a = frames.select(F.col(seq), F.col(order).alias("target"), F.col(ts).alias("target_ts"))
-    b = frames.select(F.col(seq).alias("__seq"), F.col(order), F.col(ts))
+    b = frames.select(F.col(seq).alias("__seq"), F.col(order).alias("__no"), F.col(ts).alias("__ts"))
+    near = (F.col(seq) == F.col("__seq")) & (F.abs(F.col("__no") - F.col("target")) <= reach)
     if frames.isStreaming:
-        a, b = a.withWatermark("target_ts", late), b.withWatermark(ts, late)
-    near = (F.col(seq) == F.col("__seq")) & (F.abs(F.col(order) - F.col("target")) <= reach)
-    if frames.isStreaming:
-        near &= (F.col(ts) >= F.col("target_ts") - F.expr(f"INTERVAL {late}")) & (F.col(ts) <= F.col("target_ts") + F.expr(f"INTERVAL {late}"))
-    return a.join(b, near).select(seq, "target", order, (F.col(order) - F.col("target")).alias("offset"))
+        a, b = a.withWatermark("target_ts", late), b.withWatermark("__ts", late)
+        near &= F.expr(f"__ts >= target_ts - INTERVAL {late} AND __ts <= target_ts + INTERVAL {late}")
+    return a.join(b, near).select(seq, "target", F.col("__no").alias(order), (F.col("__no") - F.col("target")).alias("offset"))

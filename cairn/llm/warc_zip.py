@@ -147,20 +147,6 @@ def write_package(out, records: Iterator[tuple[object, bytes]], member_bytes: in
     return count
 
 
-def payload_digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest``; a null payload is empty."""
-    body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    table = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = batch.column(2)
-            sums = [sha1_base32(p.as_buffer()) for p in payloads]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.compute.binary_length(payloads).cast(pa.int64()), pa.array(sums, pa.string())], ["page_id", "url", "payload", "payload_bytes", "payload_digest"])
-
-    return table.mapInArrow(digest, "page_id long, url string, payload binary, payload_bytes long, payload_digest string")
-
-
 def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", package_bytes: int = 256 << 20) -> DataFrame:
     """Write every row as a record; gives the manifest ``uri, bytes, records`` of the packages that count.
 
@@ -171,12 +157,12 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     """
     spark = pages.sparkSession
     folder = path or scratch_path(spark, "warc")
-    described = payload_digests(pages, id_col, url_col, payload_col)
-    keys = materialize(described.select("page_id", "payload_bytes", "payload_digest"), "digests")
-    firsts = attach_group(keys.where(F.col("payload_bytes") >= least_bytes), ["payload_bytes", "payload_digest"], "page_id", [F.min("page_id").alias("refers_to")])
-    revisits = firsts.where("page_id <> refers_to").select("page_id", "refers_to").dropDuplicates(["page_id"])
     body = F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body).join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
+    keys = materialize(rows.select("page_id", F.octet_length("payload").alias("size"), "sha"), "digests")
+    firsts = attach_group(keys.where(F.col("size") >= least_bytes), ["size", "sha"], "page_id", [F.min("page_id").alias("refers_to")])
+    revisits = firsts.where("page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
+    rows = rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pyarrow.fs.FileSystem.from_uri(folder)

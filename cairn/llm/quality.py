@@ -35,17 +35,19 @@ def text_bins(text: str) -> list[int]:
     n, n_words = max(1, len(raw)), max(1, len(words))
     upper, lower = int(h[65:91].sum()), int(h[97:123].sum())
     lines = [x for x in raw.split(b"\n") if len(x) >= _LINE_SHORTEST]
+    # Each share has a few pseudo-counts of plain text in its denominator, so that a short text, whose shares mean little, looks plain.
     shares = (
-        upper / max(1, upper + lower),
-        int(h[_SYMBOLS].sum()) / n,
-        int(h[48:58].sum()) / n,
+        upper / (upper + lower + 60),
+        int(h[_SYMBOLS].sum()) / (n + 40),
+        int(h[48:58].sum()) / (n + 60),
         # Distinct words fall with a text's length: held against what Heaps' law (exponent 0.85) leaves.
-        min(1.0, len(set(words)) / n_words**0.85),
-        sum(map(bytes.__eq__, words, words[1:])) / n_words,
-        1 - len(set(lines)) / max(1, len(lines)) if lines else 0.0,
+        min(1.0, (len(set(words)) + 5) / (n_words + 5) ** 0.85),
+        sum(map(bytes.__eq__, words, words[1:])) / (n_words + 5),
+        (len(lines) - len(set(lines))) / (len(lines) + 2),
     )
     bins = [min(BINS - 1, int(BINS * math.sqrt(s))) for s in shares]
-    return [*bins, min(BINS - 1, int(2 * len(raw) / n_words)), min(BINS - 1, int(BINS * math.sqrt(int(h[[33, 46, 63]].sum()) / n_words)))]
+    length = (len(raw) + 6.0 * 15) / (n_words + 15)
+    return [*bins, min(BINS - 1, int(2 * length)), min(BINS - 1, int(BINS * math.sqrt(int(h[[33, 46, 63]].sum()) / (n_words + 15))))]
 
 
 def document_features(docs: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +63,7 @@ def document_features(docs: DataFrame, host: Column, path: Column, id_col: str =
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "quality-features")
 
 
-def fit_evidence(labelled: DataFrame, smoothing: float = 1.0) -> tuple[float, list[list[float]]]:
+def fit_evidence(labelled: DataFrame, smoothing: float = 0.1) -> tuple[float, list[list[float]]]:
     """The good share and, per feature and bin, the log-likelihood ratio good : bad.
 
     ``labelled(bins, good)``; all rows count. At most ``2 * BINS`` counts a feature come to the driver.

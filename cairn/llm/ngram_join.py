@@ -26,7 +26,7 @@ from cairn.llm.components import connected_components
 #: A-Z to a-z, other bytes unchanged.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 250_000
 #: Shingles in more first-places than this are ordered last; of those at most so many, the most frequent
 #: ones. Only speed depends on either: any global order finds the same links.
 HOT_DF, HOT_LIMIT = 64, 300_000
@@ -119,7 +119,7 @@ def _set_id(tokens: np.ndarray) -> tuple[int, int]:
 class _Once:
     """Which set ids this task has met; forgets all when full, as a repeat does no harm."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.seen: set[int] = set()
         self.most = most
 
@@ -159,10 +159,10 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component that were not needed to join it are not listed.
     """
     for attempt in range(seed, seed + 3):
-        feats, hot = _features(docs, id_col, text_col, width, percent, attempt)
+        feats = _features(docs, id_col, text_col, width, percent, attempt)
         clash = feats.where("n > 0").groupBy("sid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
         if clash.isEmpty():  # two sets with one 64-bit id: hash anew
-            return feats.select("doc_id", "sid", "n"), _links(docs, feats, hot, id_col, text_col, width, percent, attempt)
+            return feats.select("doc_id", "sid", "n"), _links(docs, feats, id_col, text_col, width, percent, attempt)
     raise RuntimeError("set ids clash under every seed")
 
 
@@ -172,7 +172,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         ids = _WordIds()
-        for batch in utf8_slices(batches, 1):
+        for batch in utf8_slices(batches, 1, 4 << 20):
             yield batch, shingle_sets(batch.column(1).to_pylist(), width, ids, seed)
 
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +182,8 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
             if kept:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(kept))], ["token"])
 
-    counts = texts.mapInArrow(first_tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
-    hot, rank = _hot_tokens(counts, HOT_LIMIT)
-    if len(hot):
+    hot, rank = _hot_tokens(texts.mapInArrow(first_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")), HOT_LIMIT)
+    if len(hot):  # documents whose common shingles move back show others: count so far as those may reach
         seeds = sc.broadcast(hot)
 
         def wider_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +201,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                 if kept:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(kept))], ["token"])
 
-        counts = texts.mapInArrow(wider_tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
-        hot, rank = _hot_tokens(counts, HOT_LIMIT)
+        hot, rank = _hot_tokens(texts.mapInArrow(wider_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")), HOT_LIMIT)
     order = sc.broadcast((hot, rank))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +225,10 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(bits, pa.binary()), lists], ["doc_id", "sid", "check", "n", "first", "bits", "tokens"])
 
     schema = "doc_id long, sid long, check long, n long, first boolean, bits binary, tokens array<long>"
-    return materialize(texts.mapInArrow(features, schema), "shingle-features"), order
+    return materialize(texts.mapInArrow(features, schema), "shingle-features")
 
 
-def _links(docs: DataFrame, feats: DataFrame, order, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
-    spark = docs.sparkSession
+def _links(docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
     rows = feats.where("first").select("sid", F.posexplode("tokens").alias("pos", "token"), F.col("n").alias("size"))
     shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     places = materialize(rows.join(shared, "token").select("token", "sid", "size", "pos").distinct(), "tile-rows")
@@ -243,22 +240,25 @@ def _links(docs: DataFrame, feats: DataFrame, order, id_col: str, text_col: str,
         most = F.least(*(F.col(f"{x}.size") - F.col(f"{x}.pos") for x in (a, b)))
         return left.where(band & (most * (100 + percent) >= percent * (sizes[0] + sizes[1]))).select(F.least(F.col(f"{a}.sid"), F.col(f"{b}.sid")).alias("a"), F.greatest(F.col(f"{a}.sid"), F.col(f"{b}.sid")).alias("b")).distinct()
 
+    # Two leaders: the member with the tile's shingle first, as few of its shingles are rarer and it is near what the members
+    # have in common; and one that each tile draws by hash among the early ones, so that a document meets several.
     member = F.struct("sid", "size", "pos")
-    led = attach_group(places, ["token"], "sid", [F.min(member).alias("leader")])
-    star = materialize(close(led.select(member.alias("x"), "leader").where("x.sid <> leader.sid"), "x", "leader"), "leader-pairs")
+    first = F.min(F.struct("pos", "sid", "size")).alias("first")
+    drawn = F.min(F.struct(F.floor(F.col("pos") / 4).alias("early"), F.xxhash64("sid", "token").alias("h"), "sid", "size", "pos")).alias("drawn")
+    led = attach_group(places, ["token"], "sid", [first, drawn])
+    leader = F.explode(F.array(*(F.struct(F.col(f"{c}.sid").alias("sid"), F.col(f"{c}.size").alias("size"), F.col(f"{c}.pos").alias("pos")) for c in ("first", "drawn"))))
+    star = materialize(close(led.select(member.alias("x"), leader.alias("leader")).where("x.sid <> leader.sid"), "x", "leader"), "leader-pairs")
     direct = _verified(star, docs, feats, id_col, text_col, width, percent, seed)
-    joined = connected_components(direct)
 
     # What is left: pairs across components. Tiles that are one component by now hold none.
-    named = places.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = places.join(connected_components(direct).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     parts = named.groupBy("token", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
     open_tiles = materialize(named.join(materialize(mixed, "mixed-tiles"), "token"), "open-tiles")
     everyone = open_tiles.select("token", F.col("root").alias("root_y"), member.alias("y"))
     others = open_tiles.where("root <> main").select("token", F.col("root").alias("root_x"), member.alias("x"))
     rest = close(others.join(everyone, "token").where("root_x <> root_y"), "x", "y").join(star, ["a", "b"], "left_anti")
-    across = _verified(materialize(rest, "cross-pairs"), docs, feats, id_col, text_col, width, percent, seed)
-    return direct.union(across) if not across.isEmpty() else direct
+    return direct.union(_verified(materialize(rest, "cross-pairs"), docs, feats, id_col, text_col, width, percent, seed))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
@@ -291,7 +291,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str,
         for batch in batches:
             spot = batch.column(2).flatten().to_numpy().reshape(-1, 3)
             hit = ((words[spot >> 6] >> (spot & 63)) & 1).all(axis=1)
-            for part in utf8_slices(iter([batch.filter(pa.array(hit))]), 1):
+            for part in utf8_slices(iter([batch.filter(pa.array(hit))]), 1, 4 << 20):
                 sets = [s for s in shingle_sets(part.column(1).to_pylist(), width, ids, seed) if len(s)]
                 found = [(sid, s.tobytes()) for s in sets if once(sid := _set_id(s)[0])]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["sid", "set"])

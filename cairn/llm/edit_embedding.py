@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import attach_group, materialize, utf8_slices
@@ -23,6 +23,8 @@ from cairn.llm.components import connected_components
 
 #: A fingerprint keeps between this many and about four times as many samples of a long text.
 SAMPLES = 64
+#: The most runs into which documents are dealt by id; a run is streamed, so its length costs a task time but no memory.
+MAX_RUNS = 4096
 _SEED = np.uint64(0x5DEECE66D1CE4E5B)
 
 
@@ -184,31 +186,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts.mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def _run_number(ident: Column, cuts: list[float]) -> Column:
+    """How many of the ascending ``cuts`` are not below ``ident``, searched in two steps of about 64; the last run for a null."""
+    if not cuts:
+        return F.lit(0)
+    chunks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    lasts = F.array(*(F.lit(c[-1]) for c in chunks))
+    within = F.array(*(F.array(*map(F.lit, c)) for c in chunks))
+    behind = F.array(*(F.lit(sum(map(len, chunks[k + 1 :]))) for k in range(len(chunks))))
+    at = F.size(F.filter(lasts, lambda c: c < ident))
+    found = F.size(F.filter(F.get(within, at), lambda c: c >= ident)) + F.get(behind, at)
+    return F.when(ident.isNull(), len(cuts)).when(at >= len(chunks), 0).otherwise(found)
+
+
 def _in_order(docs: DataFrame, rows_a_part: int) -> DataFrame:
-    """``part, spot, doc_id, text, copy``: documents in runs of descending id; each run ends with a copy of the
-    document that follows it (after the last: the first). Only one row per run is looked at as a whole."""
+    """``part, doc_id, text, copy``: documents in runs of descending id; each run ends with a copy of the document that follows
+    it (after the last: the first). Only one row per run, of at most ``MAX_RUNS``, is looked at as a whole."""
     ids = docs.select("doc_id")
-    count = ids.count()
-    parts = max(1, -(-count // rows_a_part))
+    parts = max(1, min(MAX_RUNS, -(-ids.count() // rows_a_part)))
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    # A null id comes last; its run is the last one.
-    part = F.lit(len(cuts))
-    for k, cut in enumerate(cuts):  # ascending cuts: the higher the id, the lower the run's number
-        part = F.when(F.col("doc_id") > cut, F.lit(len(cuts) - 1 - k)).otherwise(part)
-    numbered = docs.withColumn("part", part.cast("int"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", F.xxhash64("text").alias("h"))
-    firsts = [r[0] for r in numbered.groupBy("part").agg(F.max(order).alias("first"), F.max("part").alias("p")).orderBy("p").select(F.struct("p", "first")).collect()]
-    copies = None
-    for k, row in enumerate(firsts):
-        before = firsts[k - 1]["p"]  # for the first run: the last one
-        x = row["first"]
-        same = F.col("doc_id").eqNullSafe(F.lit(x["doc_id"]).cast("long")) & (F.xxhash64("text") == x["h"]) & (F.col("part") == row["p"])
-        copies = F.when(same, F.lit(before)) if copies is None else copies.when(same, F.lit(before))
-    owned = numbered.select("part", "doc_id", "text", F.lit(False).alias("copy"))
-    if copies is None:
-        return owned
-    extra = numbered.withColumn("to", copies).where("to IS NOT NULL").select(F.col("to").cast("int").alias("part"), "doc_id", "text", F.lit(True).alias("copy")).dropDuplicates(["part"])
-    runs = owned.union(extra).repartition(max(1, len(firsts)), "part")
+    numbered = docs.withColumn("part", _run_number(F.col("doc_id"), cuts).cast("int")).withColumn("h", F.xxhash64("text"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "h")
+    firsts = sorted((r["part"], r["first"]["doc_id"], r["first"]["h"]) for r in numbered.groupBy("part").agg(F.max(order).alias("first")).collect())
+    # Each run's first document also ends the run before; that of the first run ends the last one.
+    rows = [(p, d, h, firsts[k - 1][0]) for k, (p, d, h) in enumerate(firsts)]
+    ends = docs.sparkSession.createDataFrame(rows, "part int, id long, h long, to int")
+    runs = numbered.select("part", "doc_id", "text", F.lit(False).alias("copy"))
+    copies = numbered.join(F.broadcast(ends), ["part", "h"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["part"])
+    runs = runs.union(copies.select("to", "doc_id", "text", F.lit(True)))
+    runs = runs.repartition(max(1, len(firsts)), "part")
     return runs.sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.xxhash64("text").desc())
 
 

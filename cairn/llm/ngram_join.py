@@ -16,8 +16,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import attach_group, materialize, utf8_slices
@@ -30,7 +31,7 @@ _WORDS_KEPT = 250_000
 #: Shingles in more first-places than this are ordered last; of those at most so many, the most frequent
 #: ones. Only speed depends on either: any global order finds the same links.
 HOT_DF, HOT_LIMIT = 64, 300_000
-#: Bits of the filter that says which documents the verifying scan must turn into arrays.
+#: Bits of the Bloom filters: which documents the verifying scan must turn into arrays, and which shingles several documents have.
 BLOOM_BITS = 1 << 26
 
 
@@ -143,15 +144,30 @@ def _hot_tokens(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], place[order]
 
 
-def _needed_ids(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter (three bits an id) of the long column ``id``; at most ``BLOOM_BITS / 64`` words are collected."""
-    spots = F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(BLOOM_BITS)) for k in range(3)))
-    words = ids.select(F.explode(spots).alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits"))
+def _bloom(spots: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``spots array<long>``; at most ``BLOOM_BITS / 64`` words are collected."""
+    words = spots.select(F.explode("spots").alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits"))
     table, out = words.toArrow(), np.zeros(BLOOM_BITS // 64, np.int64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy()
     return out
 
 
+def _id_spots(name: str) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(name, F.lit(k)), F.lit(BLOOM_BITS)) for k in range(3))).alias("spots")
+
+
+def _token_spots(name: str) -> Column:
+    """Shingles are hashes already: their bits from 0, 17 and 34 on."""
+    return F.array(*(F.shiftrightunsigned(name, k).bitwiseAND(F.lit(BLOOM_BITS - 1)) for k in (0, 17, 34))).alias("spots")
+
+
+def _in_bloom(words: np.ndarray, spots: list[np.ndarray]) -> np.ndarray:
+    hit = np.ones(len(spots[0]), bool)
+    for spot in spots:
+        hit &= ((words[spot >> 6] >> (spot & 63)) & 1).astype(bool)
+    return hit
+
+
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """``(sets, links)``: ``sets(doc_id, sid, n)`` for every row with a non-null id, ``links(a, b)`` between set ids.
 
@@ -229,9 +245,25 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
 
 
 def _links(docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
-    rows = feats.where("first").select("sid", F.posexplode("tokens").alias("pos", "token"), F.col("n").alias("size"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    places = materialize(rows.join(shared, "token").select("token", "sid", "size", "pos").distinct(), "tile-rows")
+    tokens = feats.where("first").select(F.explode("tokens").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "shared-shingles")
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(shared.select(_token_spots("token"))))
+
+    def tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of shingles that several documents have (and a few others, which make tiles of one)."""
+        for batch in batches:
+            lengths = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            token = batch.column(2).flatten().to_numpy()
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bits = token.view(np.uint64)
+            hit = _in_bloom(bloom.value, [((bits >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in (0, 17, 34)])
+            of = [np.repeat(batch.column(k).to_numpy(), lengths)[hit] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), *map(pa.array, of), pa.array((np.arange(len(token)) - starts)[hit].astype(np.int32))], ["token", "sid", "size", "pos"])
+
+    rows = feats.where("first").select("sid", "n", "tokens").mapInArrow(tile_rows, "token long, sid long, size long, pos int")
+    if shared.count() > BLOOM_BITS // 8:  # too many for the filter to tell apart
+        rows = rows.join(shared, "token").select("token", "sid", "size", "pos")
+    places = materialize(rows.distinct(), "tile-rows")
 
     def close(left: DataFrame, a: str, b: str) -> DataFrame:
         """Pairs within the size band whose overlap can still reach the threshold, given the token's positions."""
@@ -283,14 +315,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str,
     wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     owners = feats.where("n > 0").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("id"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    spots = F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(BLOOM_BITS)) for k in range(3)))
-    bloom = spark.sparkContext.broadcast(_needed_ids(owners))
+    bloom = spark.sparkContext.broadcast(_bloom(owners.select(_id_spots("id"))))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, once, words = _WordIds(), _Once(), bloom.value
+        ids, once = _WordIds(), _Once()
         for batch in batches:
             spot = batch.column(2).flatten().to_numpy().reshape(-1, 3)
-            hit = ((words[spot >> 6] >> (spot & 63)) & 1).all(axis=1)
+            hit = _in_bloom(bloom.value, [spot[:, k] for k in range(3)])
             for part in utf8_slices(iter([batch.filter(pa.array(hit))]), 1, 4 << 20):
                 sets = [s for s in shingle_sets(part.column(1).to_pylist(), width, ids, seed) if len(s)]
                 found = [(sid, s.tobytes()) for s in sets if once(sid := _set_id(s)[0])]
@@ -309,7 +340,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str,
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    sets = materialize(texts.select("id", "text", spots.alias("spots")).mapInArrow(arrays, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingle-arrays")
+    sets = materialize(texts.select("id", "text", _id_spots("id")).mapInArrow(arrays, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingle-arrays")
     full = left.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b")
     return materialize(full.mapInArrow(intersected, "a long, b long"), "links")
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Buckets over which the rows of one group are spread when a group's result goes back to its rows.
 SALTS = 64
+#: So many ids may be broadcast to filter a table; beyond that both sides are shuffled.
+BROADCAST_IDS = 500_000
 _local_scratch: list[str] = []
 
 
@@ -52,6 +54,15 @@ def attach_group(df: DataFrame, keys: list[str], spread: str, aggs: list[Column]
     return salted.join(groups, [*keys, "__salt"]).drop("__salt")
 
 
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone(__gone)``, a written table of distinct ids.
+
+    Documents do not move while the ids are few enough to be broadcast, which is checked.
+    """
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def utf8_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text of each holds about ``max_bytes`` (a longer text stays whole)."""
     for batch in batches:

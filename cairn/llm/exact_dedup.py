@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import attach_group, materialize
+from cairn.llm.common import attach_group, materialize, without_ids
 
 #: Characters that normalisation deletes.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,7 +31,7 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     recipes that use such an id carry ``(position, rank)`` entries in ``ranks``.
     """
     ident = lambda c: F.xxhash64(c) if id_bits >= 64 else F.pmod(F.xxhash64(c), F.lit(1 << id_bits))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = texts.withColumn("norm", F.regexp_replace("text", f"{SPACE}+", "")).withColumn("chunks", F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0)))
     recipes = cut.select("doc_id", F.length("text").cast("long").alias("n_code_points"), F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", ident).alias("recipe"), F.monotonically_increasing_id().alias("row"))
     recipes = materialize(recipes, "recipes")
@@ -68,14 +68,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``exact_dedup`` keeps.
 
-    Rows are dropped by id (left anti join on the dropped ids, which are few against the table), so an
-    id that repeats with different texts stays if any of its rows stays; of fully equal rows one stays.
+    Rows are dropped by id, so an id that repeats with different texts stays if any of its rows stays; of fully equal rows one stays.
     """
     result = exact_dedup(docs, id_col, text_col)
     stays = materialize(result.select("doc_id", "kept", "group_size"), "kept")
     keep = stays.where("kept").select(F.col("doc_id").alias("__keep"))
     gone = stays.where("NOT kept").select(F.col("doc_id").alias("__gone")).join(keep, F.col("__gone").eqNullSafe(F.col("__keep")), "left_anti").distinct()
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    left = without_ids(docs, id_col, materialize(gone, "dropped"))
     twice = stays.where("kept OR group_size > 1").groupBy("doc_id").count().where("count > 1")
     return left if twice.isEmpty() else left.dropDuplicates([id_col, text_col])
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import attach_group, materialize, utf8_slices
+from cairn.llm.common import attach_group, materialize, utf8_slices, without_ids
 from cairn.llm.components import connected_components
 
 #: A-Z to a-z, other bytes unchanged.
@@ -383,7 +383,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with a null id stay. Rows that repeat an id and fall into different components stay if one of them names its component.
     """
     found = materialize(ngram_components(docs, id_col, text_col, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return without_ids(docs, id_col, found)
 
 
 ORACLE_SQL = r"""

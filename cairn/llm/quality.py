@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import attach_group, materialize, utf8_slices
+from cairn.llm.common import attach_group, materialize, utf8_slices, without_ids
 
 #: Text features, each binned to 0..BINS-1.
 FEATURES = ("upper_share", "symbol_share", "digit_share", "distinct_words", "repeated_words", "repeated_lines", "word_length", "stop_marks")
@@ -141,6 +141,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not rejected; an id with several rows goes only if all are rejected."""
-    scored = materialize(score_quality(docs, labels, id_col=id_col, **settings).select(F.col("doc_id").alias("__gone"), "kept"), "quality-kept")
+    scored = score_quality(docs, labels, id_col=id_col, **settings).select(F.col("doc_id").alias("__gone"), "kept")
     gone = scored.groupBy("__gone").agg(F.bool_or("kept").alias("any")).where("NOT any").select("__gone")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return without_ids(docs, id_col, materialize(gone, "rejected"))

@@ -129,12 +129,17 @@ def mix_positions(docs: DataFrame, weights: dict[str, float] | None = None, alph
     return joined.withColumn("slot", slot.cast("long")).select("doc_id", "source", "block", "slot", (F.col("slot") * block_docs + F.col("rank") % block_docs).alias("position"))
 
 
+def first_places(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **settings) -> DataFrame:
+    """``__id, __source, __position``: the place in the mix of every id and source; of repeated rows the first one's."""
+    places = mix_positions(docs, id_col=id_col, source_col=source_col, **settings)
+    return places.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.min("position").alias("__position"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **settings) -> DataFrame:
     """``docs`` with all their columns, in the order of the mix: ranges of positions per partition, sorted within.
 
     Rows that repeat an id and a source take the place of the first of them.
     """
-    places = mix_positions(docs, id_col=id_col, source_col=source_col, **settings)
-    first = places.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.min("position").alias("__position"))
+    first = first_places(docs, id_col, source_col, **settings)
     joined = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
     return joined.orderBy("__position").select(*[docs[c] for c in docs.columns])

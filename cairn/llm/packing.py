@@ -17,13 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, utf8_slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Places of an order that are counted together when ranges of it are dealt.
+PLACES = 256
+
 
 def _encoder(path: str):
     """``encode(text) -> ids`` of a byte-level BPE vocabulary file, special tokens read as ordinary text.
@@ -55,29 +58,34 @@ def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n_ids, capacity))]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode whole texts, append ``separator``, cut documents longer than ``capacity``; one row per piece.
 
     ``keep_ids`` adds the column ``ids array<int>``; without it only the piece's CRC-32 travels on.
+    ``carry`` names columns of ``docs`` whose strings every piece keeps.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in utf8_slices(batches, 1):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            origin: list[int] = []
+            for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 ids = np.array([*(encoder(text) if text else ()), separator], "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     part = ids[start : start + length]
                     rows.append((doc, k, start, length, zlib.crc32(part.tobytes()), part.astype(np.int32)))
+                    origin.append(at)
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]
             if keep_ids:
                 arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)]
+            arrays += [batch.column(2 + k).take(pa.array(origin)) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, *carry])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(encode, PIECE_SCHEMA + (", ids array<int>" if keep_ids else ""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(c) for c in carry))
+    return texts.mapInArrow(encode, PIECE_SCHEMA + (", ids array<int>" if keep_ids else "") + "".join(f", `{c}` string" for c in carry))
 
 
 class Packing:
@@ -203,39 +211,71 @@ def evolve(sizes: list[int], capacity: int, seed: int, immigrants: list, populat
     return people[0].labels()
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, neighbourhood: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 12, full: float = 0.99, rounds: int = 4, seed: int = 7) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, neighbourhood: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 12, full: float = 0.99, rounds: int = 4, seed: int = 7, order_col: str | None = None) -> DataFrame:
     """Add ``sequence_id, offset`` to ``pieces`` (any columns, among them ``length`` from 1 to ``capacity``).
 
     ``sequence_id`` is unique per sequence; offsets are gapless from 0. A piece of full length is a sequence of
     its own and takes no part. A neighbourhood has about ``neighbourhood`` pieces, the bound of a task's
     memory; the number of neighbourhoods follows the input.
+
+    With ``order_col``, a dense numbering of the documents such as their positions in a mix, neighbourhoods are
+    contiguous ranges of it instead of random ones, and ``sequence_id`` ascends with the mean of a sequence's
+    pieces in it. The column is not returned.
     """
     pieces = materialize(pieces.withColumn("__item", F.monotonically_increasing_id()), "pieces")
-    names = [c for c in pieces.columns if c != "__item"]
+    names = [c for c in pieces.columns if c not in ("__item", order_col)]
+    place = [F.col(order_col).cast("long").alias("__place")] if order_col else []
     whole = pieces.where(F.col("length") >= capacity).select("__item", F.lit(-1).alias("__round"), F.lit(0).alias("__hood"), F.lit(0).alias("__bin"), F.col("__item").alias("__own"), F.lit(0).cast("long").alias("offset"))
     done = [whole]
-    open_items = pieces.where(F.col("length") < capacity).select("__item", F.col("length").cast("int").alias("size"))
+    open_items = pieces.where(F.col("length") < capacity).select("__item", F.col("length").cast("int").alias("size"), *place)
     for turn in range(rounds):
         count = open_items.count()
         if not count:
             break
         hoods = max(1, -(-count // neighbourhood))
         last = hoods == 1 or turn == rounds - 1
-        dealt = open_items.withColumn("hood", F.pmod(F.xxhash64("__item", F.lit(seed + turn)), F.lit(hoods)).cast("int"))
+        if order_col:
+            dealt = materialize(_ranges(open_items, neighbourhood, seed + turn), "dealt")
+        else:
+            dealt = open_items.withColumn("hood", F.pmod(F.xxhash64("__item", F.lit(seed + turn)), F.lit(hoods)).cast("int"))
         packed = materialize(_islands(dealt, capacity, islands, epochs, population, generations, seed + 1000 * turn, 2.0 if last else full), "packed")
         sealed = packed.where("sealed").select("__item", F.lit(turn).alias("__round"), F.col("hood").alias("__hood"), F.col("bin").alias("__bin"), F.lit(0).cast("long").alias("__own"), F.col("offset"))
         done.append(sealed)
         open_items = packed.where("NOT sealed").select("__item", "size")
+        if order_col:
+            open_items = open_items.join(dealt.select("__item", "__place"), "__item")
         if last:
             break
     placed = done[0]
     for part in done[1:]:
         placed = placed.union(part)
     ident = F.when(F.col("__round") < 0, -1 - F.col("__own")).otherwise(F.col("__round") * F.lit(1 << 56).cast("long") + F.col("__hood") * F.lit(1 << 20).cast("long") + F.col("__bin"))
+    if order_col:
+        placed = materialize(placed, "placed")
+        bins = ["__round", "__hood", "__bin", "__own"]
+        means = pieces.select("__item", *place).join(placed, "__item").groupBy(*bins).agg(F.avg("__place").alias("__mean"))
+        means = means.withColumn("__span", F.floor(F.col("__mean") / PLACES))
+        nth = F.row_number().over(Window.partitionBy("__span").orderBy("__mean", *bins))
+        numbers = means.select(*bins, (F.col("__span") * F.lit(1 << 32).cast("long") + nth).alias("sequence_id"))
+        return pieces.join(placed.join(numbers, bins), "__item").select(*names, "sequence_id", "offset")
     joined = pieces.join(placed, "__item").withColumn("sequence_id", ident)
     return joined.select(*names, "sequence_id", "offset")
 
 
+def _ranges(items: DataFrame, neighbourhood: int, seed: int) -> DataFrame:
+    """``items`` with their ``hood``: contiguous ranges of ``__place`` of about ``neighbourhood`` items.
+
+    Only counts of spans of ``PLACES`` places pass one task. A span that holds more than a neighbourhood, as when one
+    place repeats, is split by hash.
+    """
+    spans = items.withColumn("__span", F.floor(F.col("__place") / PLACES))
+    counts = spans.groupBy("__span").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__span", F.floor(before / neighbourhood).alias("first"), F.greatest(F.lit(1), F.floor(F.col("n") / neighbourhood)).alias("parts"))
+    hood = F.col("first") + F.pmod(F.xxhash64("__item", F.lit(seed)), F.col("parts"))
+    return spans.join(starts, "__span").select("__item", "size", "__place", hood.cast("int").alias("hood"))
+
+
 def _islands(dealt: DataFrame, capacity: int, islands: int, epochs: int, population: int, generations: int, seed: int, full: float) -> DataFrame:
     """``(__item, size, hood, bin, offset, sealed)``: the islands of every neighbourhood, epoch by epoch."""
     state = dealt.groupBy("hood").agg(F.array_sort(F.collect_list(F.struct("__item", "size"))).alias("items"))

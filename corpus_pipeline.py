@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm.common import scratch_path
 from cairn.llm.exact_dedup import drop_exact_copies
-from cairn.llm.mixing import mix_sources
+from cairn.llm.mixing import first_places, mix_sources
 from cairn.llm.ngram_join import drop_near_copies
-from cairn.llm.packing import pack_documents
+from cairn.llm.packing import pack, token_pieces
 from cairn.llm.quality import keep_good
 
 
@@ -35,9 +36,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in sequences of at most 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str, **settings) -> DataFrame:
+    """Pieces of the documents with their place in sequences of at most 2048 tokens; ascending ``sequence_id`` follows the mix.
+
+    The mix depends on ids and sources alone, so the places of the stage before are found again without relying on the
+    order of its files. Texts do not move.
+    """
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=("source",))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+    placed = pieces.join(first_places(docs), same).drop("source", "__id", "__source")
+    return pack(placed, order_col="__position", **settings)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

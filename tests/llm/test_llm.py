@@ -601,3 +601,29 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_sequences_follow_the_mix(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, rng.randrange(200, 500) if i % 11 else rng.randrange(5, 60)), "en", "big" if i % 11 else "small") for i in range(2200)]
+    rows[5] = (5, sentence(rng, 9000), "en", "big")
+    docs = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.packed(spark, corpus_pipeline.mixed(spark, docs, ""), "", neighbourhood=128, islands=1, epochs=1, rounds=2).toPandas()
+    assert got.doc_id.nunique() == 2200 and got.groupby("sequence_id").length.sum().max() <= 2048
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum()[:-1]]
+    got = got[got.piece == 0].sort_values(["sequence_id", "offset"])
+    small = {r[0] for r in rows if r[3] == "small"}
+    place = {r.doc_id: r.position for r in mixing.mix_positions(docs).collect()}
+    want = np.cumsum([d in small for d in sorted(place, key=place.get)])
+    have = np.cumsum([d in small for d in got.doc_id])
+    assert want[600] > 120  # the mix favours the small source, which is dealt out by half of the documents
+    assert np.abs(want - have).max() <= 32
+
+
+def test_ordered_packing_splits_a_repeated_place(spark):
+    pieces = spark.range(1000).select("id", (F.pmod(F.xxhash64("id"), F.lit(95)) + 1).alias("length"), F.lit(3).alias("at"))
+    got = packing.pack(pieces, 100, neighbourhood=50, islands=1, epochs=1, rounds=2, order_col="at").toPandas()
+    assert len(got) == 1000 and got.groupby("sequence_id").length.sum().max() <= 100

@@ -423,6 +423,27 @@ def test_mix_equals_simulation(spark, docs, nothing):
         mixing.mix_positions(docs, {"src0": 0.0})
 
 
+def test_mix_keeps_target_weights_over_many_periods(spark):
+    rows = [(i, "t", "en", f"s{i % 20:02}") for i in range(24_000)]
+    got = mixing.mix_positions(spark.createDataFrame(rows, DOCS), block_docs=1).orderBy("slot").toPandas()
+    done = np.cumsum(np.eye(20)[got.source.str[1:].astype(int)], axis=0)
+    assert len(got) == 24_000 and np.abs(done - np.arange(1, 24_001)[:, None] / 20).max() < 1
+
+
+@pytest.mark.parametrize("n", [7, 1500])
+def test_schedule_stays_within_one_block_of_exact_weights(n):
+    rng = random.Random(n)
+    weights = {f"s{i}": rng.choice([0.001, 1.0, 30.0]) * rng.uniform(0.5, 2) for i in range(n)}
+    total, done = sum(weights.values()), dict.fromkeys(weights, 0)
+    for s, block, slot in mixing.schedule(dict.fromkeys(weights, 10**9), weights):
+        assert block == done[s]
+        done[s] += 1
+        if slot % 997 == 996:
+            assert all(abs(done[x] - w / total * (slot + 1)) < 1 + 1e-6 for x, w in weights.items())
+        if slot == 60_000:
+            break
+
+
 # --- 8 exact dedup -----------------------------------------------------------------------------------------------------------
 
 

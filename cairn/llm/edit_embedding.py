@@ -275,29 +275,47 @@ def bands(fingerprint: str, count: int = 16, width: int = 6) -> list[str]:
 
 
 def edit_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, group_id``: near copies by fingerprint. Documents that share a band key are held against the key's
-    leader (the smallest id) and link when their ``likeness`` is at least ``least``; groups follow links.
+    """``doc_id, group_id``: near copies by fingerprint. Documents that share a band key link when their ``likeness`` is
+    at least ``least``; groups follow links.
 
-    Every key costs one comparison per member, whatever its size. Null ids get a null group.
+    Members of a key are first held against its leader (the smallest id), one comparison each. Then all pairs of
+    a key whose documents are not in one group by now are tested, so no link that a key offers is lost. Rows that
+    repeat an id link by any of their texts. Null ids get a null group.
     """
-    marks = materialize(fingerprints(docs, id_col, text_col).select("doc_id", "fingerprint").where("doc_id IS NOT NULL"), "fingerprints")
+    marks = materialize(fingerprints(docs, id_col, text_col).select("doc_id", "fingerprint").where("doc_id IS NOT NULL").distinct(), "fingerprints")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, f, k) for d, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in sorted(set(bands(f)))]
+            rows = [(d, k) for d, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in sorted(set(bands(f)))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "fingerprint", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "key"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, x, b, y = (c.to_pylist() for c in batch.columns)
-            keep = [likeness(decode(p), decode(q)) >= least for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = marks.mapInArrow(keyed, "doc_id long, fingerprint string, key string")
-    led = attach_group(rows, ["key"], "doc_id", [F.min(F.struct("doc_id", "fingerprint")).alias("leader")])
-    pairs = led.where("doc_id <> leader.doc_id").select("doc_id", "fingerprint", F.col("leader.doc_id").alias("to"), F.col("leader.fingerprint").alias("mark")).dropDuplicates(["doc_id", "to"])
-    roots = connected_components(pairs.mapInArrow(alike, "a long, b long"))
+            keep = [likeness(decode(p), decode(q)) >= least for p, q in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        x, y = (marks.select(F.col("doc_id").alias(c), F.col("fingerprint").alias(f"mark_{c}")) for c in "ab")
+        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "mark_a", "mark_b").mapInArrow(alike, "a long, b long"), "edit-links")
+
+    def pair(left: str, right: str) -> list[Column]:
+        return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+    rows = materialize(marks.mapInArrow(keyed, "doc_id long, key string").distinct(), "band-keys")
+    led = attach_group(rows, ["key"], "doc_id", [F.min("doc_id").alias("leader")])
+    star = materialize(led.where("doc_id <> leader").select(*pair("doc_id", "leader")).distinct(), "leader-pairs")
+    direct = linked(star)
+
+    # What is left: pairs across components. Keys that are one component by now hold none.
+    named = rows.join(connected_components(direct).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
+    open_keys = materialize(named.join(mixed, "key"), "open-keys")
+    everyone = open_keys.select("key", F.col("root").alias("root_y"), F.col("doc_id").alias("y"))
+    others = open_keys.where("root <> main").select("key", F.col("root").alias("root_x"), F.col("doc_id").alias("x"))
+    rest = others.join(everyone, "key").where("root_x <> root_y").select(*pair("x", "y")).distinct().join(star, ["a", "b"], "left_anti")
+    roots = connected_components(direct.union(linked(materialize(rest, "cross-pairs"))))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     found = attach_group(named.where("root IS NOT NULL"), ["root"], "doc_id", [F.min("doc_id").alias("group_id")]).select("doc_id", "group_id")
     return found.union(named.where("root IS NULL").select("doc_id", F.lit(None).cast("long").alias("group_id")))

@@ -558,6 +558,29 @@ def test_edit_groups_find_near_copies(spark, nothing):
     assert edit_embedding.edit_groups(nothing).isEmpty()
 
 
+def test_edit_groups_equal_brute_force(spark):
+    rng = random.Random(15)
+    rows = []
+    for g in range(4):
+        start, end = sentence(rng, 150), sentence(rng, 150)
+        rows.append((g * 10, start + sentence(rng, 150), None, None))  # leads the keys of the start, unlike all others
+        for k in range(1, 5):
+            at = rng.randrange(len(start), len(start) + len(end))
+            text = start + end
+            rows.append((g * 10 + k, text[:at] + ("", "q", "", text[at])[k - 1] + text[at + (1, 0, 2, 1)[k - 1] :], None, None))
+    marks = {r[0]: edit_embedding.encode(edit_embedding.walks([edit_embedding.symbols(r[1])])[0]) for r in rows}
+    keys = {d: set(edit_embedding.bands(m)) for d, m in marks.items()}
+    want = {d: d for d in marks}
+    for a in sorted(marks):
+        for b in sorted(marks):
+            if a < b and keys[a] & keys[b] and edit_embedding.likeness(*map(edit_embedding.decode, (marks[a], marks[b]))) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = {d: low if w == high else w for d, w in want.items()}
+    assert len(set(want.values())) < len(want) and all(want[g * 10 + k] != g * 10 for g in range(4) for k in range(1, 5))
+    got = {r.doc_id: r.group_id for r in edit_embedding.edit_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 # --- 10 secrets ------------------------------------------------------------------------------------------------------------------
 
 

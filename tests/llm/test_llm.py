@@ -430,6 +430,12 @@ def test_mix_keeps_target_weights_over_many_periods(spark):
     assert len(got) == 24_000 and np.abs(done - np.arange(1, 24_001)[:, None] / 20).max() < 1
 
 
+def test_mix_of_many_sources(spark):
+    rows = [(i, "t", "en", f"host{i % 2500}") for i in range(3000)]
+    got = mixing.mix_positions(spark.createDataFrame(rows, DOCS), {"host7": 2.5}).toPandas()
+    assert len(got) == 3000 and got.position.is_unique and sorted(got.slot.unique()) == list(range(2500))
+
+
 @pytest.mark.parametrize("n", [7, 1500])
 def test_schedule_stays_within_one_block_of_exact_weights(n):
     rng = random.Random(n)

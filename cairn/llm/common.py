@@ -11,10 +11,6 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets over which the rows of one group are spread when a group's result goes back to its rows.
-SALTS = 64
-#: So many ids may be broadcast to filter a table; beyond that both sides are shuffled.
-BROADCAST_IDS = 500_000
 _local_scratch: list[str] = []
 
 
@@ -38,16 +34,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
 
 
-def attach_group(df: DataFrame, keys: list[str], spread: str, aggs: list[Column], salts: int = SALTS) -> DataFrame:
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing lazy reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def salts_of(spark: SparkSession) -> int:
+    """Over so many buckets the rows of one group are spread: they follow the number of shuffle partitions."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def attach_group(df: DataFrame, keys: list[str], spread: str, aggs: list[Column], salts: int | None = None) -> DataFrame:
     """Add per-group aggregates to every row, also where one group holds a large part of all rows.
 
     Aggregation combines map-side; the way back joins on the keys and a salt of ``spread``, so a group
     of any size is met by at most ``salts`` copies of its one result row, and by no more copies than it
     has rows. Keys must not be null.
     """
+    salts = salts or salts_of(df.sparkSession)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     groups = salted.groupBy(*keys).agg(*aggs, F.collect_set("__salt").alias("__salts"))
     groups = groups.withColumn("__salt", F.explode("__salts")).drop("__salts")
@@ -55,12 +67,15 @@ def attach_group(df: DataFrame, keys: list[str], spread: str, aggs: list[Column]
 
 
 def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``gone(__gone)``, a written table of distinct ids.
+    """The rows of ``docs``, with all their columns whatever their names, whose id is not in ``gone(__gone)``, a table of distinct ids.
 
-    Documents do not move while the ids are few enough to be broadcast, which is checked.
+    One plan at every size: the ids may be a share of all documents, so both sides are shuffled by id, never broadcast.
+    Rows with a null id, which may be many, do not move; they go if ``gone`` holds a null.
     """
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    ids = gone.select(F.col("__gone").alias(f"__gone_{uuid.uuid4().hex}"))
+    theirs, mine = ids[ids.columns[0]], docs[id_col].cast("long")
+    kept = docs.where(mine.isNotNull()).join(ids.where(theirs.isNotNull()).hint("merge"), mine == theirs, "left_anti")
+    return kept.union(docs.where(mine.isNull())) if gone.where("__gone IS NULL").isEmpty() else kept
 
 
 def utf8_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:

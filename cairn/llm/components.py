@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         empty = current.isEmpty()
         if empty and labels is not None:
+            release(current)
             return labels
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = current.select("a", "b").union(current.select(F.col("b"), F.col("a")))
@@ -29,12 +30,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if empty:
             return parents
         parents = materialize(parents, "cc-parents")
-        if labels is None:
-            labels = parents
-        else:
+        spent = [current]
+        if labels is not None:
             moved = parents.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            labels = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "cc-labels")
+            named = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "cc-labels")
+            spent += [labels]
         to_a, to_b = (parents.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         contracted = current.join(to_a, "a").join(to_b, "b").where("ra <> rb")
         current = materialize(contracted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
+        if labels is not None:
+            spent += [parents]
+        labels = parents if labels is None else named
+        release(*spent)
         seed += 1

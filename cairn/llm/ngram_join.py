@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import attach_group, materialize, utf8_slices, without_ids
+from cairn.llm.common import attach_group, materialize, release, salts_of, utf8_slices, without_ids
 from cairn.llm.components import connected_components
 
 #: A-Z to a-z, other bytes unchanged.
@@ -31,7 +31,7 @@ _WORDS_KEPT = 250_000
 #: Shingles in more first-places than this are ordered last; of those at most so many, the most frequent
 #: ones. Only speed depends on either: any global order finds the same links.
 HOT_DF, HOT_LIMIT = 64, 300_000
-#: Bits of the Bloom filters: which documents the verifying scan must turn into arrays, and which shingles several documents have.
+#: Bits of the Bloom filter that tells which documents a second scan must turn into arrays; a full filter costs time only.
 BLOOM_BITS = 1 << 26
 
 
@@ -43,14 +43,14 @@ class _WordIds(dict):
         return value
 
 
-def shingle_sets(texts: Iterable[str | None], width: int, ids: _WordIds, seed: int = 0) -> list[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int, ids: _WordIds) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer than ``width`` words make one shingle."""
     words, ends = [], [0]
     for text in texts:
         if text:
             words += text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
         ends.append(len(words))
-    hashed = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)) ^ np.uint64(seed)
+    hashed = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
 
         def fold(parts: list[np.ndarray], count: int) -> np.ndarray:
@@ -79,6 +79,17 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def first_ones(size: int, percent: int) -> int:
+    """So many shingles, the first in any one order, hold one that every partner has among its first."""
+    return size - needed(size, percent) + 1
+
+
+def stored_ones(size: int, percent: int) -> int:
+    """So many are kept by the scan: a margin replaces common ones that move back in the order."""
+    first = first_ones(size, percent)
+    return min(size, first + first // 4 + 16)
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """A bitmap of the set with the power of two of bits that is at least four times its size."""
     bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
@@ -118,13 +129,13 @@ def _set_id(tokens: np.ndarray) -> tuple[int, int]:
 
 
 class _Once:
-    """Which set ids this task has met; forgets all when full, as a repeat does no harm."""
+    """Which keys this task has met; forgets all when full, as a repeat does no harm."""
 
     def __init__(self, most: int = 200_000):
-        self.seen: set[int] = set()
+        self.seen: set = set()
         self.most = most
 
-    def __call__(self, key: int) -> bool:
+    def __call__(self, key) -> bool:
         if key in self.seen:
             return False
         if len(self.seen) >= self.most:
@@ -138,15 +149,16 @@ def _hot_tokens(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     table = counts.where(F.col("n") > HOT_DF).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     tokens = table["token"].to_numpy().view(np.uint64)
     rank = np.lexsort((tokens, table["n"].to_numpy()))
-    place = np.empty(len(tokens), np.int64)
+    place = np.empty(len(tokens), np.int32)
     place[rank] = np.arange(len(tokens))
     order = np.argsort(tokens)
     return tokens[order], place[order]
 
 
-def _bloom(spots: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column ``spots array<long>``; at most ``BLOOM_BITS / 64`` words are collected."""
-    words = spots.select(F.explode("spots").alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits"))
+def _bloom(ids: DataFrame, name: str) -> np.ndarray:
+    """A Bloom filter of the ids; at most ``BLOOM_BITS / 64`` words are collected."""
+    spots = ids.select(F.explode(_id_spots(name)).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS int))")).alias("bits"))
     table, out = words.toArrow(), np.zeros(BLOOM_BITS // 64, np.int64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy()
     return out
@@ -156,193 +168,214 @@ def _id_spots(name: str) -> Column:
     return F.array(*(F.pmod(F.xxhash64(name, F.lit(k)), F.lit(BLOOM_BITS)) for k in range(3))).alias("spots")
 
 
-def _token_spots(name: str) -> Column:
-    """Shingles are hashes already: their bits from 0, 17 and 34 on."""
-    return F.array(*(F.shiftrightunsigned(name, k).bitwiseAND(F.lit(BLOOM_BITS - 1)) for k in (0, 17, 34))).alias("spots")
+class _Join:
+    """The settings of one join and the steps that read texts or arrays."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
+        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.width, self.percent = width, percent
+
+    def features(self) -> DataFrame:
+        """One row per document: ``doc_id, hi, lo, n, bits, head, row``, in one scan of the texts.
+
+        ``hi, lo`` identify the set by 128 bits. ``head`` (the first shingles by hash) and ``bits`` are null where the task
+        has met the set before, and where it is empty.
+        """
+        width, percent = self.width, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, once = _WordIds(), _Once()
+            for batch in utf8_slices(batches, 1, 4 << 20):
+                sets = shingle_sets(batch.column(1).to_pylist(), width, ids)
+                names = [_set_id(s) for s in sets]
+                fresh = [len(s) > 0 and once(name) for s, name in zip(sets, names, strict=True)]
+                heads = [s[: stored_ones(len(s), percent)] if f else s[:0] for s, f in zip(sets, fresh, strict=True)]
+                ends = np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(heads)), mask=pa.array([not f for f in fresh]))
+                bits = pa.array([bitmap(s) if f else None for s, f in zip(sets, fresh, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), bits, lists], ["doc_id", "hi", "lo", "n", "bits", "head"])
+
+        found = self.texts.mapInArrow(run, "doc_id long, hi long, lo long, n long, bits binary, head array<long>")
+        return materialize(found.withColumn("row", F.monotonically_increasing_id()), "shingle-features")
+
+    def arrays(self, wanted: DataFrame) -> DataFrame:
+        """``sid, n, set`` of the sets ``wanted(sid, hi, lo, least)``: their texts are found by the id ``least`` of a document that has them.
+
+        The filter of ids spares most texts; texts that it lets pass by mistake cost time only.
+        """
+        bloom, width = self.texts.sparkSession.sparkContext.broadcast(_bloom(wanted, "least")), self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, once = _WordIds(), _Once()
+            for batch in batches:
+                spot = batch.column(2).flatten().to_numpy().reshape(-1, 3)
+                hit = np.ones(len(spot), bool)
+                for k in range(3):
+                    hit &= ((bloom.value[spot[:, k] >> 6] >> (spot[:, k] & 63)) & 1).astype(bool)
+                for part in utf8_slices(iter([batch.filter(pa.array(hit))]), 1, 4 << 20):
+                    sets = [s for s in shingle_sets(part.column(1).to_pylist(), width, ids) if len(s)]
+                    found = [(*name, len(s), s.tobytes()) for s in sets if once(name := _set_id(s))]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["hi", "lo", "n", "set"])
+
+        seen = self.texts.where("doc_id IS NOT NULL").select("doc_id", "text", _id_spots("doc_id")).mapInArrow(run, "hi long, lo long, n long, set binary")
+        return seen.join(wanted.select("sid", "hi", "lo"), ["hi", "lo"]).dropDuplicates(["sid"]).select("sid", "n", "set")
+
+    def tile_rows(self, feats: DataFrame, sets: DataFrame) -> DataFrame:
+        """``token, sid, size, pos``: the first shingles of every set, in the global order, that may be another set's too."""
+        spark, percent = feats.sparkSession, self.percent
+        counts = feats.where("head IS NOT NULL").select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        counts = materialize(counts.where("n > 1"), "shingle-counts")
+        order = spark.sparkContext.broadcast(_hot_tokens(counts, HOT_LIMIT))
+
+        def ordered(keys: Iterable, sizes: Iterable, heads: Iterable[np.ndarray], short: bool) -> Iterator[tuple]:
+            """Sets whose head holds all they need, or (``short``) those whose head does not."""
+            for key, size, head in zip(keys, sizes, heads, strict=True):
+                tokens, cold = _order(head, *order.value)
+                lacks = cold < first_ones(size, percent) and len(head) < size
+                if lacks and short:
+                    yield (key,)
+                elif not lacks and not short:
+                    yield key, size, tokens[: first_ones(size, percent)]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            ends = np.r_[0, np.cumsum([len(r[2]) for r in rows])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.uint64)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists], ["sid", "size", "tokens"])
+
+        def heads_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            flat, ends = batch.column(2).flatten().to_numpy().view(np.uint64), np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())
+            return (flat[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+        def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ordered(batch.column(0).to_pylist(), batch.column(1).to_pylist(), heads_of(batch), True)], pa.int64())], ["row"])
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield packed(list(ordered(batch.column(0).to_pylist(), batch.column(1).to_pylist(), heads_of(batch), False)))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    sets = (np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2))
+                    yield packed([(sid, size, _order(s, *order.value)[0][: first_ones(size, percent)]) for sid, size, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets, strict=True)])
+
+        heads = feats.where("head IS NOT NULL").select("row", "n", "head")
+        short = materialize(heads.mapInArrow(lacking, "row long").join(sets, F.col("row") == F.col("sid")).select("sid", "hi", "lo", "least"), "short-heads")
+        schema = "sid long, size long, tokens array<long>"
+        late = spark.createDataFrame([], schema) if short.isEmpty() else self.arrays(short).mapInArrow(whole, schema)
+        late = materialize(late, "late-prefixes")
+        own = heads.join(sets.select("sid"), F.col("row") == F.col("sid"), "left_semi").mapInArrow(prefixes, schema)
+        # A shingle that only one head has can still be among the first of a set that was ordered anew.
+        shared = counts.select("token").union(late.select(F.explode("tokens").alias("token"))).distinct()
+        rows = own.union(late).select("sid", "size", F.posexplode("tokens").alias("pos", "token"))
+        places = materialize(rows.join(materialize(shared, "shared-shingles").hint("merge"), "token", "left_semi").select("token", "sid", "size", "pos"), "tile-rows")
+        release(counts, short, late)
+        return places
+
+    def close(self, left: DataFrame, a: str, b: str) -> DataFrame:
+        """Pairs within the size band whose overlap can still reach the threshold, given the token's positions."""
+        sizes, percent = [F.col(f"{x}.size") for x in (a, b)], self.percent
+        band = F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
+        most = F.least(*(F.col(f"{x}.size") - F.col(f"{x}.pos") for x in (a, b)))
+        return left.where(band & (most * (100 + percent) >= percent * (sizes[0] + sizes[1]))).select(F.least(F.col(f"{a}.sid"), F.col(f"{b}.sid")).alias("a"), F.greatest(F.col(f"{a}.sid"), F.col(f"{b}.sid")).alias("b")).distinct()
 
+    def links(self, feats: DataFrame, sets: DataFrame) -> DataFrame:
+        places = self.tile_rows(feats, sets)
+        # Two leaders: the member with the tile's shingle first, as few of its shingles are rarer and it is near what the members
+        # have in common; and one that each tile draws by hash among the early ones, so that a document meets several.
+        member = F.struct("sid", "size", "pos")
+        first = F.min(F.struct("pos", "sid", "size")).alias("first")
+        drawn = F.min(F.struct(F.floor(F.col("pos") / 4).alias("early"), F.xxhash64("sid", "token").alias("h"), "sid", "size", "pos")).alias("drawn")
+        led = attach_group(places, ["token"], "sid", [first, drawn])
+        leader = F.explode(F.array(*(F.struct(F.col(f"{c}.sid").alias("sid"), F.col(f"{c}.size").alias("size"), F.col(f"{c}.pos").alias("pos")) for c in ("first", "drawn"))))
+        star = materialize(self.close(led.select(member.alias("x"), leader.alias("leader")).where("x.sid <> leader.sid"), "x", "leader"), "leader-pairs")
+        direct = self.verified(star, feats, sets)
+
+        # What is left: pairs across components. Tiles that are one component by now hold none.
+        roots = connected_components(direct)
+        named = places.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        parts = named.groupBy("token", "root").agg(F.count("*").alias("n"))
+        mixed = parts.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
+        mixed = materialize(mixed, "mixed-tiles")
+        open_tiles = materialize(named.join(mixed, "token"), "open-tiles")
+        release(places, mixed)
+        everyone = open_tiles.select("token", F.col("root").alias("root_y"), member.alias("y"))
+        others = open_tiles.where("root <> main").select("token", F.col("root").alias("root_x"), member.alias("x"))
+        rest = materialize(self.close(others.join(everyone, "token").where("root_x <> root_y"), "x", "y").join(star, ["a", "b"], "left_anti"), "cross-pairs")
+        release(open_tiles, star)
+        return direct.union(self.verified(rest, feats, sets))
+
+    def verified(self, pairs: DataFrame, feats: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of the candidate pairs those that link: bit counts first, then the sorted arrays."""
+        percent = self.percent
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
+
+        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                size_a, bits_a, size_b, bits_b = (batch.column(k).to_pylist() for k in range(2, 6))
+                keep = [overlap_bound(m, x, n, y) * (100 + percent) >= percent * (m + n) for m, x, n, y in zip(size_a, bits_a, size_b, bits_b, strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    if len(p) > len(q):
+                        p, q = q, p
+                    at = np.searchsorted(q, p)
+                    at[at == len(q)] = 0
+                    same = int((q[at] == p).sum())
+                    keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        def side(table: DataFrame, name: str, *values: str) -> DataFrame:
+            return table.select(F.col("sid").alias(name), *(F.col(v).alias(f"{v}_{name}") for v in values))
+
+        both = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        signs = materialize(feats.where("head IS NOT NULL").select(F.col("row").alias("sid"), "n", "bits").join(both, "sid", "left_semi"), "signatures")
+        signed = pairs.join(side(signs, "a", "n", "bits"), "a").join(side(signs, "b", "n", "bits"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+        left = materialize(signed.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
+        release(signs)
+        if left.isEmpty():
+            return left
+        wanted = sets.join(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
+        wanted = materialize(wanted.select("sid", "hi", "lo", "least"), "wanted-sets")
+        found = materialize(self.arrays(wanted).select("sid", "set"), "shingle-arrays")
+        full = left.join(side(found, "a", "set"), "a").join(side(found, "b", "set"), "b").select("a", "b", "set_a", "set_b")
+        links = materialize(full.mapInArrow(intersected, "a long, b long"), "links")
+        release(found, left, wanted)
+        return links
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, sets, links)``: ``rows(doc_id, hi, lo, n, row, ...)`` for every row of ``docs``, ``sets(hi, lo, sid, least, salts)``
+    for every distinct set that is not empty (``least`` is the smallest id that has it), ``links(a, b)`` between set ids.
 
-def _in_bloom(words: np.ndarray, spots: list[np.ndarray]) -> np.ndarray:
-    hit = np.ones(len(spots[0]), bool)
-    for spot in spots:
-        hit &= ((words[spot >> 6] >> (spot & 63)) & 1).astype(bool)
-    return hit
+    The links join all sets that the threshold joins, directly or by way of others; pairs inside one
+    component that were not needed to join it are not listed. Rows with a null id have no set in ``sets`` but
+    by way of an equal text.
+    """
+    join = _Join(docs, id_col, text_col, width, percent)
+    feats = join.features()
+    salted = _named(feats).select("hi", "lo", "doc_id", _salt(feats), F.when(F.col("head").isNotNull(), F.col("row")).alias("row"))
+    # A null id may come before the others of its set in a task and hold the head.
+    holders = feats.where("head IS NOT NULL").groupBy("hi", "lo").agg(F.min("row").alias("sid"))
+    sets = salted.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.collect_set("salt").alias("salts"))
+    sets = materialize(sets.join(holders, ["hi", "lo"]), "shingle-sets")
+    return feats, sets, join.links(feats, sets)
 
 
-def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``(sets, links)``: ``sets(doc_id, sid, n)`` for every row with a non-null id, ``links(a, b)`` between set ids.
+def _salt(feats: DataFrame) -> Column:
+    return F.pmod(F.xxhash64("row"), F.lit(salts_of(feats.sparkSession))).cast("int").alias("salt")
 
-    The links join all sets that the threshold joins, directly or by way of others; pairs inside one
-    component that were not needed to join it are not listed.
-    """
-    for attempt in range(seed, seed + 3):
-        feats = _features(docs, id_col, text_col, width, percent, attempt)
-        clash = feats.where("n > 0").groupBy("sid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi")
-        if clash.isEmpty():  # two sets with one 64-bit id: hash anew
-            return feats.select("doc_id", "sid", "n"), _links(docs, feats, id_col, text_col, width, percent, attempt)
-    raise RuntimeError("set ids clash under every seed")
-
-
-def _features(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int):
-    sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-        ids = _WordIds()
-        for batch in utf8_slices(batches, 1, 4 << 20):
-            yield batch, shingle_sets(batch.column(1).to_pylist(), width, ids, seed)
-
-    def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = _Once()
-        for _, sets in scan(batches):
-            kept = [s[: len(s) - needed(len(s), percent) + 1] for s in sets if len(s) and once(_set_id(s)[0])]
-            if kept:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(kept))], ["token"])
-
-    hot, rank = _hot_tokens(texts.mapInArrow(first_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")), HOT_LIMIT)
-    if len(hot):  # documents whose common shingles move back show others: count so far as those may reach
-        seeds = sc.broadcast(hot)
-
-        def wider_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            once = _Once()
-            for _, sets in scan(batches):
-                kept = []
-                for s in sets:
-                    if not len(s) or not once(_set_id(s)[0]):
-                        continue
-                    first = len(s) - needed(len(s), percent) + 1
-                    at = np.searchsorted(seeds.value, s[:first])
-                    at[at == len(seeds.value)] = 0
-                    if common := int((seeds.value[at] == s[:first]).sum()):
-                        kept.append(s[: first + 3 * common + 16])
-                if kept:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(kept))], ["token"])
-
-        hot, rank = _hot_tokens(texts.mapInArrow(wider_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")), HOT_LIMIT)
-    order = sc.broadcast((hot, rank))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = _Once()
-        for batch, sets in scan(batches):
-            sid, check, first, bits, tokens = [], [], [], [], []
-            for s in sets:
-                a, b = _set_id(s)
-                sid.append(a)
-                check.append(b)
-                first.append(bool(len(s)) and once(a))
-                if first[-1]:
-                    ordered, _ = _order(s, *order.value)
-                    bits.append(bitmap(s))
-                    tokens.append(ordered[: len(s) - needed(len(s), percent) + 1])
-                else:
-                    bits.append(None)
-                    tokens.append(s[:0])
-            ends = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first), pa.array(bits, pa.binary()), lists], ["doc_id", "sid", "check", "n", "first", "bits", "tokens"])
-
-    schema = "doc_id long, sid long, check long, n long, first boolean, bits binary, tokens array<long>"
-    return materialize(texts.mapInArrow(features, schema), "shingle-features")
-
-
-def _links(docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
-    tokens = feats.where("first").select(F.explode("tokens").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "shared-shingles")
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(shared.select(_token_spots("token"))))
-
-    def tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The places of shingles that several documents have (and a few others, which make tiles of one)."""
-        for batch in batches:
-            lengths = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
-            token = batch.column(2).flatten().to_numpy()
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bits = token.view(np.uint64)
-            hit = _in_bloom(bloom.value, [((bits >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in (0, 17, 34)])
-            of = [np.repeat(batch.column(k).to_numpy(), lengths)[hit] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), *map(pa.array, of), pa.array((np.arange(len(token)) - starts)[hit].astype(np.int32))], ["token", "sid", "size", "pos"])
-
-    rows = feats.where("first").select("sid", "n", "tokens").mapInArrow(tile_rows, "token long, sid long, size long, pos int")
-    if shared.count() > BLOOM_BITS // 8:  # too many for the filter to tell apart
-        rows = rows.join(shared, "token").select("token", "sid", "size", "pos")
-    places = materialize(rows.distinct(), "tile-rows")
-
-    def close(left: DataFrame, a: str, b: str) -> DataFrame:
-        """Pairs within the size band whose overlap can still reach the threshold, given the token's positions."""
-        sizes = [F.col(f"{x}.size") for x in (a, b)]
-        band = F.least(*sizes) * 100 >= F.greatest(*sizes) * percent
-        most = F.least(*(F.col(f"{x}.size") - F.col(f"{x}.pos") for x in (a, b)))
-        return left.where(band & (most * (100 + percent) >= percent * (sizes[0] + sizes[1]))).select(F.least(F.col(f"{a}.sid"), F.col(f"{b}.sid")).alias("a"), F.greatest(F.col(f"{a}.sid"), F.col(f"{b}.sid")).alias("b")).distinct()
 
-    # Two leaders: the member with the tile's shingle first, as few of its shingles are rarer and it is near what the members
-    # have in common; and one that each tile draws by hash among the early ones, so that a document meets several.
-    member = F.struct("sid", "size", "pos")
-    first = F.min(F.struct("pos", "sid", "size")).alias("first")
-    drawn = F.min(F.struct(F.floor(F.col("pos") / 4).alias("early"), F.xxhash64("sid", "token").alias("h"), "sid", "size", "pos")).alias("drawn")
-    led = attach_group(places, ["token"], "sid", [first, drawn])
-    leader = F.explode(F.array(*(F.struct(F.col(f"{c}.sid").alias("sid"), F.col(f"{c}.size").alias("size"), F.col(f"{c}.pos").alias("pos")) for c in ("first", "drawn"))))
-    star = materialize(close(led.select(member.alias("x"), leader.alias("leader")).where("x.sid <> leader.sid"), "x", "leader"), "leader-pairs")
-    direct = _verified(star, docs, feats, id_col, text_col, width, percent, seed)
-
-    # What is left: pairs across components. Tiles that are one component by now hold none.
-    named = places.join(connected_components(direct).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    parts = named.groupBy("token", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
-    open_tiles = materialize(named.join(materialize(mixed, "mixed-tiles"), "token"), "open-tiles")
-    everyone = open_tiles.select("token", F.col("root").alias("root_y"), member.alias("y"))
-    others = open_tiles.where("root <> main").select("token", F.col("root").alias("root_x"), member.alias("x"))
-    rest = close(others.join(everyone, "token").where("root_x <> root_y"), "x", "y").join(star, ["a", "b"], "left_anti")
-    return direct.union(_verified(materialize(rest, "cross-pairs"), docs, feats, id_col, text_col, width, percent, seed))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
-    """Of the candidate pairs those that link: bit counts first, then the sorted arrays."""
-    spark = docs.sparkSession
-    both = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    signs = feats.where("first").join(both, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size_a, bits_a, size_b, bits_b = (batch.column(k).to_pylist() for k in range(2, 6))
-            keep = [overlap_bound(m, x, n, y) * (100 + percent) >= percent * (m + n) for m, x, n, y in zip(size_a, bits_a, size_b, bits_b, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    def side(table: DataFrame, name: str, value: str) -> DataFrame:
-        return table.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col(value).alias(f"{value}_{name}")) if value == "bits" else table.select(F.col("sid").alias(name), F.col(value).alias(f"{value}_{name}"))
-
-    signed = pairs.join(side(signs, "a", "bits"), "a").join(side(signs, "b", "bits"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    left = materialize(signed.mapInArrow(bounded, "a long, b long"), "bounded-pairs")
-    if left.isEmpty():
-        return left
-    wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    owners = feats.where("n > 0").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    bloom = spark.sparkContext.broadcast(_bloom(owners.select(_id_spots("id"))))
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, once = _WordIds(), _Once()
-        for batch in batches:
-            spot = batch.column(2).flatten().to_numpy().reshape(-1, 3)
-            hit = _in_bloom(bloom.value, [spot[:, k] for k in range(3)])
-            for part in utf8_slices(iter([batch.filter(pa.array(hit))]), 1, 4 << 20):
-                sets = [s for s in shingle_sets(part.column(1).to_pylist(), width, ids, seed) if len(s)]
-                found = [(sid, s.tobytes()) for s in sets if once(sid := _set_id(s)[0])]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["sid", "set"])
-
-    def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                same = int((q[at] == p).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    sets = materialize(texts.select("id", "text", _id_spots("id")).mapInArrow(arrays, "sid long, set binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "shingle-arrays")
-    full = left.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b")
-    return materialize(full.mapInArrow(intersected, "a long, b long"), "links")
+def _named(feats: DataFrame) -> DataFrame:
+    return feats.where("doc_id IS NOT NULL AND n > 0")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -358,23 +391,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are separate members of that id (equal texts are linked anyway); an empty table gives an empty table;
     only the two named columns are read.
     """
-    sets, links = ngram_links(docs, id_col, text_col, width, percent)
-    roots = connected_components(links)
-    placed = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    grouped = placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).otherwise(F.xxhash64("doc_id")).alias("root"), (F.col("n") > 0).alias("linked"), F.when(F.col("n") == 0, F.col("doc_id")).alias("alone"))
-    grouped = grouped.withColumn("alone", F.coalesce("alone", F.lit(-1).cast("long")))
-    found = attach_group(grouped, ["root", "linked", "alone"], "doc_id", [F.min("doc_id").alias("component_id")])
-    unnamed = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _WordIds()
-        for batch in utf8_slices(batches, 0):
-            sizes = [len(s) for s in shingle_sets(batch.column(0).to_pylist(), width, ids)]
-            empty = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.array(sizes, pa.int64()), empty], ["doc_id", "n_shingles", "component_id"])
-
-    schema = "doc_id long, n_shingles long, component_id long"
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(unnamed.mapInArrow(counted, schema))
+    feats, sets, links = ngram_links(docs, id_col, text_col, width, percent)
+    roots = connected_components(links).withColumnRenamed("node", "sid")
+    rooted = sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    # A component, or the copies of one set, may be any share of all rows: the way back is salted twice.
+    placed = attach_group(rooted.select("hi", "lo", "salts", "least", "sid", "root"), ["root"], "sid", [F.min("least").alias("component_id")])
+    placed = placed.select("hi", "lo", F.explode("salts").alias("salt"), "component_id")
+    named = _named(feats).select("doc_id", "n", "hi", "lo", _salt(feats)).join(placed, ["hi", "lo", "salt"])
+    alone = feats.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return named.select("doc_id", "n", "component_id").union(alone).withColumnRenamed("n", "n_shingles")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

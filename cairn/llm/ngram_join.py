@@ -168,6 +168,32 @@ def _id_spots(name: str) -> Column:
     return F.array(*(F.pmod(F.xxhash64(name, F.lit(k)), F.lit(BLOOM_BITS)) for k in range(3))).alias("spots")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All shingles of ``set`` columns."""
+    for batch in _slices(batches, 256):
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]))], ["token"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
+def _ordered(heads: pa.RecordBatch, order: tuple[np.ndarray, np.ndarray], percent: int) -> Iterator[tuple]:
+    """``(id, size, first shingles)`` by ``(id, size, head)``; None where the head does not hold them all."""
+    flat, ends = heads.column(2).flatten().to_numpy().view(np.uint64), np.cumsum(pa.compute.list_value_length(heads.column(2)).to_numpy())
+    for sid, size, start, end in zip(heads.column(0).to_pylist(), heads.column(1).to_pylist(), [0, *ends], ends, strict=False):
+        tokens, cold = _order(flat[start:end], *order)
+        first = first_ones(size, percent)
+        yield sid, size, None if cold < first and end - start < size else tokens[:first]
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    ends = np.r_[0, np.cumsum([len(r[2]) for r in rows])].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists], ["sid", "size", "tokens"])
+
+
 class _Join:
     """The settings of one join and the steps that read texts or arrays."""
 
@@ -222,58 +248,58 @@ class _Join:
 
     def tile_rows(self, feats: DataFrame, sets: DataFrame) -> DataFrame:
         """``token, sid, size, pos``: the first shingles of every set, in the global order, that may be another set's too."""
-        spark, percent = feats.sparkSession, self.percent
-        counts = feats.where("head IS NOT NULL").select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        heads = feats.where("head IS NOT NULL").select("row", "n", "head")
+        counts = heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
         counts = materialize(counts.where("n > 1"), "shingle-counts")
-        order = spark.sparkContext.broadcast(_hot_tokens(counts, HOT_LIMIT))
-
-        def ordered(keys: Iterable, sizes: Iterable, heads: Iterable[np.ndarray], short: bool) -> Iterator[tuple]:
-            """Sets whose head holds all they need, or (``short``) those whose head does not."""
-            for key, size, head in zip(keys, sizes, heads, strict=True):
-                tokens, cold = _order(head, *order.value)
-                lacks = cold < first_ones(size, percent) and len(head) < size
-                if lacks and short:
-                    yield (key,)
-                elif not lacks and not short:
-                    yield key, size, tokens[: first_ones(size, percent)]
-
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            ends = np.r_[0, np.cumsum([len(r[2]) for r in rows])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.uint64)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), lists], ["sid", "size", "tokens"])
-
-        def heads_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-            flat, ends = batch.column(2).flatten().to_numpy().view(np.uint64), np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy())
-            return (flat[a:b] for a, b in zip([0, *ends], ends, strict=False))
+        # Sets with many common shingles show others than their heads: count those too before the order is final.
+        seen = self.whole_sets(self.short(heads, sets, self.order(counts)), sets)
+        wider = seen.mapInArrow(_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HOT_DF)
+        order = self.order(counts.union(wider).groupBy("token").agg(F.max("n").alias("n")))
+        short = self.short(heads, sets, order)
+        more = self.whole_sets(short.join(seen.select("sid"), "sid", "left_anti"), sets)
 
-        def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ordered(batch.column(0).to_pylist(), batch.column(1).to_pylist(), heads_of(batch), True)], pa.int64())], ["row"])
+        percent, schema = self.percent, "sid long, size long, tokens array<long>"
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield packed(list(ordered(batch.column(0).to_pylist(), batch.column(1).to_pylist(), heads_of(batch), False)))
+                yield _packed([(sid, size, tokens) for sid, size, tokens in _ordered(batch, order.value, percent) if tokens is not None])
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    sets = (np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2))
-                    yield packed([(sid, size, _order(s, *order.value)[0][: first_ones(size, percent)]) for sid, size, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets, strict=True)])
+            for batch in _slices(batches, 256):
+                sets = (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2))
+                yield _packed([(sid, size, _order(s, *order.value)[0][: first_ones(size, percent)]) for sid, size, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True)])
 
-        heads = feats.where("head IS NOT NULL").select("row", "n", "head")
-        short = materialize(heads.mapInArrow(lacking, "row long").join(sets, F.col("row") == F.col("sid")).select("sid", "hi", "lo", "least"), "short-heads")
-        schema = "sid long, size long, tokens array<long>"
-        late = spark.createDataFrame([], schema) if short.isEmpty() else self.arrays(short).mapInArrow(whole, schema)
-        late = materialize(late, "late-prefixes")
+        late = materialize(seen.union(more).join(short, "sid", "left_semi").select("sid", "n", "set").mapInArrow(whole, schema), "late-prefixes")
         own = heads.join(sets.select("sid"), F.col("row") == F.col("sid"), "left_semi").mapInArrow(prefixes, schema)
         # A shingle that only one head has can still be among the first of a set that was ordered anew.
-        shared = counts.select("token").union(late.select(F.explode("tokens").alias("token"))).distinct()
+        shared = materialize(counts.select("token").union(late.select(F.explode("tokens").alias("token"))).distinct(), "shared-shingles")
         rows = own.union(late).select("sid", "size", F.posexplode("tokens").alias("pos", "token"))
-        places = materialize(rows.join(materialize(shared, "shared-shingles").hint("merge"), "token", "left_semi").select("token", "sid", "size", "pos"), "tile-rows")
-        release(counts, short, late)
+        places = materialize(rows.join(shared.hint("merge"), "token", "left_semi").select("token", "sid", "size", "pos"), "tile-rows")
+        release(counts, seen, short, more, late, shared)
         return places
 
+    def order(self, counts: DataFrame):
+        """The global order, for all tasks: the common shingles that come last, with their ranks."""
+        return self.texts.sparkSession.sparkContext.broadcast(_hot_tokens(counts, HOT_LIMIT))
+
+    def short(self, heads: DataFrame, sets: DataFrame, order) -> DataFrame:
+        """``sid`` of the sets whose heads lack shingles that are among their first in this order."""
+        percent = self.percent
+
+        def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([sid for sid, _, tokens in _ordered(batch, order.value, percent) if tokens is None], pa.int64())], ["sid"])
+
+        return materialize(heads.mapInArrow(lacking, "sid long").join(sets.select("sid"), "sid", "left_semi"), "short-heads")
+
+    def whole_sets(self, chosen: DataFrame, sets: DataFrame) -> DataFrame:
+        """``sid, n, set`` of the chosen sets, read from their texts."""
+        wanted = materialize(sets.join(chosen, "sid", "left_semi").select("sid", "hi", "lo", "least"), "wanted-sets")
+        found = self.texts.sparkSession.createDataFrame([], "sid long, n long, set binary") if wanted.isEmpty() else self.arrays(wanted)
+        found = materialize(found, "shingle-arrays")
+        release(wanted)
+        return found
+
     def close(self, left: DataFrame, a: str, b: str) -> DataFrame:
         """Pairs within the size band whose overlap can still reach the threshold, given the token's positions."""
         sizes, percent = [F.col(f"{x}.size") for x in (a, b)], self.percent
@@ -311,17 +337,14 @@ class _Join:
         """Of the candidate pairs those that link: bit counts first, then the sorted arrays."""
         percent = self.percent
 
-        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
-
         def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in _slices(batches, 512):
                 size_a, bits_a, size_b, bits_b = (batch.column(k).to_pylist() for k in range(2, 6))
                 keep = [overlap_bound(m, x, n, y) * (100 + percent) >= percent * (m + n) for m, x, n, y in zip(size_a, bits_a, size_b, bits_b, strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         def intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in _slices(batches, 512):
                 keep = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
                     p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -343,12 +366,10 @@ class _Join:
         release(signs)
         if left.isEmpty():
             return left
-        wanted = sets.join(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
-        wanted = materialize(wanted.select("sid", "hi", "lo", "least"), "wanted-sets")
-        found = materialize(self.arrays(wanted).select("sid", "set"), "shingle-arrays")
+        found = self.whole_sets(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), sets)
         full = left.join(side(found, "a", "set"), "a").join(side(found, "b", "set"), "b").select("a", "b", "set_a", "set_b")
         links = materialize(full.mapInArrow(intersected, "a long, b long"), "links")
-        release(found, left, wanted)
+        release(found, left)
         return links
 
 

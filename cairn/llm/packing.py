@@ -11,6 +11,7 @@ neighbourhoods, until one bounded neighbourhood or a fixed number of rounds is l
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ PLACES = 256
 
 
 def _encoder(path: str):
-    """``encode(text) -> ids`` of a byte-level BPE vocabulary file, special tokens read as ordinary text.
+    """``encode(text) -> ids`` as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them: a special token's string is its id.
 
     A ``.json`` file that has a ``.tiktoken`` twin with the same vocabulary is encoded by way of the
     twin, which gives the same ids in a third of the time; the tests hold both against each other.
@@ -41,14 +42,16 @@ def _encoder(path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(twin, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return own.encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            with open(twin, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+            return lambda text: own.encode(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text, add_special_tokens=False).ids
 
 
@@ -220,11 +223,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, neighbourhood: int = 4096, isl
 
     With ``order_col``, a dense numbering of the documents such as their positions in a mix, neighbourhoods are
     contiguous ranges of it instead of random ones, and ``sequence_id`` ascends with the mean of a sequence's
-    pieces in it. The column is not returned.
+    pieces in it. The column is not returned. Columns of ``pieces`` may have any names.
     """
-    pieces = materialize(pieces.withColumn("__item", F.monotonically_increasing_id()), "pieces")
-    names = [c for c in pieces.columns if c not in ("__item", order_col)]
-    place = [F.col(order_col).cast("long").alias("__place")] if order_col else []
+    own = [c for c in pieces.columns if c != order_col]
+    place = [F.col(f"`{order_col}`").cast("long").alias("__place")] if order_col else []
+    plain = pieces.select(*(F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(own)), F.col("length").alias("length"), *place)
+    pieces = materialize(plain.withColumn("__item", F.monotonically_increasing_id()), "pieces")
+    names = [F.col(f"own_{k}").alias(c) for k, c in enumerate(own)]
+    place = ["__place"] if order_col else []
     whole = pieces.where(F.col("length") >= capacity).select("__item", F.lit(-1).alias("__round"), F.lit(0).alias("__hood"), F.lit(0).alias("__bin"), F.col("__item").alias("__own"), F.lit(0).cast("long").alias("offset"))
     done = [whole]
     open_items = pieces.where(F.col("length") < capacity).select("__item", F.col("length").cast("int").alias("size"), *place)

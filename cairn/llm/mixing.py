@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
@@ -176,5 +177,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     Rows that repeat an id and a source take the place of the first of them.
     """
     first = first_places(docs, id_col, source_col, **settings)
-    joined = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    return joined.orderBy("__position").select(*[docs[c] for c in docs.columns])
+    mark = uuid.uuid4().hex  # no column of documents has it in its name
+    first = first.select(*(F.col(c).alias(f"{c}_{mark}") for c in first.columns))
+    same = docs[id_col].cast("long").eqNullSafe(first[f"__id_{mark}"]) & docs[source_col].cast("string").eqNullSafe(first[f"__source_{mark}"])
+    return docs.join(first, same).orderBy(f"__position_{mark}").drop(*first.columns)

@@ -22,6 +22,8 @@ from cairn.llm.common import utf8_slices
 BYTE_SCORE = -30_000
 #: Distinct pre-tokens whose counts a task remembers (16 bytes each).
 REMEMBERED = 3_000_000
+#: Words of more bytes are not put in the trie, whose levels cost a pass each; they are scored one by one.
+LONG_WORD = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[str, tuple] = {}
 
@@ -54,6 +56,10 @@ class UnigramTrie:
     """
 
     def __init__(self, pieces: dict[bytes, int]):
+        self.pieces, self.lengths = pieces, {}
+        for piece in pieces:
+            self.lengths.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {end: sorted(found) for end, found in self.lengths.items()}
         self.longest = max(map(len, pieces), default=1)
         with np.errstate(over="ignore"):
             hashes = []
@@ -72,8 +78,34 @@ class UnigramTrie:
         for piece in pieces:
             self.ends[len(piece), piece[-1] | (piece[-2] << 8 if len(piece) > 1 else 0)] = True
 
+    def count_long(self, word: bytes) -> int:
+        """The token count of one word, in time that is linear in its length: each place tries only the pieces that its last two bytes can end."""
+        score, count = [0], [0]
+        none: list[int] = []
+        for end in range(1, len(word) + 1):
+            best, fewest = score[-1] + BYTE_SCORE, count[-1] + 1
+            pair = self.lengths.get(word[max(0, end - 2) : end], none) if end > 1 else none
+            for length in (*self.lengths.get(word[end - 1 : end], none), *pair):
+                if length <= end and (own := self.pieces.get(word[end - length : end])) is not None:
+                    s, c = score[end - length] + own, count[end - length] + 1
+                    if s > best or (s == best and c < fewest):
+                        best, fewest = s, c
+            score.append(best)
+            count.append(fewest)
+        return count[-1]
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The token count of each of ``words``: sorted, distinct, not empty."""
+        out = np.zeros(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        if len(short) < len(words):
+            out[short] = self._shared([words[i] for i in short])
+            for i in set(range(len(words))).difference(short):
+                out[i] = self.count_long(words[i])
+            return out
+        return self._shared(words)
+
+    def _shared(self, words: list[bytes]) -> np.ndarray:
         n = len(words)
         sizes = np.fromiter(map(len, words), np.int64, n)
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -137,7 +169,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Pre-tokens are the words between ASCII white space, each with the word-begin mark in front.
 
     Edge cases: a null, empty or blank text has no pre-token and no token; a null id is carried along; repeated
-    rows are counted each; a word of any length is scored whole; other columns are not read.
+    rows are counted each; a word of any length is scored whole, in linear time; other columns are not read.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

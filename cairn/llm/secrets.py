@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, utf8_slices
+from cairn.llm.common import materialize, salts_of, utf8_slices
 
 #: Base patterns (fixed values). Runs of hexadecimal digits and key ids are matched from their least length up, which
 #: finds the same spans as matching all runs and dropping short ones.
@@ -48,9 +48,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def opaque_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Candidate strings that no base span touches."""
-    out = []
+    out, at, reach = [], 0, 0  # ``reach``: how far the base spans that begin before the candidate's end extend
     for m in OPAQUE.finditer(text):
-        if entropy(m[0]) >= LEAST_ENTROPY and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and entropy(m[0]) >= LEAST_ENTROPY:
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 
@@ -59,7 +62,7 @@ def joined(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in sorted(spans, key=lambda s: s[:3]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
     """One row per input row: ``row, doc_id, repo, owner, found`` with ``found array<struct<start, kind, end, value>>``,
     ``value`` a 64-bit hash of the secret itself, and ``base_sha256``."""
 
@@ -74,29 +77,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
                 sums.append(hashlib.sha256(joined(base).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, span), pa.array(sums)], ["doc_id", "repo", "owner", "found", "base_sha256"])
 
-    owner = F.col(owner_col or repo_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), owner.alias("owner"), F.col(text_col).alias("text"))
+    owner = F.col("source") if owner is None else owner
+    repo = F.concat_ws("/", F.col("source"), F.col("lang")) if repo is None else repo
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
     schema = "doc_id long, repo string, owner string, found array<struct<start: long, kind: int, end: long, value: long>>, base_sha256 string"
     return materialize(texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "secret-scan")
 
 
-def secret_scan(docs: DataFrame, live_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str | None = None) -> DataFrame:
+def secret_scan(docs: DataFrame, live_owners: int = 2, live_repos: int = 4, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_opaque, n_live, n_example``: one row per input row.
 
+    An owner is a ``source`` unless another column is given, a repository what an owner has in one ``lang``.
     ``spans`` lists the base spans and, of the other candidates, those whose value at most ``live_owners``
-    distinct owners and repositories have. ``n_live`` counts all spans whose value is owner-specific,
+    distinct owners and ``live_repos`` distinct repositories have. ``n_live`` counts all spans whose value is owner-specific,
     ``n_example`` those whose value is copied more widely. Spans are in code points, ends exclusive.
 
     Edge cases: a null or empty text has no spans; null owners count as one owner; repeated rows are scanned
     each; an empty table gives an empty table; only the named columns are read.
     """
-    rows = scan(docs, id_col, text_col, repo_col, owner_col)
+    rows = scan(docs, id_col, text_col, repo, owner)
     spans = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("s"))
     spans = spans.select("row", "s", F.col("s.value").alias("value"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("owner", F.lit("")).alias("owner"))
     # Distinct owners of a value, pre-aggregated: a value that most rows hold is one row per task.
     owned = spans.groupBy("value", "repo", "owner").agg(F.count("*").alias("n"))
     counts = owned.groupBy("value").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
-    live = materialize(counts.select("value", ((F.col("repos") <= live_owners) & (F.col("owners") <= live_owners)).alias("live")), "owners-of-values")
+    live = materialize(counts.select("value", ((F.col("repos") <= live_repos) & (F.col("owners") <= live_owners)).alias("live")), "owners-of-values")
     told = attach_verdict(spans, live)
     by_row = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live"))).alias("told"))
     empty = F.array().cast("array<struct<start: long, kind: int, end: long, live: boolean>>")
@@ -110,7 +115,7 @@ def secret_scan(docs: DataFrame, live_owners: int = 2, id_col: str = "doc_id", t
 
 def attach_verdict(spans: DataFrame, live: DataFrame) -> DataFrame:
     """Each span with its value's verdict; spread by salt, as one value may be in most rows."""
-    salts = 64
+    salts = salts_of(spans.sparkSession)
     salted = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     used = salted.select("value", "salt").distinct().join(live, "value")
     return salted.join(used, ["value", "salt"])

@@ -24,7 +24,7 @@ from cairn.llm.components import connected_components
 #: A fingerprint keeps between this many and about four times as many samples of a long text.
 SAMPLES = 64
 #: The most runs into which documents are dealt by id; a run is streamed, so its length costs a task time but no memory.
-MAX_RUNS = 4096
+MAX_RUNS = 16_384
 _SEED = np.uint64(0x5DEECE66D1CE4E5B)
 
 
@@ -199,11 +199,12 @@ def _run_number(ident: Column, cuts: list[float]) -> Column:
     return F.when(ident.isNull(), len(cuts)).when(at >= len(chunks), 0).otherwise(found)
 
 
-def _in_order(docs: DataFrame, rows_a_part: int) -> DataFrame:
+def _in_order(docs: DataFrame, chars_a_part: int) -> DataFrame:
     """``part, doc_id, text, copy``: documents in runs of descending id; each run ends with a copy of the document that follows
     it (after the last: the first). Only one row per run, of at most ``MAX_RUNS``, is looked at as a whole."""
     ids = docs.select("doc_id")
-    parts = max(1, min(MAX_RUNS, -(-ids.count() // rows_a_part)))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, min(MAX_RUNS, -(-chars // chars_a_part)))
     cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     numbered = docs.withColumn("part", _run_number(F.col("doc_id"), cuts).cast("int")).withColumn("h", F.xxhash64("text"))
     order = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "h")
@@ -214,11 +215,11 @@ def _in_order(docs: DataFrame, rows_a_part: int) -> DataFrame:
     runs = numbered.select("part", "doc_id", "text", F.lit(False).alias("copy"))
     copies = numbered.join(F.broadcast(ends), ["part", "h"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["part"])
     runs = runs.union(copies.select("to", "doc_id", "text", F.lit(True)))
-    runs = runs.repartition(max(1, len(firsts)), "part")
+    runs = runs.repartitionById(parts, F.col("part"))  # a task per run, where a hash would put several into one
     return runs.sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), F.xxhash64("text").desc())
 
 
-def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 20_000) -> DataFrame:
+def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_a_part: int = 16_000_000) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``: one row per input row.
 
     The next document is the one with the next smaller id; after the smallest id comes the greatest. The
@@ -254,7 +255,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             held = [] if held[-1][3] else held[-1:]
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(texts, rows_a_part).select("part", "doc_id", "text", "copy").mapInArrow(run, schema)
+    return _in_order(texts, chars_a_part).select("part", "doc_id", "text", "copy").mapInArrow(run, schema)
 
 
 def bands(fingerprint: str, count: int = 16, width: int = 6) -> list[str]:

@@ -54,12 +54,17 @@ def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The banding and verification of operator 9: near copies by edit distance."""
+    return edit_embedding.edit_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pack_documents, op2_language_id, op3_token_counts, op4_quality, op5_warc_zip, op6_ngram_jaccard, op7_mix_sources, op8_exact_dedup, op9_edit_fingerprints, op10_secret_scan)
+    every = (op1_pack_documents, op2_language_id, op3_token_counts, op4_quality, op5_warc_zip, op6_ngram_jaccard, op7_mix_sources, op8_exact_dedup, op9_edit_fingerprints, op10_secret_scan, edit_groups)
     return {f.__name__: f for f in every}
 
 

@@ -8,6 +8,7 @@ import io
 import math
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -47,7 +48,7 @@ def corpus(n=120, seed=0):
         elif kind == 4:
             text = passage + "\n" + sentence(rng, rng.randrange(5, 90))
         else:
-            text = rng.choice([None, "", " \t\n", "One", "two words", "ÄÖÜ ß 漢字 \U0001f600", sentence(rng, 2000)])
+            text = rng.choice([None, "", " \t\n", "One", "two words <|endoftext|> more", "ÄÖÜ ß 漢字 \U0001f600", sentence(rng, 2000)])
         rows.append((i, text, rng.choice(["en", "de", None]), f"src{i % 4 if i % 3 else 0}"))
     rows += [rows[3], (None, "lonely", None, None), (None, None, None, None)]
     return rows
@@ -103,7 +104,6 @@ def test_components_equal_union_find(spark, edges):
 def test_pack_round_trip(spark, docs, rows):
     got = packing.pack_documents(docs, VOCABULARY, 512, keep_ids=True, neighbourhood=64).toPandas()
     tok = Tokenizer.from_file(VOCABULARY)
-    tok.encode_special_tokens = True
     want = sorted((-1 if d is None else d, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for d, t, *_ in rows)
     got["key"] = got.doc_id.fillna(-1).astype(int)
     by_start = got.sort_values(["key", "start"])
@@ -131,7 +131,6 @@ def test_cut_only_long_documents():
 def test_encoder_twin_gives_the_same_ids():
     texts = ["", " a  b\n\n c", "don't 漢字 \U0001f600 <|endoftext|>", "x" * 3000, "   1234567 é"] + [t for _, t, *_ in corpus(60, 3) if t]
     tok = Tokenizer.from_file(VOCABULARY)
-    tok.encode_special_tokens = True
     encode = packing._encoder(VOCABULARY)
     for t in texts:
         assert list(encode(t)) == tok.encode(t, add_special_tokens=False).ids
@@ -227,6 +226,19 @@ def test_trie_shares_prefixes_and_breaks_ties():
     assert trie.counts([b"ab"]).tolist() == [1]  # -20 either way: fewer tokens
 
 
+def test_long_words_count_like_short_ones(monkeypatch):
+    pieces = tokencount.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    trie = tokencount.UnigramTrie(pieces)
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("aebnst漢字0+/") for _ in range(rng.randrange(1, 400))).encode() for _ in range(60)})
+    got = trie.counts(words).tolist()
+    assert got == [brute_unigram(w, pieces) for w in words]
+    monkeypatch.setattr(tokencount, "LONG_WORD", 0)
+    assert trie.counts(words).tolist() == got
+    start = time.time()
+    assert trie.count_long(b"ab9+" * 25_000) == 25_000 / 2_500 * trie.count_long(b"ab9+" * 2_500) and time.time() - start < 5
+
+
 # --- 4 quality -----------------------------------------------------------------------------------------------------------
 
 
@@ -530,7 +542,7 @@ def test_likeness_follows_edits():
 @pytest.mark.parametrize("size", [7, 10_000])
 def test_edit_fingerprints_equal_brute_force(spark, rows, docs, size):
     unique = [r for i, r in enumerate(rows) if r[0] is not None and r not in rows[:i]]
-    got = {r.doc_id: r for r in edit_embedding.edit_fingerprints(spark.createDataFrame(unique, DOCS), rows_a_part=size).collect()}
+    got = {r.doc_id: r for r in edit_embedding.edit_fingerprints(spark.createDataFrame(unique, DOCS), chars_a_part=size * 100).collect()}
     order = sorted(unique, key=lambda r: -r[0])
     assert len(got) == len(unique)
     for k, (d, t, *_) in enumerate(order):
@@ -541,7 +553,7 @@ def test_edit_fingerprints_equal_brute_force(spark, rows, docs, size):
         own, new, other = (edit_embedding.walks([edit_embedding.symbols(x)])[0] for x in (text, changed, following))
         assert got[d].fingerprint == edit_embedding.encode(own) and got[d].edited_fingerprint == edit_embedding.encode(new)
         assert got[d].near_edited == edit_embedding.likeness(own, new) and got[d].near_next == edit_embedding.likeness(own, other)
-    assert edit_embedding.edit_fingerprints(docs, rows_a_part=20).count() == len(rows)
+    assert edit_embedding.edit_fingerprints(docs, chars_a_part=2000).count() == len(rows)
 
 
 def test_edit_fingerprints_of_one_and_none(spark, nothing):
@@ -622,6 +634,31 @@ def test_secret_scan_by_owners(spark, nothing):
     assert secrets.secret_scan(nothing).isEmpty()
 
 
+def test_secret_scan_equals_brute_force(spark, rows):
+    """Values with one to seven owners and repositories, some of them in the base patterns, beside plain texts."""
+    rng = random.Random(21)
+    values = ["".join(rng.choice("aBcDeFgHkLmN0123456789_Qz") for _ in range(26)) for _ in range(9)]
+    table = [(d, t, lang, s) for d, t, lang, s in rows if d is not None]
+    for k in range(160):
+        v = rng.choice(values[: 1 + k % 9])
+        text = rng.choice(["x %s y", "token=%s", "é %s, password: %s", "%s"]) .replace("%s", v)
+        table.append((1000 + k, text, rng.choice(["en", "de"]), f"o{rng.randrange(1 + values.index(v) % 4)}"))
+    spans, owners, repos = {}, {}, {}
+    for d, t, lang, s in set(table):
+        base = [(a, k, e, (t[a:e] if k else re.search(r"[:=]\x20*[\"']?(.*)", t[a:e], re.S)[1])) for a, k, e in brute_base(t or "")]
+        more = [m for m in re.finditer(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}", t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        more = [(m.start(), 3, m.end(), m[0]) for m in more if secrets.entropy(m[0]) >= 3.5 and all(e <= m.start() or m.end() <= a for a, _, e, _ in base)]
+        spans[d] = (t, sorted(base + more))
+        for *_, v in base + more:
+            owners.setdefault(v, set()).add(s)
+            repos.setdefault(v, set()).add(f"{s}/{lang}" if lang else s)
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repos[v]) <= 4}
+    assert 0 < len(live & set(values)) < len(set(values) & set(owners))  # ownership tells some of them apart
+    want = {d: ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e, v in found if k < 3 or v in live) for d, (_, found) in spans.items()}
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(spark.createDataFrame(table, DOCS)).collect()}
+    assert got == want and any("opaque" in w for w in want.values())
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -161,13 +161,14 @@ def class_counts(pts: DataFrame, fraction: float = 1.0, seed: int = 0, tile: str
 
 
 def class_weights(counts: DataFrame, method: str = "inverse", beta: float = 0.9999, normalise: bool = True, col: str = "classification") -> DataFrame:
-    """Weight per class: ``inverse`` total/n, ``sqrt`` its root, ``log`` ln(1 + total/n), ``balanced`` total/(K n), ``effective``
-    (1-beta)/(1-beta^n); normalised to sum K. One row per class."""
+    """Weight per class from its share ``f``: ``inverse`` 1/(f + 1e-6), ``sqrt`` 1/(sqrt(f) + 1e-6), ``log`` 1/(ln(1 + f) + 1e-6), ``balanced``
+    total/(K n), ``effective`` (1-beta)/(1-beta^n + 1e-6); the first three are normalised to sum K. One row per class."""
     every = Window.partitionBy()
     n, total, k = F.col("n").cast("double"), F.sum("n").over(every), F.count("*").over(every)
-    w = {"inverse": total / n, "sqrt": F.sqrt(total / n), "log": F.log(1 + total / n), "balanced": total / (k * n), "effective": F.lit(1 - beta) / (1 - F.pow(F.lit(beta), n))}[method]
+    f, least = n / total, F.lit(1e-6)
+    w = {"inverse": 1 / (f + least), "sqrt": 1 / (F.sqrt(f) + least), "log": 1 / (F.log(1 + f) + least), "balanced": total / (k * n), "effective": F.lit(1 - beta) / (1 - F.pow(F.lit(beta), n) + least)}[method]
     out = counts.where("n > 0").withColumn("weight", w)
-    return out.withColumn("weight", F.col("weight") * k / F.sum("weight").over(every)) if normalise else out
+    return out.withColumn("weight", F.col("weight") * k / F.sum("weight").over(every)) if normalise and method not in ("balanced", "effective") else out
 
 
 def tile_weights(pts: DataFrame, weights: DataFrame, default: float = 1.0, normalise: bool = True, tile: str = "tile", col: str = "classification") -> DataFrame:
@@ -180,19 +181,49 @@ def tile_weights(pts: DataFrame, weights: DataFrame, default: float = 1.0, norma
     return out.withColumn("weight", F.col("weight") * F.count("*").over(every) / F.nullif(F.sum("weight").over(every), F.lit(0.0)))
 
 
-def environment(span: Column, veg: Column, building: Column, ground: Column, water: Column) -> Column:
-    """A tile's environment from its z span and class shares, first rule that holds."""
-    return F.when(water >= 0.3, "water").when((building >= 0.25) & (span >= 15), "dense_urban").when(building >= 0.1, "urban").when((veg >= 0.5) & (span >= 25), "forest").when(veg >= 0.3, "vegetated").when((ground >= 0.7) & (span <= 5), "open_flat").otherwise("mixed")
-
-
-def scene_group(relief: Column, top: Column, ground: Column, veg: Column, roof: Column) -> Column:
-    """A tile's scene group: flat ground needs little relief; 0.7 vegetation is dense, 0.35 sparse; roofs are tall or low by height."""
-    return F.when((ground >= 0.7) & (relief <= 5), "flat_ground").when(veg >= 0.7, "dense_vegetation").when((roof >= 0.25) & (top >= 12), "tall_buildings").when(roof >= 0.25, "low_buildings").when(veg >= 0.35, "sparse_vegetation").otherwise("mixed")
-
-
-def priority(points: Column, entropy: Column, span: Column) -> Column:
-    """Tile priority: class mix first, then relief and size on log scales."""
-    return F.lit(2.0) * entropy + F.lit(0.5) * F.log1p(F.greatest(span, F.lit(0.0))) + F.lit(0.1) * F.log1p(points)
+#: Classes whose presence raises a tile's priority (fixed values).
+IMPORTANT_CLASSES = (1, 2, 3, 6, 9, 11, 14, 15, 17, 26)
+
+
+def environment(share: Callable[[int], Column]) -> Column:
+    """A tile's environment from its class shares, first rule that holds: 14, 15, 17 and 26 are rare infrastructure, 9 water, 6 building,
+    3 vegetation, 2 ground."""
+    rare = share(14) + share(15) + share(17) + share(26)
+    return (
+        F.when(rare >= 5e-4, "rare_infrastructure")
+        .when(share(9) >= 0.20, "water")
+        .when(share(6) >= 0.20, "urban")
+        .when((share(3) >= 0.55) & (share(6) < 0.05), "dense_vegetation")
+        .when((share(2) >= 0.75) & (share(6) < 0.03), "open_ground")
+        .when(share(6) >= 0.03, "suburban")
+        .otherwise("mixed")
+    )
+
+
+def priority(points: Column, entropy: Column, span: Column, share: Callable[[int], Column]) -> Column:
+    """Tile priority: class mix, size on a log scale, height span, presence of important classes, rare classes by share."""
+    present = sum(((share(c) > 0).cast("int") for c in IMPORTANT_CLASSES), F.lit(0))
+    return entropy + 0.10 * F.log1p(points) + 0.02 * span + 0.30 * present + 20.0 * share(17) + 5.0 * (share(14) + share(15) + share(26))
+
+
+def scene_measures(pts: DataFrame, height: str = "z", ground: int = 2, roof: int = 6, least: int = 100, tile: str = "tile", col: str = "classification") -> DataFrame:
+    """``relief`` (98 % less 2 % height of the ground; infinite below ``least`` ground points) and ``roof_top`` (90 % of the roofs' ``height``) per tile."""
+    of = lambda c, v: F.when(F.col(col) == c, F.col(v))
+    q = pts.groupBy(tile).agg(F.percentile(of(ground, "z"), F.array(F.lit(0.02), F.lit(0.98))).alias("g"), F.count(of(ground, "z")).alias("n"), F.percentile(of(roof, height), 0.9).alias("roof_top"))
+    return q.select(tile, F.when(F.col("n") >= least, F.col("g")[1] - F.col("g")[0]).otherwise(float("inf")).alias("relief"), "roof_top")
+
+
+def scene_group(share: Callable[[int], Column], relief: Column, roof_top: Column) -> Column:
+    """A tile's scene group by its shares of roofs (6), vegetation (3) and ground (2), first rule that holds."""
+    roof, vegetation, ground = share(6), share(3), share(2)
+    return (
+        F.when((roof >= 0.15) & (roof_top >= 15.0), "Tall-building")
+        .when(roof >= 0.15, "Low-rise built")
+        .when(vegetation >= 0.60, "Dense canopy")
+        .when((ground >= 0.75) & (vegetation < 0.05) & (roof < 0.05) & (relief <= 5.0), "Flat bare ground")
+        .when((vegetation >= 0.15) & (vegetation < 0.60) & (ground < 0.75), "Sparse vegetation")
+        .otherwise("Mixed / other")
+    )
 
 
 def scene_stats(tiles: DataFrame, group: str, points: str = "points", regions: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,31 +103,35 @@ def normals(pts: DataFrame, k: int = 16, cls: int | None = None, toward: tuple[f
     return out.withColumn("__f", F.when(facing < 0, -1.0).otherwise(1.0)).withColumns({f"n{c}": F.col(f"n{c}") * F.col("__f") for c in _AXES}).drop("__f")
 
 
-def column_strata(pts: DataFrame, size: float, gap: float = 2.0, vegetation: list[int] = (), by: str = "tile", col: str = "classification") -> DataFrame:
-    """Per point: is it under taller points of its column, under vegetation, in a column with several layers; the column's density;
-    whether the column mixes classes; valid return. Cells are anchored at the tile's minimum."""
-    least = pts.groupBy(by).agg(F.min("x").alias("__x"), F.min("y").alias("__y"))
-    placed = pts.join(least, by).withColumn("cx", F.floor((F.col("x") - F.col("__x")) / F.lit(float(size)))).withColumn("cy", F.floor((F.col("y") - F.col("__y")) / F.lit(float(size)))).drop("__x", "__y")
-    veg = F.col(col).isin(list(vegetation)) if vegetation else F.lit(False)
-    cells = placed.groupBy(by, "cx", "cy").agg(F.max("z").alias("top"), F.min("z").alias("bottom"), F.max(F.when(veg, F.col("z"))).alias("veg_top"), F.count("*").alias("column_n"), F.bit_or(F.expr(f"shiftleft(1L, cast({col} AS int))")).alias("class_bits"))
+def column_strata(pts: DataFrame, size: float = 1.0, gap: float = 3.0, span: float = 3.0, least: int = 8, vegetation: int = 3, building: int = 6, by: str = "tile", col: str = "classification") -> DataFrame:
+    """Per point: ``density`` (points of its column), ``overstory`` and ``vegetation_overstory`` (a point, or one of vegetation, at least ``gap``
+    above), ``multilayer`` (the column spans ``span``), each only in columns of at least ``least`` points; ``boundary`` (the column holds
+    vegetation and building); ``valid_return``. Columns are anchored at the tile's minimum."""
+    corner = pts.groupBy(by).agg(F.min("x").alias("__x"), F.min("y").alias("__y"))
+    placed = pts.join(corner, by).withColumn("cx", F.floor((F.col("x") - F.col("__x")) / F.lit(float(size)))).withColumn("cy", F.floor((F.col("y") - F.col("__y")) / F.lit(float(size)))).drop("__x", "__y")
+    of = lambda c: F.col(col) == c
+    cells = placed.groupBy(by, "cx", "cy").agg(F.max("z").alias("top"), F.min("z").alias("bottom"), F.max(F.when(of(vegetation), F.col("z"))).alias("veg_top"), F.count("*").alias("density"), (F.bool_or(of(vegetation)) & F.bool_or(of(building))).alias("boundary"))
     out = placed.join(cells, [by, "cx", "cy"])
-    return out.withColumns({"overstory": F.col("top") - F.col("z") > gap, "vegetation_overstory": F.coalesce(F.col("veg_top") - F.col("z") > gap, F.lit(False)), "multilayer": F.col("top") - F.col("bottom") > gap, "density": F.col("column_n") / F.lit(float(size) ** 2), "mixed": F.bit_count("class_bits") > 1}).drop("top", "bottom", "veg_top", "class_bits")
+    dense = F.col("density") >= least
+    valid = (F.col("return_number") >= 1) & (F.col("number_of_returns") >= 1) & (F.col("return_number") <= F.col("number_of_returns"))
+    return out.withColumns({"overstory": (F.col("top") - F.col("z") >= gap) & dense, "vegetation_overstory": F.coalesce(F.col("veg_top") - F.col("z") >= gap, F.lit(False)) & dense, "multilayer": (F.col("top") - F.col("bottom") >= span) & dense, "valid_return": valid}).drop("top", "bottom", "veg_top")
 
 
 def height_descriptor(edges: DataFrame, pts: DataFrame, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """Height and density of each query's neighbourhood: z above its minimum, below its maximum, range, population deviation, z
-    against the median, log density (neighbours per area of the farthest one)."""
+    against the median, log density (``log1p`` of neighbours per volume of the ball that the farthest, at least 1e-3 away, spans)."""
     z = pts.select(by, F.col(id_col).alias("dst"), F.col("z").alias("rz"))
     own = pts.select(by, F.col(id_col).alias("src"), F.col("z").alias("qz"))
     per = edges.join(z, [by, "dst"]).groupBy(by, "src").agg(F.min("rz").alias("lo"), F.max("rz").alias("hi"), F.stddev_pop("rz").alias("z_std"), F.percentile("rz", 0.5).alias("mid"), F.count("*").alias("n"), F.max("dist").alias("far"))
     q = F.col("qz")
-    return per.join(own, [by, "src"]).select(by, "src", (q - F.col("lo")).alias("z_above_min"), (F.col("hi") - q).alias("z_below_max"), (F.col("hi") - F.col("lo")).alias("z_range"), "z_std", (q - F.col("mid")).alias("z_to_median"), F.log(F.col("n") / F.greatest(F.col("far") * F.col("far"), F.lit(1e-6))).alias("log_density"))
+    return per.join(own, [by, "src"]).select(by, "src", (q - F.col("lo")).alias("z_above_min"), (F.col("hi") - q).alias("z_below_max"), (F.col("hi") - F.col("lo")).alias("z_range"), "z_std", (q - F.col("mid")).alias("z_to_median"), F.log1p(F.col("n") / (F.lit(4.0 / 3.0 * math.pi) * F.pow(F.greatest(F.col("far"), F.lit(1e-3)), F.lit(3.0)))).alias("log_density"))
 
 
 def height_above_ground(pts: DataFrame, ground: int, size: float, by: str = "tile", id_col: str = "point_id", col: str = "classification") -> DataFrame:
     """``(by, point_id, hag)``: z minus the 10 % height of the nearest cell with ground points (its own, if it has any; ties to the
-    lower cell), at least 0; tiles without ground use their 2 % height. The nearest-cell search runs on occupied cells."""
-    cells = pts.withColumn("cx", F.floor(F.col("x") / F.lit(float(size)))).withColumn("cy", F.floor(F.col("y") / F.lit(float(size))))
+    lower cell; cells are anchored at the tile's least x and y), at least 0; tiles without ground use their 2 % height. The nearest-cell search runs on occupied cells."""
+    corner = pts.groupBy(by).agg(F.min("x").alias("__x"), F.min("y").alias("__y"))
+    cells = pts.join(corner, by).withColumn("cx", F.floor((F.col("x") - F.col("__x")) / F.lit(float(size)))).withColumn("cy", F.floor((F.col("y") - F.col("__y")) / F.lit(float(size)))).drop("__x", "__y")
     low = cells.where(F.col(col) == ground).groupBy(by, "cx", "cy").agg(F.percentile("z", 0.1).alias("ground_z"))
     spots = cells.select(by, "cx", "cy").distinct()
     key = lambda d: d.withColumn("cell_id", F.shiftleft(F.col("cx") + F.lit(1 << 30), 32) + F.col("cy") + F.lit(1 << 30)).withColumn("x", F.col("cx").cast("double")).withColumn("y", F.col("cy").cast("double"))

@@ -77,21 +77,28 @@ def block_split(df: DataFrame, block: str, fraction: float) -> DataFrame:
     return df.join(held, block, "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
-def stratified(df: DataFrame, strata: Sequence[str], n: int, seed: int, keys: Sequence[str] = ("tile", "point_id"), mode: str = "even") -> DataFrame:
-    """``n`` rows over strata: an equal base quota each (``n div strata``, or all it has), then the rest by global hashed order among what is
-    left; ``proportional`` gives each stratum ``floor(n * share)`` first."""
-    counts = df.groupBy(*strata).agg(F.count("*").alias("__n"))
-    totals = counts.agg(F.count("*").alias("k"), F.sum("__n").alias("all")).first()
-    k, everything = totals["k"] or 1, totals["all"] or 1
-    quota = F.least(F.col("__n"), F.lit(n // k)) if mode == "even" else F.floor(F.lit(n) * F.col("__n") / F.lit(everything))
-    quotas = counts.withColumn("__q", quota)
-    taken = quotas.agg(F.sum("__q")).first()[0] or 0
-    u = unit_hash(seed, *keys)
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("__u", *keys))
-    ranked = df.withColumn("__u", u).withColumn("__r", rank).join(quotas.select(*strata, "__q"), list(strata))
-    base, left = ranked.where("__r <= __q"), ranked.where("__r > __q")
-    fill = left.orderBy("__u", *keys).limit(max(0, min(n, everything) - taken))
-    return base.unionByName(fill).drop("__u", "__r", "__q")
+def _even(i: Column, n: Column, take: Column) -> Column:
+    """Is ``i`` among the ``take`` evenly spaced positions from 0 to ``n - 1``, each rounded (halves to even)?"""
+    step = (n - 1) / (take - 1)
+    j = F.round(i / step)
+    near = [(j + d >= 0) & (j + d <= take - 1) & (F.bround((j + d) * step) == i) for d in (-1, 0, 1)]
+    return F.when(take <= 0, False).when(take >= n, True).when(take == 1, i == 0).otherwise(near[0] | near[1] | near[2])
+
+
+def stratified(df: DataFrame, strata: Sequence[str], n: int, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+    """At most ``n`` rows of each tile: every stratum gives an equal base (``n div strata``, at least 1, or all it has) at even positions in the
+    order of ids, then the rest of the tile fills up at even positions; of more than ``n`` the first by id stay. A tile of at most ``n`` rows stays whole."""
+    tile, stratum = Window.partitionBy(by), Window.partitionBy(by, *strata)
+    base = df.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.lit(n) / F.count_distinct(F.struct(*strata)))).alias("__base"))
+    ranked = df.join(base, by).withColumn("__total", F.count("*").over(tile)).withColumn("__n", F.count("*").over(stratum)).withColumn("__i", F.row_number().over(stratum.orderBy(id_col)) - 1)
+    ranked = ranked.withColumn("__in", (F.col("__total") <= n) | _even(F.col("__i"), F.col("__n"), F.least("__n", "__base")))
+    inside = F.sum(F.col("__in").cast("long")).over(tile)
+    ranked = ranked.withColumn("__k", inside).withColumn("__j", F.row_number().over(Window.partitionBy(by, "__in").orderBy(id_col)) - 1)
+    rest = F.col("__total") - F.col("__k")
+    fill = _even(F.col("__j"), rest, F.least(F.greatest(F.lit(n) - F.col("__k"), F.lit(0)), rest))
+    chosen = ranked.where(F.col("__in") | fill)
+    last = F.row_number().over(tile.orderBy(id_col))
+    return chosen.withColumn("__last", last).where((F.col("__total") <= n) | (F.col("__last") <= n)).select(*df.columns)
 
 
 def batch_offsets(sizes: DataFrame, batch: int, order: str = "cloud", n: str = "n") -> DataFrame:
@@ -195,48 +202,58 @@ def keep_largest(df: DataFrame, n: int, by: str = "n", ties: Sequence[str] = ())
     return df.orderBy(F.desc(by), *ties).limit(n)
 
 
-def select_tiles(stats: DataFrame, n: int, cap: int, block: str = "source_block", tile: str = "tile", score: str = "priority", environment: str = "environment", classes: Sequence[str] = (), candidates: int = 100_000) -> DataFrame:
-    """``n`` tiles with at most ``cap`` per block: the best of every block, the best for every class share, an even quota per environment, then
-    the best overall.
+#: Shares of a tile selection by environment, in the order in which they are filled (fixed values).
+ENVIRONMENT_SHARES = {"urban": 0.22, "suburban": 0.20, "dense_vegetation": 0.20, "open_ground": 0.15, "water": 0.08, "rare_infrastructure": 0.10, "mixed": 0.05}
 
-    Candidates come ranked from Spark: the ``cap`` best of each block and class and the ``n`` best of each environment and overall, a
-    table whose size follows the blocks (checked against ``candidates``); the greedy choice runs on it in the driver.
+
+def select_tiles(stats: DataFrame, n: int, cap: int, block: str = "source_block", tile: str = "tile", score: str = "priority", environment: str = "environment", classes: Sequence[str] = (), shares: dict[str, float] = ENVIRONMENT_SHARES, candidates: int = 100_000) -> DataFrame:
+    """``n`` tiles with at most ``cap`` per block, with the ``reason``: the best of every block by ``score``, for each of ``classes`` (count columns)
+    the tile that has most of it, the best of each environment up to its share of ``n`` (rounded, at least 1), then the best overall.
+
+    Candidates come ranked from Spark: the ``cap`` best of each block, and of each block and environment, and the tile with most of each
+    class: a table whose size follows the blocks (checked against ``candidates``); the greedy choice runs on it in the driver.
+    Raises if the cap does not leave ``n`` tiles.
     """
     best = lambda order, k, *by: F.row_number().over(Window.partitionBy(*by).orderBy(order, tile)) <= k
-    flags = best(F.desc(score), cap, block)
-    for c in classes:
-        flags = flags | best(F.desc(c), cap, block)
-    pool = stats.withColumn("__f", flags).where("__f").drop("__f")
-    rows = [r.asDict() for r in pool.orderBy(F.desc(score), tile).limit(candidates + 1).collect()]
+    pool = stats.withColumn("__f", best(F.desc(score), cap, block) | best(F.desc(score), cap, block, environment)).where("__f").drop("__f")
+    strongest = {c: stats.where(F.col(c) > 0).orderBy(F.desc(c), tile).limit(1) for c in classes}
+    for row in strongest.values():
+        pool = pool.unionByName(row)
+    rows = [r.asDict() for r in pool.distinct().orderBy(F.desc(score), tile).limit(candidates + 1).collect()]
     if len(rows) > candidates:
         raise ValueError(f"more than {candidates} candidate tiles")
     taken: dict = {}
     used: dict = {}
 
     def take(r: dict, why: str) -> bool:
-        if len(taken) >= n or r[tile] in taken or used.get(r[block], 0) >= cap:
+        if r[tile] in taken or used.get(r[block], 0) >= cap:
             return False
         taken[r[tile]] = why
         used[r[block]] = used.get(r[block], 0) + 1
         return True
 
-    seen: set = set()
+    leaders: dict = {}
     for r in rows:
-        if r[block] not in seen:
-            seen.add(r[block])
-            take(r, "block")
+        leaders.setdefault(r[block], r)
+    for b in sorted(leaders):
+        take(leaders[b], "block")
     for c in classes:
-        for r in sorted(rows, key=lambda r: (-(r[c] or 0), str(r[tile]))):
-            if take(r, f"class {c}") or r[tile] in taken:
+        have = [r for r in rows if (r[c] or 0) > 0]
+        if have:
+            take(min(have, key=lambda r: (-r[c], r[tile])), f"class {c}")
+    for e, share in shares.items():
+        own = [r for r in rows if r[environment] == e]
+        now, quota = sum(r[tile] in taken for r in own), max(1, round(n * share))
+        for r in own:
+            if now >= quota or len(taken) >= n:
                 break
-    kinds = sorted({r[environment] for r in rows})
-    for e in kinds:
-        quota = n // max(1, len(kinds)) - sum(1 for r in rows if r[tile] in taken and r[environment] == e)
-        for r in rows:
-            if quota > 0 and r[environment] == e:
-                quota -= take(r, "environment")
+            now += take(r, "environment")
     for r in rows:
+        if len(taken) >= n:
+            break
         take(r, "fill")
+    if len(taken) != n:
+        raise ValueError(f"{len(taken)} tiles instead of {n}: change the cap or the number")
     schema = f"{tile} {stats.schema[tile].dataType.simpleString()}, reason string"
     return stats.join(stats.sparkSession.createDataFrame(list(taken.items()), schema), tile)
 

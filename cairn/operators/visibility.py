@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,29 +65,81 @@ def check_catalog(rasters: DataFrame, columns: list[str] = ("epsg", "bands", "dt
     return rows.select(order, each.alias("d")).select(order, "d.*").where(~F.col("value").eqNullSafe(F.col("expected")))
 
 
-def surface_visibility(pts: DataFrame, size: float = 0.5, radius: int = 1, slope: float = 0.0, tolerance: float = 0.1, decay: float = 1.0, echo_decay: float = 0.0, bonus: float = 0.0, threshold: float = 0.5, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """Adds ``q`` in [0, 1] and ``visible``: how near a point lies to the top surface around it.
+def local_spacing(pts: DataFrame, returns: str | None = "return_number", by: str = "tile") -> DataFrame:
+    """Adds ``__x, __y`` (the tile's least x and y), ``spacing`` (of the points around, in x and y) and ``usual`` (the tile's median spacing).
 
-    On each of four grids, shifted by half a cell in x and y, a point is splatted over the disk of ``radius`` cells; a cell's
-    surface is the greatest z of what reaches it, lowered by ``slope`` per cell of distance. The gap of a point below the surface of its own
-    cell, beyond ``tolerance``, decays exponentially to a score; the four scores are averaged. Returns after the first are damped by
-    ``exp(-echo_decay * (return - 1))``; first returns move ``bonus`` of the way to 1; then clip and threshold.
+    One coarse grid per tile with 8 to 128 bins a side, about 256 points a bin; only first returns count as density where the tile has
+    any. A bin without counted points takes the median count. A tile without extent has spacing 1.
     """
-    shifts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(size * i / 2).alias("ox"), F.lit(size * j / 2).alias("oy")) for k, (i, j) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))))))
-    disk = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
-    placed = pts.select(by, id_col, "x", "y", "z", shifts.alias("s")).select(by, id_col, "z", F.col("s.k").alias("k"), F.floor((F.col("x") + F.col("s.ox")) / size).alias("cx"), F.floor((F.col("y") + F.col("s.oy")) / size).alias("cy"))
-    # Cells first: the splat then moves one row per occupied cell, not per point.
-    tops = placed.groupBy(by, "k", "cx", "cy").agg(F.max("z").alias("top"))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(slope * size * (i * i + j * j) ** 0.5)).alias("low")) for i, j in disk)))
-    splat = tops.select(by, "k", "cx", "cy", "top", around.alias("o")).groupBy(by, "k", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).agg(F.max(F.col("top") - F.col("o.low")).alias("surface"))
-    gap = F.greatest(F.lit(0.0), F.col("surface") - F.col("z") - F.lit(float(tolerance)))
-    score = F.exp(-gap * F.lit(float(decay)))
-    per = placed.join(splat, [by, "k", "cx", "cy"]).groupBy(by, id_col).agg(F.avg(score).alias("__q"))
+    counted = F.col(returns) == 1 if returns else F.lit(True)
+    box = pts.groupBy(by).agg(F.min("x").alias("__x"), F.min("y").alias("__y"), (F.max("x") - F.min("x")).alias("__w"), (F.max("y") - F.min("y")).alias("__h"), F.count("*").alias("__n"), F.bool_or(counted).alias("__any"))
+    side = F.least(F.greatest(F.floor(F.sqrt(F.col("__n") / 256.0)), F.lit(8)), F.lit(128))
+    flat = (F.col("__n") <= 1) | (F.col("__w") <= 0) | (F.col("__h") <= 0)
+    box = box.withColumn("__side", side).withColumn("__bw", F.col("__w") / F.col("__side")).withColumn("__bh", F.col("__h") / F.col("__side")).withColumn("__flat", flat)
+    spot = lambda c, o, w: F.when(F.col("__flat"), 0).otherwise(F.least(F.floor((F.col(c) - F.col(o)) / F.col(w)), F.col("__side") - 1))
+    placed = pts.join(box, by).withColumn("__c", spot("x", "__x", "__bw")).withColumn("__r", spot("y", "__y", "__bh"))
+    bins = placed.groupBy(by, "__c", "__r").agg(F.sum((counted | ~F.col("__any")).cast("long")).alias("__k"))
+    middle = bins.where("__k > 0").groupBy(by).agg(F.percentile("__k", 0.5).alias("__m"))
+    own = F.when(F.col("__flat"), 1.0).otherwise(F.sqrt(F.col("__bw") * F.col("__bh") / F.when(F.col("__k") > 0, F.col("__k")).otherwise(F.col("__m"))))
+    spaced = bins.join(middle, by).join(box.select(by, "__bw", "__bh", "__flat"), by).select(by, "__c", "__r", "__k", own.alias("spacing"))
+    usual = spaced.where("__k > 0").groupBy(by).agg(F.percentile("spacing", 0.5, F.col("__k")).alias("usual"))
+    found = placed.join(spaced.drop("__k"), [by, "__c", "__r"]).join(usual, by)
+    return found.select(*pts.columns, "__x", "__y", "spacing", F.when(F.col("usual") > 0, F.col("usual")).otherwise(1.0).alias("usual"))
+
+
+def surface_visibility(
+    pts: DataFrame,
+    size: float | None = None,
+    radius: float | None = None,
+    tolerance: float = 0.15,
+    reference_resolution: float = 0.0,
+    oversample: int = 2,
+    offsets: int = 4,
+    adaptive: bool = True,
+    max_radius_cells: int = 2,
+    threshold: float = 0.25,
+    echo_decay: float = 0.7,
+    slope_degrees: float | None = 60.0,
+    bonus: float = 0.15,
+    returns: str | None = "return_number",
+    by: str = "tile",
+    id_col: str = "point_id",
+) -> DataFrame:
+    """Adds ``q`` in [0, 1] and ``visible`` (``q >= threshold``): how near a point lies to the top surface around it.
+
+    Cells have ``size`` (by default the tile's usual spacing, at least ``reference_resolution``) over ``oversample``, anchored at the
+    tile's least x and y, on one or four grids shifted by half a cell. A point is splatted over a disk of ``radius`` (by default a cell),
+    which grows with the spacing around it (``adaptive``), in whole cells up to ``max_radius_cells``; a cell's surface is the greatest z
+    that reaches it, lowered by the distance times the tangent of ``slope_degrees`` (None: not lowered). A gap below the surface scores
+    ``0.25 ** ((gap / tolerance) ** 2)`` (1 or 0 without tolerance), averaged over the grids. Later returns are damped by
+    ``exp(-echo_decay * (return - 1))``, first ones move ``bonus`` of the way to 1. ``returns=None``, or a cloud without that column, is geometry only. Grids are sparse,
+    so their extent is not limited.
+    """
+    returns = returns if returns in pts.columns else None
+    cell = (F.greatest(F.lit(float(reference_resolution)), F.col("usual")) if size is None else F.lit(float(size))) / oversample
+    spaced = local_spacing(pts, returns, by).withColumn("__cell", F.when(cell > 0, cell).otherwise(1.0 / oversample))
+    base = F.col("__cell") if radius is None else F.lit(float(radius))
+    reach = F.bround((base * F.col("spacing") / F.col("usual") if adaptive else base) / F.col("__cell"))
+    spaced = spaced.withColumn("__rc", F.least(reach, F.lit(float(max_radius_cells))).cast("int"))
+    shifts = ((0.0, 0.0),) if offsets == 1 else ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("ox"), F.lit(j).alias("oy")) for k, (i, j) in enumerate(shifts))))
+    placed = spaced.select(by, id_col, "z", "__cell", "__rc", "__x", "__y", "x", "y", each.alias("s"))
+    placed = placed.select(by, id_col, "z", "__cell", "__rc", F.col("s.k").alias("k"), F.floor((F.col("x") - F.col("__x")) / F.col("__cell") + F.col("s.ox")).alias("cx"), F.floor((F.col("y") - F.col("__y")) / F.col("__cell") + F.col("s.oy")).alias("cy"))
+    # Cells first: the splat then moves one row per occupied cell and radius, not per point.
+    tops = placed.groupBy(by, "k", "cx", "cy", "__rc").agg(F.max("z").alias("top"), F.first("__cell").alias("__cell"))
+    m = max_radius_cells
+    disk = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d2")) for i in range(-m, m + 1) for j in range(-m, m + 1) if i * i + j * j <= m * m))
+    tangent = 0.0 if slope_degrees is None else math.tan(math.radians(slope_degrees))
+    around = F.explode(F.filter(disk, lambda o: o["d2"] <= F.col("__rc") * F.col("__rc")))
+    low = F.col("__cell") * F.sqrt(F.col("o.d2")) * F.lit(tangent)
+    splat = tops.select(by, "k", "cx", "cy", "top", "__cell", around.alias("o")).groupBy(by, "k", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).agg(F.max(F.col("top") - low).alias("surface"))
+    gap = F.greatest(F.col("surface") - F.col("z"), F.lit(0.0))
+    score = F.exp(F.lit(math.log(0.25)) * (gap / tolerance) * (gap / tolerance)) if tolerance > 0 else (gap <= 1e-6).cast("double")
     q = F.col("__q")
-    if echo_decay:
-        q = q * F.exp(-F.lit(float(echo_decay)) * (F.greatest(F.col("return_number"), F.lit(1)) - 1))
-    if bonus:
-        q = F.when(F.col("return_number") == 1, q + F.lit(float(bonus)) * (1 - q)).otherwise(q)
+    per = placed.join(splat, [by, "k", "cx", "cy"]).groupBy(by, id_col).agg(F.avg(score).alias("__q"))
+    if returns:
+        q = q * F.exp(-F.lit(float(echo_decay)) * F.greatest(F.col(returns) - 1, F.lit(0)))
+        q = F.when(F.col(returns) == 1, q + F.lit(float(bonus)) * (1 - q)).otherwise(q)
     return pts.join(per, [by, id_col]).withColumn("q", F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))).drop("__q").withColumn("visible", F.col("q") >= threshold)
 
 
@@ -96,7 +150,7 @@ def classify_visibility(pts: DataFrame, visible_class: int = 1, hidden_class: in
 
 def q_regions(pts: DataFrame, low: float = 0.2, high: float = 0.6, **spec) -> DataFrame:
     """Geometry-only regions 0 / 1 / 2 of the score."""
-    return surface_visibility(pts, **spec).withColumn("region", threshold_region("q", low, high)).drop("visible")
+    return surface_visibility(pts, **{"returns": None, **spec}).withColumn("region", threshold_region("q", low, high)).drop("visible")
 
 
 def refresh_correspondence(pts: DataFrame, corr: DataFrame, patch: int, grid_width: int, grid_height: int, keys: list[str] = ("tile", "point_id")) -> DataFrame:

@@ -149,7 +149,7 @@ _ENT_RAW = " + ".join(f"CASE WHEN count(*) FILTER (classification = {c}) > 0 THE
 _ENT = rnd(_ENT_RAW)
 query("a10_tile_stats", lambda t: r6(features.tile_stats(t.pts, CLS), "z_p01", "z_p50", "z_p99", "z_span", "entropy", *(f"share_{c}" for c in CLS)), f"SELECT tile, count(*) AS points, {rnd('quantile_cont(z, 0.01)')} AS z_p01, {rnd('quantile_cont(z, 0.5)')} AS z_p50, {rnd('quantile_cont(z, 0.99)')} AS z_p99, {rnd('quantile_cont(z, 0.99) - quantile_cont(z, 0.01)')} AS z_span, {_SHARES}, {_ENT} AS entropy FROM pts GROUP BY 1")
 query("a09_class_counts", lambda t: features.class_counts(t.pts, 0.5, 3), f"SELECT classification, count(*) AS n FROM pts WHERE {U(3, 'tile')} < 0.5 GROUP BY 1")
-_METHODS = {"inverse": "tot / n", "sqrt": "sqrt(tot / n)", "log": "ln(1 + tot / n)", "balanced": "tot / (k * n)", "effective": "(1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, n))"}
+_METHODS = {"inverse": "1 / (n / tot + 1e-6)", "sqrt": "1 / (sqrt(n / tot) + 1e-6)", "log": "1 / (ln(1 + n / tot) + 1e-6)", "balanced": "tot / (k * n)", "effective": "(1 - 0.9999::DOUBLE) / (1 - pow(0.9999::DOUBLE, n) + 1e-6)"}
 
 
 def _weights(t: Tables) -> DataFrame:
@@ -161,23 +161,34 @@ def _weights(t: Tables) -> DataFrame:
     return r6(out.select("method", "classification", "weight"), "weight")
 
 
-query("a11_class_weights", _weights, " UNION ALL ".join(f"SELECT '{m}' AS method, classification, {rnd('w * k / sum(w) OVER ()')} AS weight FROM (SELECT *, {e} AS w FROM cc)" for m, e in _METHODS.items()), "cc AS (SELECT classification, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS tot, count(*) OVER () AS k FROM pts GROUP BY 1)")
+query("a11_class_weights", _weights, " UNION ALL ".join(f"SELECT '{m}' AS method, classification, {rnd('w' if m in ('balanced', 'effective') else 'w * k / sum(w) OVER ()')} AS weight FROM (SELECT *, {e} AS w FROM cc)" for m, e in _METHODS.items()), "cc AS (SELECT classification, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS tot, count(*) OVER () AS k FROM pts GROUP BY 1)")
 _SOME = "classification > 5 AND tile % 2 = 0 OR classification = 1 AND tile % 3 > 0"
-query("a12_tile_weights", lambda t: r6(features.tile_weights(t.pts.where(_SOME), features.class_weights(features.class_counts(t.pts), normalise=False)), "weight"), f"SELECT tile, {rnd('w * count(*) OVER () / sum(w) OVER ()')} AS weight FROM (SELECT tile, sum(wt) AS w FROM (SELECT DISTINCT tile, classification FROM pts WHERE {_SOME}) JOIN (SELECT classification, (SELECT count(*) FROM pts) / count(*) AS wt FROM pts GROUP BY 1) USING (classification) GROUP BY 1)")
+query("a12_tile_weights", lambda t: r6(features.tile_weights(t.pts.where(_SOME), features.class_weights(features.class_counts(t.pts), normalise=False)), "weight"), f"SELECT tile, {rnd('w * count(*) OVER () / sum(w) OVER ()')} AS weight FROM (SELECT tile, sum(wt) AS w FROM (SELECT DISTINCT tile, classification FROM pts WHERE {_SOME}) JOIN (SELECT classification, 1 / (count(*) / (SELECT count(*) FROM pts) + 1e-6) AS wt FROM pts GROUP BY 1) USING (classification) GROUP BY 1)")
+
+
+#: The tables have classes 1 to 8 in like shares: weighted by the tile's number, so that every rule has tiles.
+_MIX = {2: "share_2 * (1 + tile % 7)", 3: "share_3 * (tile % 6)", 6: "share_6 * (tile % 4) / 2.0", 9: "share_7 * (tile % 3)", 17: "CASE WHEN tile % 11 = 0 THEN share_8 * 0.01 ELSE 0.0 END"}
+
+
+def _mix(c: int):
+    return F.expr(_MIX[c]).cast("double") if c in _MIX else F.lit(0.0)
 
 
 def _classed(t: Tables) -> DataFrame:
-    st = features.tile_stats(t.pts, CLS)
-    share = lambda c: F.col(f"share_{c}")
-    env = features.environment(F.col("z_span"), share(1) + share(2), share(3), share(4), share(5) * 2)
-    group = features.scene_group(F.col("z_span"), F.col("z_p99"), share(1) + share(2) + share(3), share(4) * 3, share(5) * 2)
-    return st.withColumn("environment", env).withColumn("scene_group", group).withColumn("priority", features.priority(F.col("points"), F.col("entropy"), F.col("z_span")))
+    st = features.tile_stats(t.pts, CLS).join(features.scene_measures(t.pts, least=5), "tile")
+    group = features.scene_group(_mix, F.col("relief") / 16, F.col("roof_top") / 4)
+    return st.withColumn("environment", features.environment(_mix)).withColumn("scene_group", group).withColumn("priority", features.priority(F.col("points"), F.col("entropy"), F.col("z_span"), _mix))
 
 
-_CL = f"ts AS (SELECT tile, count(*) AS points, quantile_cont(z, 0.99) AS p99, quantile_cont(z, 0.99) - quantile_cont(z, 0.01) AS span, {', '.join(f'count(*) FILTER (classification = {c}) / count(*) AS s{c}' for c in CLS)}, {_ENT_RAW} AS entropy FROM pts GROUP BY 1), cl AS (SELECT tile, points, CASE WHEN s5 * 2 >= 0.3 THEN 'water' WHEN s3 >= 0.25 AND span >= 15 THEN 'dense_urban' WHEN s3 >= 0.1 THEN 'urban' WHEN s1 + s2 >= 0.5 AND span >= 25 THEN 'forest' WHEN s1 + s2 >= 0.3 THEN 'vegetated' WHEN s4 >= 0.7 AND span <= 5 THEN 'open_flat' ELSE 'mixed' END AS environment, CASE WHEN s1 + s2 + s3 >= 0.7 AND span <= 5 THEN 'flat_ground' WHEN s4 * 3 >= 0.7 THEN 'dense_vegetation' WHEN s5 * 2 >= 0.25 AND p99 >= 12 THEN 'tall_buildings' WHEN s5 * 2 >= 0.25 THEN 'low_buildings' WHEN s4 * 3 >= 0.35 THEN 'sparse_vegetation' ELSE 'mixed' END AS scene_group, {rnd('2 * entropy + 0.5 * ln(1 + greatest(span, 0)) + 0.1 * ln(1 + points)', 6)} AS priority FROM ts)"
+_CL = f"""ts AS (SELECT tile, count(*) AS points, quantile_cont(z, 0.99) - quantile_cont(z, 0.01) AS span, {', '.join(f'count(*) FILTER (classification = {c}) / count(*) AS share_{c}' for c in CLS)},
+  CASE WHEN count(*) FILTER (classification = 2) >= 5 THEN (quantile_cont(z, 0.98) FILTER (classification = 2) - quantile_cont(z, 0.02) FILTER (classification = 2)) / 16 ELSE 1e300 END AS relief, (quantile_cont(z, 0.9) FILTER (classification = 6)) / 4 AS roof_top, {_ENT_RAW} AS entropy FROM pts GROUP BY 1),
+cm AS (SELECT *, {', '.join(f'CAST({e} AS DOUBLE) AS p{c}' for c, e in _MIX.items())} FROM ts),
+cl AS (SELECT tile, points, CASE WHEN p17 >= 5e-4 THEN 'rare_infrastructure' WHEN p9 >= 0.2 THEN 'water' WHEN p6 >= 0.2 THEN 'urban' WHEN p3 >= 0.55 AND p6 < 0.05 THEN 'dense_vegetation' WHEN p2 >= 0.75 AND p6 < 0.03 THEN 'open_ground' WHEN p6 >= 0.03 THEN 'suburban' ELSE 'mixed' END AS environment,
+  CASE WHEN p6 >= 0.15 AND roof_top >= 15 THEN 'Tall-building' WHEN p6 >= 0.15 THEN 'Low-rise built' WHEN p3 >= 0.6 THEN 'Dense canopy' WHEN p2 >= 0.75 AND p3 < 0.05 AND p6 < 0.05 AND relief <= 5 THEN 'Flat bare ground' WHEN p3 >= 0.15 AND p3 < 0.6 AND p2 < 0.75 THEN 'Sparse vegetation' ELSE 'Mixed / other' END AS scene_group,
+  {rnd('entropy + 0.1 * ln(1 + points) + 0.02 * span + 0.3 * (CAST(p2 > 0 AS INT) + CAST(p3 > 0 AS INT) + CAST(p6 > 0 AS INT) + CAST(p9 > 0 AS INT) + CAST(p17 > 0 AS INT)) + 20 * p17')} AS priority FROM cm)"""
 query("p26_tile_classes", lambda t: r6(_classed(t).select("tile", "environment", "scene_group", "priority"), "priority"), "SELECT tile, environment, scene_group, priority FROM cl", _CL)
 query("a21_scene_stats", lambda t: r6(features.scene_stats(_classed(t), "scene_group", regions=["n_1", "n_2"]), "ratio_n_1", "ratio_n_2"), f"SELECT scene_group, count(*) AS tiles, CAST(sum(points) AS BIGINT) AS points, CAST(sum(n1) AS BIGINT) AS n_1, CAST(sum(n2) AS BIGINT) AS n_2, {rnd('sum(n1) / sum(n1 + n2)')} AS ratio_n_1, {rnd('sum(n2) / sum(n1 + n2)')} AS ratio_n_2 FROM cl JOIN (SELECT tile, count(*) FILTER (classification = 1) AS n1, count(*) FILTER (classification = 2) AS n2 FROM pts GROUP BY 1) USING (tile) GROUP BY 1", _CL)
-query("t05_select_tiles", lambda t: sampling.select_tiles(_classed(t).withColumn("source_block", F.col("tile") % 10), 20, 3, classes=["share_1", "share_2"]).select("tile", "reason"))
+query("t05_select_tiles", lambda t: sampling.select_tiles(_classed(t).withColumn("source_block", F.col("tile") % 10), 20, 3, classes=["n_1", "n_2"]).select("tile", "reason"))
 query("a57_dataset_scale", lambda t: r6(features.dataset_scale(t.pts, ["source_block"]), "area", "density").withColumn("classes", F.col("classes").cast("long")), f"SELECT source_block, CAST(sum(n) AS BIGINT) AS points, count(*) AS tiles, {rnd('sum(a)')} AS area, max(k) AS classes, {rnd('sum(n) / sum(a)')} AS density FROM (SELECT source_block, tile, count(*) AS n, (max(x) - min(x)) * (max(y) - min(y)) AS a FROM pts GROUP BY 1, 2) JOIN (SELECT source_block, count(DISTINCT classification) AS k FROM pts GROUP BY 1) USING (source_block) GROUP BY 1")
 query("a56_curve_auc", lambda t: r6(sampling.curve_auc(t.pts.groupBy((F.col("tile") % 4).alias("method"), (F.col("return_number") / 4.0).alias("fraction")).agg(F.avg("x").alias("miou"))), "auc"), f"SELECT method, {rnd('auc')} AS auc, CAST(rank() OVER (ORDER BY auc DESC) AS INT) AS place FROM (SELECT method, sum((lx - px) * (m + pm) / 2) / (max(lx) - min(lx)) AS auc FROM (SELECT *, lag(lx) OVER w AS px, lag(m) OVER w AS pm FROM (SELECT tile % 4 AS method, log10(return_number / 4.0::DOUBLE) AS lx, avg(x) AS m FROM pts GROUP BY 1, 2) WINDOW w AS (PARTITION BY method ORDER BY lx)) GROUP BY 1)")
 query("t19_rank_by", lambda t: sampling.rank_by(t.pts.groupBy("source_block", "tile").agg(F.count("*").alias("n")), "n", ["source_block"]), "SELECT source_block, tile, count(*) AS n, CAST(rank() OVER (PARTITION BY source_block ORDER BY count(*) DESC) AS INT) AS place FROM pts GROUP BY 1, 2")

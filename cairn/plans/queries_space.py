@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +80,9 @@ query("a41_local_geometry", lambda t: r6(geometry.local_geometry(t.pts, 12, 4.0)
 query("a41_curvature_planarity", lambda t: r6(geometry.curvature_planarity(t.pts, 12), "curvature", "planarity"))
 query("a41_eigen_features", lambda t: geometry.eigen_features(t.pts, 12))
 query("a42_normals", lambda t: geometry.normals(t.pts, 8, cls=1, toward=(50.0, 50.0, 500.0)).select(*KEY, "nx", "ny", "nz"))
-query("a43_column_strata", lambda t: r6(geometry.column_strata(t.pts, 8.0, 2.0, [2, 3]), "density").select(*KEY, "column_n", "overstory", "vegetation_overstory", "multilayer", "density", "mixed"), "SELECT tile, point_id, count(*) OVER w AS column_n, max(z) OVER w - z > 2 AS overstory, coalesce(max(CASE WHEN classification IN (2, 3) THEN z END) OVER w - z > 2, false) AS vegetation_overstory, max(z) OVER w - min(z) OVER w > 2 AS multilayer, count(*) OVER w / 64.0::DOUBLE AS density, min(classification) OVER w <> max(classification) OVER w AS mixed FROM (SELECT *, floor((x - min(x) OVER (PARTITION BY tile)) / 8) AS cx, floor((y - min(y) OVER (PARTITION BY tile)) / 8) AS cy FROM pts) WINDOW w AS (PARTITION BY tile, cx, cy)")
-query("a44_height_descriptor", lambda t: r6(geometry.height_descriptor(neighbors.knn(t.pts, t.pts, 8), t.pts), "z_std", "log_density", "z_to_median"), f"SELECT e.tile, src, max(a.z) - min(b.z) AS z_above_min, max(b.z) - max(a.z) AS z_below_max, max(b.z) - min(b.z) AS z_range, {rnd('stddev_pop(b.z)')} AS z_std, {rnd('max(a.z) - quantile_cont(b.z, 0.5)')} AS z_to_median, {rnd('ln(count(*) / greatest(max(d2), 1e-6))')} AS log_density FROM {_knn(8)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
-query("a45_height_above_ground", lambda t: r6(geometry.height_above_ground(t.pts, 2, 8.0), "hag"), f"SELECT tile, point_id, {rnd('greatest(z - gz, 0)')} AS hag FROM hp JOIN hn USING (tile, cx, cy)", "hp AS (SELECT *, CAST(floor(x / 8) AS BIGINT) AS cx, CAST(floor(y / 8) AS BIGINT) AS cy FROM pts), hg AS (SELECT tile, cx AS gx, cy AS gy, quantile_cont(z, 0.1) AS gz FROM hp WHERE classification = 2 GROUP BY 1, 2, 3), hn AS (SELECT tile, cx, cy, arg_min(gz, ((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy)) * 100000000 + gx * 10000 + gy) AS gz FROM (SELECT DISTINCT tile, cx, cy FROM hp) JOIN hg USING (tile) GROUP BY 1, 2, 3)")
+query("a43_column_strata", lambda t: geometry.column_strata(t.pts, 8.0).select(*KEY, "density", "overstory", "vegetation_overstory", "multilayer", "boundary", "valid_return"), "SELECT tile, point_id, count(*) OVER w AS density, max(z) OVER w - z >= 3 AND count(*) OVER w >= 8 AS overstory, coalesce(max(CASE WHEN classification = 3 THEN z END) OVER w - z >= 3, false) AND count(*) OVER w >= 8 AS vegetation_overstory, max(z) OVER w - min(z) OVER w >= 3 AND count(*) OVER w >= 8 AS multilayer, bool_or(classification = 3) OVER w AND bool_or(classification = 6) OVER w AS boundary, return_number >= 1 AND number_of_returns >= 1 AND return_number <= number_of_returns AS valid_return FROM (SELECT *, floor((x - min(x) OVER (PARTITION BY tile)) / 8) AS cx, floor((y - min(y) OVER (PARTITION BY tile)) / 8) AS cy FROM pts) WINDOW w AS (PARTITION BY tile, cx, cy)")
+query("a44_height_descriptor", lambda t: r6(geometry.height_descriptor(neighbors.knn(t.pts, t.pts, 8), t.pts), "z_std", "log_density", "z_to_median"), f"SELECT e.tile, src, max(a.z) - min(b.z) AS z_above_min, max(b.z) - max(a.z) AS z_below_max, max(b.z) - min(b.z) AS z_range, {rnd('stddev_pop(b.z)')} AS z_std, {rnd('max(a.z) - quantile_cont(b.z, 0.5)')} AS z_to_median, {rnd('ln(1 + count(*) / (4.0::DOUBLE / 3 * pi() * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3)))')} AS log_density FROM {_knn(8)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
+query("a45_height_above_ground", lambda t: r6(geometry.height_above_ground(t.pts, 2, 8.0), "hag"), f"SELECT tile, point_id, {rnd('greatest(z - gz, 0)')} AS hag FROM hp JOIN hn USING (tile, cx, cy)", "hp AS (SELECT *, CAST(floor((x - min(x) OVER t) / 8) AS BIGINT) AS cx, CAST(floor((y - min(y) OVER t) / 8) AS BIGINT) AS cy FROM pts WINDOW t AS (PARTITION BY tile)), hg AS (SELECT tile, cx AS gx, cy AS gy, quantile_cont(z, 0.1) AS gz FROM hp WHERE classification = 2 GROUP BY 1, 2, 3), hn AS (SELECT tile, cx, cy, arg_min(gz, ((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy)) * 100000000 + gx * 10000 + gy) AS gz FROM (SELECT DISTINCT tile, cx, cy FROM hp) JOIN hg USING (tile) GROUP BY 1, 2, 3)")
 query("a46_ground_plane", lambda t: r6(geometry.ground_elevation(t.pts, 16.0), "elevation", digits=5))
 query("a46_ground_fit", lambda t: r6(geometry.fit_plane(geometry.ground_candidates(t.pts, 16.0)), "a", "b", "c", digits=5), f"SELECT tile, {rnd('(sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS a, {rnd('(syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS b, {rnd('mz - mx * (sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy) - my * (syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS c FROM (SELECT tile, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, regr_sxx(x, x) AS sxx, regr_sxx(y, y) AS syy, regr_sxy(x, y) AS sxy, regr_sxy(x, z) AS sxz, regr_sxy(y, z) AS syz FROM (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY tile, floor(x / 16), floor(y / 16) ORDER BY z, point_id) = 1) GROUP BY 1)")
 query("a46_ground_idw", lambda t: r6(geometry.ground_elevation(t.pts, 16.0, "idw", scale=2.0), "elevation"))
@@ -92,18 +94,39 @@ for _mode, _sql in {"min": "x - min(x) OVER w AS x, y - min(y) OVER w AS y, z -
 query("a60_fit_affine", lambda t: r6(geometry.fit_affine(t.pts.select("tile", "x", "y", (F.col("x") * 2 - F.col("y") + F.col("classification")).alias("col"), (F.col("y") * 0.5 + 3).alias("row"))), "col_a", "col_b", "row_b", digits=4).select("tile", "col_a", "col_b", "row_b"), f"SELECT tile, {rnd('(sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy)', 4)} AS col_a, {rnd('(syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 4)} AS col_b, 0.5::DOUBLE AS row_b FROM (SELECT tile, regr_sxx(x, x) AS sxx, regr_sxx(y, y) AS syy, regr_sxy(x, y) AS sxy, regr_sxy(x, x * 2 - y + classification) AS sxz, regr_sxy(y, x * 2 - y + classification) AS syz FROM pts GROUP BY 1)")
 
 # --- visibility ------------------------------------------------------------------------------------------------------
-VIS = dict(size=8.0, radius=1, slope=0.125, tolerance=0.5, decay=0.25, echo_decay=0.5, bonus=0.25)
-_VIS = "vp AS (SELECT p.*, k, CAST(floor((x + i * 4) / 8) AS BIGINT) AS cx, CAST(floor((y + j * 4) / 8) AS BIGINT) AS cy FROM pts p, (VALUES (0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 1, 1)) o(k, i, j)), vt AS (SELECT tile, k, cx, cy, max(z) AS top FROM vp GROUP BY 1, 2, 3, 4), vs AS (SELECT tile, k, cx + i AS cx, cy + j AS cy, max(top - CASE WHEN i = 0 AND j = 0 THEN 0 ELSE 1 END) AS sf FROM vt, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(i, j) GROUP BY 1, 2, 3, 4), vq AS (SELECT tile, point_id, return_number, avg(exp(-0.25 * greatest(0, sf - z - 0.5))) * exp(-0.5 * (return_number - 1)) AS q0 FROM vp JOIN vs USING (tile, k, cx, cy) GROUP BY 1, 2, 3), vv AS (SELECT tile, point_id, least(greatest(CASE WHEN return_number = 1 THEN q0 + 0.25 * (1 - q0) ELSE q0 END, 0), 1) AS q FROM vq)"
-query("a48_surface_visibility", lambda t: r6(visibility.surface_visibility(t.pts, **VIS), "q").select(*KEY, "q", "visible"), f"SELECT tile, point_id, {rnd('q')} AS q, q >= 0.5 AS visible FROM vv", _VIS)
-query("a49_q_regions", lambda t: visibility.q_regions(t.pts, **VIS).groupBy("tile", "region").agg(F.count("*").alias("n")), "SELECT tile, CASE WHEN q <= 0.2 THEN 0 WHEN q >= 0.6 THEN 2 ELSE 1 END AS region, count(*) AS n FROM vv GROUP BY 1, 2", _VIS)
-query("a49_classify_visibility", lambda t: r6(visibility.classify_visibility(t.pts, **VIS), "observability").select(*KEY, "classification", "observability"), f"SELECT tile, point_id, CASE WHEN q >= 0.5 THEN 1 ELSE 0 END AS classification, {rnd('q')} AS observability FROM vv", _VIS)
+VIS = dict(tolerance=2.0, reference_resolution=4.0, oversample=1, echo_decay=0.5, bonus=0.25, slope_degrees=30.0)
+
+
+def _vis(first: str, damped: str) -> str:
+    """The visibility of every point, ``vv(tile, point_id, q)``; ``first``: what counts as density, ``damped``: q by returns, from ``g``."""
+    slope, quarter = repr(math.tan(math.radians(30.0))), repr(math.log(0.25))
+    return f"""vb AS (SELECT tile, min(x) AS x0, min(y) AS y0, max(x) - min(x) AS w, max(y) - min(y) AS h, greatest(8, least(128, floor(sqrt(count(*) / 256.0::DOUBLE)))) AS nb, bool_or({first}) AS has FROM pts GROUP BY 1),
+      vp AS (SELECT p.*, x0, y0, (w / nb) * (h / nb) AS area, {first} OR NOT has AS counts, least(floor((x - x0) / (w / nb)), nb - 1) AS bc, least(floor((y - y0) / (h / nb)), nb - 1) AS br FROM pts p JOIN vb USING (tile)),
+      vn AS (SELECT tile, bc, br, count(*) FILTER (counts) AS c FROM vp GROUP BY 1, 2, 3),
+      vm AS (SELECT tile, quantile_cont(c, 0.5) AS m FROM vn WHERE c > 0 GROUP BY 1),
+      vs AS (SELECT vp.*, sqrt(area / CASE WHEN c > 0 THEN c ELSE m END) AS spacing FROM vp JOIN vn USING (tile, bc, br) JOIN vm USING (tile)),
+      vu AS (SELECT tile, quantile_cont(spacing, 0.5) AS usual FROM vs WHERE counts GROUP BY 1),
+      vc AS (SELECT vs.*, greatest(4.0::DOUBLE, usual) AS cell, CAST(least(round_even(greatest(4.0::DOUBLE, usual) * spacing / usual / greatest(4.0::DOUBLE, usual), 0), 2) AS INT) AS rc FROM vs JOIN vu USING (tile)),
+      vg AS (SELECT vc.*, k, floor((x - x0) / cell + i) AS cx, floor((y - y0) / cell + j) AS cy FROM vc, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.5::DOUBLE, 0.0::DOUBLE), (2, 0.0::DOUBLE, 0.5::DOUBLE), (3, 0.5::DOUBLE, 0.5::DOUBLE)) o(k, i, j)),
+      vt AS (SELECT tile, k, cx, cy, rc, max(z) AS top, any_value(cell) AS cell FROM vg GROUP BY 1, 2, 3, 4, 5),
+      vd AS (SELECT tile, k, cx + i AS cx, cy + j AS cy, max(top - cell * sqrt(i * i + j * j) * {slope}::DOUBLE) AS surface FROM vt, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j <= rc * rc GROUP BY 1, 2, 3, 4),
+      vq AS (SELECT tile, point_id, return_number, avg(exp({quarter}::DOUBLE * (greatest(surface - z, 0) / 2) * (greatest(surface - z, 0) / 2))) AS g FROM vg JOIN vd USING (tile, k, cx, cy) GROUP BY 1, 2, 3),
+      vr AS (SELECT tile, point_id, return_number, {damped} AS q0 FROM vq), vv AS (SELECT tile, point_id, least(greatest(q0, 0), 1) AS q FROM vr)"""
+
+
+_DAMP = "g * exp(-0.5 * greatest(return_number - 1, 0))"
+_VIS = _vis("return_number = 1", f"CASE WHEN return_number = 1 THEN {_DAMP} + 0.25 * (1 - {_DAMP}) ELSE {_DAMP} END")
+_QGEO = _vis("true", "g")
+query("a48_surface_visibility", lambda t: r6(visibility.surface_visibility(t.pts, **VIS), "q").select(*KEY, "q", "visible"), f"SELECT tile, point_id, {rnd('q')} AS q, q >= 0.25 AS visible FROM vv", _VIS)
+query("a49_q_regions", lambda t: visibility.q_regions(t.pts, **VIS).groupBy("tile", "region").agg(F.count("*").alias("n")), "SELECT tile, CASE WHEN q <= 0.2 THEN 0 WHEN q >= 0.6 THEN 2 ELSE 1 END AS region, count(*) AS n FROM vv GROUP BY 1, 2", _QGEO)
+query("a49_classify_visibility", lambda t: r6(visibility.classify_visibility(t.pts, **VIS), "observability").select(*KEY, "classification", "observability"), f"SELECT tile, point_id, CASE WHEN q >= 0.25 THEN 1 ELSE 0 END AS classification, {rnd('q')} AS observability FROM vv", _VIS)
 
 
 def _corr(t: Tables) -> DataFrame:
     return t.pts.select(*KEY, F.floor("y").cast("int").alias("row"), F.floor("x").cast("int").alias("col"), F.lit(True).alias("valid"), (F.floor(F.col("y") / 16) * 6 + F.floor(F.col("x") / 16)).cast("int").alias("patch_index"), F.lit(0.5).alias("observability"))
 
 
-query("a50_refresh_correspondence", lambda t: r6(visibility.refresh_correspondence(visibility.point_coverage(visibility.surface_visibility(t.pts, **VIS), _rasters(t), 16.0, KEY), _corr(t), 16, 6, 6), "observability").select(*KEY, "valid", F.col("patch_index").cast("long").alias("patch_index"), "observability"), f"SELECT tile, point_id, ok AS valid, CAST(CASE WHEN ok THEN floor(y / 16) * 6 + floor(x / 16) ELSE -1 END AS BIGINT) AS patch_index, {rnd('0.5 * q')} AS observability FROM (SELECT p.tile, p.point_id, p.x, p.y, q, EXISTS (SELECT 1 FROM ra WHERE p.x >= l AND p.x < l + 12 AND p.y > bo AND p.y <= bo + 9) AND q >= 0.5 AND p.x < 96 AND p.y < 96 AS ok FROM pts p JOIN vv USING (tile, point_id))", _RAS + ", " + _VIS)
+query("a50_refresh_correspondence", lambda t: r6(visibility.refresh_correspondence(visibility.point_coverage(visibility.surface_visibility(t.pts, **VIS), _rasters(t), 16.0, KEY), _corr(t), 16, 6, 6), "observability").select(*KEY, "valid", F.col("patch_index").cast("long").alias("patch_index"), "observability"), f"SELECT tile, point_id, ok AS valid, CAST(CASE WHEN ok THEN floor(y / 16) * 6 + floor(x / 16) ELSE -1 END AS BIGINT) AS patch_index, {rnd('0.5 * q')} AS observability FROM (SELECT p.tile, p.point_id, p.x, p.y, q, EXISTS (SELECT 1 FROM ra WHERE p.x >= l AND p.x < l + 12 AND p.y > bo AND p.y <= bo + 9) AND q >= 0.25 AND p.x < 96 AND p.y < 96 AS ok FROM pts p JOIN vv USING (tile, point_id))", _RAS + ", " + _VIS)
 query("p21_rescale_correspondence", lambda t: visibility.rescale_correspondence(_corr(t).select("tile", "row", "col"), (10, 20, 64, 48), (32, 24)).select("tile", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")), "SELECT DISTINCT tile, CAST(floor((floor(y) - 10) * 0.5) AS BIGINT) AS row, CAST(floor((floor(x) - 20) * 0.5) AS BIGINT) AS col FROM pts WHERE floor(y) BETWEEN 10 AND 73 AND floor(x) BETWEEN 20 AND 67")
 _KK, _TT = [100.0, 0, 64, 0, 100.0, 48, 0, 0, 1], [1.0, 0, 0, -50, 0, 1.0, 0, -50, 0, 0, 1.0, -20, 0, 0, 0, 1]
 query("p22_project_camera", lambda t: r6(visibility.project_camera(t.pts, _KK, _TT, 96, 128), "u", "v").select(*KEY, F.coalesce("u", F.lit(-1.0)).alias("u"), F.coalesce("v", F.lit(-1.0)).alias("v"), "in_image"), f"SELECT tile, point_id, coalesce({rnd('u')}, -1) AS u, coalesce({rnd('v')}, -1) AS v, coalesce(u >= 0 AND u < 128 AND v >= 0 AND v < 96, false) AS in_image FROM (SELECT tile, point_id, CASE WHEN z > 20 THEN (100 * (x - 50) + 64 * (z - 20)) / (z - 20) END AS u, CASE WHEN z > 20 THEN (100 * (y - 50) + 48 * (z - 20)) / (z - 20) END AS v FROM pts)")
@@ -157,7 +180,21 @@ query("p23_align_pose", lambda t: r6(frames.align_poses(frames.fuse_frames(_pose
 query("w06_nested_rank", lambda t: sampling.nested_rank(t.pts, 42).select(*KEY, "rank"), f"SELECT tile, point_id, {U(42, 'tile', 'point_id')} AS rank FROM pts")
 query("a55_budget_counts", lambda t: sampling.budget_counts(sampling.nested_rank(t.pts, 42), [0.01, 0.1, 0.5]), f"SELECT classification, count(*) AS n, count(*) FILTER (u < 0.01) AS n_0, count(*) FILTER (u < 0.1) AS n_1, count(*) FILTER (u < 0.5) AS n_2 FROM (SELECT classification, {U(42, 'tile', 'point_id')} AS u FROM pts) GROUP BY 1")
 query("w07_block_split", lambda t: sampling.block_split(t.pts, "tile", 0.25).groupBy("tile", "held_out").agg(F.count("*").alias("n")), "SELECT tile, i IN (SELECT CAST(round_even(j * (m - 1) / (k - 1), 0) AS BIGINT) FROM nb, range(0, 100000) r(j) WHERE j < k) AS held_out, n FROM (SELECT tile, count(*) AS n, row_number() OVER (ORDER BY tile) - 1 AS i FROM pts GROUP BY 1)", "nb AS (SELECT count(DISTINCT tile) AS m, CAST(round_even(count(DISTINCT tile) * 0.25, 0) AS BIGINT) AS k FROM pts)")
-query("w08_stratified", lambda t: sampling.stratified(t.pts, ["classification", "return_number"], 1000, 9).select(*KEY, "classification"), f"SELECT tile, point_id, classification FROM ss WHERE r <= q UNION ALL SELECT tile, point_id, classification FROM (SELECT *, row_number() OVER (ORDER BY u, tile, point_id) AS g FROM ss WHERE r > q) WHERE g <= 1000 - (SELECT count(*) FROM ss WHERE r <= q)", f"s0 AS (SELECT *, {U(9, 'tile', 'point_id')} AS u FROM pts), ss AS (SELECT *, row_number() OVER (PARTITION BY classification, return_number ORDER BY u, tile, point_id) AS r, (SELECT 1000 // count(*) FROM (SELECT DISTINCT classification, return_number FROM pts)) AS q FROM s0)")
+query(
+    "w08_stratified",
+    lambda t: sampling.stratified(t.pts, ["classification", "return_number"], 40).select(*KEY, "classification"),
+    "SELECT tile, point_id, classification FROM s3 WHERE last <= 40",
+    """s0 AS (SELECT tile, point_id, classification, return_number, count(*) OVER (PARTITION BY tile) AS total, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY tile, classification, return_number) AS n FROM pts WINDOW w AS (PARTITION BY tile, classification, return_number ORDER BY point_id)),
+    k0 AS (SELECT tile, greatest(1, 40 // count(DISTINCT (classification, return_number))) AS base FROM pts GROUP BY 1),
+    b0 AS (SELECT DISTINCT tile, classification, return_number, n, least(n, base) AS take FROM s0 JOIN k0 USING (tile)),
+    b1 AS (SELECT tile, classification, return_number, CAST(round_even(CASE WHEN take > 1 THEN j * ((n - 1) / (take - 1)) ELSE 0 END, 0) AS BIGINT) AS i FROM (SELECT *, unnest(range(take)) AS j FROM b0)),
+    s1 AS (SELECT s0.*, s0.total <= 40 OR b1.i IS NOT NULL AS chosen FROM s0 LEFT JOIN (SELECT DISTINCT * FROM b1) b1 USING (tile, classification, return_number, i)),
+    r0 AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY point_id) - 1 AS ri FROM s1 WHERE NOT chosen),
+    r1 AS (SELECT tile, count(*) FILTER (NOT chosen) AS rn, least(greatest(40 - count(*) FILTER (chosen), 0), count(*) FILTER (NOT chosen)) AS take FROM s1 GROUP BY 1),
+    r2 AS (SELECT DISTINCT tile, CAST(round_even(CASE WHEN take > 1 THEN j * ((rn - 1) / (take - 1)) ELSE 0 END, 0) AS BIGINT) AS ri FROM (SELECT *, unnest(range(take)) AS j FROM r1)),
+    s2 AS (SELECT tile, point_id, classification, total FROM s1 WHERE chosen UNION ALL SELECT tile, point_id, classification, total FROM r0 JOIN r2 USING (tile, ri)),
+    s3 AS (SELECT *, CASE WHEN total <= 40 THEN 0 ELSE row_number() OVER (PARTITION BY tile ORDER BY point_id) END AS last FROM s2)""",
+)
 CL = lambda t: t.pts.groupBy(F.col("tile").alias("cloud")).agg(F.count("*").alias("n"))
 query("w09_batch_offsets", lambda t: sampling.batch_offsets(CL(t), 4).select("cloud", "n", "batch_id", F.col("in_batch").cast("long").alias("in_batch"), "offset", "start"), "SELECT cloud, n, i // 4 AS batch_id, i % 4 AS in_batch, CAST(sum(n) OVER w AS BIGINT) AS \"offset\", CAST(sum(n) OVER w - n AS BIGINT) AS start FROM (SELECT tile AS cloud, count(*) AS n, row_number() OVER (ORDER BY tile) - 1 AS i FROM pts GROUP BY 1) WINDOW w AS (PARTITION BY i // 4 ORDER BY i)")
 query("w10_mix_pairs", lambda t: sampling.mix_pairs(t.pts.select(F.col("tile").alias("cloud"), "point_id", (F.col("orig_idx") % 9 - 1).alias("instance")), t.pts.select(F.col("tile").alias("cloud"))).select("cloud", "point_id", "mixed", "instance"), "SELECT cloud, point_id, i // 2 AS mixed, CASE WHEN ins >= 0 AND i % 2 = 1 THEN ins + greatest((SELECT max(y.ins) + 1 FROM mp y WHERE y.i = x.i - 1), 0) ELSE ins END AS instance FROM mp x", "mp AS (SELECT tile AS cloud, point_id, orig_idx % 9 - 1 AS ins, dense_rank() OVER (ORDER BY tile) - 1 AS i FROM pts)")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import hilbert, scalar
-from cairn.operators import bootstrap, frames, geometry, grid, labels, merge, metrics, neighbors, sampling, visibility
+from cairn.operators import bootstrap, features, frames, geometry, grid, labels, merge, metrics, neighbors, sampling, visibility
 from cairn.sources import sinks
 
 
@@ -80,7 +80,7 @@ def test_coincident_points_are_not_valid(spark):
 def test_visibility_of_two_layers(spark):
     g = [(x, y) for x in range(6) for y in range(6)]
     pts = cloud(spark, [(x, y, 1) for x, y in g] + [(x, y, 0) for x, y in g])
-    got = visibility.surface_visibility(pts, 1.0, 1, 0.0, 0.1, 5.0).toPandas()
+    got = visibility.surface_visibility(pts, 1.0, 1.0, 0.1, oversample=2, adaptive=False, max_radius_cells=1, slope_degrees=None, returns=None).toPandas()
     assert got[got.z == 1].q.mean() > 0.9 and got[got.z == 0].q.mean() < 0.1
 
 
@@ -252,6 +252,21 @@ def test_select_tiles_respects_cap(spark):
     assert len(got) == 10 and got.source_block.value_counts().max() <= 3
 
 
+def test_select_tiles_offers_every_environment(spark):
+    """A block whose best tiles are urban still offers its water tile."""
+    rows = [(i, 0, 9.0 - i, "urban") for i in range(4)] + [(9, 0, 0.5, "water"), (10, 1, 1.0, "mixed")]
+    got = sampling.select_tiles(spark.createDataFrame(rows, "tile int, source_block int, priority double, environment string"), 3, 3).toPandas()
+    assert dict(zip(got.tile, got.reason, strict=True)) == {0: "block", 10: "block", 9: "environment"}
+
+
+def test_scene_groups(spark):
+    rows = [("flat", 0.8, 0.0, 0.0, 4.0, None), ("steep", 0.8, 0.0, 0.0, 9.0, None), ("dense", 0.1, 0.7, 0.0, 0.0, None), ("sparse", 0.3, 0.35, 0.0, 0.0, None), ("tall", 0.1, 0.0, 0.25, 0.0, 18.0), ("low", 0.1, 0.0, 0.25, 0.0, 9.0)]
+    t = spark.createDataFrame(rows, "tile string, s2 double, s3 double, s6 double, relief double, top double")
+    share = lambda c: F.col(f"s{c}") if c in (2, 3, 6) else F.lit(0.0)
+    got = {r[0]: r[1] for r in t.select("tile", features.scene_group(share, F.col("relief"), F.col("top"))).collect()}
+    assert got == {"flat": "Flat bare ground", "steep": "Mixed / other", "dense": "Dense canopy", "sparse": "Sparse vegetation", "tall": "Tall-building", "low": "Low-rise built"}
+
+
 def test_empty_cloud(spark):
     none = cloud(spark, [[0, 0, 0]], classification=1, pred=1).where("false")
     assert neighbors.knn(none, none, 3).isEmpty()

@@ -199,16 +199,17 @@ def cluster(pts: DataFrame, radius: float, least: int = 1, label: str = "classif
 
 
 def superpoints(pts: DataFrame, edges: DataFrame, threshold: float = 0.1, least: int = 20, most: int = 10_000, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """Graph segmentation ``(by, point_id, segment)``: edges by ascending normal difference join two segments when the weight is at most
+    """Graph segmentation ``(by, point_id, segment)``: edges by ascending normal difference (one less the product of the normals, squared where
+    the surface is convex: the second normal points away from the first point) join two segments when the weight is at most
     each one's largest inner weight plus ``threshold / size``; small segments then join over their cheapest edge, within ``most``.
 
     Weights are SQL; the union is sequential by definition and runs per tile, tiles in parallel. ``pts`` has nx, ny, nz.
     """
-    n = lambda p: [F.col(f"{p}{c}") for c in "xyz"]
-    a = pts.select(by, F.col(id_col).alias("src"), *(F.col(f"n{c}").alias(f"a{c}") for c in "xyz"))
-    b = pts.select(by, F.col(id_col).alias("dst"), *(F.col(f"n{c}").alias(f"b{c}") for c in "xyz"))
-    dots = sum((x * y for x, y in zip(n("a"), n("b"), strict=True)), F.lit(0.0))
-    weights = edges.where("src < dst").select(by, "src", "dst").distinct().join(a, [by, "src"]).join(b, [by, "dst"]).select(by, "src", "dst", (1 - F.abs(dots)).alias("w"))
+    end = lambda key, p: pts.select(by, F.col(id_col).alias(key), *(F.col(f"n{c}").alias(f"{p}n{c}") for c in "xyz"), *(F.col(c).alias(f"{p}{c}") for c in "xyz"))
+    joined = edges.where("src < dst").select(by, "src", "dst").distinct().join(end("src", "a"), [by, "src"]).join(end("dst", "b"), [by, "dst"])
+    turn = 1 - sum((F.col(f"an{c}") * F.col(f"bn{c}") for c in "xyz"), F.lit(0.0))
+    away = sum((F.col(f"bn{c}") * (F.col(f"b{c}") - F.col(f"a{c}")) for c in "xyz"), F.lit(0.0))
+    weights = joined.select(by, "src", "dst", F.greatest(F.when(away > 0, turn * turn).otherwise(turn), F.lit(0.0)).alias("w"))
     rows = weights.unionByName(pts.select(by, F.col(id_col).alias("src"), F.col(id_col).alias("dst"), F.lit(-1.0).alias("w")))
     kind = pts.schema[by].dataType.simpleString()
 

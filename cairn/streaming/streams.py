@@ -85,17 +85,24 @@ STOP_SCHEMA = "run string, iter long, value double, best double, bad int, stop b
 
 
 def early_stop_batch(metrics: DataFrame, rule: EarlyStop, run: str = "run", order: str = "iter", value: str = "value") -> DataFrame:
-    """The rule over finished runs, a row per value."""
+    """The rule over finished runs, a row per value.
 
-    def apply(frame: pd.DataFrame) -> pd.DataFrame:
-        state, rows = (None, 0, 0), []
-        for r in frame.sort_values(order).itertuples():
-            v = getattr(r, value)
-            state = rule.step(state, None if v is None else float(v))
-            rows.append((getattr(r, run), getattr(r, order), v, state[0], state[1], rule.stopped(state)))
-        return pd.DataFrame(rows, columns=["run", "iter", "value", "best", "bad", "stop"])
-
-    return metrics.select(run, order, value).groupBy(run).applyInPandas(apply, STOP_SCHEMA)
+    Values stream through a task in the order of their run; only the rule's state is carried along, so a run of any length fits.
+    """
+    names = ["run", "iter", "value", "best", "bad", "stop"]
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, (None, 0, 0)
+        for frame in frames:
+            rows = []
+            for key, at, v in frame.itertuples(index=False):
+                if key != current:
+                    current, state = key, (None, 0, 0)
+                state = rule.step(state, None if v is None else float(v))
+                rows.append((key, at, v, state[0], state[1], rule.stopped(state)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return metrics.select(run, order, value).repartition(run).sortWithinPartitions(run, order).mapInPandas(apply, STOP_SCHEMA)
 
 
 class _StopProcessor(StatefulProcessor):

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import labels
-from cairn.plans.registry import TRANSFORMS, Registry, pipeline
+from cairn.plans import catalog
+from cairn.plans.registry import SOURCES, TRANSFORMS, WRITERS, Registry, pipeline
 from cairn.sources import ingest, sinks
 from cairn.streaming import streams
 
@@ -115,9 +116,8 @@ def test_tiles_predictions_and_submission(spark, tmp_path):
 
 
 def test_registry_and_pipeline(spark):
-    TRANSFORMS.items.clear()
-    TRANSFORMS.register("filter_classes", labels.filter_classes)
-    TRANSFORMS.register("remap", labels.remap)
+    catalog.register_all()
+    assert {"las", "npy", "sweeps"} <= set(SOURCES.items) and {"tiles", "predictions"} <= set(WRITERS.items)
     df = spark.createDataFrame([(1,), (2,), (3,)], "classification int")
     out = pipeline(df, [{"type": "filter_classes", "keep": [1, 2]}, {"type": "remap", "mapping": {1: 9}}])
     assert sorted(r[0] for r in out.collect()) == [2, 9]

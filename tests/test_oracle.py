@@ -26,8 +26,7 @@ def duck():
     return con
 
 
-#: A third of them, by name, and the flagship: the driver's gate runs all.
-NAMES = sorted({*sorted(set(SQL) - SLOW)[::3], "m00_merge_then_metrics"})
+NAMES = sorted(set(SQL) - SLOW)
 
 
 @pytest.mark.parametrize("name", NAMES)

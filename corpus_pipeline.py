@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each on all that the one before kept."""
+"""The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
+
+All stages take null values in any column, repeated rows, empty tables, and extra columns of any name, which all but the last return: a
+null text is an empty one; rows are dropped by id, so rows that share an id go only if all of them are to go; a row with a null id
+is judged like any other, except that it takes no part in the near dedup and stays there; of rows with equal id and text one stays."""
 
 from __future__ import annotations
 

@@ -690,6 +690,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_stages_survive_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, columns with the names that operators use inside, and no rows at all."""
+    import corpus_pipeline
+
+    rows = [*corpus(24, 5), (None, "lonely", None, None), (3, "one id, another text", "en", "src0")]
+    odd = spark.createDataFrame(rows, DOCS)
+    for name in ("__gone", "__item", "__id", "__position", "__place", "row", "root", "sid", "n", "size", "kept"):
+        odd = odd.withColumn(name, F.lit("x"))
+    spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path)).toPandas()
+        assert len(out) and stage(spark, odd.where("false"), str(tmp_path)).isEmpty(), name
+        if name != "pack":
+            assert list(out.columns) == odd.columns and {"lonely"} <= set(out.text), name
+        if name in ("mix", "pack"):
+            assert (len(out) if name == "mix" else (out.piece == 0).sum()) == len(rows), name
+
+
 def test_sequences_follow_the_mix(spark):
     import corpus_pipeline
 

@@ -171,32 +171,37 @@ def fit_plane(pts: DataFrame, by: str = "tile", u: str = "x", v: str = "y", w: s
 
 
 def ground_candidates(pts: DataFrame, size: float, band: float | None = None, by: str = "tile", id_col: str = "point_id", verticality: str | None = None, flat: float = 0.3) -> DataFrame:
-    """The lowest point (ties to the lower id) of every cell, within ``band`` of the tile's 5 % height, of low verticality."""
+    """The lowest point (ties to the lower id) of every cell, within ``band`` of the tile's least z, of verticality below ``flat``."""
     rows = pts
     if band is not None:
-        rows = rows.join(pts.groupBy(by).agg(F.percentile("z", 0.05).alias("__low")), by).where(F.col("z") <= F.col("__low") + band).drop("__low")
+        rows = rows.join(pts.groupBy(by).agg(F.min("z").alias("__low")), by).where(F.col("z") <= F.col("__low") + band).drop("__low")
     if verticality:
-        rows = rows.where(F.col(verticality) <= flat)
+        rows = rows.where(F.col(verticality) < flat)
     cells = rows.withColumn("cx", F.floor(F.col("x") / F.lit(float(size)))).withColumn("cy", F.floor(F.col("y") / F.lit(float(size))))
     low = cells.groupBy(by, "cx", "cy").agg(F.min_by(F.struct(id_col, *_AXES), F.struct("z", id_col)).alias("p"))
     return low.select(by, "p.*")
 
 
-def ground_elevation(pts: DataFrame, size: float, model: str = "plane", band: float | None = None, scale: float = 1.0, k: int = 3, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """``(by, point_id, elevation)``: height over a ground model of the candidates, divided by ``scale``.
+def ground_elevation(pts: DataFrame, size: float, model: str = "plane", band: float | None = None, scale: float = 3.0, k: int = 3, by: str = "tile", id_col: str = "point_id", verticality: str | None = None, flat: float = 0.3) -> DataFrame:
+    """``(by, point_id, elevation)``: height over a ground model of the candidates, divided by ``scale``; a tile without candidates uses all its points.
 
-    ``plane`` fits a plane, drops the 30 % of candidates farthest from it and fits again; ``idw`` interpolates candidates in x, y.
+    ``plane`` fits a plane and, with six candidates or more, drops those farther from it than 70 % of them (and than 0.01) and fits
+    again if three are left; ``idw`` interpolates the ``k`` nearest candidates in x and y by ``1 / max(d, 1e-3)``.
     """
-    cand = ground_candidates(pts, size, band, by, id_col)
+    cand = ground_candidates(pts, size, band, by, id_col, verticality, flat)
+    if verticality:
+        cand = cand.unionByName(pts.join(cand.select(by).distinct(), by, "left_anti").select(by, id_col, *_AXES))
     if model == "idw":
-        base = idw(pts, cand, "z", k, by, id_col, dims=("x", "y")).select(by, F.col("src").alias(id_col), F.col("z").alias("__g"))
+        base = idw(pts, cand, "z", k, by, id_col, dims=("x", "y"), least=1e-3).select(by, F.col("src").alias(id_col), F.col("z").alias("__g"))
         return pts.join(base, [by, id_col], "left").select(by, id_col, ((F.col("z") - F.coalesce("__g", "z")) / F.lit(float(scale))).alias("elevation"))
     on = lambda: F.col("__a") * F.col("x") + F.col("__b") * F.col("y") + F.col("__c")
     plane_of = lambda d: fit_plane(d, by).select(by, *(F.col(c).alias(f"__{c}") for c in "abc"))
     first = plane_of(cand)
     off = cand.join(first, by).withColumn("__r", F.abs(F.col("z") - on()))
-    near = off.join(off.groupBy(by).agg(F.percentile("__r", 0.7).alias("__t")), by).where("__r <= __t").select(by, id_col, *_AXES)
-    plane = plane_of(near).join(first.select(by, *(F.col(f"__{c}").alias(f"{c}0") for c in "abc")), by, "right")
+    bound = off.groupBy(by).agg(F.greatest(F.percentile("__r", 0.7), F.lit(1e-2)).alias("__t"), F.count("*").alias("__n"))
+    near = off.join(bound, by).where("__r <= __t AND __n >= 6").select(by, id_col, *_AXES)
+    enough = near.groupBy(by).agg(F.count("*").alias("__k")).where("__k >= 3").select(by)
+    plane = plane_of(near.join(enough, by, "left_semi")).join(first.select(by, *(F.col(f"__{c}").alias(f"{c}0") for c in "abc")), by, "right")
     plane = plane.select(by, *(F.coalesce(f"__{c}", f"{c}0").alias(f"__{c}") for c in "abc"))
     return pts.join(plane, by, "left").select(by, id_col, ((F.col("z") - F.coalesce(on(), F.col("z"))) / F.lit(float(scale))).alias("elevation"))
 

@@ -162,10 +162,10 @@ def group_neighbors(edges: DataFrame, ref: DataFrame, features: list[str], cente
     return rows.groupBy(by, "src").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("group"))
 
 
-def idw(src: DataFrame, ref: DataFrame, feature: str, k: int = 3, by: str = "tile", id_col: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Inverse-distance interpolation ``(by, src, feature)`` from the k nearest, weights ``1 / (d + 1e-8)``."""
+def idw(src: DataFrame, ref: DataFrame, feature: str, k: int = 3, by: str = "tile", id_col: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z"), least: float | None = None) -> DataFrame:
+    """Inverse-distance interpolation ``(by, src, feature)`` from the k nearest, weights ``1 / (d + 1e-8)``, or ``1 / max(d, least)``."""
     edges = knn(src, ref, k, by, id_col, dims=dims)
-    rows = edges.join(ref.select(by, F.col(id_col).alias("dst"), feature), [by, "dst"]).withColumn("w", 1 / (F.col("dist") + F.lit(1e-8)))
+    rows = edges.join(ref.select(by, F.col(id_col).alias("dst"), feature), [by, "dst"]).withColumn("w", 1 / (F.col("dist") + F.lit(1e-8) if least is None else F.greatest(F.col("dist"), F.lit(least))))
     return rows.groupBy(by, "src").agg((F.sum(F.col(feature) * F.col("w")) / F.sum("w")).alias(feature))
 
 

@@ -83,9 +83,20 @@ query("a42_normals", lambda t: geometry.normals(t.pts, 8, cls=1, toward=(50.0, 5
 query("a43_column_strata", lambda t: geometry.column_strata(t.pts, 8.0).select(*KEY, "density", "overstory", "vegetation_overstory", "multilayer", "boundary", "valid_return"), "SELECT tile, point_id, count(*) OVER w AS density, max(z) OVER w - z >= 3 AND count(*) OVER w >= 8 AS overstory, coalesce(max(CASE WHEN classification = 3 THEN z END) OVER w - z >= 3, false) AND count(*) OVER w >= 8 AS vegetation_overstory, max(z) OVER w - min(z) OVER w >= 3 AND count(*) OVER w >= 8 AS multilayer, bool_or(classification = 3) OVER w AND bool_or(classification = 6) OVER w AS boundary, return_number >= 1 AND number_of_returns >= 1 AND return_number <= number_of_returns AS valid_return FROM (SELECT *, floor((x - min(x) OVER (PARTITION BY tile)) / 8) AS cx, floor((y - min(y) OVER (PARTITION BY tile)) / 8) AS cy FROM pts) WINDOW w AS (PARTITION BY tile, cx, cy)")
 query("a44_height_descriptor", lambda t: r6(geometry.height_descriptor(neighbors.knn(t.pts, t.pts, 8), t.pts), "z_std", "log_density", "z_to_median"), f"SELECT e.tile, src, max(a.z) - min(b.z) AS z_above_min, max(b.z) - max(a.z) AS z_below_max, max(b.z) - min(b.z) AS z_range, {rnd('stddev_pop(b.z)')} AS z_std, {rnd('max(a.z) - quantile_cont(b.z, 0.5)')} AS z_to_median, {rnd('ln(1 + count(*) / (4.0::DOUBLE / 3 * pi() * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3)))')} AS log_density FROM {_knn(8)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
 query("a45_height_above_ground", lambda t: r6(geometry.height_above_ground(t.pts, 2, 8.0), "hag"), f"SELECT tile, point_id, {rnd('greatest(z - gz, 0)')} AS hag FROM hp JOIN hn USING (tile, cx, cy)", "hp AS (SELECT *, CAST(floor((x - min(x) OVER t) / 8) AS BIGINT) AS cx, CAST(floor((y - min(y) OVER t) / 8) AS BIGINT) AS cy FROM pts WINDOW t AS (PARTITION BY tile)), hg AS (SELECT tile, cx AS gx, cy AS gy, quantile_cont(z, 0.1) AS gz FROM hp WHERE classification = 2 GROUP BY 1, 2, 3), hn AS (SELECT tile, cx, cy, arg_min(gz, ((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy)) * 100000000 + gx * 10000 + gy) AS gz FROM (SELECT DISTINCT tile, cx, cy FROM hp) JOIN hg USING (tile) GROUP BY 1, 2, 3)")
-query("a46_ground_plane", lambda t: r6(geometry.ground_elevation(t.pts, 16.0), "elevation", digits=5))
+def _plane_sql(rows: str, more: str = "") -> str:
+    """``(tile, n, a, b, c)``: the least-squares plane of each tile."""
+    a, b = "(sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy)", "(syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)"
+    return f"(SELECT tile, n, {a} AS a, {b} AS b, mz - mx * {a} - my * {b} AS c FROM (SELECT tile, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, regr_sxx(x, x) AS sxx, regr_sxx(y, y) AS syy, regr_sxy(x, y) AS sxy, regr_sxy(x, z) AS sxz, regr_sxy(y, z) AS syz FROM {rows} {more} GROUP BY 1))"
+
+
+_GC = "gc AS (SELECT tile, point_id, x, y, z FROM pts QUALIFY row_number() OVER (PARTITION BY tile, floor(x / 16), floor(y / 16) ORDER BY z, point_id) = 1)"
+_GP = f"""{_GC}, g1 AS {_plane_sql('gc')}, gr AS (SELECT gc.*, abs(z - (a * x + b * y + c)) AS r, n FROM gc JOIN g1 USING (tile)),
+  gt AS (SELECT *, greatest(quantile_cont(r, 0.7) OVER (PARTITION BY tile), 0.01) AS t FROM gr), g2 AS {_plane_sql('gt', 'WHERE r <= t AND n >= 6')},
+  gp AS (SELECT g1.tile, CASE WHEN g2.n >= 3 THEN g2.a ELSE g1.a END AS a, CASE WHEN g2.n >= 3 THEN g2.b ELSE g1.b END AS b, CASE WHEN g2.n >= 3 THEN g2.c ELSE g1.c END AS c FROM g1 LEFT JOIN g2 USING (tile))"""
+_GI = f"{_GC}, gd AS (SELECT p.tile, p.point_id, gc.z, sqrt((p.x - gc.x) * (p.x - gc.x) + (p.y - gc.y) * (p.y - gc.y)) AS d FROM pts p JOIN gc USING (tile) QUALIFY row_number() OVER (PARTITION BY p.tile, p.point_id ORDER BY d, gc.point_id) <= 3), gz AS (SELECT tile, point_id, sum(z / greatest(d, 1e-3)) / sum(1 / greatest(d, 1e-3)) AS g FROM gd GROUP BY 1, 2)"
+query("a46_ground_plane", lambda t: r6(geometry.ground_elevation(t.pts, 16.0), "elevation", digits=5), f"SELECT tile, point_id, {rnd('(z - (gp.a * x + gp.b * y + gp.c)) / 3', 5)} AS elevation FROM pts JOIN gp USING (tile)", _GP)
 query("a46_ground_fit", lambda t: r6(geometry.fit_plane(geometry.ground_candidates(t.pts, 16.0)), "a", "b", "c", digits=5), f"SELECT tile, {rnd('(sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS a, {rnd('(syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS b, {rnd('mz - mx * (sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy) - my * (syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS c FROM (SELECT tile, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, regr_sxx(x, x) AS sxx, regr_sxx(y, y) AS syy, regr_sxy(x, y) AS sxy, regr_sxy(x, z) AS sxz, regr_sxy(y, z) AS syz FROM (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY tile, floor(x / 16), floor(y / 16) ORDER BY z, point_id) = 1) GROUP BY 1)")
-query("a46_ground_idw", lambda t: r6(geometry.ground_elevation(t.pts, 16.0, "idw", scale=2.0), "elevation"))
+query("a46_ground_idw", lambda t: r6(geometry.ground_elevation(t.pts, 16.0, "idw", scale=2.0), "elevation"), f"SELECT tile, point_id, {rnd('(z - gz.g) / 2')} AS elevation FROM pts JOIN gz USING (tile, point_id)", _GI)
 query("a47_terrain_grid", lambda t: r6(geometry.terrain_grid(t.pts, 16.0), "z_mean", "laplacian", "weight", digits=4).select("tile", "cx", "cy", "z_mean", "z_range", "laplacian", "weight", "n"), f"SELECT g.tile, g.cx, g.cy, {rnd('g.m', 4)} AS z_mean, g.hi - g.lo AS z_range, {rnd('coalesce(l.s - l.k * g.m, 0)', 4)} AS laplacian, {rnd('pow(1 + g.hi - g.lo + abs(coalesce(l.s - l.k * g.m, 0)), 2)', 4)} AS weight, g.n FROM tg g LEFT JOIN (SELECT a.tile, a.cx, a.cy, sum(b.m) AS s, count(*) AS k FROM tg a JOIN tg b ON a.tile = b.tile AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1 GROUP BY 1, 2, 3) l USING (tile, cx, cy)", "tg AS (SELECT tile, CAST(floor(x / 16) AS BIGINT) AS cx, CAST(floor(y / 16) AS BIGINT) AS cy, avg(z) AS m, min(z) AS lo, max(z) AS hi, count(*) AS n FROM pts GROUP BY 1, 2, 3)")
 query("a47_flatten_non_ground", lambda t: r6(geometry.flatten_non_ground(t.pts, 2, 16.0).select(*KEY, "z"), "z"))
 query("a51_robust_log", lambda t: r6(geometry.robust_log(t.pts).select(*KEY, "intensity"), "intensity"), f"SELECT tile, point_id, {rnd('least(greatest((l - m) / CASE WHEN q3 - q1 < 1e-6 THEN 1 ELSE q3 - q1 END, -3), 3)')} AS intensity FROM (SELECT *, ln(1 + intensity) AS l FROM pts) JOIN (SELECT tile, quantile_cont(ln(1 + intensity), 0.25) AS q1, quantile_cont(ln(1 + intensity), 0.5) AS m, quantile_cont(ln(1 + intensity), 0.75) AS q3 FROM pts GROUP BY 1) USING (tile)")

@@ -1,4 +1,4 @@
-"""Neighbourhood joins over grid cells: kNN, balls, radius graphs, interpolation, components, sampling."""
+"""Neighbourhood joins over leaves of equal counts: kNN, balls, radius graphs, interpolation, components, sampling."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,95 +30,149 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _d2(dims: tuple[str, ...]) -> Column:
-    return sum(((F.col(f"r{c}") - F.col(f"q{c}")) * (F.col(f"r{c}") - F.col(f"q{c}")) for c in dims), F.lit(0.0))
-
-
-def candidate_pairs(src: DataFrame, ref: DataFrame, size: Column | float, by: str = "tile", id_col: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """``(by, src, dst, d2)`` of all pairs whose cells of ``size`` are equal or neighbours: an equi join on the cell, the
-    queries exploded to their 3^d surrounding cells."""
-    size = F.lit(float(size)) if isinstance(size, (int, float)) else size
-    q = src.select(by, F.col(id_col).alias("src"), *(F.col(c).alias(f"q{c}") for c in dims), size.alias("__s"))
-    r = ref.select(by, F.col(id_col).alias("dst"), *(F.col(c).alias(f"r{c}") for c in dims), size.alias("__s"))
-    for c in dims:
-        q = q.withColumn(f"__{c}", F.explode(F.sequence(F.floor(F.col(f"q{c}") / F.col("__s")) - 1, F.floor(F.col(f"q{c}") / F.col("__s")) + 1)))
-        r = r.withColumn(f"__{c}", F.floor(F.col(f"r{c}") / F.col("__s")))
-    joined = q.drop("__s").join(r.drop("__s"), [by, *(f"__{c}" for c in dims)])
-    return joined.select(by, "src", "dst", _d2(dims).alias("d2"))
-
-
-def knn(src: DataFrame, ref: DataFrame, k: int, by: str = "tile", id_col: str = "point_id", exclude_self: bool = False, dims: tuple[str, ...] = ("x", "y", "z"), rounds: int = 3, pad: bool = False) -> DataFrame:
+#: Reference points of a leaf, and strips (of a cloud) or leaves (of a strip) at most; what is denser is split by id.
+LEAF, STRIPS = 1024, 256
+
+
+def _cuts(c: str, n: Column) -> Column:
+    """Places that cut values of ``c`` into ``n`` (at most ``STRIPS``) runs of about equal counts, as an aggregate."""
+    marks = F.percentile_approx(c, [i / STRIPS for i in range(1, STRIPS)], 10_000)
+    n = F.least(F.lit(STRIPS), F.greatest(F.lit(1), F.ceil(n))).cast("int")
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.get(marks, F.floor(i * F.lit(STRIPS) / n).cast("int") - 1))).otherwise(F.array().cast("array<double>"))
+
+
+def _place(cuts: str, value: Column) -> Column:
+    return F.size(F.filter(cuts, lambda e: e <= value))
+
+
+class _Leaves:
+    """A cloud's plane cut into leaves of about ``LEAF`` reference points: strips along the first axis, each cut along the second. The cuts are
+    written out, so a task that runs again finds the same leaves. A leaf of many more points (copies of a place) is split by id."""
+
+    def __init__(self, ref: DataFrame, by: str, id_col: str, dims: tuple[str, ...]) -> None:
+        self.by, self.id_col, self.dims, self.key = by, id_col, dims, [by, "__strip", "__part", "__sub"]
+        a, b = dims[:2]
+        points = self.points(ref)
+        self.clouds = checkpointed(points.groupBy(by).agg(_cuts(a, F.sqrt(F.count("*") / F.lit(float(LEAF)))).alias("__xs")))
+        stripped = points.join(self.clouds, by).withColumn("__strip", _place("__xs", F.col(a))).drop("__xs")
+        cuts = checkpointed(stripped.groupBy(by, "__strip").agg(_cuts(b, F.count("*") / F.lit(float(LEAF))).alias("__ys")))
+        counts = stripped.join(cuts, [by, "__strip"]).groupBy(by, "__strip", _place("__ys", F.col(b)).alias("__part")).agg(F.ceil(F.count("*") / F.lit(4.0 * LEAF)).cast("int").alias("n"))
+        split = counts.where("n > 1").groupBy(by, "__strip").agg(F.map_from_entries(F.collect_list(F.struct("__part", "n"))).alias("__split"))
+        self.strips = checkpointed(cuts.join(split, [by, "__strip"], "left"))
+
+    def points(self, df: DataFrame) -> DataFrame:
+        """Id and places as doubles; rows without a place have no neighbours."""
+        return df.select(self.by, F.col(self.id_col).cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in self.dims)).dropna(subset=list(self.dims))
+
+    def _subs(self) -> Column:
+        return F.coalesce(F.col("__split")[F.col("__part")], F.lit(1))
+
+    def own(self, points: DataFrame) -> DataFrame:
+        """Each point in the leaf it lies in."""
+        a, b = self.dims[:2]
+        at = points.join(self.clouds, self.by).withColumn("__strip", _place("__xs", F.col(a))).drop("__xs").join(self.strips, [self.by, "__strip"], "left")
+        at = at.withColumn("__part", F.coalesce(_place("__ys", F.col(b)), F.lit(0)))
+        return at.withColumn("__sub", F.pmod(F.xxhash64("id"), self._subs()).cast("int")).drop("__ys", "__split")
+
+    def within(self, points: DataFrame, far: Column) -> DataFrame:
+        """Each point in every leaf that its square of half width ``far`` touches."""
+        a, b = self.dims[:2]
+        far = far * (1 + 1e-9) + 1e-12
+        at = points.join(self.clouds, self.by).withColumn("__strip", F.explode(F.sequence(_place("__xs", F.col(a) - far), _place("__xs", F.col(a) + far)))).drop("__xs")
+        at = at.join(self.strips, [self.by, "__strip"]).withColumn("__part", F.explode(F.sequence(_place("__ys", F.col(b) - far), _place("__ys", F.col(b) + far))))
+        return at.withColumn("__sub", F.explode(F.sequence(F.lit(0), self._subs() - 1))).drop("__ys", "__split")
+
+    def meet(self, queries: DataFrame, ref: DataFrame, limit: Column) -> DataFrame:
+        """Queries and reference points of a leaf as the groups of one table; ``limit`` is the squared distance to search."""
+        columns = [*self.key, "id", *self.dims]
+        q = queries.select(*columns, limit.cast("double").alias("limit"))
+        return q.unionByName(self.own(self.points(ref)).select(*columns, F.lit(None).cast("double").alias("limit"))).groupBy(*self.key)
+
+
+def _near(table: pa.Table, dims: tuple[str, ...], k: int | None, exclude_self: bool) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A leaf's queries (as a table) and, of each, the reference points within its limit, of these the ``k`` nearest: places of the queries, ids
+    and squared distances by (query, distance, id), and counts per query. Distances are computed for a few hundred queries at a time."""
+    is_query = pc.is_valid(table["limit"])
+    queries, refs = table.filter(is_query), table.filter(pc.invert(is_query)).sort_by("id")
+    ids, limit, own = refs["id"].to_numpy(), queries["limit"].to_numpy(), queries["id"].to_numpy()
+    q, r = ([t[c].to_numpy() for c in dims] for t in (queries, refs))
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    step = max(1, 2**19 // max(1, len(ids)))
+    for a in range(0, len(own), step):
+        d2 = np.zeros((len(own[a : a + step]), len(ids)))
+        for x, y in zip(q, r, strict=True):
+            away = y - x[a : a + step, None]
+            d2 += away * away
+        if exclude_self:
+            d2[own[a : a + step, None] == ids] = np.inf
+        cut = limit[a : a + step]
+        if k is not None and k < len(ids):
+            cut = np.minimum(cut, np.partition(d2, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero((d2 <= cut[:, None]) & (d2 < np.inf))
+        found.append((i + a, j, d2[i, j]))
+    i, j, d2 = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((j, d2, i))
+    i, j, d2 = i[order], j[order], d2[order]
+    count = np.bincount(i, minlength=len(own))
+    if k is not None:
+        keep = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) < k
+        i, j, d2, count = i[keep], j[keep], d2[keep], np.minimum(count, k)
+    return queries, i, ids[j], d2, count
+
+
+def _meet_pairs(leaves: _Leaves, queries: DataFrame, ref: DataFrame, limit: Column, k: int | None, exclude_self: bool) -> DataFrame:
+    """``(by, src, dst, d2)`` of what queries find in the leaves they were dealt to."""
+    by, dims = leaves.by, leaves.dims
+
+    def pairs(table: pa.Table) -> pa.Table:
+        queries, i, dst, d2, _ = _near(table, dims, k, exclude_self)
+        at = pa.array(i)
+        return pa.table({by: queries[by].take(at), "src": queries["id"].take(at), "dst": dst, "d2": d2})
+
+    return leaves.meet(queries, ref, limit).applyInArrow(pairs, f"`{by}` {ref.schema[by].dataType.simpleString()}, src long, dst long, d2 double")
+
+
+def knn(src: DataFrame, ref: DataFrame, k: int, by: str = "tile", id_col: str = "point_id", exclude_self: bool = False, dims: tuple[str, ...] = ("x", "y", "z"), pad: bool = False) -> DataFrame:
     """Exact k nearest neighbours within a cloud: ``(by, src, dst, rank, dist)``, rank from 1, equal distances to the lower id.
 
-    Round one searches the cells around a query, of a size at which the neighbourhood should hold about ``3 k`` points. A query is
-    final when its k-th distance is no more than the cell size, since all that is nearer was searched. The others
-    search again with doubled cells; what is left after ``rounds`` (the rim of sparse clouds) is finished by cloud with blocked
-    brute force. ``pad`` fills clouds with fewer than k points with ``dst = -1`` rows.
+    A query searches the leaf it lies in; its k-th distance bounds what may lie in other leaves, and only queries whose bound
+    reaches over their leaf's edges go on to the leaves touched. Leaves hold about equal numbers of points, so dense and sparse places cost the
+    same. A query that finds fewer than k in its own leaf searches the whole cloud. ``pad`` fills clouds with fewer than k points with
+    ``dst = -1`` rows.
     """
-    box = ref.groupBy(by).agg(F.count("*").alias("__n"), *((F.max(c) - F.min(c)).alias(f"__w{c}") for c in dims))
-    # Spacing from the occupied volume; flat axes count as one unit of the largest.
-    widest = F.greatest(*(F.col(f"__w{c}") for c in dims), F.lit(1e-9))
-    volume = None
-    for c in dims:
-        w = F.greatest(F.col(f"__w{c}"), widest * 1e-3)
-        volume = w if volume is None else volume * w
-    base = F.pow(volume * F.lit(float(k + 1)) / F.col("__n") / F.lit(3.0 if len(dims) == 3 else 2.0), F.lit(1.0 / len(dims)))
-    sizes = box.select(by, F.greatest(base, widest * 1e-6, F.lit(1e-9)).alias("__cell"))
-    out: DataFrame | None = None
-    todo = src
-    for turn in range(rounds):
-        size = F.col("__cell") * F.lit(float(2**turn))
-        near = candidate_pairs(todo.join(sizes, by), ref.join(sizes, by), size, by, id_col, dims)
-        if exclude_self:
-            near = near.where("src <> dst")
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(by, "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-        kth = ranked.groupBy(by, "src").agg(F.max("d2").alias("__far"), F.count("*").alias("__k"))
-        final = kth.join(sizes, by).where((F.col("__k") == k) & (F.col("__far") <= size * size)).select(by, "src")
-        found = checkpointed(ranked.join(final, [by, "src"]))
-        out = found if out is None else out.unionByName(found)
-        todo = checkpointed(todo.join(found.select(by, F.col("src").alias(id_col)).distinct(), [by, id_col], "left_anti"))
-        if todo.isEmpty():
-            break
-    if not todo.isEmpty():
-        out = out.unionByName(_brute_knn(todo, ref, k, by, id_col, exclude_self, dims))
-    out = out.select(by, "src", "dst", F.col("rank").cast("int").alias("rank"), F.sqrt("d2").alias("dist"))
+    leaves = _Leaves(ref, by, id_col, dims)
+    kind = ref.schema[by].dataType.simpleString()
+    lead = [*leaves.key, "id", *dims]
+
+    def lists(table: pa.Table) -> pa.Table:
+        queries, _, dst, d2, count = _near(table, dims, k, exclude_self)
+        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        far = np.full(len(count), np.inf)
+        far[count == k] = d2[ends[1:][count == k] - 1]
+        return pa.table({**{c: queries[c] for c in lead}, "dst": pa.ListArray.from_arrays(ends, dst), "d2": pa.ListArray.from_arrays(ends, d2), "far": far})
+
+    places = ", ".join(f"`{c}` double" for c in dims)
+    first = leaves.meet(leaves.own(leaves.points(src)), ref, F.lit(float("inf"))).applyInArrow(lists, f"`{by}` {kind}, __strip int, __part int, __sub int, id long, {places}, dst array<long>, d2 array<double>, far double")
+    first = checkpointed(first)
+    home = first.select(*(F.col(c).alias(f"{c}_home") if c in leaves.key[1:] else F.col(c) for c in lead), "far")
+    further = leaves.within(home, F.sqrt("far")).where(" or ".join(f"{c} <> {c}_home" for c in leaves.key[1:]))
+    more = checkpointed(_meet_pairs(leaves, further, ref, F.col("far"), k, exclude_self))
+    ranked = first.select(by, F.col("id").alias("src"), F.posexplode(F.arrays_zip("dst", "d2")).alias("__p", "__e")).select(by, "src", "__e.dst", "__e.d2", (F.col("__p") + 1).alias("rank"))
+    moved = more.select(by, "src").distinct()
+    whole = ranked.join(moved, [by, "src"], "left_anti")
+    again = ranked.join(moved, [by, "src"], "left_semi").select(by, "src", "dst", "d2").unionByName(more)
+    again = again.withColumn("rank", F.row_number().over(Window.partitionBy(by, "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
+    out = whole.unionByName(again).select(by, "src", "dst", F.col("rank").cast("int").alias("rank"), F.sqrt("d2").alias("dist"))
     if pad:
         want = src.select(by, F.col(id_col).alias("src")).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
         out = want.join(out, [by, "src", "rank"], "left").select(by, "src", F.coalesce("dst", F.lit(-1).cast("long")).alias("dst"), "rank", "dist")
     return out
 
 
-def _brute_knn(src: DataFrame, ref: DataFrame, k: int, by: str, id_col: str, exclude_self: bool, dims: tuple[str, ...], block: int = 2048) -> DataFrame:
-    """Blocked brute force: reference points are dealt into blocks, each block gives every remaining query its k nearest, the blocks'
-    lists are merged. Queries and a block of a cloud meet in one task; neither grows with the cloud."""
-    kind = src.schema[by].dataType.simpleString()
-    q = src.select(by, F.col(id_col).alias("id"), *dims, F.lit(True).alias("query"))
-    q = q.withColumn("qb", F.floor(F.row_number().over(Window.partitionBy(by).orderBy("id")) / block))
-    r = ref.select(by, F.col(id_col).alias("id"), *dims, F.lit(False).alias("query"))
-    r = r.withColumn("rb", F.floor(F.row_number().over(Window.partitionBy(by).orderBy("id")) / block))
-    qbs, rbs = q.select(by, "qb").distinct(), r.select(by, "rb").distinct()
-    left = q.join(rbs, by).select(by, "qb", "rb", "id", *dims, "query")
-    right = r.join(qbs, by).select(by, "qb", "rb", "id", *dims, "query")
-
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["query"]], frame[~frame["query"]].sort_values("id")
-        d2 = np.zeros((len(a), len(b)))
-        for c in dims:
-            d2 += (a[c].to_numpy()[:, None] - b[c].to_numpy()) ** 2
-        ids = b.id.to_numpy()
-        if exclude_self:
-            d2[a.id.to_numpy()[:, None] == ids] = np.inf
-        take = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({by: frame[by].iloc[0], "src": np.repeat(a.id.to_numpy(), take.shape[1]), "dst": ids[take].ravel(), "d2": np.take_along_axis(d2, take, 1).ravel()})
-        return out[np.isfinite(out.d2)]
-
-    lists = left.unionByName(right).groupBy(by, "qb", "rb").applyInPandas(near, f"{by} {kind}, src long, dst long, d2 double")
-    return lists.withColumn("rank", F.row_number().over(Window.partitionBy(by, "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-
-
 def radius_edges(src: DataFrame, ref: DataFrame, radius: float, by: str = "tile", id_col: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """All ``(by, src, dst, d2)`` with ``d2 <= radius²``, self pairs included: cells of the radius' size, one equi join."""
-    return candidate_pairs(src, ref, radius, by, id_col, dims).where(F.col("d2") <= F.lit(float(radius) ** 2))
+    """All ``(by, src, dst, d2)`` with ``d2 <= radius²``, self pairs included: queries go to the leaves that their ball touches."""
+    leaves = _Leaves(ref, by, id_col, dims)
+    return _meet_pairs(leaves, leaves.within(leaves.points(src), F.lit(float(radius))), ref, F.lit(float(radius) ** 2), None, False)
 
 
 def csr(edges: DataFrame, by: str = "tile") -> DataFrame:
@@ -131,7 +187,7 @@ def ball_query(src: DataFrame, ref: DataFrame, radius: float, n: int, least: flo
     ``n`` in a hashed order. ``pad`` fills up with ``dst = -1``.
     """
     d2 = F.col("d2")
-    near = candidate_pairs(src, ref, radius, by, id_col).where((d2 <= 1e-5) | ((d2 >= F.lit(float(least) ** 2)) & (d2 < F.lit(float(radius) ** 2))))
+    near = radius_edges(src, ref, max(radius, 0.0032), by, id_col).where((d2 <= 1e-5) | ((d2 >= F.lit(float(least) ** 2)) & (d2 < F.lit(float(radius) ** 2))))
     key = [F.col("d2"), F.col("dst")] if order == "nearest" else [unit_hash(seed, "src", "dst"), F.col("dst")]
     per = Window.partitionBy(by, "src")
     ranked = near.withColumn("i", F.row_number().over(per.orderBy(*key)) - 1).withColumn("c", F.count("*").over(per))

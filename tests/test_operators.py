@@ -45,6 +45,28 @@ def test_knn_equals_brute_force(spark, exclude):
     assert got == brute_knn(xyz, 6, exclude)
 
 
+@pytest.mark.parametrize("exclude", [False, True])
+def test_knn_over_many_leaves(spark, monkeypatch, exclude):
+    """A dense core, a far rim, copies of one place, places that share an axis, and rows without a place."""
+    monkeypatch.setattr(neighbors, "LEAF", 16)
+    g = np.random.default_rng(4)
+    xyz = np.concatenate([g.normal(0, 0.01, (300, 3)), g.uniform(-1e4, 1e4, (60, 3)), np.full((150, 3), 7.0), np.c_[np.full(100, 3.0), g.uniform(0, 5, (100, 2))]])
+    xyz[5, 0] = np.nan
+    pts = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)], "tile int, point_id long, x double, y double, z double")
+    pts = pts.withColumn("x", F.when(F.col("point_id") != 5, F.col("x")))
+    got = neighbors.knn(pts, pts, 6, exclude_self=exclude).toPandas().sort_values(["src", "rank"]).groupby("src").dst.apply(list).to_dict()
+    want = {}
+    for i, p in enumerate(xyz):
+        d = sum((xyz[:, c] - p[c]) ** 2 for c in range(3))
+        near = [j for j in np.argsort(d, kind="stable") if np.isfinite(d[j]) and not (exclude and i == j)]
+        if i != 5:
+            want[i] = near[:6]
+    assert got == want
+    edges = neighbors.radius_edges(pts, pts, 2.0).toPandas()
+    assert set(zip(edges.src, edges.dst, strict=True)) == {(i, j) for i in want for j in want if sum((xyz[j, c] - xyz[i, c]) ** 2 for c in range(3)) <= 4.0}
+    assert len(edges) == len(edges.drop_duplicates(["src", "dst"]))
+
+
 def test_knn_of_small_cloud_is_padded(spark):
     pts = cloud(spark, [[0, 0, 0], [1, 0, 0]])
     got = neighbors.knn(pts, pts, 4, pad=True).toPandas().sort_values(["src", "rank"])

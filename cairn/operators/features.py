@@ -256,65 +256,133 @@ def instance_boxes(pts: DataFrame, by: str = "tile", instance: str = "instance",
     return out.withColumn("class", F.col("class") - shift).withColumn("new_id", F.dense_rank().over(Window.partitionBy(by).orderBy(instance)) - 1)
 
 
-def _windows(pts: DataFrame, by: str, starts: int, width: float, axes: str) -> DataFrame:
-    box = pts.groupBy(by).agg(*(f(c).alias(f"__{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))))
-    return box.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-
-
-def section_scan(pts: DataFrame, slabs: int = 19, width: float = 2.0, starts: int = 7, length: float = 40.0, least: int = 50, by: str = "tile", col: str = "classification", target: str | None = None, preds: Sequence[str] = ()) -> DataFrame:
-    """Vertical sections of every tile: per axis, ``slabs`` thin slabs across it at even places, cut into windows of ``length`` at ``starts`` even
-    starts: points, relief, number of classes, accuracy of each method, score."""
+def _hits(place: Column, width: Column, first: Column, pitch: Column, last: int) -> Column:
+    """Numbers ``i`` from 0 to ``last`` of windows ``[first + i * pitch, first + i * pitch + width]`` that may hold ``place``, one more at each end
+    against rounding; all of them where the windows coincide."""
+    low, high = F.ceil((place - width - first) / pitch) - 1, F.floor((place - first) / pitch) + 1
+    ends = [F.coalesce(F.when(pitch > 0, c), F.lit(d)).cast("int") for c, d in ((low, 0), (high, last))]
+    low, high = F.greatest(ends[0], F.lit(0)), F.least(ends[1], F.lit(last))
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+
+def section_scan(
+    pts: DataFrame, preds: Sequence[str], classes: Sequence[int], slabs: int = 19, thickness: float = 2.0, starts: int = 7, length: float = 40.0, least: int = 350, relief: float = 3.0, share: float = 0.05, by: str = "tile", target: str = "classification"
+) -> DataFrame:
+    """Vertical sections of every tile, per horizontal axis: ``slabs`` slabs across it from 8 % to 92 % of the other extent, each cut into windows
+    of ``length`` at ``starts`` even starts.
+
+    A section counts when it has ``least`` points of the ``classes``, two classes of at least ``share`` and a relief (p95 - p05 of z) of ``relief``.
+    ``(by, axis, slab, start, center, begin, n, relief, n_classes, acc_<method>..., gain, support, score)``: ``gain`` is the last method's accuracy over the
+    mean of the others, ``support`` counts points that it has right and at least two others wrong; the score is
+    ``(gain * sqrt(n) + 0.012 * sqrt(support)) * min(relief / 10, 1)``. A point is sent only to the windows that hold it.
+    """
+    valid = pts.where(F.col(target).isin(list(classes)))
+    box = pts.groupBy(by).agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
     cuts = []
     for axis, across in (("x", "y"), ("y", "x")):
-        box = pts.groupBy(by).agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"), F.min(across).alias("alo"), F.max(across).alias("ahi"))
-        at = box.withColumn("slab", F.explode(F.sequence(F.lit(1), F.lit(slabs)))).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-        mid = F.col("alo") + (F.col("ahi") - F.col("alo")) * F.col("slab") / F.lit(float(slabs + 1))
-        begin = F.col("lo") + F.greatest(F.lit(0.0), F.col("hi") - F.col("lo") - F.lit(length)) * F.col("start") / F.lit(float(max(1, starts - 1)))
-        rows = pts.join(at, by).where((F.abs(F.col(across) - mid) <= width / 2) & (F.col(axis) >= begin) & (F.col(axis) < begin + F.lit(length)))
-        cuts.append(rows.withColumn("axis", F.lit(axis)))
+        reach = F.least(F.lit(float(length)), F.col(f"hi{axis}") - F.col(f"lo{axis}"))
+        span = F.col(f"hi{across}") - F.col(f"lo{across}")
+        at = box.select(
+            by, F.lit(axis).alias("axis"), reach.alias("__l"), F.col(f"lo{axis}").alias("__lo"), ((F.col(f"hi{axis}") - reach - F.col(f"lo{axis}")) / F.lit(float(max(1, starts - 1)))).alias("__pitch"),
+            F.col(f"lo{across}").alias("__alo"), span.alias("__span"),
+        )
+        cuts.append(valid.withColumns({"__u": F.col(axis), "__v": F.col(across)}).join(at, by))
     rows = cuts[0].unionByName(cuts[1])
-    right = [F.avg((F.col(p) == F.col(target)).cast("double")).alias(f"acc_{p}") for p in preds] if target else []
-    out = rows.groupBy(by, "axis", "slab", "start").agg(F.count("*").alias("n"), (F.max("z") - F.min("z")).alias("relief"), F.count_distinct(col).alias("n_classes"), *right).where(F.col("n") >= least)
-    gain = F.col(f"acc_{preds[-1]}") - F.col(f"acc_{preds[0]}") if target and len(preds) > 1 else F.lit(0.0)
-    return out.withColumn("score", gain * 10 + F.col("n_classes") + F.log1p("relief"))
-
+    step, half = F.col("__span") * F.lit(0.84 / max(1, slabs - 1)), F.lit(thickness / 2)
+    rows = rows.withColumn("slab", F.explode(_hits(F.col("__v"), F.lit(float(thickness)), F.col("__alo") + F.col("__span") * 0.08 - half, step, slabs - 1)))
+    rows = rows.withColumn("center", F.col("__alo") + F.col("__span") * (F.lit(0.08) + F.col("slab") * F.lit(0.84 / max(1, slabs - 1)))).where(F.abs(F.col("__v") - F.col("center")) <= half)
+    rows = rows.withColumn("start", F.explode(_hits(F.col("__u"), F.col("__l"), F.col("__lo"), F.col("__pitch"), starts - 1)))
+    rows = rows.withColumn("begin", F.col("__lo") + F.col("__pitch") * F.col("start")).where((F.col("__u") >= F.col("begin")) & (F.col("__u") <= F.col("begin") + F.col("__l")))
+    right = {m: (F.col(m) == F.col(target)).cast("double") for m in preds}
+    *others, main = preds
+    both = (right[main] == 1) & (sum((1 - right[m] for m in others), F.lit(0.0)) >= 2)
+    parts = [F.count_if(F.col(target) == c).alias(f"__n{i}") for i, c in enumerate(classes)]
+    told = rows.groupBy(by, "axis", "slab", "start", "center", "begin").agg(
+        F.count("*").alias("n"), F.percentile("z", F.array(F.lit(0.05), F.lit(0.95))).alias("__z"), *parts, *(F.avg(right[m]).alias(f"acc_{m}") for m in preds), F.count_if(both).alias("support")
+    )
+    told = told.withColumn("relief", F.col("__z")[1] - F.col("__z")[0]).withColumn("n_classes", sum((F.when(F.col(f"__n{i}") >= F.col("n") * F.lit(float(share)), 1).otherwise(0) for i in range(len(classes))), F.lit(0)))
+    told = told.where((F.col("n") >= least) & (F.col("n_classes") >= 2) & (F.col("relief") >= relief))
+    told = told.withColumn("gain", F.col(f"acc_{main}") - sum((F.col(f"acc_{m}") for m in others), F.lit(0.0)) / F.lit(float(max(1, len(others)))))
+    score = (F.col("gain") * F.sqrt("n") + 0.012 * F.sqrt("support")) * F.least(F.col("relief") / 10, F.lit(1.0))
+    return told.withColumn("score", score).select(by, "axis", "slab", "start", "center", "begin", "n", "relief", "n_classes", *(f"acc_{m}" for m in preds), "gain", "support", "score")
+
+
+def section_bins(rows: DataFrame, high: int, low: int, size: float = 5.0, bins: int = 10, least: int = 8, each: int = 3, gap: float = 2.0, by: Sequence[str] = ("tile",), along: str = "along", col: str = "classification") -> DataFrame:
+    """Bins of ``size`` along sections (``along`` is the distance from a section's start, the first ``bins`` count): ``mixed`` bins have ``least`` points of the two
+    classes or others and ``each`` of both classes; in ``overlap`` ones the median height of ``high`` is ``gap`` or more over that of ``low``. ``weight`` is
+    the factor of the screen's score: ``gain * sqrt(n)`` times it. Sections without such bins have zeros."""
+    at = rows.withColumn("__bin", F.floor(F.col(along) / F.lit(float(size))))
+    inside = F.col("__bin").between(0, bins - 1)
+    told = at.groupBy(*by, F.when(inside, F.col("__bin")).alias("__bin")).agg(
+        F.count("*").alias("n"), *(f.alias(f"{p}{i}") for i, c in enumerate((high, low)) for p, f in (("c", F.count_if(F.col(col) == c)), ("m", F.percentile(F.when(F.col(col) == c, F.col("z")), 0.5))))
+    )
+    mixed = F.col("__bin").isNotNull() & (F.col("n") >= least) & (F.col("c0") >= each) & (F.col("c1") >= each)
+    out = told.groupBy(*by).agg(F.count_if(mixed).alias("mixed"), F.count_if(mixed & (F.col("m0") - F.col("m1") >= gap)).alias("overlap"))
+    return out.withColumn("weight", 1 + F.lit(0.1) * F.col("overlap"))
 
-def section_bins(pts: DataFrame, bin_size: float, low_class: int, high_class: int, gap: float = 2.0, by: Sequence[str] = ("tile",), along: str = "x", col: str = "classification") -> DataFrame:
-    """Bins along a section where two classes coexist, and those where their median heights differ by at least ``gap``."""
-    bins = pts.groupBy(*by, F.floor(F.col(along) / F.lit(bin_size)).alias("bin")).agg(*(F.percentile(F.when(F.col(col) == c, F.col("z")), 0.5).alias(f"m{i}") for i, c in enumerate((low_class, high_class))))
-    both = F.col("m0").isNotNull() & F.col("m1").isNotNull()
-    return bins.groupBy(*by).agg(F.count_if(both).alias("coexist"), F.count_if(both & (F.abs(F.col("m1") - F.col("m0")) >= gap)).alias("apart"))
 
+def crop_scan(
+    pts: DataFrame, preds: Sequence[str], classes: Sequence[int], size: float = 50.0, steps: int = 5, least: int = 2500, coverage: float = 0.97, span: float | None = None, share: float = 0.0, least_classes: int = 0, by: str = "tile", target: str = "classification"
+) -> DataFrame:
+    """Square crops at ``steps`` x ``steps`` even places of every tile.
 
-def crop_scan(pts: DataFrame, size: float, least: int = 100, least_classes: int = 2, least_cells: int = 20, steps: int = 5, by: str = "tile", target: str = "classification", preds: Sequence[str] = ("pred",)) -> DataFrame:
-    """Candidate square crops, ``steps`` x ``steps`` even places per tile: points, classes, occupied cells of a 10x10 grid, accuracy per method; the
-    best (first method's accuracy, then points) is ``best``."""
-    box = pts.groupBy(by).agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
-    at = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    A crop counts with ``least`` points of the ``classes``, ``least_classes`` classes of at least ``share``, a ``coverage`` of the cells of its 10 x 10
+    grid, and points that span ``span`` (by default the size less 1) in x and y. ``(by, i, j, x0, y0, n, n_classes, coverage, miou_<method>..., gain, best)``: IoU is the mean
+    over the classes present; ``gain`` is the last method's over the best of the others, and the crop of the most is ``best``. In a tile
+    smaller than the crop all places are one.
+    """
+    box = pts.groupBy(by).agg(*(f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    rows = pts.where(F.col(target).isin(list(classes))).join(box, by)
     for c, k in (("x", "i"), ("y", "j")):
-        at = at.withColumn(f"a{c}", F.col(f"lo{c}") + F.greatest(F.lit(0.0), F.col(f"hi{c}") - F.col(f"lo{c}") - F.lit(size)) * F.col(k) / F.lit(float(max(1, steps - 1))))
-    rows = pts.join(at.select(by, "i", "j", "ax", "ay"), by).where((F.col("x") >= F.col("ax")) & (F.col("x") < F.col("ax") + size) & (F.col("y") >= F.col("ay")) & (F.col("y") < F.col("ay") + size))
-    cell = F.floor((F.col("x") - F.col("ax")) * 10 / F.lit(size)) * 10 + F.floor((F.col("y") - F.col("ay")) * 10 / F.lit(size))
-    out = rows.groupBy(by, "i", "j").agg(F.count("*").alias("n"), F.count_distinct(target).alias("n_classes"), F.count_distinct(cell).alias("n_cells"), *(F.avg((F.col(p) == F.col(target)).cast("double")).alias(f"acc_{p}") for p in preds))
-    ok = out.where((F.col("n") >= least) & (F.col("n_classes") >= least_classes) & (F.col("n_cells") >= least_cells))
-    return ok.withColumn("best", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(f"acc_{preds[0]}"), F.desc("n"), "i", "j")) == 1)
-
-
-def structure_score(pts: DataFrame, cells: int = 32, by: str = "tile", col: str = "classification") -> DataFrame:
-    """How structured a tile is: share of occupied neighbouring cell pairs whose majority classes differ per occupied cell, relief p95 - p05,
-    entropy of the class mix over the log of the class count, and their combination."""
-    box = pts.groupBy(by).agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"), (F.percentile("z", 0.95) - F.percentile("z", 0.05)).alias("relief"))
-    g = lambda c: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(f"l{c}")) * cells / F.greatest(F.col(f"h{c}") - F.col(f"l{c}"), F.lit(1e-9))))
-    counts = pts.join(box, by).groupBy(by, g("x").alias("cx"), g("y").alias("cy"), col).agg(F.count("*").alias("n"))
+        pitch = F.greatest(F.lit(0.0), F.col(f"__hi{c}") - F.lit(float(size)) - F.col(f"__lo{c}")) / F.lit(float(max(1, steps - 1)))
+        hits = F.when(pitch > 0, _hits(F.col(c), F.lit(float(size)), F.col(f"__lo{c}"), pitch, steps - 1)).otherwise(F.array(F.lit(0)))
+        rows = rows.withColumn(k, F.explode(hits)).withColumn(f"{c}0", F.col(f"__lo{c}") + pitch * F.col(k))
+        rows = rows.where((F.col(c) >= F.col(f"{c}0")) & (F.col(c) <= F.col(f"{c}0") + F.lit(float(size))))
+    cell = [F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.lit(float(size)) * 10), F.lit(9)) for c in "xy"]
+    t = F.col(target)
+    counts = [f.alias(f"__{p}{i}") for i, c in enumerate(classes) for p, f in [("t", F.count_if(t == c)), *((f"{n}_{m}_", F.count_if(g)) for m in preds for n, g in (("i", (t == c) & (F.col(m) == c)), ("p", F.col(m) == c)))]]
+    told = rows.groupBy(by, "i", "j", "x0", "y0").agg(F.count("*").alias("n"), (F.count_distinct(cell[0] * 10 + cell[1]) / F.lit(100)).alias("coverage"), *((F.max(c) - F.min(c)).alias(f"__w{c}") for c in "xy"), *counts)
+    places = range(len(classes))
+    told = told.withColumn("n_classes", sum((F.when((F.col(f"__t{i}") > 0) & (F.col(f"__t{i}") >= F.col("n") * F.lit(float(share))), 1).otherwise(0) for i in places), F.lit(0)))
+    wide = size - 1 if span is None else span
+    told = told.where((F.col("n") >= least) & (F.col("n_classes") >= least_classes) & (F.col("coverage") >= coverage) & (F.least("__wx", "__wy") >= wide))
+    present = sum((F.when(F.col(f"__t{i}") > 0, 1.0).otherwise(0.0) for i in places), F.lit(0.0))
+    for m in preds:
+        iou = [F.when(F.col(f"__t{i}") > 0, F.col(f"__i_{m}_{i}") / (F.col(f"__t{i}") + F.col(f"__p_{m}_{i}") - F.col(f"__i_{m}_{i}"))).otherwise(0.0) for i in places]
+        told = told.withColumn(f"miou_{m}", sum(iou, F.lit(0.0)) / present)
+    *others, main = (F.col(f"miou_{m}") for m in preds)
+    told = told.withColumn("gain", main - (F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0)))
+    told = told.withColumn("best", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("gain"), "i", "j")) == 1)
+    return told.select(by, "i", "j", "x0", "y0", "n", "n_classes", "coverage", *(f"miou_{m}" for m in preds), "gain", "best")
+
+
+def structure_score(pts: DataFrame, classes: Sequence[int], required: Sequence[tuple[Sequence[int], float]], small: tuple[Sequence[int], float] | None = None, relief_scale: float | None = None, least: int = 5000, cells: int = 32, by: str = "tile", col: str = "classification") -> DataFrame:
+    """How structured a tile is: ``(by, n, occupied, edges, boundary, relief, entropy, score)`` of tiles with ``least`` points of the ``classes``.
+
+    ``boundary`` is the share of neighbouring occupied cells (of ``cells`` x ``cells``) whose majority classes differ, per occupied cell; ``entropy`` that of the
+    class mix over the log of the number of classes. The score is 3 times the least of 1 and the ``required`` classes' shares over their
+    wanted shares, the ``small`` classes' share over its wanted one (at most 1), twice the boundary, relief over ``relief_scale`` (at most 1), and the entropy.
+    """
+    box = pts.groupBy(by).agg(*(f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))), F.percentile("z", F.array(F.lit(0.05), F.lit(0.95))).alias("__z")).withColumn("relief", F.col("__z")[1] - F.col("__z")[0])
+    g = lambda c: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(f"__lo{c}")) / F.greatest(F.col(f"__hi{c}") - F.col(f"__lo{c}"), F.lit(1e-4)) * cells)).cast("int")
+    valid = pts.where(F.col(col).isin(list(classes)))
+    counts = valid.join(box, by).groupBy(by, g("x").alias("cx"), g("y").alias("cy"), col).agg(F.count("*").alias("n"))
     major = counts.groupBy(by, "cx", "cy").agg(F.min_by(col, F.struct(-F.col("n"), F.col(col))).alias("m"))
     occupied = major.groupBy(by).agg(F.count("*").alias("occupied"))
     step = F.explode(F.array(F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")), F.struct(F.lit(0).alias("i"), F.lit(1).alias("j"))))
     sent = major.select(by, "cx", "cy", F.col("m").alias("m0"), step.alias("o")).select(by, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), "m0")
     edges = sent.join(major, [by, "cx", "cy"]).groupBy(by).agg(F.count_if(F.col("m0") != F.col("m")).alias("edges"))
-    mix = pts.groupBy(by, col).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
-    ent = mix.groupBy(by).agg((F.sum(-F.col("p") * F.log("p")) / F.greatest(F.log(F.count("*").cast("double")), F.lit(1e-9))).alias("entropy"))
-    out = occupied.join(edges, by, "left").na.fill(0, ["edges"]).join(box.select(by, "relief"), by).join(ent, by)
-    return out.withColumn("boundary", F.col("edges") / F.col("occupied")).withColumn("score", F.col("boundary") + F.col("entropy") + F.log1p("relief") / 4)
+    mix = valid.groupBy(by).agg(F.count("*").alias("n"), *((F.count_if(F.col(col) == c) / F.count("*")).alias(f"__p{i}") for i, c in enumerate(classes)))
+    share = lambda some: sum((F.col(f"__p{list(classes).index(c)}") for c in some), F.lit(0.0))
+    entropy = sum((F.when(F.col(f"__p{i}") > 0, -F.col(f"__p{i}") * F.log(f"__p{i}")).otherwise(0.0) for i in range(len(classes))), F.lit(0.0)) / F.lit(float(np.log(max(2, len(classes)))))
+    out = mix.where(F.col("n") >= least).join(occupied, by).join(edges, by, "left").na.fill(0, ["edges"]).join(box.select(by, "relief"), by)
+    out = out.withColumn("entropy", entropy).withColumn("boundary", F.col("edges") / F.col("occupied"))
+    score = 3 * F.least(F.lit(1.0), F.lit(1.0), *(share(some) / F.lit(float(want)) for some, want in required)) + 2 * F.col("boundary") + F.col("entropy")
+    if small is not None:
+        score = score + F.least(share(small[0]) / F.lit(float(small[1])), F.lit(1.0))
+    if relief_scale is not None:
+        score = score + F.least(F.col("relief") / F.lit(float(relief_scale)), F.lit(1.0))
+    return out.withColumn("score", score).select(by, "n", "occupied", "edges", "boundary", "relief", "entropy", "score")
 
 
 def to_array(c: str) -> Column:

@@ -244,10 +244,30 @@ _E = "em AS (SELECT vec_id, label, list_transform(e, lambda x: x / greatest(sqrt
 query("a33_knn_probe", lambda t: features.knn_probe(*_probe_sets(t), k=5).select("vec_id", "prediction"), "SELECT vec_id, CAST(arg_min(label, (-w, label)) AS INT) AS prediction FROM (SELECT vec_id, label, sum(1 / (greatest(d, 0) + 1e-6)) AS w FROM (SELECT a.vec_id, b.label, 1 - list_dot_product(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY 1 - list_dot_product(a.v, b.v), b.vec_id) AS k FROM em a JOIN em b ON a.vec_id % 4 = 0 AND b.vec_id % 4 > 0) WHERE k <= 5 GROUP BY 1, 2) GROUP BY 1", _E)
 query("a61_permute_features", lambda t: features.permute_features(EM(t), "rows", 3, ["label"]).select("vec_id", F.col("feature")[0].cast("double").alias("f0")), "SELECT a.vec_id, b.f0 FROM pa a JOIN pb b USING (label, r)", f"pa AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {U('3/a', 'vec_id')}, vec_id) AS r FROM embeddings), pb AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS f0, row_number() OVER (PARTITION BY label ORDER BY {U('3/b', 'vec_id')}, vec_id) AS r FROM embeddings)")
 query("a61_permute_dims", lambda t: features.permute_features(EM(t), "dims", 3).select(F.posexplode("feature").alias("i", "v")).groupBy("i").agg(F.count("*").alias("n")), "SELECT CAST(i AS INT) AS i, (SELECT count(*) FROM embeddings) AS n FROM range(0, (SELECT max(len(embedding)) FROM embeddings)) r(i)")
-query("a40_section_scan", lambda t: r6(features.section_scan(t.pts, 3, 16.0, 2, 60.0, 5, target="classification", preds=["pred2", "pred"]), "score", "acc_pred2", "acc_pred"), f"SELECT tile, axis, slab, start, count(*) AS n, max(z) - min(z) AS relief, count(DISTINCT classification) AS n_classes, {rnd('avg(CASE WHEN pred2 = classification THEN 1.0::DOUBLE ELSE 0 END)')} AS acc_pred2, {rnd('avg(CASE WHEN pred = classification THEN 1.0::DOUBLE ELSE 0 END)')} AS acc_pred, {rnd('(avg(CASE WHEN pred = classification THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN pred2 = classification THEN 1.0::DOUBLE ELSE 0 END)) * 10 + count(DISTINCT classification) + ln(1 + max(z) - min(z))')} AS score FROM sc WHERE abs(v - (v0 + (v1 - v0) * slab / 4)) <= 8 AND u >= u0 + greatest(0, u1 - u0 - 60) * start AND u < u0 + greatest(0, u1 - u0 - 60) * start + 60 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5", "bo AS (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1), sc AS (SELECT p.*, 'x' AS axis, x AS u, y AS v, x0 AS u0, x1 AS u1, y0 AS v0, y1 AS v1, CAST(slab AS INT) AS slab, CAST(start AS INT) AS start FROM pts p JOIN bo USING (tile), range(1, 4) a(slab), range(0, 2) b(start) UNION ALL SELECT p.*, 'y', y, x, y0, y1, x0, x1, CAST(slab AS INT), CAST(start AS INT) FROM pts p JOIN bo USING (tile), range(1, 4) a(slab), range(0, 2) b(start))")
-query("a64_section_bins", lambda t: features.section_bins(t.pts, 5.0, 1, 2), "SELECT tile, count(*) FILTER (m0 IS NOT NULL AND m1 IS NOT NULL) AS coexist, count(*) FILTER (m0 IS NOT NULL AND m1 IS NOT NULL AND abs(m1 - m0) >= 2) AS apart FROM (SELECT tile, floor(x / 5) AS bin, quantile_cont(z, 0.5) FILTER (classification = 1) AS m0, quantile_cont(z, 0.5) FILTER (classification = 2) AS m1 FROM pts GROUP BY 1, 2) GROUP BY 1")
-query("a62_crop_scan", lambda t: r6(features.crop_scan(t.pts, 50.0, 20, 2, 5), "acc_pred").select("tile", "i", "j", "n", "n_classes", "n_cells", "acc_pred"), f"SELECT tile, CAST(i AS INT) AS i, CAST(j AS INT) AS j, count(*) AS n, count(DISTINCT classification) AS n_classes, count(DISTINCT floor((x - ax) * 10 / 50) * 10 + floor((y - ay) * 10 / 50)) AS n_cells, {rnd('avg(CASE WHEN pred = classification THEN 1.0::DOUBLE ELSE 0 END)')} AS acc_pred FROM (SELECT p.*, i, j, x0 + greatest(0, x1 - x0 - 50) * i / 4 AS ax, y0 + greatest(0, y1 - y0 - 50) * j / 4 AS ay FROM pts p JOIN (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1) USING (tile), range(0, 5) a(i), range(0, 5) b(j)) WHERE x >= ax AND x < ax + 50 AND y >= ay AND y < ay + 50 GROUP BY 1, 2, 3 HAVING count(*) >= 20 AND count(DISTINCT classification) >= 2 AND count(DISTINCT floor((x - ax) * 10 / 50) * 10 + floor((y - ay) * 10 / 50)) >= 5")
-query("a63_structure_score", lambda t: r6(features.structure_score(t.pts, 8), "boundary", "entropy", "relief").select("tile", "occupied", "edges", "boundary", "entropy", "relief"), f"SELECT tile, occupied, coalesce(edges, 0) AS edges, {rnd('coalesce(edges, 0) / occupied')} AS boundary, {rnd('entropy')} AS entropy, {rnd('relief')} AS relief FROM (SELECT tile, count(*) AS occupied FROM mj GROUP BY 1) LEFT JOIN (SELECT a.tile, count(*) FILTER (a.m <> b.m) AS edges FROM mj a JOIN mj b ON a.tile = b.tile AND (b.cx = a.cx + 1 AND b.cy = a.cy OR b.cx = a.cx AND b.cy = a.cy + 1) GROUP BY 1) USING (tile) JOIN (SELECT tile, quantile_cont(z, 0.95) - quantile_cont(z, 0.05) AS relief FROM pts GROUP BY 1) USING (tile) JOIN (SELECT tile, sum(-p * ln(p)) / ln(count(*)) AS entropy FROM (SELECT tile, count(*) / sum(count(*)) OVER (PARTITION BY tile) AS p FROM pts GROUP BY tile, classification) GROUP BY 1) USING (tile)", "cg AS (SELECT tile, classification, least(7, floor((x - x0) * 8 / (x1 - x0))) AS cx, least(7, floor((y - y0) * 8 / (y1 - y0))) AS cy FROM pts JOIN (SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1) USING (tile)), mj AS (SELECT tile, cx, cy, arg_min(classification, (-n, classification)) AS m FROM (SELECT tile, cx, cy, classification, count(*) AS n FROM cg GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)")
+#: A third method for the scans: right for every other point.
+_P3, _P3_SQL = F.when(F.col("point_id") % 2 == 0, F.col("classification")).otherwise(1), "CASE WHEN point_id % 2 = 0 THEN classification ELSE 1 END"
+_BOX = "(SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1)"
+_WIN = "CAST(s AS INT) AS slab, CAST(k AS INT) AS start FROM pp p JOIN bo USING (tile), range(0, 5) a(s), range(0, 3) b(k)"
+_SECTIONS = f"""pp AS (SELECT *, {_P3_SQL} AS p3 FROM pts), bo AS {_BOX},
+sc AS (SELECT p.*, 'x' AS axis, x AS u, y AS v, x0 AS u0, x1 AS u1, y0 AS v0, y1 AS v1, {_WIN} UNION ALL SELECT p.*, 'y', y, x, y0, y1, x0, x1, {_WIN}),
+sd AS (SELECT *, least(60, u1 - u0) AS len, u0 + (u1 - least(60, u1 - u0) - u0) / 2 * start AS beg, v0 + (v1 - v0) * (0.08::DOUBLE + slab * (0.84::DOUBLE / 4)) AS mid FROM sc),
+se AS (SELECT tile, axis, slab, start, classification, z, CAST(pred = classification AS INT) AS a, CAST(pred2 = classification AS INT) AS b, CAST(p3 = classification AS INT) AS c FROM sd WHERE abs(v - mid) <= 8 AND u >= beg AND u <= beg + len),
+sn AS (SELECT tile, axis, slab, start, count(*) FILTER (n >= 0.05::DOUBLE * total) AS n_classes FROM (SELECT tile, axis, slab, start, classification, count(*) AS n, sum(count(*)) OVER (PARTITION BY tile, axis, slab, start) AS total FROM se GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
+sg AS (SELECT tile, axis, slab, start, count(*) AS n, quantile_cont(z, 0.95) - quantile_cont(z, 0.05) AS relief, avg(CAST(a AS DOUBLE)) AS acc, avg(CAST(a AS DOUBLE)) - (avg(CAST(b AS DOUBLE)) + avg(CAST(c AS DOUBLE))) / 2 AS gain, count(*) FILTER (a = 1 AND b + c = 0) AS support FROM se GROUP BY 1, 2, 3, 4)"""
+
+
+def _sections(t: Tables) -> DataFrame:
+    return features.section_scan(t.pts.withColumn("p3", _P3), ["pred2", "p3", "pred"], range(1, 9), slabs=5, thickness=16.0, starts=3, length=60.0, least=20)
+
+
+query("a40_section_scan", lambda t: r6(_sections(t), "relief", "acc_pred", "gain", "score").select("tile", "axis", "slab", "start", "n", "relief", "n_classes", "acc_pred", "gain", "support", "score"), f"SELECT tile, axis, slab, start, n, {rnd('relief')} AS relief, CAST(n_classes AS INT) AS n_classes, {rnd('acc')} AS acc_pred, {rnd('gain')} AS gain, support, {rnd('(gain * sqrt(n) + 0.012 * sqrt(support)) * least(relief / 10, 1)')} AS score FROM sg JOIN sn USING (tile, axis, slab, start) WHERE n >= 20 AND n_classes >= 2 AND relief >= 3", _SECTIONS)
+query("a64_section_bins", lambda t: features.section_bins(t.pts.withColumn("along", F.col("x")), 1, 2, by=["tile"], size=10.0).select("tile", "mixed", "overlap", "weight"), "SELECT tile, mixed, overlap, 1 + 0.1::DOUBLE * overlap AS weight FROM (SELECT tile, count(*) FILTER (ok) AS mixed, count(*) FILTER (ok AND m0 - m1 >= 2) AS overlap FROM (SELECT tile, bin, bin < 10 AND count(*) >= 8 AND count(*) FILTER (classification = 1) >= 3 AND count(*) FILTER (classification = 2) >= 3 AS ok, quantile_cont(z, 0.5) FILTER (classification = 1) AS m0, quantile_cont(z, 0.5) FILTER (classification = 2) AS m1 FROM (SELECT *, least(10, floor(x / 10)) AS bin FROM pts) GROUP BY 1, 2) GROUP BY 1)")
+query("a62_crop_scan", lambda t: r6(features.crop_scan(t.pts.withColumn("p3", _P3), ["pred2", "p3", "pred"], range(1, 9), 50.0, least=100, coverage=0.6, span=48.0, share=0.02, least_classes=3), "miou_pred", "gain").select("tile", "i", "j", "n", "n_classes", "coverage", "miou_pred", "gain", "best"), f"SELECT tile, CAST(i AS INT) AS i, CAST(j AS INT) AS j, n, CAST(n_classes AS INT) AS n_classes, coverage, {rnd('a')} AS miou_pred, {rnd('a - greatest(b, c)')} AS gain, row_number() OVER (PARTITION BY tile ORDER BY a - greatest(b, c) DESC, i, j) = 1 AS best FROM cu JOIN ck USING (tile, i, j) WHERE n >= 100 AND n_classes >= 3 AND coverage >= 0.6 AND least(wx, wy) >= 48", f"""cr AS (SELECT p.*, {_P3_SQL} AS p3, i, j, x0 + greatest(0, x1 - 50 - x0) / 4 * i AS ax, y0 + greatest(0, y1 - 50 - y0) / 4 * j AS ay FROM pts p JOIN {_BOX} USING (tile), range(0, 5) a(i), range(0, 5) b(j)),
+ci AS (SELECT * FROM cr WHERE x >= ax AND x <= ax + 50 AND y >= ay AND y <= ay + 50),
+cu AS (SELECT tile, i, j, count(*) AS n, count(DISTINCT least(9, floor((x - ax) / 50 * 10)) * 10 + least(9, floor((y - ay) / 50 * 10))) / 100::DOUBLE AS coverage, max(x) - min(x) AS wx, max(y) - min(y) AS wy FROM ci GROUP BY ALL),
+cc AS (SELECT tile, i, j, k, count(*) FILTER (classification = k) AS t, {", ".join(f"count(*) FILTER (classification = k AND {m} = k) / nullif(count(*) FILTER (classification = k OR {m} = k), 0)::DOUBLE AS {n}" for n, m in zip("abc", ("pred", "pred2", "p3")))} FROM ci, range(1, 9) r(k) GROUP BY ALL),
+ck AS (SELECT tile, i, j, count(*) FILTER (t >= 0.02::DOUBLE * total) AS n_classes, {", ".join(f"sum({n} ORDER BY k) / count(*) AS {n}" for n in "abc")} FROM (SELECT *, sum(t) OVER (PARTITION BY tile, i, j) AS total FROM cc) WHERE t > 0 GROUP BY ALL)""")
+query("a63_structure_score", lambda t: r6(features.structure_score(t.pts, range(1, 9), [([1], 0.1), ([2], 0.08), ([3, 8], 0.3)], ([4, 5], 0.3), 120.0, 300, 8), "boundary", "relief", "entropy", "score"), f"SELECT tile, n, occupied, edges, {rnd('boundary')} AS boundary, {rnd('relief')} AS relief, {rnd('entropy')} AS entropy, {rnd('3 * least(1, p1 / 0.1::DOUBLE, p2 / 0.08::DOUBLE, (p3 + p8) / 0.3::DOUBLE) + least(1, (p4 + p5) / 0.3::DOUBLE) + 2 * boundary + least(1, relief / 120) + entropy')} AS score FROM (SELECT *, coalesce(e, 0) AS edges, coalesce(e, 0) / occupied AS boundary FROM (SELECT *, " + "(" + " + ".join(f"CASE WHEN p{c} > 0 THEN -p{c} * ln(p{c}) ELSE 0 END" for c in range(1, 9)) + ") / ln(8) AS entropy FROM mx) JOIN (SELECT tile, count(*) AS occupied FROM mj GROUP BY 1) USING (tile) LEFT JOIN (SELECT a.tile, count(*) FILTER (a.m <> b.m) AS e FROM mj a JOIN mj b ON a.tile = b.tile AND (b.cx = a.cx + 1 AND b.cy = a.cy OR b.cx = a.cx AND b.cy = a.cy + 1) GROUP BY 1) USING (tile) JOIN (SELECT tile, quantile_cont(z, 0.95) - quantile_cont(z, 0.05) AS relief FROM pts GROUP BY 1) USING (tile)) WHERE n >= 300", "cg AS (SELECT tile, classification, CAST(least(7, floor((x - x0) / (x1 - x0) * 8)) AS INT) AS cx, CAST(least(7, floor((y - y0) / (y1 - y0) * 8)) AS INT) AS cy FROM pts JOIN " + _BOX + " USING (tile)), mj AS (SELECT tile, cx, cy, arg_min(classification, (-n, classification)) AS m FROM (SELECT tile, cx, cy, classification, count(*) AS n FROM cg GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3), mx AS (SELECT tile, count(*) AS n, " + ", ".join(f"count(*) FILTER (classification = {c}) / count(*)::DOUBLE AS p{c}" for c in range(1, 9)) + " FROM pts GROUP BY 1)")
 
 # --- augmentation ------------------------------------------------------------------------------------------------------------
 query("p33_augment_geom", lambda t: r6(augment.augment_geom(t.pts, 1, [("shift", {}), ("rotate", {}), ("scale", {}), ("flip", {}), ("jitter", {})]), "x", "y", "z").select(*KEY, "x", "y", "z"))

@@ -218,6 +218,34 @@ def terrain_grid(pts: DataFrame, res: float, by: str = "tile") -> DataFrame:
     return out.withColumn("weight", F.pow(1 + F.col("z_range") + F.abs("laplacian"), 2)).drop("s", "k")
 
 
+def terrain_weights(pts: DataFrame, res: float = 2.0, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+    """Sampling weights ``(by, point_id, weight)`` that sum to 1 per tile and favour steps, ridges and valleys.
+
+    Cells are counted from the tile's minimum. A cell's weight is the square of its z range over the tile's largest, plus 1.5 times
+    the absolute Laplacian of the mean z over the tile's largest; empty cells have the mean of the cells' means and the grid is mirrored at its edges. Equal weights where
+    the tile has fewer than two cells along an axis, or all weights are 0.
+    """
+    size = F.lit(float(res))
+    box = pts.groupBy(by).agg(*(e for c in "xy" for e in (F.min(c).alias(f"__lo{c}"), F.ceil((F.max(c) - F.min(c)) / size).alias(f"__k{c}"))), F.count("*").alias("__all"))
+    at = pts.join(box, by).withColumns({f"__c{c}": F.least(F.floor((F.col(c) - F.col(f"__lo{c}")) / size), F.greatest(F.col(f"__k{c}") - 1, F.lit(0))) for c in "xy"})
+    cell = [by, "__cx", "__cy"]
+    cells = at.groupBy(*cell).agg(F.avg("z").alias("__m"), (F.max("z") - F.min("z")).alias("__range"), F.count("*").alias("__n"))
+    level = cells.groupBy(by).agg(F.avg("__m").alias("__level"), F.max("__range").alias("__top"))
+    known = cells.join(level, by).join(box.select(by, "__kx", "__ky", "__all"), by)
+    # The Laplacian is linear, and deviations from the level of empty cells are 0: only occupied cells send theirs.
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in ((0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1)))))
+    sent = known.select(by, "__cx", "__cy", "__kx", "__ky", (F.col("__m") - F.col("__level")).alias("__d"), steps.alias("o"))
+    to = [F.least(F.greatest(F.col(f"__c{c}") + F.col(f"o.{i}"), F.lit(0)), F.greatest(F.col(f"__k{c}") - 1, F.lit(0))).alias(f"__c{c}") for c, i in (("x", "i"), ("y", "j"))]
+    curves = sent.select(by, *to, (F.col("__d") * F.col("o.w")).alias("v")).groupBy(*cell).agg(F.abs(F.sum("v")).alias("__curve"))
+    most = curves.groupBy(by).agg(F.max("__curve").alias("__most"))
+    w = F.col("__range") / (F.col("__top") + 1e-6) + 1.5 * F.col("__curve") / (F.col("__most") + 1e-6)
+    weighed = known.join(curves, cell).join(most, by).withColumn("__w", w * w)
+    total = weighed.groupBy(by).agg(F.sum(F.col("__w") * F.col("__n")).alias("__sum"))
+    even = (F.col("__kx") < 2) | (F.col("__ky") < 2) | (F.col("__sum") <= 1e-6)
+    out = weighed.join(total, by).select(*cell, F.when(even, 1 / F.col("__all")).otherwise(F.col("__w") / F.col("__sum")).alias("weight"))
+    return at.select(*cell, id_col).join(out, cell).select(by, id_col, "weight")
+
+
 def smooth_grid(cells: DataFrame, value: str, radius: int = 1, bandwidth: float = 1.0, by: str = "tile", out: str = "smooth") -> DataFrame:
     """Normalised Gaussian mean of a cell value over the occupied cells within ``radius``."""
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(np.exp(-(i * i + j * j) / (2 * bandwidth**2)))).alias("w")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)))
@@ -278,19 +306,22 @@ def robust_log(pts: DataFrame, c: str = "intensity", by: str = "tile") -> DataFr
     return logged.join(q, by).withColumn(c, F.least(F.greatest(scaled, F.lit(-3.0)), F.lit(3.0))).drop("__l", "__q")
 
 
-def recenter(pts: DataFrame, mode: str, by: str = "tile", percentile: float = 0.05) -> DataFrame:
+def recenter(pts: DataFrame, mode: str, by: str = "tile", percentile: float = 0.01, core: tuple[str, ...] = ()) -> DataFrame:
     """Shift (and for ``unit`` scale) each tile: ``min``, ``box`` (box centre in x and y, least z), ``centroid``, ``unit`` (centroid, then the
-    farthest point at distance 1), ``zpercentile`` (z only)."""
+    farthest point at distance 1), ``zpercentile`` (box centre in x and y, a low percentile of z). The ``core`` box's columns (least x, least y, greatest x, greatest y)
+    move and scale with the points."""
+    middle = [(F.min(c) + F.max(c)) / 2 for c in "xy"]
     aggs = {
         "min": [F.min(c) for c in _AXES],
-        "box": [(F.min("x") + F.max("x")) / 2, (F.min("y") + F.max("y")) / 2, F.min("z")],
+        "box": [*middle, F.min("z")],
         "centroid": [F.avg(c) for c in _AXES],
         "unit": [F.avg(c) for c in _AXES],
-        "zpercentile": [F.lit(0.0), F.lit(0.0), F.percentile("z", percentile)],
+        "zpercentile": [*middle, F.percentile("z", percentile)],
     }[mode]
+    axis = {**{c: c for c in _AXES}, **{c: "xy"[i % 2] for i, c in enumerate(core)}}
     shift = pts.groupBy(by).agg(*(a.alias(f"__{c}") for a, c in zip(aggs, _AXES, strict=True)))
-    moved = pts.join(shift, by).withColumns({c: F.col(c) - F.col(f"__{c}") for c in _AXES}).drop(*(f"__{c}" for c in _AXES))
+    moved = pts.join(shift, by).withColumns({c: F.col(c) - F.col(f"__{a}") for c, a in axis.items()}).drop(*(f"__{c}" for c in _AXES))
     if mode != "unit":
         return moved
     far = moved.groupBy(by).agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("__f"))
-    return moved.join(far, by).withColumns({c: F.when(F.col("__f") > 0, F.col(c) / F.col("__f")).otherwise(F.col(c)) for c in _AXES}).drop("__f")
+    return moved.join(far, by).withColumns({c: F.when(F.col("__f") > 0, F.col(c) / F.col("__f")).otherwise(F.col(c)) for c in axis}).drop("__f")

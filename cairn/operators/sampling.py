@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import unit_hash
+from cairn.operators.geometry import terrain_weights
+from cairn.operators.neighbors import radius_edges
 
 
 def nested_rank(pts: DataFrame, seed: int, keys: Sequence[str] = ("tile", "point_id"), name: str = "rank") -> DataFrame:
@@ -299,43 +301,57 @@ def budget_sample(df: DataFrame, most: int, ratio: float, seed: int, by: str = "
     return ranked.join(table, by).where("__r <= __q").drop("__r", "__q")
 
 
-def degrade_labels(pts: DataFrame, edges: DataFrame, seed: int, rare: Sequence[int] = (), rare_drop: float = 0.5, steep: float = 0.7, steep_drop: float = 0.5, boundary_drop: float = 0.8, other: int = 1, by: str = "tile", id_col: str = "point_id", col: str = "classification") -> DataFrame:
-    """Labels lost as in production: rare classes, steep surfaces (``1 - |nz|`` over ``steep``) and class boundaries (neighbours in
-    ``edges`` of several classes) turn to ``other`` with their probability, by hashed coins."""
-    labels = pts.select(by, F.col(id_col).alias("dst"), F.col(col).alias("__l"))
-    near = edges.join(labels, [by, "dst"]).groupBy(by, F.col("src").alias(id_col)).agg((F.min("__l") != F.max("__l")).alias("__edge"))
+def degrade_labels(
+    pts: DataFrame, seed: int, core: Sequence[int] = (0, 1, 2), rare: Sequence[int] = (3, 4), other: int = 5, flat: float = 0.75, steep_drop: float = 0.4, rare_drop: float = 0.4, radius: float = 2.0, boundary_drop: float = 0.15, by: str = "tile", id_col: str = "point_id", col: str = "classification"
+) -> DataFrame:
+    """Labels lost as in production, by hashed coins: points of the ``core`` classes on steep ground (``|nz| < flat``) and of ``rare`` classes turn to
+    ``other``; then, among the points that still have a class, those with several classes within ``radius``. ``pts`` has nz."""
     coin = lambda name: unit_hash(f"{seed}/{name}", by, id_col)
-    rows = pts.join(near, [by, id_col], "left")
-    lost = (F.col(col).isin(list(rare)) & (coin("rare") < rare_drop)) | ((1 - F.abs(F.col("nz")) > steep) & (coin("steep") < steep_drop)) | (F.coalesce("__edge", F.lit(False)) & (coin("edge") < boundary_drop))
-    return rows.withColumn(col, F.when(lost, other).otherwise(F.col(col))).drop("__edge")
-
-
-def terrain_split(pts: DataFrame, support: int, query: int, seed: int, mode: str = "random", weight: str | None = None, holes: int = 0, hole: float = 0.2, ground: int | None = None, col: str = "classification", by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """``role`` 'support' or 'query' per tile, at most so many of each; other points are dropped.
-
-    ``random`` deals by hash; ``weighted`` draws the support without replacement with probability by ``weight`` (smallest ``-ln(u) / w``);
-    ``holes`` cuts hashed rectangles (a share ``hole`` of each extent) out of the support, ``extreme`` one round the highest point;
-    what lies inside is the query. ``ground`` restricts the support to a class.
+    steep = F.col(col).isin(list(core)) & (F.abs(F.col("nz")) < flat) & (coin("steep") < steep_drop)
+    lost = steep | (F.col(col).isin(list(rare)) & (coin("rare") < rare_drop))
+    after = pts.withColumn("__l", F.when(lost, other).otherwise(F.col(col)))
+    kept = after.where(F.col("__l") != other).select(by, id_col, "x", "y", "z", "__l")
+    near = radius_edges(kept, kept, radius, by, id_col).join(kept.select(by, F.col(id_col).alias("dst"), "__l"), [by, "dst"])
+    edge = near.groupBy(by, F.col("src").alias(id_col)).agg((F.min("__l") != F.max("__l")).alias("__edge")).where("__edge")
+    eaten = F.col("__edge").isNotNull() & (coin("edge") < boundary_drop)
+    return after.join(edge, [by, id_col], "left").withColumn(col, F.when(eaten, other).otherwise(F.col("__l"))).drop("__edge", "__l")
+
+
+def terrain_split(
+    pts: DataFrame, seed: int, random: float = 0.1, feature: float = 0.1, blocks: int = 5, block_size: tuple[float, float] = (2.0, 15.0), resolution: float = 2.0, most: float = 0.9, query_max: int | None = None, ground: int | None = None, extreme: float = 0.3, col: str = "classification", by: str = "tile", id_col: str = "point_id"
+) -> DataFrame:
+    """``role`` 'query' or 'support' of every point, per tile. A point is a query if it lies in the large hole (half to 0.8 of the extents, with probability
+    ``extreme``), in one of 0 to ``blocks`` rectangles round drawn points, in the share ``feature`` drawn without replacement by ``terrain_weights`` (smallest
+    ``-ln(u) / weight``), or in the ``random`` share.
+
+    With ``ground`` only that class can be a query. Of more than ``most`` of the points (or ``query_max``) a hashed part stays; a tile
+    without a query gets one (of ``ground`` if it has any), one without support gives one back. Tiles of fewer than ten points are all support.
     """
-    u = unit_hash(seed, by, id_col)
-    key = -F.log(F.greatest(u, F.lit(1e-12))) / F.greatest(F.col(weight), F.lit(1e-12)) if mode == "weighted" else u
-    rows = pts.withColumn("__k", key)
-    if mode in ("holes", "extreme"):
-        box = pts.groupBy(by).agg(*(f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))), F.max_by(F.struct("x", "y"), F.struct("z", id_col)).alias("__top"))
-        number = F.explode(F.sequence(F.lit(0), F.lit(max(1, holes) - 1)))
-        cut = box.withColumn("__h", number)
-        for c in "xy":
-            w = F.col(f"__hi{c}") - F.col(f"__lo{c}")
-            at = F.col(f"__top.{c}") - w * hole / 2 if mode == "extreme" else F.col(f"__lo{c}") + w * (1 - hole) * unit_hash(f"{seed}/{c}", by, "__h")
-            cut = cut.withColumn(f"__a{c}", at).withColumn(f"__b{c}", at + w * hole)
-        spots = F.collect_list(F.struct("__ax", "__bx", "__ay", "__by"))
-        rows = rows.join(cut.groupBy(by).agg(spots.alias("__holes")), by)
-        inside = F.exists("__holes", lambda h: F.col("x").between(h["__ax"], h["__bx"]) & F.col("y").between(h["__ay"], h["__by"]))
-        rows = rows.withColumn("role", F.when(inside, "query").otherwise("support")).drop("__holes")
-    else:
-        rank = F.row_number().over(Window.partitionBy(by).orderBy("__k", id_col))
-        rows = rows.withColumn("role", F.when(rank <= support, "support").otherwise("query"))
-    if ground is not None:
-        rows = rows.where((F.col("role") == "query") | (F.col(col) == ground))
-    place = F.row_number().over(Window.partitionBy(by, "role").orderBy("__k", id_col))
-    return rows.withColumn("__r", place).where(F.col("__r") <= F.when(F.col("role") == "support", support).otherwise(query)).drop("__r", "__k")
+    u = lambda name, *more: unit_hash(f"{seed}/{name}", by, *more)
+    box = pts.groupBy(by).agg(
+        *(f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))), F.count("*").alias("__n"),
+        F.array(*(F.min_by(F.struct("x", "y"), F.struct(u(f"block{i}", id_col), F.col(id_col))) for i in range(blocks))).alias("__at"),
+    )
+    extent = {c: F.greatest((F.col(f"__hi{c}") - F.col(f"__lo{c}")) * (0.5 + 0.3 * u("share")), F.lit(1.0)) for c in "xy"}
+    middle = {c: F.col(f"__lo{c}") + (F.col(f"__hi{c}") - F.col(f"__lo{c}")) * u(f"large/{c}") for c in "xy"}
+    side = {c: lambda i, c=c: F.lit(block_size[0]) + (block_size[1] - block_size[0]) * u(f"{c}/{i}") for c in "xy"}
+    hole = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), (w / 2).alias("w"), (h / 2).alias("h"))
+    some = F.array(*(hole(F.col("__at")[i]["x"], F.col("__at")[i]["y"], side["x"](i), side["y"](i)) for i in range(blocks)))
+    large = F.when(u("extreme") < extreme, F.array(hole(middle["x"], middle["y"], extent["x"], extent["y"]))).otherwise(F.slice(some, 1, 0))
+    number = F.floor(u("blocks") * (blocks + 1)).cast("int")
+    holes = box.select(by, "__n", F.concat(large, F.slice(some, 1, number)).alias("__holes"))
+    inside = F.exists("__holes", lambda h: (F.abs(F.col("x") - h["x"]) <= h["w"]) & (F.abs(F.col("y") - h["y"]) <= h["h"]))
+    weights = terrain_weights(pts, resolution, by, id_col).withColumnRenamed("weight", "__w")
+    rows = pts.join(holes, by).join(weights, [by, id_col], "left")
+    place = lambda key: F.row_number().over(Window.partitionBy(by).orderBy(key, id_col))
+    drawn = -F.log(F.greatest(u("feature", id_col), F.lit(1e-12))) / F.greatest(F.coalesce("__w", F.lit(0.0)), F.lit(1e-300))
+    rows = rows.withColumn("__f", place(drawn)).withColumn("__r", place(u("random", id_col)))
+    share = lambda s: F.floor(F.col("__n") * F.lit(float(s)))
+    may = F.lit(True) if ground is None else F.coalesce(F.col(col) == ground, F.lit(False))
+    chosen = may & (inside | (F.col("__f") <= share(feature)) | (F.col("__r") <= share(random)))
+    rows = rows.withColumn("__q", chosen)
+    bound = F.greatest(F.lit(1), share(most)) if query_max is None else F.least(F.greatest(F.lit(1), share(most)), F.lit(query_max))
+    # Chosen points first, then what may stand in; a tile's first place is a query in any case, as long as support is left.
+    rows = rows.withColumn("__k", place(F.struct(~F.col("__q"), ~may, u("keep", id_col))))
+    query = ((F.col("__q") & (F.col("__k") <= bound)) | (F.col("__k") == 1)) & (F.col("__n") >= 10) & (F.col("__k") < F.col("__n"))
+    return rows.withColumn("role", F.when(query, "query").otherwise("support")).drop("__n", "__holes", "__w", "__f", "__r", "__q", "__k")

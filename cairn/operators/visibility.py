@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import inside, threshold_region, to_patch
+from cairn.functions.scalar import inside, l2norm, threshold_region, to_patch
 
 
 def bbox_join(a: DataFrame, b: DataFrame, by: list[str] = (), size: float | None = None) -> DataFrame:
@@ -227,6 +227,20 @@ def aggregate_edges(edges: DataFrame, features: DataFrame, to: str = "token", we
     return per.groupBy(*keys, to).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("feature"))
 
 
+def token_teacher(edges: DataFrame, features: DataFrame, weight: str = "sqrt", keys: tuple[str, ...] = ("tile",)) -> DataFrame:
+    """Each token's mean of its patches' unit features, itself of length 1: ``(tile, token, feature, purity, points, patches)``. ``purity`` is the weighted mean cosine
+    of the patches to it, which is the length of the mean."""
+    mean = aggregate_edges(edges, features.withColumn("feature", l2norm("feature")), "token", weight, keys)
+    length = F.sqrt(F.aggregate("feature", F.lit(0.0), lambda a, x: a + x * x))
+    sizes = edges.groupBy(*keys, "token").agg(F.sum("support").alias("points"), F.count("*").alias("patches"))
+    return mean.join(sizes, [*keys, "token"]).select(*keys, "token", l2norm("feature").alias("feature"), length.alias("purity"), "points", "patches")
+
+
+def sample_balanced_mean(values: DataFrame, value: str, sample: str = "tile") -> DataFrame:
+    """One row ``(samples, mean)``: the mean of the samples' own means, whatever the number of their values; samples without values do not count."""
+    return values.where(F.col(value).isNotNull()).groupBy(sample).agg(F.avg(value).alias("__m")).agg(F.count("*").alias("samples"), F.avg("__m").alias("mean"))
+
+
 def token_visibility(corr: DataFrame, token: str = "token", keys: tuple[str, ...] = ("tile",)) -> DataFrame:
     """Share of a token's points that have a valid patch."""
     return corr.groupBy(*keys, token).agg(F.avg(F.col("valid").cast("double")).alias("visibility"), F.count("*").alias("n"))

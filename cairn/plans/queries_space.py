@@ -99,9 +99,17 @@ query("a46_ground_fit", lambda t: r6(geometry.fit_plane(geometry.ground_candidat
 query("a46_ground_idw", lambda t: r6(geometry.ground_elevation(t.pts, 16.0, "idw", scale=2.0), "elevation"), f"SELECT tile, point_id, {rnd('(z - gz.g) / 2')} AS elevation FROM pts JOIN gz USING (tile, point_id)", _GI)
 query("a47_terrain_grid", lambda t: r6(geometry.terrain_grid(t.pts, 16.0), "z_mean", "laplacian", "weight", digits=4).select("tile", "cx", "cy", "z_mean", "z_range", "laplacian", "weight", "n"), f"SELECT g.tile, g.cx, g.cy, {rnd('g.m', 4)} AS z_mean, g.hi - g.lo AS z_range, {rnd('coalesce(l.s - l.k * g.m, 0)', 4)} AS laplacian, {rnd('pow(1 + g.hi - g.lo + abs(coalesce(l.s - l.k * g.m, 0)), 2)', 4)} AS weight, g.n FROM tg g LEFT JOIN (SELECT a.tile, a.cx, a.cy, sum(b.m) AS s, count(*) AS k FROM tg a JOIN tg b ON a.tile = b.tile AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1 GROUP BY 1, 2, 3) l USING (tile, cx, cy)", "tg AS (SELECT tile, CAST(floor(x / 16) AS BIGINT) AS cx, CAST(floor(y / 16) AS BIGINT) AS cy, avg(z) AS m, min(z) AS lo, max(z) AS hi, count(*) AS n FROM pts GROUP BY 1, 2, 3)")
 query("a47_flatten_non_ground", lambda t: r6(geometry.flatten_non_ground(t.pts, 2, 16.0).select(*KEY, "z"), "z"))
+_TW = """tb AS (SELECT tile, min(x) AS lx, min(y) AS ly, CAST(ceil((max(x) - min(x)) / 10) AS BIGINT) AS kx, CAST(ceil((max(y) - min(y)) / 10) AS BIGINT) AS ky FROM pts GROUP BY 1),
+ta AS (SELECT p.tile, point_id, z, kx, ky, least(CAST(floor((x - lx) / 10) AS BIGINT), kx - 1) AS cx, least(CAST(floor((y - ly) / 10) AS BIGINT), ky - 1) AS cy FROM pts p JOIN tb USING (tile)),
+tc AS (SELECT tile, cx, cy, avg(z) AS m, max(z) - min(z) AS rg FROM ta GROUP BY 1, 2, 3),
+td AS (SELECT tile, cx, cy, coalesce(m, lv) AS m, coalesce(rg, 0) AS rg, kx, ky FROM (SELECT tile, kx, ky, unnest(range(kx)) AS cx FROM tb) JOIN (SELECT tile, unnest(range(ky)) AS cy FROM tb) USING (tile) LEFT JOIN tc USING (tile, cx, cy) JOIN (SELECT tile, avg(m) AS lv FROM tc GROUP BY 1) USING (tile)),
+tl AS (SELECT a.tile, a.cx, a.cy, any_value(a.rg) AS rg, abs(sum(b.m - a.m)) AS cv FROM (SELECT td.*, i, j FROM td, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(i, j)) a JOIN td b ON b.tile = a.tile AND b.cx = least(greatest(a.cx + i, 0), a.kx - 1) AND b.cy = least(greatest(a.cy + j, 0), a.ky - 1) GROUP BY 1, 2, 3),
+tw AS (SELECT *, pow(rg / (max(rg) OVER w + 1e-6::DOUBLE) + 1.5::DOUBLE * cv / (max(cv) OVER w + 1e-6::DOUBLE), 2) AS w FROM tl WINDOW w AS (PARTITION BY tile))"""
+query("a47_terrain_weights", lambda t: r6(geometry.terrain_weights(t.pts, 10.0).select(*KEY, "weight"), "weight"), f"SELECT tile, point_id, {rnd('w / sum(w) OVER (PARTITION BY tile)')} AS weight FROM ta JOIN tw USING (tile, cx, cy)", _TW)
 query("a51_robust_log", lambda t: r6(geometry.robust_log(t.pts).select(*KEY, "intensity"), "intensity"), f"SELECT tile, point_id, {rnd('least(greatest((l - m) / CASE WHEN q3 - q1 < 1e-6 THEN 1 ELSE q3 - q1 END, -3), 3)')} AS intensity FROM (SELECT *, ln(1 + intensity) AS l FROM pts) JOIN (SELECT tile, quantile_cont(ln(1 + intensity), 0.25) AS q1, quantile_cont(ln(1 + intensity), 0.5) AS m, quantile_cont(ln(1 + intensity), 0.75) AS q3 FROM pts GROUP BY 1) USING (tile)")
-for _mode, _sql in {"min": "x - min(x) OVER w AS x, y - min(y) OVER w AS y, z - min(z) OVER w AS z", "box": "x - (min(x) OVER w + max(x) OVER w) / 2 AS x, y - (min(y) OVER w + max(y) OVER w) / 2 AS y, z - min(z) OVER w AS z", "centroid": f"{rnd('x - avg(x) OVER w')} AS x, {rnd('y - avg(y) OVER w')} AS y, {rnd('z - avg(z) OVER w')} AS z"}.items():
-    query(f"a52_recenter_{_mode}", lambda t, m=_mode: (r6(geometry.recenter(t.pts, m), "x", "y", "z") if m == "centroid" else geometry.recenter(t.pts, m)).select(*KEY, "x", "y", "z"), f"SELECT tile, point_id, {_sql} FROM pts WINDOW w AS (PARTITION BY tile)")
+for _mode, _sql in {"min": "x - min(x) OVER w AS x, y - min(y) OVER w AS y, z - min(z) OVER w AS z", "box": "x - (min(x) OVER w + max(x) OVER w) / 2 AS x, y - (min(y) OVER w + max(y) OVER w) / 2 AS y, z - min(z) OVER w AS z", "centroid": f"{rnd('x - avg(x) OVER w')} AS x, {rnd('y - avg(y) OVER w')} AS y, {rnd('z - avg(z) OVER w')} AS z", "zpercentile": f"x - (min(x) OVER w + max(x) OVER w) / 2 AS x, y - (min(y) OVER w + max(y) OVER w) / 2 AS y, {rnd('z - quantile_cont(z, 0.01) OVER w')} AS z", "unit": f"{rnd('cx / f')} AS x, {rnd('cy / f')} AS y, {rnd('cz / f')} AS z"}.items():
+    query(f"a52_recenter_{_mode}", lambda t, m=_mode: (r6(geometry.recenter(t.pts, m), "x", "y", "z") if m in ("centroid", "unit") else r6(geometry.recenter(t.pts, m), "z") if m == "zpercentile" else geometry.recenter(t.pts, m)).select(*KEY, "x", "y", "z"), f"SELECT tile, point_id, {_sql} FROM {'cn' if _mode == 'unit' else 'pts'} WINDOW w AS (PARTITION BY tile)", "cm AS (SELECT tile, point_id, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy, z - avg(z) OVER w AS cz FROM pts WINDOW w AS (PARTITION BY tile)), cn AS (SELECT *, max(sqrt(cx * cx + cy * cy + cz * cz)) OVER (PARTITION BY tile) AS f FROM cm)")
+query("a52_recenter_core", lambda t: geometry.recenter(t.pts.withColumns({"ax": F.lit(16.0), "ay": F.lit(20.0), "bx": F.lit(32.0), "by": F.lit(40.0)}), "box", core=("ax", "ay", "bx", "by")).select(*KEY, "ax", "ay", "bx", "by"), "SELECT tile, point_id, 16 - m AS ax, 20 - n AS ay, 32 - m AS bx, 40 - n AS by FROM pts JOIN (SELECT tile, (min(x) + max(x)) / 2 AS m, (min(y) + max(y)) / 2 AS n FROM pts GROUP BY 1) USING (tile)")
 query("a60_fit_affine", lambda t: r6(geometry.fit_affine(t.pts.select("tile", "x", "y", (F.col("x") * 2 - F.col("y") + F.col("classification")).alias("col"), (F.col("y") * 0.5 + 3).alias("row"))), "col_a", "col_b", "row_b", digits=4).select("tile", "col_a", "col_b", "row_b"), f"SELECT tile, {rnd('(sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy)', 4)} AS col_a, {rnd('(syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 4)} AS col_b, 0.5::DOUBLE AS row_b FROM (SELECT tile, regr_sxx(x, x) AS sxx, regr_sxx(y, y) AS syy, regr_sxy(x, y) AS sxy, regr_sxy(x, x * 2 - y + classification) AS sxz, regr_sxy(y, x * 2 - y + classification) AS syz FROM pts GROUP BY 1)")
 
 # --- visibility ------------------------------------------------------------------------------------------------------
@@ -148,6 +156,8 @@ _TK = "tk AS (SELECT tile, classification AS token, CAST(floor(y / 16) * 6 + flo
 query("a38_token_patch_edges", lambda t: visibility.token_patch_edges(TOK(t)), "SELECT tile, token, patch_index, count(*) AS support FROM tk WHERE valid GROUP BY 1, 2, 3", _TK)
 query("a38_aggregate_edges", lambda t: r6(visibility.aggregate_edges(visibility.token_patch_edges(TOK(t)), PF(t), "token", "sqrt").select("tile", "token", F.col("feature")[0].alias("f0"), F.col("feature")[1].alias("f1")), "f0", "f1"), f"SELECT tile, token, {rnd('sum(sqrt(s) * patch_index) / sum(sqrt(s))')} AS f0, {rnd('sum(sqrt(s) * patch_index * patch_index) / sum(sqrt(s))')} AS f1 FROM (SELECT tile, token, patch_index, count(*) AS s FROM tk WHERE valid GROUP BY 1, 2, 3) GROUP BY 1, 2", _TK)
 query("a38_token_visibility", lambda t: r6(visibility.token_visibility(TOK(t)), "visibility"), f"SELECT tile, token, {rnd('count(*) FILTER (valid) / count(*)')} AS visibility, count(*) AS n FROM tk GROUP BY 1, 2", _TK)
+query("a38_token_teacher", lambda t: r6(visibility.token_teacher(visibility.token_patch_edges(TOK(t)), PF(t)).select("tile", "token", F.col("feature")[0].alias("f0"), "purity", "points", "patches"), "f0", "purity"), f"SELECT tile, token, {rnd('a / greatest(sqrt(a * a + b * b), 1e-12)')} AS f0, {rnd('sqrt(a * a + b * b)')} AS purity, points, patches FROM (SELECT tile, token, sum(sqrt(s) * q / greatest(sqrt(q * q + q * q * q * q), 1e-12)) / sum(sqrt(s)) AS a, sum(sqrt(s) * q * q / greatest(sqrt(q * q + q * q * q * q), 1e-12)) / sum(sqrt(s)) AS b, CAST(sum(s) AS BIGINT) AS points, count(*) AS patches FROM (SELECT tile, token, CAST(patch_index AS DOUBLE) AS q, count(*) AS s FROM tk WHERE valid GROUP BY 1, 2, 3) GROUP BY 1, 2)", _TK)
+query("a38_sample_balanced_mean", lambda t: r6(visibility.sample_balanced_mean(t.pts, "z"), "mean"), f"SELECT count(*) AS samples, {rnd('avg(m)')} AS mean FROM (SELECT tile, avg(z) AS m FROM pts GROUP BY 1)")
 query("j02_attach_features", lambda t: t.pts.select(*KEY, (F.col("point_id") % 500).alias("vec_id")).join(t("embeddings").select("vec_id", "label"), "vec_id").select(*KEY, "label"), "SELECT tile, point_id, label FROM pts JOIN embeddings ON point_id % 500 = vec_id")
 query("j03_compact_patches", lambda t: visibility.compact_patches(TOK(t), PF(t), ("tile", "patch_index"))[0].select("tile", "patch_index", F.col("feature")[0].alias("old")).withColumn("patch_index", F.col("patch_index").cast("long")), "SELECT tile, row_number() OVER (PARTITION BY tile ORDER BY patch_index) - 1 AS patch_index, CAST(patch_index AS DOUBLE) AS old FROM (SELECT DISTINCT tile, patch_index FROM tk WHERE valid)", _TK)
 query("j04_backproject", lambda t: grid.cell(t.pts, 16.0).join(grid.voxel_reduce(t.pts, 16.0, vote=["pred"]).select("tile", *grid.CELL, F.col("pred").alias("voxel_pred")), ["tile", *grid.CELL]).select(*KEY, "voxel_pred"), "SELECT tile, point_id, voxel_pred FROM vx JOIN (SELECT tile, cx, cy, cz, pred AS voxel_pred FROM (SELECT tile, cx, cy, cz, pred, row_number() OVER (PARTITION BY tile, cx, cy, cz ORDER BY count(*) DESC, pred) AS k FROM vx GROUP BY 1, 2, 3, 4, 5) WHERE k = 1) USING (tile, cx, cy, cz)", "vx AS (SELECT tile, point_id, pred, floor(x / 16) AS cx, floor(y / 16) AS cy, floor(z / 16) AS cz FROM pts)")
@@ -218,8 +228,10 @@ query("t09_dropout", lambda t: sampling.dropout(t.pts, 0.5, 8, F.col("classifica
 TW = lambda t: t.pts.groupBy("tile").agg((F.count("*") % 7).cast("double").alias("weight"))
 query("t10_epoch_plan", lambda t: sampling.epoch_plan(TW(t).select("tile"), TW(t), 3, 4, 1).groupBy("tile").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks")))
 query("t11_budget_sample", lambda t: sampling.budget_sample(t.pts, 2000, 0.5, 2).groupBy("tile").agg(F.count("*").alias("n")))
-query("t12_degrade_labels", lambda t: sampling.degrade_labels(_with_normals(t), neighbors.knn(t.pts, t.pts, 4), 3, [7]).groupBy("tile", "classification").agg(F.count("*").alias("n")))
-query("t13_terrain_split", lambda t: sampling.terrain_split(t.pts, 50, 30, 4, "holes", holes=2, ground=2).groupBy("tile", "role").agg(F.count("*").alias("n")))
+_DL = f"""dl AS (SELECT *, CASE WHEN classification IN (1, 2, 3) AND (orig_idx % 8) / 8::DOUBLE < 0.75 AND {U('3/steep', 'tile', 'point_id')} < 0.4::DOUBLE OR classification IN (4, 7) AND {U('3/rare', 'tile', 'point_id')} < 0.4::DOUBLE THEN 5 ELSE classification END AS l FROM pts),
+de AS (SELECT a.tile, a.point_id FROM dl a JOIN dl b USING (tile) WHERE a.l <> 5 AND b.l <> 5 AND {D2} <= 64 GROUP BY 1, 2 HAVING min(b.l) <> max(b.l))"""
+query("t12_degrade_labels", lambda t: sampling.degrade_labels(t.pts.withColumn("nz", (F.col("orig_idx") % 8) / 8), 3, (1, 2, 3), (4, 7), radius=8.0).select(*KEY, "classification"), f"SELECT tile, point_id, CASE WHEN de.point_id IS NOT NULL AND {U('3/edge', 'tile', 'point_id')} < 0.15::DOUBLE THEN 5 ELSE l END AS classification FROM dl LEFT JOIN de USING (tile, point_id)", _DL)
+query("t13_terrain_split", lambda t: sampling.terrain_split(t.pts, 4, resolution=10.0, ground=2).select(*KEY, "role"))
 
 # --- features ---------------------------------------------------------------------------------------------------------------
 EM = lambda t: t("embeddings").select("vec_id", F.col("embedding").alias("feature"), F.col("label").cast("int").alias("label"))

@@ -294,3 +294,22 @@ def test_empty_cloud(spark):
     assert neighbors.knn(none, none, 3).isEmpty()
     assert grid.fragments(none, 1.0).isEmpty() and grid.voxelize(none, 1.0).isEmpty()
     assert visibility.surface_visibility(none).isEmpty()
+
+
+def test_terrain_split_rules(spark):
+    g = np.random.default_rng(8)
+    xyz = np.c_[g.uniform(0, 100, (3000, 2)), g.normal(0, 1, 3000)]
+    pts = cloud(spark, xyz, classification=np.arange(3000) % 3).unionByName(cloud(spark, xyz[:9], tile=1, classification=2))
+    got = sampling.terrain_split(pts, 5, ground=2).toPandas()
+    assert len(got) == 3009 and set(got[got.tile == 1].role) == {"support"}
+    assert set(got[got.role == "query"].classification) == {2}
+    all_in = sampling.terrain_split(pts, 5, random=1.0, query_max=7).toPandas()
+    assert (all_in.role == "query").sum() == 7
+    plain = sampling.terrain_split(pts, 5, blocks=0, extreme=0.0, feature=0.0, random=0.2).toPandas()
+    assert (plain.role == "query").sum() == 600
+    hole = sampling.terrain_split(pts, 5, blocks=0, extreme=1.0, feature=0.0, random=0.0, most=1.0).toPandas()
+    inside = hole[(hole.role == "query") & (hole.tile == 0)]
+    box = hole[(hole.tile == 0) & hole.x.between(inside.x.min(), inside.x.max()) & hole.y.between(inside.y.min(), inside.y.max())]
+    assert len(inside) == len(box) > 300
+    none = sampling.terrain_split(pts, 5, random=0.0, feature=0.0, blocks=0, extreme=0.0).toPandas()
+    assert (none.role == "query").sum() == 1

@@ -151,29 +151,30 @@ def drop_attr(pts: DataFrame, cols: Sequence[str], ratio: float, seed: int, p: f
     return pts.withColumn("__gone", gone).withColumns({c: F.when(F.col("__gone"), 0).otherwise(F.col(c)) for c in cols}).drop("__gone")
 
 
-def elastic(pts: DataFrame, granularity: float, magnitude: float, seed: int, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """Elastic distortion: normal noise at the nodes of a grid, averaged twice over the node and its six neighbours, added trilinearly.
+def elastic(pts: DataFrame, granularity: float, magnitude: float, seed: int, p: float = 1.0, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+    """Elastic distortion of a hashed share ``p`` of the tiles: normal noise at the nodes of a grid (from one node below the tile's minimum), averaged twice over boxes
+    of 3 x 3 x 3 nodes with zeros outside, added trilinearly.
 
-    Node noise is hashed from the node, so it needs no table: the smoothed value of a node is a fixed weighted sum over the
-    nodes around it, and nodes are computed once each, not per point.
+    Node noise is hashed from the node. Both averages together are a product of weights per axis: of a noise node and a result, the number of nodes of the grid
+    next to both, over 9. Only nodes next to points are computed, once each.
     """
-    cell = {g: F.floor(F.col(c) / F.lit(float(granularity))) for g, c in zip(("gx", "gy", "gz"), "xyz", strict=True)}
-    base = pts.select(by, id_col, "x", "y", "z").withColumns(cell)
+    axes, step = tuple(zip(("gx", "gy", "gz"), "xyz", "ijk", strict=True)), F.lit(float(granularity))
+    box = pts.groupBy(by).agg(*(e for _, c, _ in axes for e in (F.min(c).alias(f"__lo{c}"), (F.floor((F.max(c) - F.min(c)) / step) + 3).alias(f"__k{c}"))))
+    base = pts.select(by, id_col, *"xyz").join(box, by).withColumns({f"__t{c}": (F.col(c) - F.col(f"__lo{c}")) / step + 1 for c in "xyz"})
     corner = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k), strict=True))) for i in (0, 1) for j in (0, 1) for k in (0, 1))))
-    rows = base.withColumn("o", corner)
-    weight = F.lit(1.0)
-    for g, c, o in zip(("gx", "gy", "gz"), "xyz", "ijk", strict=True):
-        t = F.col(c) / F.lit(float(granularity)) - F.col(g)
+    rows, weight = base.withColumn("o", corner), F.lit(1.0)
+    for _, c, o in axes:
+        t = F.col(f"__t{c}") - F.floor(f"__t{c}")
         weight = weight * F.when(F.col(f"o.{o}") == 1, t).otherwise(1 - t)
-    rows = rows.select(by, id_col, weight.alias("w"), *((F.col(g) + F.col(f"o.{o}")).alias(g) for g, o in zip(("gx", "gy", "gz"), "ijk", strict=True)))
-    once = {(0, 0, 0): 1, (1, 0, 0): 1, (-1, 0, 0): 1, (0, 1, 0): 1, (0, -1, 0): 1, (0, 0, 1): 1, (0, 0, -1): 1}
-    twice: dict[tuple[int, int, int], int] = {}
-    for a in once:
-        for b in once:
-            key = (a[0] + b[0], a[1] + b[1], a[2] + b[2])
-            twice[key] = twice.get(key, 0) + 1
-    nodes = rows.select(by, "gx", "gy", "gz").distinct().withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.lit(n / 49).alias("n")) for (i, j, k), n in twice.items()))))
-    at = nodes.withColumns({f"a{g}": F.col(g) + F.col(f"o.{o}") for g, o in zip(("gx", "gy", "gz"), "ijk", strict=True)})
-    noise = at.groupBy(by, "gx", "gy", "gz").agg(*(F.sum(normal_hash(f"{seed}/{c}", by, "agx", "agy", "agz") * F.col("o.n")).alias(f"d{c}") for c in "xyz"))
+    sizes = [f"__k{c}" for c in "xyz"]
+    rows = rows.select(by, id_col, *sizes, weight.alias("w"), *((F.floor(f"__t{c}") + F.col(f"o.{o}")).alias(g) for g, c, o in axes))
+    nodes = rows.select(by, *sizes, "gx", "gy", "gz").distinct()
+    share = F.lit(1.0)
+    for g, c, _ in axes:
+        nodes = nodes.withColumn(f"a{g}", F.explode(F.sequence(F.greatest(F.col(g) - 2, F.lit(0)), F.least(F.col(g) + 2, F.col(f"__k{c}") - 1))))
+        low, high = F.greatest(F.greatest(g, f"a{g}") - 1, F.lit(0)), F.least(F.least(g, f"a{g}") + 1, F.col(f"__k{c}") - 1)
+        share = share * (high - low + 1) / 9
+    noise = nodes.groupBy(by, "gx", "gy", "gz").agg(*(F.sum(normal_hash(f"{seed}/{c}", by, "agx", "agy", "agz") * share).alias(f"d{c}") for c in "xyz"))
     moves = rows.join(noise, [by, "gx", "gy", "gz"]).groupBy(by, id_col).agg(*((F.sum(F.col("w") * F.col(f"d{c}")) * magnitude).alias(f"__d{c}") for c in "xyz"))
-    return pts.join(moves, [by, id_col]).withColumns({c: F.col(c) + F.col(f"__d{c}") for c in "xyz"}).drop("__dx", "__dy", "__dz")
+    told = unit_hash(f"{seed}/elastic", by) < p
+    return pts.join(moves, [by, id_col]).withColumns({c: F.when(told, F.col(c) + F.col(f"__d{c}")).otherwise(F.col(c)) for c in "xyz"}).drop("__dx", "__dy", "__dz")

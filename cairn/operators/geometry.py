@@ -31,7 +31,7 @@ def neighborhood_covariance(edges: DataFrame, pts: DataFrame, ref: DataFrame, by
 
 
 #: Built, not parsed: a schema string would need a running session at import.
-_EIGEN = StructType([StructField(c, DoubleType()) for c in ("nx", "ny", "nz", "l1", "l2", "l3")])
+_EIGEN = StructType([StructField(c, DoubleType()) for c in ("nx", "ny", "nz", "l1", "l2", "l3", "ux", "uy", "uz")])
 
 
 @F.pandas_udf(_EIGEN)
@@ -44,14 +44,15 @@ def _eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Se
     normal = vectors[:, :, 0]
     normal = np.where(normal[:, 2:] < 0, -normal, normal)
     values = np.maximum(values, 0.0)
-    return pd.DataFrame({"nx": normal[:, 0], "ny": normal[:, 1], "nz": normal[:, 2], "l1": values[:, 2], "l2": values[:, 1], "l3": values[:, 0]})
+    spread = (np.abs(vectors) * values[:, None, :]).sum(axis=2)
+    return pd.DataFrame({"nx": normal[:, 0], "ny": normal[:, 1], "nz": normal[:, 2], "l1": values[:, 2], "l2": values[:, 1], "l3": values[:, 0], "ux": spread[:, 0], "uy": spread[:, 1], "uz": spread[:, 2]})
 
 
-def local_geometry(pts: DataFrame, k: int = 32, ref_size: float | None = 0.5, eps: float = 1e-12, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+def local_geometry(pts: DataFrame, k: int = 48, ref_size: float | None = 0.25, min_neighbors: int = 8, min_variance: float = 1e-10, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """Normals and shape descriptors from the k nearest voxel centroids (or points, without ``ref_size``).
 
-    ``(by, point_id, nx, ny, nz, linearity, planarity, scattering, curvature, verticality, anisotropy, geom_valid)``. With fewer than three
-    distinct neighbours, or all coincident, the row is not valid and its descriptors are 0 with normal (0, 0, 1).
+    ``(by, point_id, nx, ny, nz, linearity, planarity, scattering, curvature, verticality, anisotropy, geom_valid)``. With fewer than
+    ``min_neighbors`` neighbours, or a largest eigenvalue of ``min_variance`` or less, the row is not valid and all its values are 0.
     """
     if ref_size:
         ref = grid.voxel_centroids(pts, ref_size, by).withColumn("__id", F.row_number().over(Window.partitionBy(by).orderBy(*grid.CELL)).cast("long"))
@@ -63,30 +64,36 @@ def local_geometry(pts: DataFrame, k: int = 32, ref_size: float | None = 0.5, ep
         cov = neighborhood_covariance(edges, pts, pts, by, id_col)
     e = cov.withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
     l1, l2, l3 = (F.col(f"e.l{i}") for i in (1, 2, 3))
-    total = l1 + l2 + l3
-    valid = (F.col("k") >= 3) & (l1 > eps)
+    valid = (F.col("k") >= min_neighbors) & (l1 > min_variance)
     told = lambda c: F.when(valid, F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    big = F.greatest(l1, F.lit(eps))
-    normal = [F.when(valid, F.col(f"e.n{c}")).otherwise(1.0 if c == "z" else 0.0).alias(f"n{c}") for c in _AXES]
-    return e.select(by, id_col, *normal, told((l1 - l2) / big).alias("linearity"), told((l2 - l3) / big).alias("planarity"), told(l3 / big).alias("scattering"), told(l3 / F.greatest(total, F.lit(eps))).alias("curvature"), told(1 - F.abs(F.col("e.nz"))).alias("verticality"), told((l1 - l3) / big).alias("anisotropy"), valid.alias("geom_valid"))
+    big, total = F.greatest(l1, F.lit(min_variance)), F.greatest(l1 + l2 + l3, F.lit(min_variance))
+    normal = [F.when(valid, F.col(f"e.n{c}")).otherwise(0.0).alias(f"n{c}") for c in _AXES]
+    return e.select(by, id_col, *normal, told((l1 - l2) / big).alias("linearity"), told((l2 - l3) / big).alias("planarity"), told(l3 / big).alias("scattering"), told(l3 / total).alias("curvature"), told(1 - F.abs(F.col("e.nz"))).alias("verticality"), told((l1 - l3) / big).alias("anisotropy"), valid.alias("geom_valid"))
 
 
-def curvature_planarity(pts: DataFrame, k: int = 32, by: str = "tile", id_col: str = "point_id", eps: float = 1e-9) -> DataFrame:
-    """The two-descriptor variant: neighbours without the point itself, relative to the summed eigenvalues."""
+def curvature_planarity(pts: DataFrame, k: int = 32, min_neighbors: int = 8, min_variance: float = 1e-10, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+    """The two-descriptor variant, neighbours without the point itself: curvature relative to the summed eigenvalues, planarity to the
+    largest, and the distance of the farthest neighbour (``radius``); 0 where not valid."""
     edges = knn(pts, pts, k, by, id_col, exclude_self=True)
-    e = neighborhood_covariance(edges, pts, pts, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
-    total = F.col("e.l1") + F.col("e.l2") + F.col("e.l3")
-    valid = (F.col("k") >= 3) & (total > eps)
-    return e.select(by, id_col, F.when(valid, F.col("e.l3") / total).otherwise(0.0).alias("curvature"), F.when(valid, (F.col("e.l2") - F.col("e.l3")) / total).otherwise(0.0).alias("planarity"), valid.alias("geom_valid"))
+    reach = edges.groupBy(by, F.col("src").alias(id_col)).agg(F.max("dist").alias("radius"))
+    e = neighborhood_covariance(edges, pts, pts, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV))).join(reach, [by, id_col])
+    l1, l2, l3 = (F.col(f"e.l{i}") for i in (1, 2, 3))
+    floor = lambda c: F.greatest(c, F.lit(min_variance))
+    enough = F.col("k") >= min_neighbors
+    valid = enough & (l1 > min_variance)
+    return e.select(by, id_col, F.when(valid, l3 / floor(l1 + l2 + l3)).otherwise(0.0).alias("curvature"), F.when(valid, (l2 - l3) / floor(l1)).otherwise(0.0).alias("planarity"), valid.alias("geom_valid"), F.when(enough, F.col("radius")).otherwise(0.0).alias("radius"))
 
 
-def eigen_features(pts: DataFrame, k: int = 16, by: str = "tile", id_col: str = "point_id", eps: float = 1e-8) -> DataFrame:
-    """The four-descriptor variant on square roots of the eigenvalues, with the eigenvalue-weighted verticality doubled."""
-    edges = knn(pts, pts, k, by, id_col)
+def eigen_features(pts: DataFrame, k: int = 25, k_min: int = 5, include_self: bool = True, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+    """The four-descriptor variant on square roots of the eigenvalues, with the normal: ``verticality`` is twice the vertical part of the
+    eigenvectors' absolute values weighted by the eigenvalues, over its length. All 0 with fewer than ``k_min`` neighbours; ``k`` counts the point itself."""
+    edges = knn(pts, pts, k, by, id_col) if include_self else knn(pts, pts, k - 1, by, id_col, exclude_self=True)
     e = neighborhood_covariance(edges, pts, pts, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
     s1, s2, s3 = (F.sqrt(F.col(f"e.l{i}")) for i in (1, 2, 3))
-    big = s1 + F.lit(eps)
-    return e.select(by, id_col, ((s1 - s2) / big).alias("linearity"), ((s2 - s3) / big).alias("planarity"), (s3 / big).alias("scattering"), F.least(F.lit(1.0), 2 * (1 - F.abs(F.col("e.nz"))) * (s2 / big)).alias("verticality"))
+    big = s1 + F.lit(1e-3)
+    length = F.sqrt(sum((F.col(f"e.u{c}") * F.col(f"e.u{c}") for c in _AXES), F.lit(0.0))) + F.lit(1e-8)
+    told = {"linearity": (s1 - s2) / big, "planarity": (s2 - s3) / big, "scattering": s3 / big, "verticality": 2 * F.col("e.uz") / length, **{f"n{c}": F.col(f"e.n{c}") for c in _AXES}}
+    return e.select(by, id_col, *(F.when(F.col("k") >= k_min, c).otherwise(0.0).alias(n) for n, c in told.items()))
 
 
 def normals(pts: DataFrame, k: int = 16, cls: int | None = None, toward: tuple[float, float, float] | None = None, col: str = "classification", by: str = "tile", id_col: str = "point_id") -> DataFrame:

@@ -313,3 +313,55 @@ def test_terrain_split_rules(spark):
     assert len(inside) == len(box) > 300
     none = sampling.terrain_split(pts, 5, random=0.0, feature=0.0, blocks=0, extreme=0.0).toPandas()
     assert (none.role == "query").sum() == 1
+
+
+def test_elastic_is_smoothed_noise(spark):
+    """Against the definition: two box averages per axis over the noise of the whole grid, zeros outside, then trilinear."""
+    from cairn.operators.augment import normal_hash
+    from cairn.operators import augment
+
+    g = np.random.default_rng(2)
+    xyz = g.uniform(0, 7, (40, 3))
+    got = augment.elastic(cloud(spark, xyz, tile=3), 2.0, 0.5, 9).toPandas().sort_values("point_id")[["x", "y", "z"]].to_numpy()
+    dim = [int(v) for v in (xyz.max(0) - xyz.min(0)) // 2.0 + 3]
+    nodes = spark.createDataFrame([(3, i, j, k) for i in range(dim[0]) for j in range(dim[1]) for k in range(dim[2])], "tile int, a long, b long, c long")
+    table = nodes.select("a", "b", "c", *(normal_hash(f"9/{c}", "tile", "a", "b", "c").alias(c) for c in "xyz")).toPandas().sort_values(["a", "b", "c"])
+    noise = table[["x", "y", "z"]].to_numpy().reshape(*dim, 3)
+    for _ in range(2):
+        for axis in range(3):
+            wide = np.pad(noise, [(1, 1) if i == axis else (0, 0) for i in range(4)])
+            noise = sum(np.take(wide, range(o, o + dim[axis]), axis) for o in range(3)) / 3
+    t = (xyz - xyz.min(0)) / 2.0 + 1
+    want = xyz.copy()
+    for i in (0, 1):
+        for j in (0, 1):
+            for k in (0, 1):
+                at = np.floor(t).astype(int) + [i, j, k]
+                w = np.prod([np.where(o, f, 1 - f) for o, f in zip((i, j, k), (t % 1).T, strict=True)], axis=0)
+                want += 0.5 * w[:, None] * noise[at[:, 0], at[:, 1], at[:, 2]]
+    assert np.allclose(got, want)
+
+
+def test_geometry_variants_against_numpy(spark):
+    g = np.random.default_rng(6)
+    xyz = g.normal(0, 1, (60, 3)) * [3, 1, 0.2]
+    pts = cloud(spark, xyz)
+    two = geometry.curvature_planarity(pts, 10).toPandas().sort_values("point_id")
+    four = geometry.eigen_features(pts, 10).toPandas().sort_values("point_id")
+    six = geometry.local_geometry(pts, 10, None).toPandas().sort_values("point_id")
+    for i, p in enumerate(xyz):
+        order = np.argsort(((xyz - p) ** 2).sum(1), kind="stable")
+        for near, frame in ((order[1:11], two), (order[:10], four), (order[:10], six)):
+            q = xyz[near] - xyz[near].mean(0)
+            (l3, l2, l1), v = np.linalg.eigh(q.T @ q / 10)
+            row = frame.iloc[i]
+            if frame is two:
+                assert np.allclose([row.curvature, row.planarity, row.radius], [l3 / (l1 + l2 + l3), (l2 - l3) / l1, np.linalg.norm(xyz[near] - p, axis=1).max()])
+            elif frame is four:
+                s1, s2, s3 = np.sqrt([l1, l2, l3])
+                u = np.abs(v) @ [l3, l2, l1]
+                assert np.allclose([row.linearity, row.planarity, row.scattering, row.verticality], [(s1 - s2) / (s1 + 1e-3), (s2 - s3) / (s1 + 1e-3), s3 / (s1 + 1e-3), 2 * u[2] / (np.linalg.norm(u) + 1e-8)], atol=1e-6)
+            else:
+                assert np.allclose([row.linearity, row.planarity, row.curvature, row.verticality], [(l1 - l2) / l1, (l2 - l3) / l1, l3 / (l1 + l2 + l3), 1 - abs(v[2, 0])], atol=1e-6)
+    assert not geometry.local_geometry(pts.where("point_id < 7"), 10, None).where("geom_valid").count()
+    assert (geometry.eigen_features(pts.where("point_id < 4"), 10).toPandas()[["linearity", "nz"]] == 0).all().all()

@@ -156,7 +156,7 @@ def elastic(pts: DataFrame, granularity: float, magnitude: float, seed: int, p:
     of 3 x 3 x 3 nodes with zeros outside, added trilinearly.
 
     Node noise is hashed from the node. Both averages together are a product of weights per axis: of a noise node and a result, the number of nodes of the grid
-    next to both, over 9. Only nodes next to points are computed, once each.
+    next to both, over 9; one axis is averaged after the other, over the nodes that points need.
     """
     axes, step = tuple(zip(("gx", "gy", "gz"), "xyz", "ijk", strict=True)), F.lit(float(granularity))
     box = pts.groupBy(by).agg(*(e for _, c, _ in axes for e in (F.min(c).alias(f"__lo{c}"), (F.floor((F.max(c) - F.min(c)) / step) + 3).alias(f"__k{c}"))))
@@ -168,13 +168,16 @@ def elastic(pts: DataFrame, granularity: float, magnitude: float, seed: int, p:
         weight = weight * F.when(F.col(f"o.{o}") == 1, t).otherwise(1 - t)
     sizes = [f"__k{c}" for c in "xyz"]
     rows = rows.select(by, id_col, *sizes, weight.alias("w"), *((F.floor(f"__t{c}") + F.col(f"o.{o}")).alias(g) for g, c, o in axes))
-    nodes = rows.select(by, *sizes, "gx", "gy", "gz").distinct()
-    share = F.lit(1.0)
+    noise = rows.select(by, *sizes, "gx", "gy", "gz").distinct()
+    around = {g: F.explode(F.sequence(F.greatest(F.col(g) - 2, F.lit(0)), F.least(F.col(g) + 2, F.col(f"__k{c}") - 1))) for g, c, _ in axes}
+    for g, _, _ in axes:
+        noise = noise.withColumn(g, around[g]).distinct()
+    noise = noise.withColumns({f"d{c}": normal_hash(f"{seed}/{c}", by, "gx", "gy", "gz") for c in "xyz"})
     for g, c, _ in axes:
-        nodes = nodes.withColumn(f"a{g}", F.explode(F.sequence(F.greatest(F.col(g) - 2, F.lit(0)), F.least(F.col(g) + 2, F.col(f"__k{c}") - 1))))
-        low, high = F.greatest(F.greatest(g, f"a{g}") - 1, F.lit(0)), F.least(F.least(g, f"a{g}") + 1, F.col(f"__k{c}") - 1)
-        share = share * (high - low + 1) / 9
-    noise = nodes.groupBy(by, "gx", "gy", "gz").agg(*(F.sum(normal_hash(f"{seed}/{c}", by, "agx", "agy", "agz") * share).alias(f"d{c}") for c in "xyz"))
+        low, high = F.greatest(F.greatest(g, "__to") - 1, F.lit(0)), F.least(F.least(g, "__to") + 1, F.col(f"__k{c}") - 1)
+        others = [o for o, _, _ in axes if o != g]
+        noise = noise.withColumn("__to", around[g]).groupBy(by, *sizes, *others, "__to").agg(*(F.sum(F.col(f"d{d}") * (high - low + 1) / 9).alias(f"d{d}") for d in "xyz")).withColumnRenamed("__to", g)
+    noise = noise.drop(*sizes)
     moves = rows.join(noise, [by, "gx", "gy", "gz"]).groupBy(by, id_col).agg(*((F.sum(F.col("w") * F.col(f"d{c}")) * magnitude).alias(f"__d{c}") for c in "xyz"))
     told = unit_hash(f"{seed}/elastic", by) < p
     return pts.join(moves, [by, id_col]).withColumns({c: F.when(told, F.col(c) + F.col(f"__d{c}")).otherwise(F.col(c)) for c in "xyz"}).drop("__dx", "__dy", "__dz")

@@ -25,6 +25,11 @@ U = lambda seed, *keys: "(CAST(concat('0x', substr(md5(concat_ws(':', '%s', %s))
 # --- sources and sinks ------------------------------------------------------------------------------------------
 query("s01_read_points", lambda t: ingest.read_points(t.pts, 255.0, {1: 0, 2: 1, 3: 2}).select(*KEY, cut("r").alias("r"), "segment", "is_first", "is_last", "role", "valid_return"), f"SELECT tile, point_id, {rnd('r / 255.0::DOUBLE')} AS r, CASE classification WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE -1 END AS segment, CASE WHEN return_number = 1 THEN 1 ELSE -1 END AS is_first, CASE WHEN return_number = number_of_returns THEN 1 ELSE -1 END AS is_last, {ROLE} AS role, return_number >= 1 AND return_number <= number_of_returns AS valid_return FROM pts")
 query("s09_log_metrics", lambda t: ingest.parse_metric_lines(t("events").select(F.col("event_type").alias("run"), F.col("event_id").alias("line"), F.concat(F.lit("step: "), F.col("user_id"), F.lit(" loss = "), F.floor(F.col("value") * 100), F.lit(" done")).alias("value"))), "SELECT event_type AS run, event_id AS line, 'step' AS name, CAST(user_id AS DOUBLE) AS value FROM events UNION ALL SELECT event_type, event_id, 'loss', CAST(floor(value * 100) AS DOUBLE) FROM events")
+_LOG = "CASE WHEN event_id % 7 = 0 THEN concat('Val result: mIoU ', user_id, '.5 OA 0.', user_id) WHEN event_id % 7 = 1 THEN concat('Test result: mIoU ', user_id) WHEN event_id % 7 IN (2, 3, 5) THEN concat('Class ', event_id % 7, ' - roof tiles | IoU ', user_id, '.25 Prec 1 Recall 2 F1 3') WHEN event_id % 77 = 4 THEN '[x ERROR] bad' ELSE 'note' END"
+_LINES = lambda t: t("events").select(F.col("event_type").alias("run"), F.col("event_id").alias("line"), F.expr(_LOG).alias("value"))
+_LG = f"lg AS (SELECT event_type AS run, event_id AS line, {_LOG} AS t, user_id AS u FROM events), la AS (SELECT *, last_value(CASE WHEN t NOT LIKE 'Class%' THEN t LIKE 'Test%' END IGNORE NULLS) OVER (PARTITION BY run ORDER BY line) AS after FROM lg)"
+query("s09_result_lines", lambda t: ingest.parse_results(_LINES(t)), "SELECT run, line, 'val' AS kind, CAST(-1 AS INT) AS class_id, CAST(NULL AS VARCHAR) AS class_name, 'mIoU' AS name, u + 0.5::DOUBLE AS value FROM la WHERE t LIKE 'Val%' UNION ALL SELECT run, line, 'val', -1, NULL, 'OA', CAST(concat('0.', u) AS DOUBLE) FROM la WHERE t LIKE 'Val%' UNION ALL SELECT run, line, 'test', -1, NULL, 'mIoU', u FROM la WHERE t LIKE 'Test%' UNION ALL SELECT run, line, 'class', CAST(line % 7 AS INT), 'roof tiles', m, CASE m WHEN 'IoU' THEN u + 0.25::DOUBLE WHEN 'Prec' THEN 1 WHEN 'Recall' THEN 2 ELSE 3 END FROM la, (VALUES ('IoU'), ('Prec'), ('Recall'), ('F1')) v(m) WHERE t LIKE 'Class%' AND after UNION ALL SELECT run, line, 'error', -1, NULL, t, NULL FROM la WHERE t LIKE '%ERROR%'", _LG)
+query("s09_result_summary", lambda t: ingest.summarize_results(ingest.parse_results(_LINES(t))).select("run", "val_epochs", "best_epoch", "best", "final", "test", "errors", "early_stopped", "complete"), "SELECT run, v.val_epochs, CAST(v.best_epoch AS INT) AS best_epoch, v.best, v.final, r.test, r.errors, false AS early_stopped, r.n = 1 AS complete FROM (SELECT run, count(*) AS val_epochs, arg_min(e, (-u, e)) AS best_epoch, max(u) + 0.5::DOUBLE AS best, arg_max(u, e) + 0.5::DOUBLE AS final FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY line) AS e FROM lg WHERE t LIKE 'Val%') GROUP BY 1) v JOIN (SELECT run, CAST(max(u) FILTER (t LIKE 'Test%') AS DOUBLE) AS test, count(*) FILTER (t LIKE 'Test%') AS n, count(*) FILTER (t LIKE '%ERROR%') AS errors FROM lg GROUP BY 1) r USING (run)", _LG)
 query("s10_resolve_split", lambda t: ingest.resolve_split(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("scene")), t("nation").select(F.col("n_nationkey").alias("scene"), F.col("n_regionkey").cast("string").alias("split")), ["1", "3"]).select("s_suppkey", "scene"), "SELECT s_suppkey, s_nationkey AS scene FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))")
 query("s12_validate", lambda t: ingest.validate(t.pts, {"finite_z": ingest.finite("z"), "x_range": F.col("x").between(0, 99.5), "z_high": F.col("z") < 64, "echo": s.valid_return("return_number", "number_of_returns")}, ["x", "y"]), "SELECT 'finite_z' AS rule, count(*) FILTER (NOT (z IS NOT NULL AND isfinite(z))) AS violations FROM pts UNION ALL SELECT 'x_range', count(*) FILTER (NOT (x BETWEEN 0 AND 99.5)) FROM pts UNION ALL SELECT 'z_high', count(*) FILTER (NOT (z < 64)) FROM pts UNION ALL SELECT 'echo', count(*) FILTER (NOT (return_number >= 1 AND return_number <= number_of_returns)) FROM pts")
 query("s14_join_predictions", lambda t: sinks.join_predictions(t.pts.select(*KEY, "classification"), t.pts.select(*KEY, "pred", (F.col("z") * 2).alias("height"))), "SELECT tile, point_id, classification, pred, z * 2 AS height FROM pts")

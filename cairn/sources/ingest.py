@@ -284,6 +284,44 @@ def parse_logs(spark: SparkSession, glob: str) -> DataFrame:
     return parse_metric_lines(rows)
 
 
+def parse_results(lines: DataFrame, text: str = "value", run: str = "run", order: str = "line") -> DataFrame:
+    """Result lines of training logs, ``(run, line, kind, class_id, class_name, name, value)``.
+
+    ``val`` and ``test`` rows are the metrics of ``Val result:`` and ``Test result:`` lines, ``class`` rows those of the class lines that follow a
+    test result without a gap (``class_id`` is -1 elsewhere), ``error`` rows hold an error line in ``name``, ``stop`` rows an early stop. A log is ordered as a whole: one run per window.
+    """
+    # Fixed formats of the logs.
+    metric, numbers = r"\b(mIoU|mAcc|OA|mF1|fwIoU|Kappa)\s+([0-9.]+)", r"\b(IoU|Prec|Recall|F1)\s+([0-9.]+)"
+    per_class = r"Class\s+(\d+)\s+-\s+(.+?)\s+\|\s+IoU\s+[0-9.]+\s+Prec\s+[0-9.]+\s+Recall\s+[0-9.]+\s+F1\s+[0-9.]+"
+    t = F.col(text)
+    is_class = t.rlike(per_class)
+    rows = lines.select(run, order, t.alias("__t"), is_class.alias("__c"))
+    rows = rows.withColumn("__after", F.last(F.when(~F.col("__c"), F.col("__t").contains("Test result:")), ignorenulls=True).over(Window.partitionBy(run).orderBy(order)))
+    t = F.col("__t")
+    flag = lambda kind, when: F.when(when, F.lit(kind))
+    kinds = F.array_compact(F.array(flag("val", t.contains("Val result:")), flag("test", t.contains("Test result:")), flag("class", F.col("__c") & F.col("__after")), flag("error", t.contains(" ERROR]")), flag("stop", t.contains("Training stop requested"))))
+    rows = rows.withColumn("kind", F.explode(kinds))
+    pairs = lambda pattern: F.arrays_zip(F.regexp_extract_all("__t", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("__t", F.lit(pattern), F.lit(2)).alias("value"))
+    told = F.when(F.col("kind").isin("val", "test"), pairs(metric)).when(F.col("kind") == "class", pairs(numbers)).otherwise(F.array(F.struct(t.alias("name"), F.lit(None).cast("string").alias("value"))))
+    rows = rows.withColumn("__p", F.explode(told))
+    mine = F.col("kind") == "class"
+    return rows.select(run, order, "kind", F.when(mine, F.regexp_extract("__t", per_class, 1).cast("int")).otherwise(-1).alias("class_id"), F.when(mine, F.regexp_extract("__t", per_class, 2)).alias("class_name"), F.col("__p.name").alias("name"), F.col("__p.value").cast("double").alias("value"))
+
+
+def summarize_results(results: DataFrame, run: str = "run", order: str = "line", metric: str = "mIoU") -> DataFrame:
+    """One row per run: validation epochs, the first best of them (from 1) and its metric, the last one's metric, the test metric, whether it stopped early, errors, and
+    ``complete``: exactly one test result and at least one validation."""
+    epoch = F.row_number().over(Window.partitionBy(run).orderBy(order))
+    val = results.where((F.col("kind") == "val") & (F.col("name") == metric)).withColumn("epoch", epoch)
+    best = val.groupBy(run).agg(F.count("*").alias("val_epochs"), F.min_by("epoch", F.struct(-F.col("value"), F.col("epoch"))).alias("best_epoch"), F.max("value").alias("best"), F.max_by("value", "epoch").alias("final"))
+    rest = results.groupBy(run).agg(
+        F.max(F.when((F.col("kind") == "test") & (F.col("name") == metric), F.col("value"))).alias("test"), F.count_if((F.col("kind") == "test") & (F.col("name") == metric)).alias("__tests"),
+        (F.count_if(F.col("kind") == "stop") > 0).alias("early_stopped"), F.count_if(F.col("kind") == "error").alias("errors"),
+    )
+    out = rest.join(best, run, "left").withColumn("val_epochs", F.coalesce("val_epochs", F.lit(0)))
+    return out.withColumn("complete", (F.col("__tests") == 1) & (F.col("val_epochs") > 0)).drop("__tests")
+
+
 # --- splits, inventories, constraints ------------------------------------------------------------------------------
 
 

@@ -12,8 +12,6 @@ from cairn.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Slow in DuckDB (self joins of whole tiles); the driver's gate runs them.
-SLOW = {"j05_knn", "j05_knn_cross", "j06_knn_exclude_self", "j07_ball_query", "j08_ball_query_random", "j09_radius_csr", "j10_group_neighbors", "j11_idw", "a35_role_context", "a36_context_scores", "a44_height_descriptor", "a53_cluster", "a50_refresh_correspondence", "a40_section_scan"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -26,7 +24,7 @@ def duck():
     return con
 
 
-NAMES = sorted(set(SQL) - SLOW)
+NAMES = sorted(SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)

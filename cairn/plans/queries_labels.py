@@ -54,8 +54,8 @@ CELLS = "c AS (SELECT *, CAST(floor(x / 4) AS BIGINT) AS gx, CAST(floor(y / 4) A
 query("p15_grid_coord", lambda t: grid.grid_coord(t.pts, 4.0).select(*KEY, "gx", "gy", "gz"), "SELECT tile, point_id, gx - min(gx) OVER w AS gx, gy - min(gy) OVER w AS gy, gz - min(gz) OVER w AS gz FROM c WINDOW w AS (PARTITION BY tile)", CELLS)
 query("p16_displacement", lambda t: grid.displacement(t.pts, 4.0).select(*KEY, "dx", "dy", "dz"), "SELECT tile, point_id, x / 4 - gx - 0.5::DOUBLE AS dx, y / 4 - gy - 0.5::DOUBLE AS dy, z / 4 - gz - 0.5::DOUBLE AS dz FROM c", CELLS)
 query("p17_cosine", lambda t: r6(t("embeddings").withColumn("v", s.l2norm("embedding")).select("vec_id", s.cosine("embedding", F.reverse("embedding")).alias("cosine"), F.col("v")[0].alias("v0")), "cosine", "v0"), f"SELECT vec_id, {rnd('list_dot_product(e, list_reverse(e)) / (greatest(sqrt(list_dot_product(e, e)), 1e-12) * greatest(sqrt(list_dot_product(e, e)), 1e-12))')} AS cosine, {rnd('e[1] / greatest(sqrt(list_dot_product(e, e)), 1e-12)')} AS v0 FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
-_W = [[(i * 7 + j * 3) % 5 - 2 for j in range(2)] for i in range(8)]
-query("p18_project", lambda t: r6(features.project(t("embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("feature")), [0.5] * 8, _W).select("vec_id", F.col("projected")[0].alias("p0"), F.col("projected")[1].alias("p1")), "p0", "p1"), "SELECT vec_id, " + ", ".join(rnd(" + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - 0.5::DOUBLE) * {_W[i][j]}" for i in range(8))) + f" AS p{j}" for j in range(2)) + " FROM embeddings")
+_W = [[(i * 7 + j * 3) % 5 - 2 for j in range(2)] for i in range(64)]
+query("p18_project", lambda t: r6(features.project(t("embeddings").select("vec_id", F.col("embedding").alias("feature")), [0.5] * 64, _W).select("vec_id", F.col("projected")[0].alias("p0"), F.col("projected")[1].alias("p1")), "p0", "p1"), "SELECT vec_id, " + ", ".join(rnd(" + ".join(f"(CAST(embedding[{i + 1}] AS DOUBLE) - 0.5::DOUBLE) * {_W[i][j]}" for i in range(64))) + f" AS p{j}" for j in range(2)) + " FROM embeddings")
 _AF = (0.5, 0.0, 2.0, 0.0, -0.25, 100.0)
 query("p19_to_pixel", lambda t: t.pts.select(*KEY, *(c.alias(n) for n, c in zip(("row", "col"), s.to_pixel("x", "y", _AF), strict=True))).withColumn("inside", s.inside("row", "col", 200, 100)), "SELECT *, row >= 0 AND row < 200 AND col >= 0 AND col < 100 AS inside FROM (SELECT tile, point_id, CAST(floor((y - 100) * 0.5::DOUBLE / -0.125::DOUBLE) AS BIGINT) AS row, CAST(floor((x - 2) * -0.25::DOUBLE / -0.125::DOUBLE) AS BIGINT) AS col FROM pts)")
 query("p20_to_patch", lambda t: t.pts.select(*KEY, s.to_patch(F.floor("y"), F.floor("x"), 16, 6, 6).cast("long").alias("patch")), "SELECT tile, point_id, CAST(CASE WHEN floor(y / 16) BETWEEN 0 AND 5 AND floor(x / 16) BETWEEN 0 AND 5 THEN floor(floor(y) / 16) * 6 + floor(floor(x) / 16) ELSE -1 END AS BIGINT) AS patch FROM pts")
@@ -100,7 +100,7 @@ _T16 = lambda t: grid.tile_grid(t.pts, 32.0, 32.0, 1, "source_block").withColumn
 _TG = "g AS (SELECT source_block, tile, point_id, x, y, CAST(floor((x - x0) / 32) * 100 + floor((y - y0) / 32) AS BIGINT) AS tile_no FROM pts JOIN (SELECT source_block, min(x) AS x0, min(y) AS y0 FROM pts GROUP BY 1) USING (source_block)), st AS (SELECT source_block, tile_no, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM g GROUP BY 1, 2), lim AS (SELECT count(*) // 200 AS m FROM pts)"
 query("t16_absorb_small", lambda t: grid.absorb_small(_T16(t), t("lineitem").count() // 200, "source_block").select("source_block", "tile", "point_id", "tile_no"), "SELECT g.source_block, g.tile, g.point_id, coalesce(r.dst, g.tile_no) AS tile_no FROM g LEFT JOIN r ON g.source_block = r.source_block AND g.tile_no = r.src", _TG + ", r AS (SELECT s.source_block, s.tile_no AS src, arg_min(v.tile_no, (s.mx - v.mx) * (s.mx - v.mx) + (s.my - v.my) * (s.my - v.my)) AS dst FROM st s JOIN st v ON s.source_block = v.source_block, lim WHERE s.n < m AND v.n >= m GROUP BY 1, 2)")
 query("t17_split_large", lambda t: grid.split_large(t.pts.withColumn("part", F.col("source_block").cast("string")), t("lineitem").count() // 16).select("source_block", "tile", "point_id", "part"))
-query("j16_buffer_tiles", lambda t: grid.buffer_tiles(t.pts.where("classification < 3"), grid.core_boxes(_T16(t), ["source_block", "tile_no"]), 1.5, "source_block").select("source_block", "to_tile", "tile", "point_id", "in_box"), "SELECT p.source_block, b.tile_no AS to_tile, p.tile, p.point_id, p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 AS in_box FROM pts p JOIN b ON p.source_block = b.source_block AND p.x BETWEEN x0 - 1.5 AND x1 + 1.5 AND p.y BETWEEN y0 - 1.5 AND y1 + 1.5 WHERE p.classification < 3", _TG + ", b AS (SELECT source_block, tile_no, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g GROUP BY 1, 2)")
+query("j16_buffer_tiles", lambda t: grid.buffer_tiles(t.pts, grid.core_boxes(_T16(t), ["source_block", "tile_no"]), 1.5, "source_block").select("source_block", "to_tile", "tile", "point_id", "in_box"), "SELECT p.source_block, b.tile_no AS to_tile, p.tile, p.point_id, p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 AS in_box FROM pts p JOIN b ON p.source_block = b.source_block AND p.x BETWEEN x0 - 1.5 AND x1 + 1.5 AND p.y BETWEEN y0 - 1.5 AND y1 + 1.5", _TG + ", b AS (SELECT source_block, tile_no, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g GROUP BY 1, 2)")
 query("t18_chunk", lambda t: grid.chunk(t.pts, 40.0, 25.0, 20).select(*KEY, "chunk_x", "chunk_y"), "SELECT tile, point_id, chunk_x, chunk_y FROM (SELECT *, count(*) OVER (PARTITION BY tile, chunk_x, chunk_y) AS n FROM e) WHERE n >= 20", "e AS (SELECT tile, point_id, i AS chunk_x, j AS chunk_y FROM (SELECT *, min(x) OVER (PARTITION BY tile) AS x0, min(y) OVER (PARTITION BY tile) AS y0 FROM pts), range(0, 5) a(i), range(0, 5) b(j) WHERE x - x0 >= i * 25 AND x - x0 < i * 25 + 40 AND y - y0 >= j * 25 AND y - y0 < j * 25 + 40)")
 
 # --- merge ------------------------------------------------------------------------------------------------------

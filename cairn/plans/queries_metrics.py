@@ -162,8 +162,9 @@ def _weights(t: Tables) -> DataFrame:
 
 
 query("a11_class_weights", _weights, " UNION ALL ".join(f"SELECT '{m}' AS method, classification, {rnd('w' if m in ('balanced', 'effective') else 'w * k / sum(w) OVER ()')} AS weight FROM (SELECT *, {e} AS w FROM cc)" for m, e in _METHODS.items()), "cc AS (SELECT classification, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS tot, count(*) OVER () AS k FROM pts GROUP BY 1)")
-_SOME = "classification > 5 AND tile % 2 = 0 OR classification = 1 AND tile % 3 > 0"
-query("a12_tile_weights", lambda t: r6(features.tile_weights(t.pts.where(_SOME), features.class_weights(features.class_counts(t.pts), normalise=False)), "weight"), f"SELECT tile, {rnd('w * count(*) OVER () / sum(w) OVER ()')} AS weight FROM (SELECT tile, sum(wt) AS w FROM (SELECT DISTINCT tile, classification FROM pts WHERE {_SOME}) JOIN (SELECT classification, 1 / (count(*) / (SELECT count(*) FROM pts) + 1e-6) AS wt FROM pts GROUP BY 1) USING (classification) GROUP BY 1)")
+#: An order is a tile here: it has some of the classes.
+_ORDER = "CAST(floor(orig_idx / 8) AS BIGINT)"
+query("a12_tile_weights", lambda t: r6(features.tile_weights(t.pts.withColumn("tile", F.expr(_ORDER)), features.class_weights(features.class_counts(t.pts), normalise=False)), "weight"), f"SELECT tile, {rnd('w * count(*) OVER () / sum(w) OVER ()')} AS weight FROM (SELECT tile, sum(wt) AS w FROM (SELECT DISTINCT {_ORDER} AS tile, classification FROM pts) JOIN (SELECT classification, 1 / (count(*) / (SELECT count(*) FROM pts) + 1e-6) AS wt FROM pts GROUP BY 1) USING (classification) GROUP BY 1)")
 
 
 #: The tables have classes 1 to 8 in like shares: weighted by the tile's number, so that every rule has tiles.

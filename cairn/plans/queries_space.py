@@ -28,9 +28,10 @@ query("j08_ball_query_random", lambda t: r6(neighbors.ball_query(t.pts, t.pts, 1
 query("j09_radius_csr", lambda t: neighbors.csr(neighbors.radius_edges(t.pts, t.pts, 8.0)).select("tile", "src", "degree", F.col("neighbors")[0].alias("least"), F.array_max("neighbors").alias("most")), f"SELECT a.tile, a.point_id AS src, count(*) AS degree, min(b.point_id) AS least, max(b.point_id) AS most FROM pts a JOIN pts b USING (tile) WHERE {D2} <= 64 GROUP BY 1, 2")
 query("j10_group_neighbors", lambda t: neighbors.group_neighbors(neighbors.knn(t.pts, t.pts, 6), t.pts, ["intensity"], t.pts, 1).select("tile", "src", F.size("group").alias("n"), F.col("group")[1]["intensity"].alias("i1"), F.col("group")[2]["dx"].alias("dx2")), f"SELECT e.tile, e.src, CAST(count(*) AS INT) AS n, max(b.intensity) FILTER (rank = 3) AS i1, max(b.x - a.x) FILTER (rank = 5) AS dx2 FROM {_knn(6)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id WHERE rank % 2 = 1 GROUP BY 1, 2")
 query("j11_idw", lambda t: r6(neighbors.idw(t.pts.where("classification = 1"), t.pts.where("classification > 4"), "intensity"), "intensity"), f"SELECT e.tile, src, {rnd('sum(b.intensity / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8))')} AS intensity FROM {_knn(3, 'a.classification = 1 AND b.classification > 4')} e JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
-_BOXES = "bx AS (SELECT tile, source_block, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts WHERE classification = 1 AND return_number = 1 AND x < 60 GROUP BY 1, 2)"
-BX = lambda t: grid.core_boxes(t.pts.where("classification = 1 AND return_number = 1 AND x < 60"), ["tile", "source_block"])
-query("j13_bbox_join", lambda t: visibility.bbox_join(BX(t), BX(t).withColumnRenamed("tile", "other").drop("n"), ["source_block"], 50.0).select("source_block", "tile", "other"), "SELECT a.source_block, a.tile, b.tile AS other FROM bx a JOIN bx b ON a.source_block = b.source_block AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1", _BOXES)
+#: Boxes of all points of a tile and a square of 20 by 20.
+_BOXES = "bx AS (SELECT tile, source_block, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT * REPLACE (tile * 100 + CAST(floor(x / 20) * 10 + floor(y / 20) AS BIGINT) AS tile) FROM pts) GROUP BY 1, 2)"
+BX = lambda t: grid.core_boxes(t.pts.withColumn("tile", F.expr("tile * 100 + CAST(floor(x / 20) * 10 + floor(y / 20) AS BIGINT)")), ["tile", "source_block"])
+query("j13_bbox_join", lambda t: visibility.bbox_join(BX(t), BX(t).withColumnRenamed("tile", "other").drop("n"), ["source_block"], 20.0).select("source_block", "tile", "other"), "SELECT a.source_block, a.tile, b.tile AS other FROM bx a JOIN bx b ON a.source_block = b.source_block AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1", _BOXES)
 
 
 def _rasters(t: Tables) -> DataFrame:
@@ -43,11 +44,13 @@ query("j14_point_coverage", lambda t: visibility.point_coverage(t.pts.select(*KE
 
 def _cover(t: Tables) -> tuple[DataFrame, DataFrame]:
     tiles = t("supplier").select(F.col("s_suppkey").alias("tile"), ((F.col("s_suppkey") * 11) % 60).cast("double").alias("min_x"), ((F.col("s_suppkey") * 17) % 60).cast("double").alias("min_y")).withColumn("max_x", F.col("min_x") + 6).withColumn("max_y", F.col("min_y") + 4)
-    rects = t("orders").select(F.col("o_orderkey").alias("rect"), (F.col("o_orderkey") % 90).cast("double").alias("min_x"), ((F.col("o_orderkey") * 3) % 70).cast("double").alias("min_y")).withColumn("max_x", F.col("min_x") + 3 + F.col("rect") % 4).withColumn("max_y", F.col("min_y") + 5)
-    return tiles, rects.where("rect % 40 < 6")
+    rects = t("orders").select(F.col("o_orderkey").alias("rect"), (F.col("o_orderkey") % 90).cast("double").alias("min_x"), ((F.col("o_orderkey") * 3) % 70).cast("double").alias("min_y"))
+    # Most orders are small squares beside the unit cells' centres, so that tiles are covered in part.
+    wide = F.col("rect") % 40 < 6
+    return tiles, rects.withColumn("max_x", F.col("min_x") + F.when(wide, 3 + F.col("rect") % 4).otherwise(0.25)).withColumn("max_y", F.col("min_y") + F.when(wide, 5).otherwise(0.25))
 
 
-query("j15_covered", lambda t: visibility.covered(*_cover(t), size=8.0), "SELECT t.tile, bool_and(EXISTS (SELECT 1 FROM re WHERE mx + i + 0.5 > x AND mx + i + 0.5 < x + w AND my + j + 0.5 > y AND my + j + 0.5 < y + 5)) AS covered FROM (SELECT s_suppkey AS tile, (s_suppkey * 11) % 60 AS mx, (s_suppkey * 17) % 60 AS my FROM supplier) t, range(0, 6) a(i), range(0, 4) b(j) GROUP BY 1", "re AS (SELECT DISTINCT o_orderkey % 90 AS x, (o_orderkey * 3) % 70 AS y, 3 + o_orderkey % 4 AS w FROM orders WHERE o_orderkey % 40 < 6)")
+query("j15_covered", lambda t: visibility.covered(*_cover(t), size=8.0), "SELECT t.tile, bool_and(EXISTS (SELECT 1 FROM re WHERE mx + i + 0.5 > x AND mx + i + 0.5 < x + w AND my + j + 0.5 > y AND my + j + 0.5 < y + h)) AS covered FROM (SELECT s_suppkey AS tile, (s_suppkey * 11) % 60 AS mx, (s_suppkey * 17) % 60 AS my FROM supplier) t, range(0, 6) a(i), range(0, 4) b(j) GROUP BY 1", "re AS (SELECT DISTINCT o_orderkey % 90 AS x, (o_orderkey * 3) % 70 AS y, CASE WHEN o_orderkey % 40 < 6 THEN 3 + o_orderkey % 4 ELSE 0.25 END AS w, CASE WHEN o_orderkey % 40 < 6 THEN 5 ELSE 0.25 END AS h FROM orders)")
 query("j26_check_catalog", lambda t: visibility.check_catalog(t("part").select(F.format_string("%08d", "p_partkey").alias("path"), F.col("p_brand").alias("dtype"), F.col("p_size").alias("bands")), ["dtype", "bands"]), "SELECT path, c AS \"column\", v AS value, e AS expected FROM (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS path, unnest([{'c': 'dtype', 'v': p_brand, 'e': b0}, {'c': 'bands', 'v': CAST(p_size AS VARCHAR), 'e': CAST(s0 AS VARCHAR)}], recursive := true) FROM part, (SELECT arg_min(p_brand, p_partkey) AS b0, arg_min(p_size, p_partkey) AS s0 FROM part)) WHERE v <> e")
 query("a53_cluster", lambda t: neighbors.cluster(t.pts, 10.0, 2).select(*KEY, "component", "size"), "SELECT tile, point_id, component, count(*) OVER (PARTITION BY tile, component) AS size FROM (SELECT tile, point_id, min(r) AS component FROM rch GROUP BY 1, 2) QUALIFY count(*) OVER (PARTITION BY tile, component) >= 2", f"ed AS (SELECT a.tile, a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON a.tile = b.tile AND a.classification = b.classification WHERE {D2} <= 100), rch AS (SELECT tile, point_id, point_id AS r FROM pts UNION SELECT rch.tile, ed.b, rch.r FROM rch JOIN ed ON rch.tile = ed.tile AND rch.point_id = ed.a)")
 query("a54_superpoints", lambda t: neighbors.superpoints(_with_normals(t), neighbors.knn(t.pts, t.pts, 6).select("tile", "src", "dst"), least=5, most=200))

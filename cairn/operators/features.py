@@ -88,14 +88,15 @@ def palette(cluster: str, k: int) -> tuple[Column, Column, Column]:
     return tuple(F.round(ramp(s) * 255).cast("int") for s in (0.0, 4.0, 2.0))
 
 
-def linear_probe(train: DataFrame, test: DataFrame, feature: str = "feature", label: str = "label", reg: float = 1e-4) -> DataFrame:
-    """``test`` with ``prediction``: logistic regression on standardised features, classes weighted inversely to their counts."""
+def linear_probe(train: DataFrame, test: DataFrame, feature: str = "feature", label: str = "label", c: float = 1.0, most_steps: int = 500) -> DataFrame:
+    """``test`` with ``prediction``: logistic regression on features of length 1, classes weighted inversely to their counts; ``c`` weighs the summed loss
+    against half the squared coefficients."""
     counts = train.groupBy(label).count()
     n = train.count()
     k = counts.count()
     weighted = train.join(counts.withColumn("__w", F.lit(float(n)) / (F.col("count") * k)).drop("count"), label)
-    model = LogisticRegression(featuresCol="__v", labelCol=label, weightCol="__w", predictionCol="prediction", regParam=reg).fit(_vectors(weighted, feature))
-    return model.transform(_vectors(test, feature)).drop("__v", "rawPrediction", "probability").withColumn("prediction", F.col("prediction").cast("int"))
+    model = LogisticRegression(featuresCol="__v", labelCol=label, weightCol="__w", predictionCol="prediction", regParam=1.0 / (c * max(1, n)), standardization=False, maxIter=most_steps).fit(_vectors(weighted.withColumn("__f", l2norm(feature)), "__f"))
+    return model.transform(_vectors(test.withColumn("__f", l2norm(feature)), "__f")).drop("__f", "__v", "rawPrediction", "probability").withColumn("prediction", F.col("prediction").cast("int"))
 
 
 def knn_probe(train: DataFrame, test: DataFrame, k: int = 20, feature: str = "feature", label: str = "label", id_col: str = "vec_id", block: int = 4096) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import unit_hash
 from cairn.operators.geometry import terrain_weights
-from cairn.operators.neighbors import radius_edges
+from cairn.operators.neighbors import checkpointed, radius_edges
 
 
 def nested_rank(pts: DataFrame, seed: int, keys: Sequence[str] = ("tile", "point_id"), name: str = "rank") -> DataFrame:
@@ -174,32 +174,57 @@ def sphere_crop(pts: DataFrame, n: int, mode: str = "middle", seed: int = 0, by:
     return near.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy("__d2", id_col))).where(F.col("__r") <= n).drop("__r", "__d2", "__x", "__y", "__z")
 
 
-def multi_view(pts: DataFrame, views: int, size: float, seed: int, locals_: int = 0, local_size: float = 0.25, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """``view`` rows: the major view (0) holds all of a tile; ``views`` global ones the nearest share ``size`` to hashed centres; ``locals_`` local
-    ones the nearest share ``local_size`` to centres that are drawn round by round from points no local view covers yet."""
-    total = pts.groupBy(by).agg(F.count("*").alias("__n"))
-    out = pts.withColumn("view", F.lit(0))
+def multi_view(
+    pts: DataFrame, seed: int, globals_: int = 2, global_scale: tuple[float, float] = (0.4, 1.0), locals_: int = 4, local_scale: tuple[float, float] = (0.1, 0.4), most: int = 65_536, height: tuple[float, float] = (0.0, 1.0), shared: bool = False, seen: str | None = None, seen_most: int = 102_400,
+    by: str = "tile", id_col: str = "point_id",
+) -> DataFrame:
+    """``view`` rows: a view is the points nearest to its centre, a hashed share within its scale of the tile's points (of at most ``most``), at least one.
 
-    def crop(centers: DataFrame, share: float, view: int) -> DataFrame:
-        c = centers.select(by, *(F.col(x).alias(f"__{x}") for x in "xyz"))
+    View 0 is the major one; its centre is a point within the tile's ``height`` range. With the boolean column ``seen`` (points that an image shows) it is their
+    mean, and the view the nearest ``seen_most`` points. Views 1 to ``globals_ - 1`` have their centres in the major view, or are copies of it (``shared``). The ``locals_`` ones after
+    them have theirs among the major view's points that no local view covers yet; when all are covered, it begins anew.
+    """
+    total = pts.groupBy(by).agg(F.count("*").alias("__n"), F.min("z").alias("__lo"), F.max("z").alias("__hi"))
+
+    def crop(centers: DataFrame, view: int, scale: tuple[float, float]) -> DataFrame:
         d2 = sum(((F.col(x) - F.col(f"__{x}")) * (F.col(x) - F.col(f"__{x}")) for x in "xyz"), F.lit(0.0))
-        near = pts.join(c, by).join(total, by).withColumn("__d2", d2)
+        share = scale[0] + (scale[1] - scale[0]) * unit_hash(f"{seed}/size{view}", by)
+        size = F.greatest(F.lit(1), F.floor(share * F.least(F.col("__n"), F.lit(most))))
+        if view == 0 and seen is not None:
+            size = F.when(F.col("__seen"), F.least(F.col("__n"), F.lit(seen_most))).otherwise(size)
+        near = pts.join(centers, by).join(total, by).withColumn("__d2", d2)
         rank = F.row_number().over(Window.partitionBy(by).orderBy("__d2", id_col))
-        return near.withColumn("__r", rank).where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * share))).drop("__r", "__d2", "__n", "__x", "__y", "__z").withColumn("view", F.lit(view))
+        return near.withColumn("__r", rank).where(F.col("__r") <= size).select(*pts.columns, F.lit(view).alias("view"))
 
     def drawn(rows: DataFrame, view: int) -> DataFrame:
-        return rows.groupBy(by).agg(F.min_by(F.struct("x", "y", "z"), F.struct(unit_hash(f"{seed}/{view}", by, id_col), F.col(id_col))).alias("c")).select(by, "c.*")
-
-    for v in range(1, views + 1):
-        out = out.unionByName(crop(drawn(pts, v), size, v))
-    open_points = pts
-    for v in range(views + 1, views + locals_ + 1):
-        part = crop(drawn(open_points, v), local_size, v)
+        first = F.min_by(F.struct("x", "y", "z"), F.struct(unit_hash(f"{seed}/{view}", by, id_col), F.col(id_col))).alias("c")
+        return rows.groupBy(by).agg(first).select(by, *(F.col(f"c.{x}").alias(f"__{x}") for x in "xyz"))
+
+    level = lambda share: F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.lit(float(share))
+    centers = drawn(pts.join(total, by).where(F.col("z").between(level(height[0]), level(height[1]))), 0)
+    if seen is not None:
+        mean = pts.where(F.col(seen)).groupBy(by).agg(*(F.avg(x).alias(f"m{x}") for x in "xyz"))
+        centers = centers.join(mean, by, "left").select(by, *(F.coalesce(f"m{x}", f"__{x}").alias(f"__{x}") for x in "xyz"), F.col("mx").isNotNull().alias("__seen"))
+    out = major = checkpointed(crop(centers, 0, global_scale))
+    for v in range(1, globals_):
+        out = out.unionByName(major.withColumn("view", F.lit(v)) if shared else crop(drawn(major, v), v, global_scale))
+    # How often a point was covered: the least covered points of a tile are those that no view has since it began anew.
+    open_points = major.select(by, id_col, *"xyz").withColumn("__times", F.lit(0))
+    for v in range(globals_, globals_ + locals_):
+        least = open_points.groupBy(by).agg(F.min("__times").alias("__least"))
+        part = checkpointed(crop(drawn(open_points.join(least, by).where("__times = __least"), v), v, local_scale))
         out = out.unionByName(part)
-        open_points = open_points.join(part.select(by, id_col), [by, id_col], "left_anti")
+        hit = part.select(by, id_col, F.lit(True).alias("__hit"))
+        met = open_points.join(least, by).join(hit, [by, id_col], "left")
+        open_points = checkpointed(met.select(by, id_col, *"xyz", F.when(F.col("__hit"), F.col("__least") + 1).otherwise(F.col("__times")).alias("__times")))
     return out
 
 
+def contrastive_pair(pts: DataFrame, transform: Callable[[DataFrame, int], DataFrame], seed: int) -> DataFrame:
+    """Two copies of every tile, ``view`` 1 and 2, each through ``transform(points, seed)`` with a seed of its own."""
+    return transform(pts, 2 * seed).withColumn("view", F.lit(1)).unionByName(transform(pts, 2 * seed + 1).withColumn("view", F.lit(2)))
+
+
 def keep_largest(df: DataFrame, n: int, by: str = "n", ties: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(n)
 

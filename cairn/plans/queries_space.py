@@ -223,7 +223,8 @@ CL = lambda t: t.pts.groupBy(F.col("tile").alias("cloud")).agg(F.count("*").alia
 query("w09_batch_offsets", lambda t: sampling.batch_offsets(CL(t), 4).select("cloud", "n", "batch_id", F.col("in_batch").cast("long").alias("in_batch"), "offset", "start"), "SELECT cloud, n, i // 4 AS batch_id, i % 4 AS in_batch, CAST(sum(n) OVER w AS BIGINT) AS \"offset\", CAST(sum(n) OVER w - n AS BIGINT) AS start FROM (SELECT tile AS cloud, count(*) AS n, row_number() OVER (ORDER BY tile) - 1 AS i FROM pts GROUP BY 1) WINDOW w AS (PARTITION BY i // 4 ORDER BY i)")
 query("w10_mix_pairs", lambda t: sampling.mix_pairs(t.pts.select(F.col("tile").alias("cloud"), "point_id", (F.col("orig_idx") % 9 - 1).alias("instance")), t.pts.select(F.col("tile").alias("cloud"))).select("cloud", "point_id", "mixed", "instance"), "SELECT cloud, point_id, i // 2 AS mixed, CASE WHEN ins >= 0 AND i % 2 = 1 THEN ins + greatest((SELECT max(y.ins) + 1 FROM mp y WHERE y.i = x.i - 1), 0) ELSE ins END AS instance FROM mp x", "mp AS (SELECT tile AS cloud, point_id, orig_idx % 9 - 1 AS ins, dense_rank() OVER (ORDER BY tile) - 1 AS i FROM pts)")
 query("t02_sphere_crop", lambda t: sampling.sphere_crop(t.pts, 50).select(*KEY), f"SELECT tile, point_id FROM (SELECT a.tile, a.point_id, row_number() OVER (PARTITION BY a.tile ORDER BY {D2}, a.point_id) AS k FROM pts a JOIN (SELECT tile, x, y, z FROM pts QUALIFY row_number() OVER (PARTITION BY tile ORDER BY point_id) = count(*) OVER (PARTITION BY tile) // 2 + 1) b USING (tile)) WHERE k <= 50")
-query("t03_multi_view", lambda t: sampling.multi_view(t.pts.select(*KEY, "x", "y", "z"), 2, 0.5, 3, 2).groupBy("tile", "view").agg(F.count("*").alias("n")))
+query("t03_contrastive_pair", lambda t: r6(sampling.contrastive_pair(t.pts.select(*KEY, "x", "y", "z"), lambda d, seed: augment.shift(d, seed), 1), "x", "y").select(*KEY, "view", "x", "y"), " UNION ALL ".join(f"SELECT tile, point_id, {v} AS view, " + ", ".join(f"{rnd(c + ' + (-0.2::DOUBLE + ' + U(f'{s}/shift{c}', 'tile') + ' * 0.4::DOUBLE)')} AS {c}" for c in "xy") + " FROM pts" for v, s in ((1, 2), (2, 3))))
+query("t03_multi_view", lambda t: sampling.multi_view(t.pts.select(*KEY, "x", "y", "z"), 3, locals_=2).groupBy("tile", "view").agg(F.count("*").alias("n")))
 query("t06_shuffle", lambda t: sampling.shuffled(t.pts, 4).select(*KEY), "SELECT tile, point_id FROM pts")
 query("t07_downsample", lambda t: sampling.downsample(t.pts, 10, 5).select(*KEY), f"SELECT tile, point_id FROM (SELECT tile, point_id, row_number() OVER (PARTITION BY tile ORDER BY {U(5, 'tile', 'point_id')}, point_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM pts) WHERE k <= greatest(1, n // 10)")
 query("t08_keep_labels", lambda t: sampling.keep_labels(t.pts, 0.25, 0, 6).select(*KEY, "classification"), f"SELECT tile, point_id, CASE WHEN k <= floor(n * 0.25) THEN classification ELSE 0 END AS classification FROM (SELECT *, row_number() OVER (PARTITION BY tile, classification ORDER BY {U(6, 'tile', 'point_id')}, point_id) AS k, count(*) OVER (PARTITION BY tile, classification) AS n FROM pts)")

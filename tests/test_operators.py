@@ -365,3 +365,17 @@ def test_geometry_variants_against_numpy(spark):
                 assert np.allclose([row.linearity, row.planarity, row.curvature, row.verticality], [(l1 - l2) / l1, (l2 - l3) / l1, l3 / (l1 + l2 + l3), 1 - abs(v[2, 0])], atol=1e-6)
     assert not geometry.local_geometry(pts.where("point_id < 7"), 10, None).where("geom_valid").count()
     assert (geometry.eigen_features(pts.where("point_id < 4"), 10).toPandas()[["linearity", "nz"]] == 0).all().all()
+
+
+def test_multi_view_rules(spark):
+    g = np.random.default_rng(3)
+    xyz = g.uniform(0, 10, (200, 3))
+    pts = cloud(spark, xyz).withColumn("seen", F.col("point_id") < 5)
+    got = sampling.multi_view(pts, 7, 3, (0.4, 1.0), 3, (0.1, 0.4)).toPandas()
+    sizes = got.groupby("view").size().to_dict()
+    assert set(sizes) == set(range(6)) and all(80 <= sizes[v] <= 200 for v in range(3)) and all(20 <= sizes[v] <= 80 for v in (3, 4, 5))
+    assert not got.duplicated(["view", "point_id"]).any()
+    shown = sampling.multi_view(pts, 7, 2, locals_=0, shared=True, seen="seen", seen_most=30).toPandas()
+    center = xyz[:5].mean(0)
+    want = set(np.argsort(((xyz - center) ** 2).sum(1))[:30])
+    assert set(shown[shown.view == 0].point_id) == set(shown[shown.view == 1].point_id) == want

@@ -261,7 +261,7 @@ query("a33_knn_probe", lambda t: features.knn_probe(*_probe_sets(t), k=5).select
 query("a61_permute_features", lambda t: features.permute_features(EM(t), "rows", 3, ["label"]).select("vec_id", F.col("feature")[0].cast("double").alias("f0")), "SELECT a.vec_id, b.f0 FROM pa a JOIN pb b USING (label, r)", f"pa AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {U('3/a', 'vec_id')}, vec_id) AS r FROM embeddings), pb AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS f0, row_number() OVER (PARTITION BY label ORDER BY {U('3/b', 'vec_id')}, vec_id) AS r FROM embeddings)")
 query("a61_permute_dims", lambda t: features.permute_features(EM(t), "dims", 3).select(F.posexplode("feature").alias("i", "v")).groupBy("i").agg(F.count("*").alias("n")), "SELECT CAST(i AS INT) AS i, (SELECT count(*) FROM embeddings) AS n FROM range(0, (SELECT max(len(embedding)) FROM embeddings)) r(i)")
 #: A third method for the scans: right for every other point.
-_P3, _P3_SQL = F.when(F.col("point_id") % 2 == 0, F.col("classification")).otherwise(1), "CASE WHEN point_id % 2 = 0 THEN classification ELSE 1 END"
+_P3_SQL = "CASE WHEN point_id % 2 = 0 THEN classification ELSE 1 END"
 _BOX = "(SELECT tile, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts GROUP BY 1)"
 _WIN = "CAST(s AS INT) AS slab, CAST(k AS INT) AS start FROM pp p JOIN bo USING (tile), range(0, 5) a(s), range(0, 3) b(k)"
 _SECTIONS = f"""pp AS (SELECT *, {_P3_SQL} AS p3 FROM pts), bo AS {_BOX},
@@ -273,12 +273,12 @@ sg AS (SELECT tile, axis, slab, start, count(*) AS n, quantile_cont(z, 0.95) - q
 
 
 def _sections(t: Tables) -> DataFrame:
-    return features.section_scan(t.pts.withColumn("p3", _P3), ["pred2", "p3", "pred"], range(1, 9), slabs=5, thickness=16.0, starts=3, length=60.0, least=20)
+    return features.section_scan(t.pts.withColumn("p3", F.expr(_P3_SQL)), ["pred2", "p3", "pred"], range(1, 9), slabs=5, thickness=16.0, starts=3, length=60.0, least=20)
 
 
 query("a40_section_scan", lambda t: r6(_sections(t), "relief", "acc_pred", "gain", "score").select("tile", "axis", "slab", "start", "n", "relief", "n_classes", "acc_pred", "gain", "support", "score"), f"SELECT tile, axis, slab, start, n, {rnd('relief')} AS relief, CAST(n_classes AS INT) AS n_classes, {rnd('acc')} AS acc_pred, {rnd('gain')} AS gain, support, {rnd('(gain * sqrt(n) + 0.012 * sqrt(support)) * least(relief / 10, 1)')} AS score FROM sg JOIN sn USING (tile, axis, slab, start) WHERE n >= 20 AND n_classes >= 2 AND relief >= 3", _SECTIONS)
 query("a64_section_bins", lambda t: features.section_bins(t.pts.withColumn("along", F.col("x")), 1, 2, by=["tile"], size=10.0).select("tile", "mixed", "overlap", "weight"), "SELECT tile, mixed, overlap, 1 + 0.1::DOUBLE * overlap AS weight FROM (SELECT tile, count(*) FILTER (ok) AS mixed, count(*) FILTER (ok AND m0 - m1 >= 2) AS overlap FROM (SELECT tile, bin, bin < 10 AND count(*) >= 8 AND count(*) FILTER (classification = 1) >= 3 AND count(*) FILTER (classification = 2) >= 3 AS ok, quantile_cont(z, 0.5) FILTER (classification = 1) AS m0, quantile_cont(z, 0.5) FILTER (classification = 2) AS m1 FROM (SELECT *, least(10, floor(x / 10)) AS bin FROM pts) GROUP BY 1, 2) GROUP BY 1)")
-query("a62_crop_scan", lambda t: r6(features.crop_scan(t.pts.withColumn("p3", _P3), ["pred2", "p3", "pred"], range(1, 9), 50.0, least=100, coverage=0.6, span=48.0, share=0.02, least_classes=3), "miou_pred", "gain").select("tile", "i", "j", "n", "n_classes", "coverage", "miou_pred", "gain", "best"), f"SELECT tile, CAST(i AS INT) AS i, CAST(j AS INT) AS j, n, CAST(n_classes AS INT) AS n_classes, coverage, {rnd('a')} AS miou_pred, {rnd('a - greatest(b, c)')} AS gain, row_number() OVER (PARTITION BY tile ORDER BY a - greatest(b, c) DESC, i, j) = 1 AS best FROM cu JOIN ck USING (tile, i, j) WHERE n >= 100 AND n_classes >= 3 AND coverage >= 0.6 AND least(wx, wy) >= 48", f"""cr AS (SELECT p.*, {_P3_SQL} AS p3, i, j, x0 + greatest(0, x1 - 50 - x0) / 4 * i AS ax, y0 + greatest(0, y1 - 50 - y0) / 4 * j AS ay FROM pts p JOIN {_BOX} USING (tile), range(0, 5) a(i), range(0, 5) b(j)),
+query("a62_crop_scan", lambda t: r6(features.crop_scan(t.pts.withColumn("p3", F.expr(_P3_SQL)), ["pred2", "p3", "pred"], range(1, 9), 50.0, least=100, coverage=0.6, span=48.0, share=0.02, least_classes=3), "miou_pred", "gain").select("tile", "i", "j", "n", "n_classes", "coverage", "miou_pred", "gain", "best"), f"SELECT tile, CAST(i AS INT) AS i, CAST(j AS INT) AS j, n, CAST(n_classes AS INT) AS n_classes, coverage, {rnd('a')} AS miou_pred, {rnd('a - greatest(b, c)')} AS gain, row_number() OVER (PARTITION BY tile ORDER BY a - greatest(b, c) DESC, i, j) = 1 AS best FROM cu JOIN ck USING (tile, i, j) WHERE n >= 100 AND n_classes >= 3 AND coverage >= 0.6 AND least(wx, wy) >= 48", f"""cr AS (SELECT p.*, {_P3_SQL} AS p3, i, j, x0 + greatest(0, x1 - 50 - x0) / 4 * i AS ax, y0 + greatest(0, y1 - 50 - y0) / 4 * j AS ay FROM pts p JOIN {_BOX} USING (tile), range(0, 5) a(i), range(0, 5) b(j)),
 ci AS (SELECT * FROM cr WHERE x >= ax AND x <= ax + 50 AND y >= ay AND y <= ay + 50),
 cu AS (SELECT tile, i, j, count(*) AS n, count(DISTINCT least(9, floor((x - ax) / 50 * 10)) * 10 + least(9, floor((y - ay) / 50 * 10))) / 100::DOUBLE AS coverage, max(x) - min(x) AS wx, max(y) - min(y) AS wy FROM ci GROUP BY ALL),
 cc AS (SELECT tile, i, j, k, count(*) FILTER (classification = k) AS t, {", ".join(f"count(*) FILTER (classification = k AND {m} = k) / nullif(count(*) FILTER (classification = k OR {m} = k), 0)::DOUBLE AS {n}" for n, m in zip("abc", ("pred", "pred2", "p3")))} FROM ci, range(1, 9) r(k) GROUP BY ALL),

@@ -55,3 +55,10 @@ def test_partitioning_does_not_matter(spark, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_scratch: list[str] = []
@@ -91,3 +91,22 @@ def utf8_slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int =
                 start, held = i, 0
             held += int(size)
         yield batch.slice(start)
+
+
+def numbered(df: DataFrame, group: str, order: list[str | Column], name: str) -> DataFrame:
+    """``df`` with ``pos`` (place within its group, from 0) and ``size`` (rows of the group), written to the shared folder.
+
+    Rows are dealt by ranges of (group, order), sorted, and written with Spark's running row number of their
+    partition; the places of a partition's rows follow from the counts of the partitions before. So a group of any size is
+    spread over many tasks, and only one row per group and partition meets others. ``group`` must not be null.
+    Rows that tie in ``order`` get any places among each other.
+    """
+    keys = [F.col(group), *order]
+    dealt = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    at = materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), name)
+    at = at.withColumn("__part", F.shiftright("__m", 33)).drop("pos", "size")
+    runs = at.groupBy(group, "__part").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "size": F.sum("__n").over(Window.partitionBy(group))}).drop("__n")
+    placed = at.join(materialize(runs, f"{name}-runs"), [group, "__part"])
+    return placed.withColumn("pos", F.col("__m") - F.col("__first") + F.col("__before")).drop("__m", "__part", "__first", "__before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import edit_embedding, exact_dedup, langid, mixing, ngram_join, packing, quality, secrets, tokencount, warc_zip
+from cairn.llm import clustering, edit_embedding, exact_dedup, langid, merkle, mixing, ngram_join, packing, quality, secrets, substring_dedup, tokencount, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.kmeans(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_pack_documents, op2_language_id, op3_token_counts, op4_quality, op5_warc_zip, op6_ngram_jaccard, op7_mix_sources, op8_exact_dedup, op9_edit_fingerprints, op10_secret_scan, edit_groups)
+    every = (op1_pack_documents, op2_language_id, op3_token_counts, op4_quality, op5_warc_zip, op6_ngram_jaccard, op7_mix_sources, op8_exact_dedup, op9_edit_fingerprints, op10_secret_scan, op11_merkle_manifest, op12_centroid_clusters, op13_substring_dedup, edit_groups)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard": ngram_join.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op6_ngram_jaccard": ngram_join.ORACLE_SQL,
+        "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.oracle_sql(),
+        "op12_centroid_clusters": clustering.oracle_sql(),
+        "op13_substring_dedup": substring_dedup.ORACLE_SQL,
+    }

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import attach_group, materialize, numbered, release, utf8_slices
 
 #: Words of a key phrase, words of a shard's documents (a longer document is a shard's only large one).
-PHRASE, SHARD_WORDS = 5, 600_000
+PHRASE, SHARD_WORDS = 5, 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -35,13 +36,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def run_hashes(hashed: np.ndarray, width: int, step: np.uint64 = _STEP) -> np.ndarray:
-    """A 64-bit hash of every ``width`` consecutive word hashes."""
+def run_hashes(hashed: np.ndarray, width: int, step: np.uint64 = _STEP, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every ``width`` consecutive word hashes, or of those that begin at ``at``."""
     whole = max(0, len(hashed) - width + 1)
-    h = np.zeros(whole, np.uint64)
+    h = np.zeros(whole if at is None else len(at), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
-            h = h * step + hashed[j : j + whole]
+            h = h * step + (hashed[j : j + whole] if at is None else hashed[at + j])
         return _mix(h)
 
 
@@ -55,12 +56,12 @@ def _slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return values
 
 
-def key_phrases(phrases: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the hashes of a document's phrases: the key hash of every window of ``width`` words, and where key phrases begin."""
+def key_phrases(phrases: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the hashes of a stream's phrases: the key hash of every window of ``width`` words, and where key phrases of ``valid`` windows begin."""
     span = width - PHRASE + 1
     keys = _slide(phrases, span, np.minimum)
     edge = np.zeros(span - 1, np.uint64)
-    return keys, _slide(np.r_[edge, keys, edge], span, np.maximum) == phrases
+    return keys, _slide(np.r_[edge, np.where(valid, keys, 0), edge], span, np.maximum) == phrases
 
 
 class _Words(dict):
@@ -77,6 +78,25 @@ def _hashes_of(words: _Words, kept: np.ndarray) -> np.ndarray:
     return np.r_[kept, np.array(fresh, np.uint64)]
 
 
+class _Stream:
+    """Texts' words as one stream of numbers, a number that is no word behind each text: windows must not reach over it."""
+
+    def __init__(self, split: list[list[bytes]], words: _Words, width: int) -> None:
+        flat = chain.from_iterable(part for s in split for part in (s, (b"\n",)))
+        self.sizes = np.array([len(s) for s in split], np.int64)
+        self.begin = np.r_[0, np.cumsum(self.sizes + 1)]
+        self.numbers = np.fromiter(map(words.__getitem__, flat), np.int64, int(self.begin[-1]))
+        edges = np.zeros(max(0, len(self.numbers) - width + 1) + 1, np.int64)
+        whole = self.sizes >= width
+        np.add.at(edges, self.begin[:-1][whole], 1)
+        np.add.at(edges, (self.begin[:-1] + self.sizes - width + 1)[whole], -1)
+        self.valid = np.cumsum(edges[:-1]).astype(bool)
+
+    def lists(self, at: np.ndarray) -> np.ndarray:
+        """Offsets that cut ascending places ``at`` into one list per text."""
+        return np.searchsorted(at, self.begin).astype(np.int32)
+
+
 def scan(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_words, hi, lo, whole_sha256, keys, packed, row``.
 
@@ -90,24 +110,16 @@ def scan(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "t
             if len(words) > 1_000_000:
                 words, known = _Words(), known[:0]
             split = [text.encode("utf-8", "surrogatepass").split() if text else [] for text in batch.column(1).to_pylist()]
-            numbers = [np.fromiter(map(words.__getitem__, s), np.int64, len(s)) for s in split]
+            stream = _Stream(split, words, width)
             known = _hashes_of(words, known)
-            names, sums, keys, packed = [], [], [], []
-            for s, n in zip(split, numbers, strict=True):
-                joined = b" ".join(s)
-                names.append(np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64))
-                sums.append(hashlib.sha256(joined).hexdigest())
-                if len(s) < width:
-                    keys.append(np.empty(0, np.uint64))
-                    packed.append(None)
-                    continue
-                phrases = run_hashes(known[n], PHRASE)
-                keys.append(phrases[key_phrases(phrases, width)[1]])
-                packed.append(pack(joined))
-            ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
-            hi, lo = (pa.array([int(n[i]) for n in names], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in split], pa.int64()), hi, lo, pa.array(sums), lists, pa.array(packed, pa.binary())], ["doc_id", "n_words", "hi", "lo", "whole_sha256", "keys", "packed"])
+            phrases = run_hashes(known[stream.numbers], PHRASE)
+            at = np.flatnonzero(key_phrases(phrases, stream.valid, width)[1]) if len(stream.valid) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(stream.lists(at)), pa.array(phrases[at].view(np.int64)))
+            joined = [b" ".join(s) for s in split]
+            names = np.array([np.frombuffer(xxhash.xxh3_128_digest(j), np.int64) for j in joined])
+            sums = pa.array([hashlib.sha256(j).hexdigest() for j in joined])
+            packed = pa.array([pack(j) if n >= width else None for j, n in zip(joined, stream.sizes, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stream.sizes), pa.array(names[:, 0]), pa.array(names[:, 1]), sums, lists, packed], ["doc_id", "n_words", "hi", "lo", "whole_sha256", "keys", "packed"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.mapInArrow(run, "doc_id long, n_words long, hi long, lo long, whole_sha256 string, keys array<long>, packed binary")
@@ -133,35 +145,22 @@ def locate(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return found
 
 
-def suspects(texts: list[bytes], recurring: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: the starts of windows whose key phrase recurs, and their two hashes.
+def suspects(texts: list[bytes], recurring: np.ndarray, width: int) -> tuple[_Stream, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as a stream, the starts of windows whose key phrase recurs, and these windows' two hashes.
 
-    The key phrases whose hash is among ``recurring`` become one automaton, through which all the texts stream.
+    The key phrases whose hash is among ``recurring`` (sorted) become one automaton, through which all the texts stream.
     """
     words = _Words()
-    streams = [np.fromiter(map(words.__getitem__, s), np.int64, len(s)) for s in (text.split(b" ") for text in texts)]
-    hashes = _hashes_of(words, np.empty(0, np.uint64))
-    gap = len(words)
-    phrases = [run_hashes(hashes[s], PHRASE) for s in streams]
-    keyed = [key_phrases(p, width) for p in phrases]
-    begin = np.cumsum([0, *(len(s) + 1 for s in streams)])
-    starts = [np.flatnonzero(is_key)[np.isin(p[is_key], recurring)] + at for p, (_, is_key), at in zip(phrases, keyed, begin, strict=False)]
-    found = locate(np.concatenate([np.r_[s, gap] for s in streams]), np.concatenate(starts))
-    out = []
-    for s, p, (keys, _), at in zip(streams, phrases, keyed, begin, strict=False):
-        located = np.where(found[at : at + len(p)], p, _NONE)
-        windows = np.flatnonzero(_slide(located, width - PHRASE + 1, np.minimum) == keys)
-        if not len(windows):
-            out.append((windows, np.empty(0, np.uint64), np.empty(0, np.uint64)))
-            continue
-        out.append((windows, run_hashes(hashes[s], width)[windows], run_hashes(hashes[s], width, _OTHER)[windows]))
-    return out
-
-
-def _runs(starts: np.ndarray) -> np.ndarray:
-    """Ascending numbers as pairs of a run's first and last."""
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return np.stack([starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]], axis=1).ravel() if len(starts) else starts
+    stream = _Stream([text.split(b" ") for text in texts], words, width)
+    hashed = _hashes_of(words, np.empty(0, np.uint64))[stream.numbers]
+    phrases = run_hashes(hashed, PHRASE)
+    keys, is_key = key_phrases(phrases, stream.valid, width)
+    at = np.flatnonzero(is_key)
+    slot = np.minimum(np.searchsorted(recurring, phrases[at]), len(recurring) - 1)
+    found = locate(stream.numbers, at[recurring[slot] == phrases[at]])
+    located = np.where(found[: len(phrases)], phrases, _NONE)
+    windows = np.flatnonzero(stream.valid & (_slide(located, width - PHRASE + 1, np.minimum) == keys))
+    return stream, windows, run_hashes(hashed, width, at=windows), run_hashes(hashed, width, _OTHER, windows)
 
 
 def suspect_windows(rows: DataFrame, placed: DataFrame, shards: int, width: int) -> DataFrame:
@@ -185,14 +184,17 @@ def suspect_windows(rows: DataFrame, placed: DataFrame, shards: int, width: int)
         mine = [(place[row], packed) for row, packed in zip(texts["row"].to_pylist(), texts["packed"].to_pylist(), strict=True) if row in place]
         if not mine or not len(keys):
             return schema.empty_table()
-        found = suspects([unpack(packed) for _, packed in mine], np.unique(keys), width)
-        hit = [(p, packed, *f) for (p, packed), f in zip(mine, found, strict=True) if len(f[0])]
-        lists = lambda arrays, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)), pa.array(np.concatenate(arrays), kind))
-        if not hit:
-            return schema.empty_table()
-        runs, first = lists([_runs(h[2]) for h in hit], pa.int64()), lists([h[3].view(np.int64) for h in hit], pa.int64())
-        second = lists([h[4].view(np.int64).astype(np.int32) for h in hit], pa.int32())
-        return pa.table([pa.array([h[0] for h in hit], pa.int64()), runs, first, second, pa.array([h[1] for h in hit], pa.binary())], schema=schema)
+        stream, windows, first, second = suspects([unpack(packed) for _, packed in mine], np.unique(keys), width)
+        cut = np.flatnonzero(np.diff(windows, prepend=-2) != 1)  # no run reaches over the end of a text
+        heads, tails = windows[cut], np.r_[windows[cut[1:] - 1], windows[-1:]]
+        of = np.searchsorted(stream.begin, heads, "right") - 1
+        runs = np.stack([heads, tails], axis=1) - stream.begin[of][:, None]
+        hit = np.diff(stream.lists(windows)) > 0
+        ends = pa.array(np.r_[0, stream.lists(windows)[1:][hit]].astype(np.int32))
+        run_ends = pa.array(2 * np.r_[0, np.searchsorted(of, np.flatnonzero(hit), "right")].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(run_ends, pa.array(runs.ravel())), pa.ListArray.from_arrays(ends, pa.array(first.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(second.view(np.int64).astype(np.int32)))]
+        shown = [m for m, h in zip(mine, hit, strict=True) if h]
+        return pa.table([pa.array([m[0] for m in shown], pa.int64()), *lists, pa.array([m[1] for m in shown], pa.binary())], schema=schema)
 
     return materialize(text.groupBy("shard").cogroup(side.groupBy("shard")).applyInArrow(search, "place long, runs array<long>, first array<long>, second array<int>, packed binary"), "suspect-windows")
 
@@ -248,7 +250,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, shard_words: int = SHARD_WO
     any length is searched whole, in one task; an empty table gives an empty table. Only the two named columns are read.
     """
     rows = scan(docs, width, id_col, text_col)
-    small = rows.select("row", "doc_id", "n_words", "hi", "lo", "whole_sha256", F.col("doc_id").isNull().alias("z"))
+    small = materialize(rows.select("row", "doc_id", "n_words", "hi", "lo", "whole_sha256", F.col("doc_id").isNull().alias("z")), "text-names")
     first = F.min(F.struct("z", "doc_id", "row")).alias("first")
     told = attach_group(small.where(F.col("n_words") >= width), ["hi", "lo"], "row", [first])
     told = materialize(told.select("row", "z", "doc_id", "hi", "lo", "n_words", (F.col("first.row") != F.col("row")).alias("copy")), "text-copies")
@@ -258,6 +260,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, shard_words: int = SHARD_WO
     if place_bits + int(size["n"]).bit_length() > 63:
         raise ValueError("documents times the longest document's words exceed 63 bits")
     windows = suspect_windows(rows, placed, -(-int(size["words"] or 1) // shard_words), width)
+    release(rows)
     cut = cut_repeats(windows, width, place_bits)
     release(windows)
     lost = placed.join(cut.withColumnRenamed("place", "pos"), "pos").select("row", "n_removed", "kept_sha256")

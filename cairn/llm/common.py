@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,12 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing holds any more: it waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def salts_of(spark: SparkSession) -> int:
     """Over so many buckets the rows of one group are spread: they follow the number of shuffle partitions."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import attach_group, materialize, numbered, release, utf8_slices
+from cairn.llm.common import attach_group, materialize, numbered, release, sweep, utf8_slices
 
 #: Words of a key phrase, words of a shard's documents (a longer document is a shard's only large one).
 PHRASE, SHARD_WORDS = 5, 400_000
@@ -171,6 +171,7 @@ def suspect_windows(rows: DataFrame, placed: DataFrame, shards: int, width: int)
     shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
     each = rows.select(shard, F.explode("keys").alias("key"))
     recurring = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "recurring-phrases")
+    sweep(rows.sparkSession)
     held = rows.select(shard, F.explode(F.array_distinct("keys")).alias("key")).join(recurring, "key").select("shard", "key", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("place"))
     side = held.unionByName(placed.select(shard, F.lit(None).cast("long").alias("key"), "row", F.col("pos").alias("place")))
     text = rows.where("packed IS NOT NULL").select(shard, "row", "packed")
@@ -261,6 +262,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, shard_words: int = SHARD_WO
         raise ValueError("documents times the longest document's words exceed 63 bits")
     windows = suspect_windows(rows, placed, -(-int(size["words"] or 1) // shard_words), width)
     release(rows)
+    sweep(docs.sparkSession)
     cut = cut_repeats(windows, width, place_bits)
     release(windows)
     lost = placed.join(cut.withColumnRenamed("place", "pos"), "pos").select("row", "n_removed", "kept_sha256")

@@ -172,7 +172,9 @@ def suspect_windows(rows: DataFrame, placed: DataFrame, shards: int, width: int)
     each = rows.select(shard, F.explode("keys").alias("key"))
     recurring = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "recurring-phrases")
     sweep(rows.sparkSession)
-    held = rows.select(shard, F.explode(F.array_distinct("keys")).alias("key")).join(recurring, "key").select("shard", "key", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("place"))
+    held = materialize(rows.select(shard, F.explode(F.array_distinct("keys")).alias("key")).join(recurring, "key"), "phrases-of-shards")
+    sweep(rows.sparkSession)
+    held = held.select("shard", "key", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("place"))
     side = held.unionByName(placed.select(shard, F.lit(None).cast("long").alias("key"), "row", F.col("pos").alias("place")))
     text = rows.where("packed IS NOT NULL").select(shard, "row", "packed")
     schema = pa.schema([("place", pa.int64()), ("runs", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("packed", pa.binary())])

@@ -253,31 +253,6 @@ def terrain_weights(pts: DataFrame, res: float = 2.0, by: str = "tile", id_col:
     return at.select(*cell, id_col).join(out, cell).select(by, id_col, "weight")
 
 
-def smooth_grid(cells: DataFrame, value: str, radius: int = 1, bandwidth: float = 1.0, by: str = "tile", out: str = "smooth") -> DataFrame:
-    """Normalised Gaussian mean of a cell value over the occupied cells within ``radius``."""
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(np.exp(-(i * i + j * j) / (2 * bandwidth**2)))).alias("w")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)))
-    sent = cells.select(by, "cx", "cy", value, F.explode(offsets).alias("o")).select(by, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.col("o.w").alias("w"), (F.col(value) * F.col("o.w")).alias("v"))
-    sums = sent.groupBy(by, "cx", "cy").agg((F.sum("v") / F.sum("w")).alias(out))
-    return cells.join(sums, [by, "cx", "cy"])
-
-
-def sample_grid(pts: DataFrame, cells: DataFrame, value: str, res: float, by: str = "tile", id_col: str = "point_id", out: str = "sampled") -> DataFrame:
-    """Bilinear sample of a cell value (at cell centres) at every point; missing corners are left out of the weights."""
-    fx, fy = F.col("x") / F.lit(float(res)) - 0.5, F.col("y") / F.lit(float(res)) - 0.5
-    base = pts.withColumn("bx", F.floor(fx)).withColumn("by_", F.floor(fy)).withColumn("u", fx - F.floor(fx)).withColumn("v", fy - F.floor(fy))
-    u, v = F.col("u"), F.col("v")
-    corners = F.array(*(F.struct((F.col("bx") + i).alias("cx"), (F.col("by_") + j).alias("cy"), ((u if i else 1 - u) * (v if j else 1 - v)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    rows = base.select(by, id_col, F.explode(corners).alias("c")).select(by, id_col, "c.*").join(cells.select(by, "cx", "cy", value), [by, "cx", "cy"])
-    return rows.groupBy(by, id_col).agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias(out))
-
-
-def flatten_non_ground(pts: DataFrame, ground: int, res: float, radius: int = 1, by: str = "tile", id_col: str = "point_id", col: str = "classification") -> DataFrame:
-    """z of points that are not ground replaced by the smoothed surface of the ground cells (unchanged where there is none)."""
-    cells = smooth_grid(terrain_grid(pts.where(F.col(col) == ground), res, by), "z_mean", radius, by=by)
-    surface = sample_grid(pts, cells, "smooth", res, by, id_col)
-    return pts.join(surface, [by, id_col], "left").withColumn("z", F.when(F.col(col) == ground, F.col("z")).otherwise(F.coalesce("sampled", "z"))).drop("sampled")
-
-
 def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Unit normals per vertex, weighted by face area: ``vertices(mesh, vertex_id, x, y, z)``, ``faces(mesh, a, b, c)``. A vertex without
     faces, or with cancelling ones, has zeros."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions.scalar import unit_hash
 from cairn.operators.geometry import terrain_weights
 from cairn.operators.neighbors import checkpointed, radius_edges
+from cairn.operators.raster import low_frequency
 
 
 def nested_rank(pts: DataFrame, seed: int, keys: Sequence[str] = ("tile", "point_id"), name: str = "rank") -> DataFrame:
@@ -343,7 +344,7 @@ def degrade_labels(
 
 
 def terrain_split(
-    pts: DataFrame, seed: int, random: float = 0.1, feature: float = 0.1, blocks: int = 5, block_size: tuple[float, float] = (2.0, 15.0), resolution: float = 2.0, most: float = 0.9, query_max: int | None = None, ground: int | None = None, extreme: float = 0.3, col: str = "classification", by: str = "tile", id_col: str = "point_id"
+    pts: DataFrame, seed: int, random: float = 0.1, feature: float = 0.1, blocks: int = 5, block_size: tuple[float, float] = (2.0, 15.0), resolution: float = 2.0, most: float = 0.9, query_max: int | None = None, ground: int | None = None, extreme: float = 0.3, low: float | None = None, col: str = "classification", by: str = "tile", id_col: str = "point_id"
 ) -> DataFrame:
     """``role`` 'query' or 'support' of every point, per tile. A point is a query if it lies in the large hole (half to 0.8 of the extents, with probability
     ``extreme``), in one of 0 to ``blocks`` rectangles round drawn points, in the share ``feature`` drawn without replacement by ``terrain_weights`` (smallest
@@ -351,6 +352,8 @@ def terrain_split(
 
     With ``ground`` only that class can be a query. Of more than ``most`` of the points (or ``query_max``) a hashed part stays; a tile
     without a query gets one (of ``ground`` if it has any), one without support gives one back. Tiles of fewer than ten points are all support.
+
+    ``low`` adds ``gt_low``: for queries the smooth part of the whole tile's terrain (``low_frequency`` at that cell size), else null.
     """
     u = lambda name, *more: unit_hash(f"{seed}/{name}", by, *more)
     box = pts.groupBy(by).agg(
@@ -379,4 +382,8 @@ def terrain_split(
     # Chosen points first, then what may stand in; a tile's first place is a query in any case, as long as support is left.
     rows = rows.withColumn("__k", place(F.struct(~F.col("__q"), ~may, u("keep", id_col))))
     query = ((F.col("__q") & (F.col("__k") <= bound)) | (F.col("__k") == 1)) & (F.col("__n") >= 10) & (F.col("__k") < F.col("__n"))
-    return rows.withColumn("role", F.when(query, "query").otherwise("support")).drop("__n", "__holes", "__w", "__f", "__r", "__q", "__k")
+    out = rows.withColumn("role", F.when(query, "query").otherwise("support")).drop("__n", "__holes", "__w", "__f", "__r", "__q", "__k")
+    if low is None:
+        return out
+    target = low_frequency(pts, low, by=by, id_col=id_col).withColumnRenamed("z_low", "gt_low")
+    return out.join(target, [by, id_col], "left").withColumn("gt_low", F.when(F.col("role") == "query", F.col("gt_low")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.operators import augment, frames, geometry, grid, labels, sampling, visibility
+from cairn.operators import augment, frames, geometry, grid, labels, raster, sampling, visibility
 from cairn.plans.registry import SOURCES, TRANSFORMS, WRITERS
 from cairn.sources import ingest, sinks
 
@@ -13,6 +13,7 @@ _TRANSFORMS = {
     labels: ("filter_classes", "remap", "build_class_map"),
     sampling: ("nested_rank", "keep_fraction", "downsample", "keep_labels", "dropout", "shuffled", "stratified", "serialize", "sphere_crop", "multi_view", "keep_largest", "budget_sample", "terrain_split"),
     geometry: ("column_strata", "height_above_ground", "recenter", "local_geometry"),
+    raster: ("flatten_non_ground",),
     visibility: ("surface_visibility", "classify_visibility", "q_regions"),
     ingest: ("ensure_columns", "collect_columns"),
     frames: ("sequence_bounds", "fuse_frames", "sweep_history"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import return_role
-from cairn.operators import augment, features, frames, geometry, grid, neighbors, sampling, visibility
+from cairn.operators import augment, features, frames, geometry, grid, neighbors, raster, sampling, visibility
 from cairn.plans.queries_labels import KEY, ROLE, U, r6
 from cairn.plans.registry import Tables, query, rnd
 
@@ -101,7 +101,29 @@ query("a46_ground_plane", lambda t: r6(geometry.ground_elevation(t.pts, 16.0), "
 query("a46_ground_fit", lambda t: r6(geometry.fit_plane(geometry.ground_candidates(t.pts, 16.0)), "a", "b", "c", digits=5), f"SELECT tile, {rnd('(sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS a, {rnd('(syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS b, {rnd('mz - mx * (sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy) - my * (syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy)', 5)} AS c FROM (SELECT tile, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, regr_sxx(x, x) AS sxx, regr_sxx(y, y) AS syy, regr_sxy(x, y) AS sxy, regr_sxy(x, z) AS sxz, regr_sxy(y, z) AS syz FROM (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY tile, floor(x / 16), floor(y / 16) ORDER BY z, point_id) = 1) GROUP BY 1)")
 query("a46_ground_idw", lambda t: r6(geometry.ground_elevation(t.pts, 16.0, "idw", scale=2.0), "elevation"), f"SELECT tile, point_id, {rnd('(z - gz.g) / 2')} AS elevation FROM pts JOIN gz USING (tile, point_id)", _GI)
 query("a47_terrain_grid", lambda t: r6(geometry.terrain_grid(t.pts, 16.0), "z_mean", "laplacian", "weight", digits=4).select("tile", "cx", "cy", "z_mean", "z_range", "laplacian", "weight", "n"), f"SELECT g.tile, g.cx, g.cy, {rnd('g.m', 4)} AS z_mean, g.hi - g.lo AS z_range, {rnd('coalesce(l.s - l.k * g.m, 0)', 4)} AS laplacian, {rnd('pow(1 + g.hi - g.lo + abs(coalesce(l.s - l.k * g.m, 0)), 2)', 4)} AS weight, g.n FROM tg g LEFT JOIN (SELECT a.tile, a.cx, a.cy, sum(b.m) AS s, count(*) AS k FROM tg a JOIN tg b ON a.tile = b.tile AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1 GROUP BY 1, 2, 3) l USING (tile, cx, cy)", "tg AS (SELECT tile, CAST(floor(x / 16) AS BIGINT) AS cx, CAST(floor(y / 16) AS BIGINT) AS cy, avg(z) AS m, min(z) AS lo, max(z) AS hi, count(*) AS n FROM pts GROUP BY 1, 2, 3)")
-query("a47_flatten_non_ground", lambda t: r6(geometry.flatten_non_ground(t.pts, 2, 16.0).select(*KEY, "z"), "z"))
+
+
+def _surface_sql(size: float, pad: int, spare: int, value: str, sigma: float, fill: str) -> str:
+    """``sp`` (points in cells), ``sd`` (the whole raster, filled) and ``s2`` (smoothed along both sides, edges mirrored)."""
+    weights = ", ".join(f"({k - len(w) // 2}, {x!r}::DOUBLE)" for w in [raster.gaussian(sigma).tolist()] for k, x in enumerate(w))
+    nearest = "(SELECT a.tile, a.i, a.j, arg_min(o.v, CAST(((a.i - o.i) * (a.i - o.i) + (a.j - o.j) * (a.j - o.j)) * 100000000 + o.i * 10000 + o.j AS BIGINT)) AS v FROM sa a JOIN so o USING (tile) GROUP BY 1, 2, 3)"
+    level = "(SELECT sa.tile, i, j, lv AS v FROM sa JOIN (SELECT tile, avg(v) AS lv FROM so GROUP BY 1) USING (tile))"
+    mirror = lambda c: f"least(((a.{c} + k) % (2 * a.n{c}) + 2 * a.n{c}) % (2 * a.n{c}), 2 * a.n{c} - 1 - ((a.{c} + k) % (2 * a.n{c}) + 2 * a.n{c}) % (2 * a.n{c}))"
+    return f"""sb AS (SELECT tile, min(x) - {pad} * {size} AS ox, min(y) - {pad} * {size} AS oy, CAST(ceil((max(x) - min(x)) / {size}) AS BIGINT) + {spare} AS ni, CAST(ceil((max(y) - min(y)) / {size}) AS BIGINT) + {spare} AS nj FROM pts GROUP BY 1),
+su AS (SELECT p.*, ni, nj, (x - ox) / {size} AS u, (y - oy) / {size} AS v FROM pts p JOIN sb USING (tile)),
+sp AS (SELECT *, least(greatest(CAST(floor(u) AS BIGINT), 0), ni - 1) AS i, least(greatest(CAST(floor(v) AS BIGINT), 0), nj - 1) AS j FROM su),
+so AS MATERIALIZED (SELECT tile, i, j, {value} AS v FROM sp GROUP BY 1, 2, 3),
+sa AS (SELECT tile, i, j FROM (SELECT tile, i, unnest(range(nj)) AS j FROM (SELECT tile, nj, unnest(range(ni)) AS i FROM sb)) ANTI JOIN so USING (tile, i, j)),
+sd AS MATERIALIZED (SELECT tile, i, j, v, ni, nj FROM (SELECT * FROM so UNION ALL SELECT * FROM {nearest if fill == "nearest" else level}) JOIN sb USING (tile)),
+sw(k, w) AS (VALUES {weights}),
+s1 AS MATERIALIZED (SELECT a.tile, a.i, a.j, a.ni, a.nj, sum(w * b.v) AS v FROM sd a CROSS JOIN sw JOIN sd b ON b.tile = a.tile AND b.j = a.j AND b.i = {mirror("i")} GROUP BY 1, 2, 3, 4, 5),
+s2 AS MATERIALIZED (SELECT a.tile, a.i, a.j, sum(w * b.v) AS v FROM s1 a CROSS JOIN sw JOIN s1 b ON b.tile = a.tile AND b.i = a.i AND b.j = {mirror("j")} GROUP BY 1, 2, 3)"""
+
+
+query("a47_flatten_non_ground", lambda t: r6(raster.flatten_non_ground(t.pts, 2, 8.0).select(*KEY, "z"), "z"), f"SELECT tile, point_id, {rnd('CASE WHEN classification = 2 THEN z ELSE s2.v END')} AS z FROM sp JOIN s2 USING (tile, i, j)", _surface_sql(8.0, 0, 1, "max(z)", 2.0, "mean"))
+_SB = """sq AS (SELECT tile, point_id, z, count(*) OVER (PARTITION BY tile) AS n, avg(z) OVER (PARTITION BY tile) AS m, ni, nj, least(greatest(u - 0.5::DOUBLE, 0), ni - 1) AS a, least(greatest(v - 0.5::DOUBLE, 0), nj - 1) AS b FROM sp),
+sc AS (SELECT *, CAST(floor(a) AS BIGINT) AS i, CAST(floor(b) AS BIGINT) AS j FROM sq)"""
+query("a47_low_frequency", lambda t: r6(raster.low_frequency(t.pts, 10.0), "z_low"), f"SELECT c.tile, c.point_id, {rnd('CASE WHEN n < 50 THEN m ELSE (1 - a + c.i) * ((1 - b + c.j) * p.v + (b - c.j) * q.v) + (a - c.i) * ((1 - b + c.j) * r.v + (b - c.j) * s.v) END')} AS z_low FROM sc c JOIN s2 p ON p.tile = c.tile AND p.i = c.i AND p.j = c.j JOIN s2 q ON q.tile = c.tile AND q.i = c.i AND q.j = least(c.j + 1, c.nj - 1) JOIN s2 r ON r.tile = c.tile AND r.i = least(c.i + 1, c.ni - 1) AND r.j = c.j JOIN s2 s ON s.tile = c.tile AND s.i = least(c.i + 1, c.ni - 1) AND s.j = least(c.j + 1, c.nj - 1)", _surface_sql(10.0, 2, 3, "avg(z)", 1.5, "nearest") + ", " + _SB)
 _TW = """tb AS (SELECT tile, min(x) AS lx, min(y) AS ly, CAST(ceil((max(x) - min(x)) / 10) AS BIGINT) AS kx, CAST(ceil((max(y) - min(y)) / 10) AS BIGINT) AS ky FROM pts GROUP BY 1),
 ta AS (SELECT p.tile, point_id, z, kx, ky, least(CAST(floor((x - lx) / 10) AS BIGINT), kx - 1) AS cx, least(CAST(floor((y - ly) / 10) AS BIGINT), ky - 1) AS cy FROM pts p JOIN tb USING (tile)),
 tc AS (SELECT tile, cx, cy, avg(z) AS m, max(z) - min(z) AS rg FROM ta GROUP BY 1, 2, 3),
@@ -235,7 +257,7 @@ query("t11_budget_sample", lambda t: sampling.budget_sample(t.pts, 2000, 0.5, 2)
 _DL = f"""dl AS (SELECT *, CASE WHEN classification IN (1, 2, 3) AND (orig_idx % 8) / 8::DOUBLE < 0.75 AND {U('3/steep', 'tile', 'point_id')} < 0.4::DOUBLE OR classification IN (4, 7) AND {U('3/rare', 'tile', 'point_id')} < 0.4::DOUBLE THEN 5 ELSE classification END AS l FROM pts),
 de AS (SELECT a.tile, a.point_id FROM dl a JOIN dl b USING (tile) WHERE a.l <> 5 AND b.l <> 5 AND {D2} <= 64 GROUP BY 1, 2 HAVING min(b.l) <> max(b.l))"""
 query("t12_degrade_labels", lambda t: sampling.degrade_labels(t.pts.withColumn("nz", (F.col("orig_idx") % 8) / 8), 3, (1, 2, 3), (4, 7), radius=8.0).select(*KEY, "classification"), f"SELECT tile, point_id, CASE WHEN de.point_id IS NOT NULL AND {U('3/edge', 'tile', 'point_id')} < 0.15::DOUBLE THEN 5 ELSE l END AS classification FROM dl LEFT JOIN de USING (tile, point_id)", _DL)
-query("t13_terrain_split", lambda t: sampling.terrain_split(t.pts, 4, resolution=10.0, ground=2).select(*KEY, "role"))
+query("t13_terrain_split", lambda t: r6(sampling.terrain_split(t.pts, 4, resolution=10.0, ground=2, low=10.0), "gt_low").select(*KEY, "role", "gt_low"))
 
 # --- features ---------------------------------------------------------------------------------------------------------------
 EM = lambda t: t("embeddings").select("vec_id", F.col("embedding").alias("feature"), F.col("label").cast("int").alias("label"))

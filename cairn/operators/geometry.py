@@ -11,23 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cairn.operators import grid
-from cairn.operators.neighbors import idw, knn
+from cairn.operators.neighbors import idw, knn, neighbor_sums
 
 _AXES = ("x", "y", "z")
 #: Covariance entries, row by row of the upper triangle.
 _COV = [(a, b) for i, a in enumerate(_AXES) for b in _AXES[i:]]
 
 
-def neighborhood_covariance(edges: DataFrame, pts: DataFrame, ref: DataFrame, by: str = "tile", id_col: str = "point_id", ref_id: str | None = None) -> DataFrame:
-    """``(by, point_id, k, c_xx .. c_zz)``: covariance of each query's neighbours, from sums taken relative to the query
-    (map coordinates then lose no precision)."""
-    q = pts.select(by, F.col(id_col).alias("src"), *(F.col(c).alias(f"q{c}") for c in _AXES))
-    r = ref.select(by, F.col(ref_id or id_col).alias("dst"), *(F.col(c).alias(f"r{c}") for c in _AXES))
-    d = edges.join(q, [by, "src"]).join(r, [by, "dst"]).withColumns({c: F.col(f"r{c}") - F.col(f"q{c}") for c in _AXES})
-    sums = d.groupBy(by, "src").agg(F.count("*").alias("k"), *(F.sum(c).alias(f"s{c}") for c in _AXES), *(F.sum(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in _COV))
-    n = F.col("k")
-    cov = [(F.col(f"s{a}{b}") / n - F.col(f"s{a}") / n * (F.col(f"s{b}") / n)).alias(f"c_{a}{b}") for a, b in _COV]
-    return sums.select(by, F.col("src").alias(id_col), "k", *cov)
+def neighborhood_covariance(pts: DataFrame, ref: DataFrame, k: int, by: str = "tile", id_col: str = "point_id", exclude_self: bool = False) -> DataFrame:
+    """``(by, point_id, k, c_xx .. c_zz, radius)``: covariance of each query's k nearest, and the distance of the farthest."""
+    sums = neighbor_sums(pts, ref, k, by, id_col, exclude_self)
+    n, at = F.col("k"), lambda i: F.get("sums", F.lit(i))
+    mean = {c: at(i) / n for i, c in enumerate(_AXES)}
+    cov = [(at(len(_AXES) + i) / n - mean[a] * mean[b]).alias(f"c_{a}{b}") for i, (a, b) in enumerate(_COV)]
+    return sums.select(by, id_col, "k", *cov, F.sqrt("far").alias("radius"))
 
 
 #: Built, not parsed: a schema string would need a running session at import.
@@ -54,14 +51,10 @@ def local_geometry(pts: DataFrame, k: int = 48, ref_size: float | None = 0.25, m
     ``(by, point_id, nx, ny, nz, linearity, planarity, scattering, curvature, verticality, anisotropy, geom_valid)``. With fewer than
     ``min_neighbors`` neighbours, or a largest eigenvalue of ``min_variance`` or less, the row is not valid and all its values are 0.
     """
+    ref = pts
     if ref_size:
-        ref = grid.voxel_centroids(pts, ref_size, by).withColumn("__id", F.row_number().over(Window.partitionBy(by).orderBy(*grid.CELL)).cast("long"))
-        src = pts.select(by, id_col, *_AXES)
-        edges = knn(src.withColumnRenamed(id_col, "__id"), ref.select(by, "__id", *_AXES), k, by, "__id")
-        cov = neighborhood_covariance(edges, pts, ref, by, id_col, "__id")
-    else:
-        edges = knn(pts, pts, k, by, id_col)
-        cov = neighborhood_covariance(edges, pts, pts, by, id_col)
+        ref = grid.voxel_centroids(pts, ref_size, by).withColumn(id_col, F.row_number().over(Window.partitionBy(by).orderBy(*grid.CELL)).cast("long"))
+    cov = neighborhood_covariance(pts, ref, k, by, id_col)
     e = cov.withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
     l1, l2, l3 = (F.col(f"e.l{i}") for i in (1, 2, 3))
     valid = (F.col("k") >= min_neighbors) & (l1 > min_variance)
@@ -74,9 +67,7 @@ def local_geometry(pts: DataFrame, k: int = 48, ref_size: float | None = 0.25, m
 def curvature_planarity(pts: DataFrame, k: int = 32, min_neighbors: int = 8, min_variance: float = 1e-10, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """The two-descriptor variant, neighbours without the point itself: curvature relative to the summed eigenvalues, planarity to the
     largest, and the distance of the farthest neighbour (``radius``); 0 where not valid."""
-    edges = knn(pts, pts, k, by, id_col, exclude_self=True)
-    reach = edges.groupBy(by, F.col("src").alias(id_col)).agg(F.max("dist").alias("radius"))
-    e = neighborhood_covariance(edges, pts, pts, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV))).join(reach, [by, id_col])
+    e = neighborhood_covariance(pts, pts, k, by, id_col, True).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
     l1, l2, l3 = (F.col(f"e.l{i}") for i in (1, 2, 3))
     floor = lambda c: F.greatest(c, F.lit(min_variance))
     enough = F.col("k") >= min_neighbors
@@ -87,8 +78,7 @@ def curvature_planarity(pts: DataFrame, k: int = 32, min_neighbors: int = 8, min
 def eigen_features(pts: DataFrame, k: int = 25, k_min: int = 5, include_self: bool = True, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """The four-descriptor variant on square roots of the eigenvalues, with the normal: ``verticality`` is twice the vertical part of the
     eigenvectors' absolute values weighted by the eigenvalues, over its length. All 0 with fewer than ``k_min`` neighbours; ``k`` counts the point itself."""
-    edges = knn(pts, pts, k, by, id_col) if include_self else knn(pts, pts, k - 1, by, id_col, exclude_self=True)
-    e = neighborhood_covariance(edges, pts, pts, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
+    e = neighborhood_covariance(pts, pts, k if include_self else k - 1, by, id_col, not include_self).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
     s1, s2, s3 = (F.sqrt(F.col(f"e.l{i}")) for i in (1, 2, 3))
     big = s1 + F.lit(1e-3)
     length = F.sqrt(sum((F.col(f"e.u{c}") * F.col(f"e.u{c}") for c in _AXES), F.lit(0.0))) + F.lit(1e-8)
@@ -100,8 +90,7 @@ def normals(pts: DataFrame, k: int = 16, cls: int | None = None, toward: tuple[f
     """Normals, turned up or toward a sensor position; (0, 0, 1) where there are fewer than three neighbours. With ``cls`` only
     points of that class get one from their own class; the others get (0, 0, 1)."""
     part = pts if cls is None else pts.where(F.col(col) == cls)
-    edges = knn(part, part, k, by, id_col)
-    e = neighborhood_covariance(edges, part, part, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
+    e = neighborhood_covariance(part, part, k, by, id_col).withColumn("e", _eigen(*(f"c_{a}{b}" for a, b in _COV)))
     found = e.where("k >= 3").select(by, id_col, *(F.col(f"e.n{c}").alias(f"n{c}") for c in _AXES))
     out = pts.join(found, [by, id_col], "left").withColumns({f"n{c}": F.coalesce(f"n{c}", F.lit(1.0 if c == "z" else 0.0)) for c in _AXES})
     if toward is None:

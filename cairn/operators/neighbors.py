@@ -68,10 +68,12 @@ class _Leaves:
         return F.coalesce(F.col("__split")[F.col("__part")], F.lit(1))
 
     def own(self, points: DataFrame) -> DataFrame:
-        """Each point in the leaf it lies in."""
+        """Each point in the leaf it lies in; ``__room`` is its distance to the leaf's nearest edge, below 0 where the leaf is split by id."""
         a, b = self.dims[:2]
-        at = points.join(self.clouds, self.by).withColumn("__strip", _place("__xs", F.col(a))).drop("__xs").join(self.strips, [self.by, "__strip"], "left")
-        at = at.withColumn("__part", F.coalesce(_place("__ys", F.col(b)), F.lit(0)))
+        room = lambda c, cuts, at: F.least(*(F.coalesce(e, F.lit(float("inf"))) for e in (F.col(c) - F.get(cuts, F.col(at) - 1), F.get(cuts, F.col(at)) - F.col(c))))
+        at = points.join(self.clouds, self.by).withColumn("__strip", _place("__xs", F.col(a))).withColumn("__room", room(a, "__xs", "__strip")).drop("__xs").join(self.strips, [self.by, "__strip"], "left")
+        at = at.withColumn("__part", F.coalesce(_place("__ys", F.col(b)), F.lit(0))).withColumn("__room", F.least("__room", room(b, "__ys", "__part")))
+        at = at.withColumn("__room", F.when(self._subs() > 1, -1.0).otherwise(F.col("__room")))
         return at.withColumn("__sub", F.pmod(F.xxhash64("id"), self._subs()).cast("int")).drop("__ys", "__split")
 
     def within(self, points: DataFrame, far: Column) -> DataFrame:
@@ -85,13 +87,15 @@ class _Leaves:
     def meet(self, queries: DataFrame, ref: DataFrame, limit: Column) -> DataFrame:
         """Queries and reference points of a leaf as the groups of one table; ``limit`` is the squared distance to search."""
         columns = [*self.key, "id", *self.dims]
-        q = queries.select(*columns, limit.cast("double").alias("limit"))
-        return q.unionByName(self.own(self.points(ref)).select(*columns, F.lit(None).cast("double").alias("limit"))).groupBy(*self.key)
+        room = F.col("__room") if "__room" in queries.columns else F.lit(-1.0)
+        q = queries.select(*columns, limit.cast("double").alias("limit"), room.alias("__room"))
+        none = F.lit(None).cast("double")
+        return q.unionByName(self.own(self.points(ref)).select(*columns, none.alias("limit"), none.alias("__room"))).groupBy(*self.key)
 
 
-def _near(table: pa.Table, dims: tuple[str, ...], k: int | None, exclude_self: bool) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A leaf's queries (as a table) and, of each, the reference points within its limit, of these the ``k`` nearest: places of the queries, ids
-    and squared distances by (query, distance, id), and counts per query. Distances are computed for a few hundred queries at a time."""
+def _near(table: pa.Table, dims: tuple[str, ...], k: int | None, exclude_self: bool) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A leaf's queries and reference points (as tables) and, of each query, the reference points within its limit, of these the ``k`` nearest: places of
+    the queries and of the reference points and squared distances by (query, distance, id), and counts per query. Distances are computed for a few hundred queries at a time."""
     is_query = pc.is_valid(table["limit"])
     queries, refs = table.filter(is_query), table.filter(pc.invert(is_query)).sort_by("id")
     ids, limit, own = refs["id"].to_numpy(), queries["limit"].to_numpy(), queries["id"].to_numpy()
@@ -117,7 +121,7 @@ def _near(table: pa.Table, dims: tuple[str, ...], k: int | None, exclude_self: b
     if k is not None:
         keep = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) < k
         i, j, d2, count = i[keep], j[keep], d2[keep], np.minimum(count, k)
-    return queries, i, ids[j], d2, count
+    return queries, refs, i, j, d2, count
 
 
 def _meet_pairs(leaves: _Leaves, queries: DataFrame, ref: DataFrame, limit: Column, k: int | None, exclude_self: bool) -> DataFrame:
@@ -125,13 +129,63 @@ def _meet_pairs(leaves: _Leaves, queries: DataFrame, ref: DataFrame, limit: Colu
     by, dims = leaves.by, leaves.dims
 
     def pairs(table: pa.Table) -> pa.Table:
-        queries, i, dst, d2, _ = _near(table, dims, k, exclude_self)
+        queries, refs, i, j, d2, _ = _near(table, dims, k, exclude_self)
         at = pa.array(i)
-        return pa.table({by: queries[by].take(at), "src": queries["id"].take(at), "dst": dst, "d2": d2})
+        return pa.table({by: queries[by].take(at), "src": queries["id"].take(at), "dst": refs["id"].take(pa.array(j)), "d2": d2})
 
     return leaves.meet(queries, ref, limit).applyInArrow(pairs, f"`{by}` {ref.schema[by].dataType.simpleString()}, src long, dst long, d2 double")
 
 
+class _Nearest:
+    """The k nearest of each query in two steps: a query searches its own leaf; where its k-th distance reaches over the leaf's edges, it also
+    searches the leaves that its ball touches, and its few lists are merged. A list travels as one row."""
+
+    def __init__(self, src: DataFrame, ref: DataFrame, k: int, by: str, id_col: str, exclude_self: bool, dims: tuple[str, ...], offsets: bool) -> None:
+        """``offsets`` adds to each neighbour its position relative to the query and, for queries that their own leaf settles, leaves sums in the lists' place."""
+        self.leaves, self.ref, self.k, self.by, self.dims, self.exclude_self, self.offsets = _Leaves(ref, by, id_col, dims), ref, k, by, dims, exclude_self, offsets
+        self.kind = ref.schema[by].dataType.simpleString()
+        self.first = checkpointed(self._search(self.leaves.own(self.leaves.points(src)), F.lit(float("inf"))))
+
+    def _search(self, queries: DataFrame, limit: Column) -> DataFrame:
+        """One row per query and leaf: the leaf, the query's place, its list (``dst, d2`` and offsets), ``far`` (the k-th squared distance), ``settled``, ``sums``."""
+        lead, dims, k, exclude_self, offsets = [*self.leaves.key, "id", *self.dims], self.dims, self.k, self.exclude_self, self.offsets
+
+        def lists(table: pa.Table) -> pa.Table:
+            queries, refs, i, j, d2, count = _near(table, dims, k, exclude_self)
+            ends = np.concatenate([[0], np.cumsum(count)])
+            far = np.full(len(count), np.inf)
+            far[count == k] = d2[ends[1:][count == k] - 1]
+            settled = np.sqrt(far) * (1 + 1e-9) + 1e-12 < queries["__room"].to_numpy()
+            out = {c: queries[c] for c in lead} | {"far": far, "settled": settled}
+            keep = ~settled[i] if offsets else np.ones(len(i), bool)
+            away = [refs[c].to_numpy()[j] - queries[c].to_numpy()[i] for c in dims] if offsets else []
+            listed = pa.array(np.concatenate([[0], np.cumsum(np.where(settled, 0, count) if offsets else count)]).astype(np.int32))
+            out |= {n: pa.ListArray.from_arrays(listed, pa.array(v[keep])) for n, v in {"dst": refs["id"].to_numpy()[j], "d2": d2, **{f"d{c}": v for c, v in zip(dims, away, strict=False)}}.items()}
+            if offsets:
+                # Relative to the query, so map coordinates lose no precision.
+                terms = [np.ones(len(i)), *away, *(away[a] * away[b] for a in range(len(dims)) for b in range(a, len(dims)))]
+                sums = np.stack([np.bincount(i, t, len(count)) for t in terms], axis=1).astype(float)
+                out["sums"] = pa.ListArray.from_arrays(pa.array((np.arange(len(count) + 1) * len(terms)).astype(np.int32)), pa.array(sums.ravel()))
+            return pa.table(out)
+
+        places = "".join(f", `{c}` double" for c in dims)
+        more = "".join(f", `d{c}` array<double>" for c in dims) + ", sums array<double>" if offsets else ""
+        return self.leaves.meet(queries, self.ref, limit).applyInArrow(lists, f"`{self.by}` {self.kind}, __strip int, __part int, __sub int, id long{places}, far double, settled boolean, dst array<long>, d2 array<double>{more}")
+
+    def settled(self) -> DataFrame:
+        return self.first.where("settled")
+
+    def merged(self) -> DataFrame:
+        """``(by, id, best)`` of the other queries: ``best`` lists ``d2, dst`` and offsets of the k nearest, by distance and id."""
+        parts = ["d2", "dst", *(f"d{c}" for c in self.dims if self.offsets)]
+        home = self.first.where("NOT settled")
+        lead = [*self.leaves.key, "id", *self.dims]
+        asked = home.select(*(F.col(c).alias(f"{c}_home") if c in self.leaves.key[1:] else F.col(c) for c in lead), "far")
+        further = self.leaves.within(asked, F.sqrt("far")).where(" or ".join(f"{c} <> {c}_home" for c in self.leaves.key[1:]))
+        lists = home.select(self.by, "id", *parts).unionByName(self._search(further, F.col("far")).select(self.by, "id", *parts))
+        return lists.groupBy(self.by, "id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*parts)))), 1, self.k).alias("best"))
+
+
 def knn(src: DataFrame, ref: DataFrame, k: int, by: str = "tile", id_col: str = "point_id", exclude_self: bool = False, dims: tuple[str, ...] = ("x", "y", "z"), pad: bool = False) -> DataFrame:
     """Exact k nearest neighbours within a cloud: ``(by, src, dst, rank, dist)``, rank from 1, equal distances to the lower id.
 
@@ -140,35 +194,30 @@ def knn(src: DataFrame, ref: DataFrame, k: int, by: str = "tile", id_col: str =
     same. A query that finds fewer than k in its own leaf searches the whole cloud. ``pad`` fills clouds with fewer than k points with
     ``dst = -1`` rows.
     """
-    leaves = _Leaves(ref, by, id_col, dims)
-    kind = ref.schema[by].dataType.simpleString()
-    lead = [*leaves.key, "id", *dims]
-
-    def lists(table: pa.Table) -> pa.Table:
-        queries, _, dst, d2, count = _near(table, dims, k, exclude_self)
-        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        far = np.full(len(count), np.inf)
-        far[count == k] = d2[ends[1:][count == k] - 1]
-        return pa.table({**{c: queries[c] for c in lead}, "dst": pa.ListArray.from_arrays(ends, dst), "d2": pa.ListArray.from_arrays(ends, d2), "far": far})
-
-    places = ", ".join(f"`{c}` double" for c in dims)
-    first = leaves.meet(leaves.own(leaves.points(src)), ref, F.lit(float("inf"))).applyInArrow(lists, f"`{by}` {kind}, __strip int, __part int, __sub int, id long, {places}, dst array<long>, d2 array<double>, far double")
-    first = checkpointed(first)
-    home = first.select(*(F.col(c).alias(f"{c}_home") if c in leaves.key[1:] else F.col(c) for c in lead), "far")
-    further = leaves.within(home, F.sqrt("far")).where(" or ".join(f"{c} <> {c}_home" for c in leaves.key[1:]))
-    more = checkpointed(_meet_pairs(leaves, further, ref, F.col("far"), k, exclude_self))
-    ranked = first.select(by, F.col("id").alias("src"), F.posexplode(F.arrays_zip("dst", "d2")).alias("__p", "__e")).select(by, "src", "__e.dst", "__e.d2", (F.col("__p") + 1).alias("rank"))
-    moved = more.select(by, "src").distinct()
-    whole = ranked.join(moved, [by, "src"], "left_anti")
-    again = ranked.join(moved, [by, "src"], "left_semi").select(by, "src", "dst", "d2").unionByName(more)
-    again = again.withColumn("rank", F.row_number().over(Window.partitionBy(by, "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-    out = whole.unionByName(again).select(by, "src", "dst", F.col("rank").cast("int").alias("rank"), F.sqrt("d2").alias("dist"))
+    near = _Nearest(src, ref, k, by, id_col, exclude_self, dims, False)
+    lists = near.settled().select(by, "id", F.arrays_zip("d2", "dst").alias("best")).unionByName(near.merged())
+    out = lists.select(by, F.col("id").alias("src"), F.posexplode("best").alias("__p", "__e")).select(by, "src", "__e.dst", (F.col("__p") + 1).cast("int").alias("rank"), F.sqrt("__e.d2").alias("dist"))
     if pad:
         want = src.select(by, F.col(id_col).alias("src")).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
         out = want.join(out, [by, "src", "rank"], "left").select(by, "src", F.coalesce("dst", F.lit(-1).cast("long")).alias("dst"), "rank", "dist")
     return out
 
 
+def neighbor_sums(src: DataFrame, ref: DataFrame, k: int, by: str = "tile", id_col: str = "point_id", exclude_self: bool = False, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """``(by, point_id, k, sums, far)``: of the k nearest of each query their number, the sums of their positions relative to the query and of the
+    products of these (upper triangle, row by row), and the squared distance of the farthest. Queries without any neighbour are left out.
+
+    The leaf pass adds up what it finds; only queries near a leaf's edge carry lists, and no edge becomes a row.
+    """
+    near = _Nearest(src, ref, k, by, id_col, exclude_self, dims, True)
+    done = near.settled().select(by, F.col("id").alias(id_col), "sums", "far")
+    add = lambda term: F.aggregate("best", F.lit(0.0), lambda s, e: s + term(e))
+    pairs = [(a, b) for i, a in enumerate(dims) for b in dims[i:]]
+    sums = F.array(F.size("best").cast("double"), *(add(lambda e, c=c: e[f"d{c}"]) for c in dims), *(add(lambda e, a=a, b=b: e[f"d{a}"] * e[f"d{b}"]) for a, b in pairs))
+    rest = near.merged().where(F.size("best") > 0).select(by, F.col("id").alias(id_col), sums.alias("sums"), F.element_at("best", -1)["d2"].alias("far"))
+    return done.unionByName(rest).select(by, id_col, F.get("sums", F.lit(0)).cast("long").alias("k"), F.slice("sums", 2, len(dims) + len(pairs)).alias("sums"), "far")
+
+
 def radius_edges(src: DataFrame, ref: DataFrame, radius: float, by: str = "tile", id_col: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """All ``(by, src, dst, d2)`` with ``d2 <= radius²``, self pairs included: queries go to the leaves that their ball touches."""
     leaves = _Leaves(ref, by, id_col, dims)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import l2norm, unit_hash
+from cairn.operators.selection import percentiles
 
 
 def _vectors(df: DataFrame, feature: str) -> DataFrame:
@@ -62,9 +63,9 @@ def pca_rgb(df: DataFrame, feature: str = "feature", low: float = 0.01, high: fl
     """``pc_r, pc_g, pc_b`` 0-255: three components, stretched between percentiles and clipped."""
     mean, comps, _ = fit_pca(df, 3, feature)
     p = project(df, mean, comps, feature, "__p")
-    q = p.agg(*(F.percentile(F.col("__p")[i], F.array(F.lit(low), F.lit(high))).alias(f"q{i}") for i in range(3))).first()
+    marks = percentiles(p, {c: F.col("__p")[i] for i, c in enumerate("rgb")}, [low, high])
     for i, c in enumerate("rgb"):
-        lo, hi = q[f"q{i}"]
+        lo, hi = marks[c]
         share = (F.col("__p")[i] - F.lit(lo)) / F.lit(max(hi - lo, 1e-12))
         p = p.withColumn(f"pc_{c}", F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
     return p.drop("__p")

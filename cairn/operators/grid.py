@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import unit_hash
+from cairn.operators.neighbors import checkpointed
+from cairn.operators.selection import select_ranks
 
 XYZ = ("x", "y", "z")
 CELL = ["gx", "gy", "gz"]
@@ -141,24 +145,44 @@ def absorb_small(pts: DataFrame, least: int, source: str = "source", tile: str =
     return moved.withColumn(tile, F.coalesce("to", tile)).drop("to")
 
 
-def split_large(pts: DataFrame, most: int, key: str = "part", order: list[str] = ("point_id",), rounds: int = 24) -> DataFrame:
-    """Halve tiles with more than ``most`` points at the median along their longer side, again and again.
+def split_large(pts: DataFrame, most: int, key: str = "part", order: Sequence[str] = ("point_id",)) -> DataFrame:
+    """Halve tiles with more than ``most`` points at the median along their longer side (x, if equal), again and again.
 
-    ``key`` is a string column naming the tile; halves get ``.0`` and ``.1`` appended. A round is a grouped extent and a rank
-    within the tiles that are too large; the number of rounds is the logarithm of the largest tile over ``most``.
+    ``key`` is a string column naming the tile; halves get ``.0`` (the first ``n div 2`` in the order of the coordinate, then of the numbers in ``order``)
+    and ``.1`` appended. The median is selected by counting, so a tile of any size is split without being ranked, and a level deals only the
+    points of tiles that are too large still. Points that agree in all of these stay together; a tile of nothing else stays whole.
     """
-    largest = pts.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    need = 0
-    while largest > most and need < rounds:
-        largest, need = -(-largest // 2), need + 1
-    for _ in range(need):
-        box = pts.groupBy(key).agg(F.count("*").alias("__n"), (F.max("x") - F.min("x")).alias("__w"), (F.max("y") - F.min("y")).alias("__h"))
-        sized = pts.join(box, key)
-        along = F.when(F.col("__w") >= F.col("__h"), F.col("x")).otherwise(F.col("y"))
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(along, *order))
-        half = F.when(rank <= F.floor(F.col("__n") / 2), F.lit(".0")).otherwise(F.lit(".1"))
-        pts = sized.withColumn("__half", half).withColumn(key, F.when(F.col("__n") > most, F.concat(key, "__half")).otherwise(F.col(key))).drop("__n", "__w", "__h", "__half")
-    return pts
+    done, level = None, pts
+    while True:
+        box = checkpointed(level.groupBy(key).agg(F.count("*").alias("__n"), (F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("__wide"), *(F.min(c).alias(f"__lo{i}") for i, c in enumerate(("x", "y", *order))), *(F.max(c).alias(f"__hi{i}") for i, c in enumerate(("x", "y", *order)))))
+        alike = " AND ".join(f"__lo{i} = __hi{i}" for i in range(2 + len(order)))
+        large = box.where((F.col("__n") > most) & ~F.expr(alike)).select(key, "__n", "__wide")
+        if large.isEmpty():
+            return level if done is None else done.unionByName(level)
+        rest = level.join(large.select(key), key, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        active = checkpointed(level.join(large, key).withColumn("__along", F.when(F.col("__wide"), F.col("x")).otherwise(F.col("y"))))
+        bound = _median(active, key, large.select(key, F.expr("__n div 2").alias("rank")), ["__along", *order])
+        names = ["__along", *order]
+        # First half: below the bound in the first column that differs, or equal in all (unless nothing lies above).
+        first = F.col("__n") > F.col("__upto")
+        for c in reversed(names):
+            first = F.when(F.col(c) < F.col(f"__at_{c}"), True).when(F.col(c) > F.col(f"__at_{c}"), False).otherwise(first)
+        dealt = active.join(bound, key).withColumn(key, F.concat(key, F.when(first, F.lit(".0")).otherwise(F.lit(".1"))))
+        level = checkpointed(dealt.select(*pts.columns))
+
+
+def _median(rows: DataFrame, key: str, ranks: DataFrame, names: list[str]) -> DataFrame:
+    """``(key, __at_<name>..., __upto)``: the values of the row at ``ranks(key, rank)`` in the order of ``names``, one column after the other among
+    those that tie, and how many rows come no later."""
+    found, left = None, ranks.withColumn("__less", F.lit(0).cast("long"))
+    for name in names:
+        at = checkpointed(select_ranks(rows.select(key, name), [key], name, left.select(key, "rank")).join(left.select(key, "__less"), key).withColumn("__less", F.col("__less") + F.col("below")))
+        rows = rows.join(at.select(key, F.col(name).alias(f"__at_{name}")), key).where(F.col(name) == F.col(f"__at_{name}")).drop(f"__at_{name}")
+        left = at.select(key, (F.col("rank") - F.col("below")).alias("rank"), "__less")
+        one = at.select(key, F.col(name).alias(f"__at_{name}"))
+        found = one if found is None else found.join(one, key)
+    return found.join(at.select(key, (F.col("__less") + F.col("equal")).alias("__upto")), key)
 
 
 def buffer_tiles(pts: DataFrame, tiles: DataFrame, buffer: float, source: str = "source", tile: str = "tile_no") -> DataFrame:

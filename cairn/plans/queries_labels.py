@@ -99,7 +99,11 @@ query("t15_tile_grid", lambda t: grid.tile_grid(t.pts, 32.0, 32.0, 2, "source_bl
 _T16 = lambda t: grid.tile_grid(t.pts, 32.0, 32.0, 1, "source_block").withColumn("tile_no", F.col("tx") * 100 + F.col("ty"))
 _TG = "g AS (SELECT source_block, tile, point_id, x, y, CAST(floor((x - x0) / 32) * 100 + floor((y - y0) / 32) AS BIGINT) AS tile_no FROM pts JOIN (SELECT source_block, min(x) AS x0, min(y) AS y0 FROM pts GROUP BY 1) USING (source_block)), st AS (SELECT source_block, tile_no, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM g GROUP BY 1, 2), lim AS (SELECT count(*) // 200 AS m FROM pts)"
 query("t16_absorb_small", lambda t: grid.absorb_small(_T16(t), t("lineitem").count() // 200, "source_block").select("source_block", "tile", "point_id", "tile_no"), "SELECT g.source_block, g.tile, g.point_id, coalesce(r.dst, g.tile_no) AS tile_no FROM g LEFT JOIN r ON g.source_block = r.source_block AND g.tile_no = r.src", _TG + ", r AS (SELECT s.source_block, s.tile_no AS src, arg_min(v.tile_no, (s.mx - v.mx) * (s.mx - v.mx) + (s.my - v.my) * (s.my - v.my)) AS dst FROM st s JOIN st v ON s.source_block = v.source_block, lim WHERE s.n < m AND v.n >= m GROUP BY 1, 2)")
-query("t17_split_large", lambda t: grid.split_large(t.pts.withColumn("part", F.col("source_block").cast("string")), t("lineitem").count() // 16).select("source_block", "tile", "point_id", "part"))
+query("t17_split_large", lambda t: grid.split_large(t.pts.withColumn("part", F.col("source_block").cast("string")), t("lineitem").count() // 16).select("source_block", "tile", "point_id", "part"), "SELECT source_block, tile, point_id, part FROM kd WHERE n <= m", """lim AS (SELECT count(*) // 16 AS m FROM pts),
+kd AS (SELECT source_block, tile, point_id, x, y, CAST(source_block AS VARCHAR) AS part, count(*) OVER (PARTITION BY source_block) AS n, m FROM pts, lim
+  UNION ALL SELECT source_block, tile, point_id, x, y, part, count(*) OVER (PARTITION BY part) AS n, m
+  FROM (SELECT * REPLACE (part || CASE WHEN row_number() OVER (PARTITION BY part ORDER BY CASE WHEN wide THEN x ELSE y END, point_id) <= n // 2 THEN '.0' ELSE '.1' END AS part)
+    FROM (SELECT *, max(x) OVER p - min(x) OVER p >= max(y) OVER p - min(y) OVER p AS wide FROM kd WHERE n > m WINDOW p AS (PARTITION BY part))))""")
 query("j16_buffer_tiles", lambda t: grid.buffer_tiles(t.pts, grid.core_boxes(_T16(t), ["source_block", "tile_no"]), 1.5, "source_block").select("source_block", "to_tile", "tile", "point_id", "in_box"), "SELECT p.source_block, b.tile_no AS to_tile, p.tile, p.point_id, p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 AS in_box FROM pts p JOIN b ON p.source_block = b.source_block AND p.x BETWEEN x0 - 1.5 AND x1 + 1.5 AND p.y BETWEEN y0 - 1.5 AND y1 + 1.5", _TG + ", b AS (SELECT source_block, tile_no, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g GROUP BY 1, 2)")
 query("t18_chunk", lambda t: grid.chunk(t.pts, 40.0, 25.0, 20).select(*KEY, "chunk_x", "chunk_y"), "SELECT tile, point_id, chunk_x, chunk_y FROM (SELECT *, count(*) OVER (PARTITION BY tile, chunk_x, chunk_y) AS n FROM e) WHERE n >= 20", "e AS (SELECT tile, point_id, i AS chunk_x, j AS chunk_y FROM (SELECT *, min(x) OVER (PARTITION BY tile) AS x0, min(y) OVER (PARTITION BY tile) AS y0 FROM pts), range(0, 5) a(i), range(0, 5) b(j) WHERE x - x0 >= i * 25 AND x - x0 < i * 25 + 40 AND y - y0 >= j * 25 AND y - y0 < j * 25 + 40)")
 

@@ -143,27 +143,42 @@ def nearest_cell(cells: DataFrame, ref: DataFrame, by: str = "tile") -> DataFram
     return knn(cells.select(by, "cell_id", "x", "y"), ref.select(by, "cell_id", "x", "y"), 1, by, "cell_id", dims=("x", "y"))
 
 
-def _solve3(a: Column) -> Column:
-    """Solution of a 3x3 system given as a struct of doubles m00..m22, b0..b2, by Cramer's rule; null if it is singular."""
-    m = [[a[f"m{i}{j}"] for j in range(3)] for i in range(3)]
-    b = [a[f"b{i}"] for i in range(3)]
-    det3 = lambda r: r[0][0] * (r[1][1] * r[2][2] - r[1][2] * r[2][1]) - r[0][1] * (r[1][0] * r[2][2] - r[1][2] * r[2][0]) + r[0][2] * (r[1][0] * r[2][1] - r[1][1] * r[2][0])
-    det = det3(m)
-    swap = lambda k: [[b[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]
-    return F.when(F.abs(det) > 1e-12, F.array(*(det3(swap(k)) / det for k in range(3))))
+def _plane_sums(pts: DataFrame, by: str, u: str, v: str, w: str) -> DataFrame:
+    """Counts, means and centred sums of products per group: ``n, mu, mv, mw, suu, suv, svv, suw, svw``."""
+    mean = pts.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{k}") for k, c in zip("uvw", (u, v, w), strict=True)))
+    d = pts.join(mean, by).select(by, "n", "mu", "mv", "mw", *((F.col(c) - F.col(f"m{k}")).alias(f"d{k}") for k, c in zip("uvw", (u, v, w), strict=True)))
+    return d.groupBy(by).agg(*(F.first(c).alias(c) for c in ("n", "mu", "mv", "mw")), *(F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(f"s{a}{b}") for a, b in ("uu", "uv", "vv", "uw", "vw")))
+
+
+#: Whether a group's points span a plane, whatever the scale of their coordinates.
+_SPANS = "suu * svv - suv * suv > 1e-12D * (suu + svv) * (suu + svv)"
 
 
 def fit_plane(pts: DataFrame, by: str = "tile", u: str = "x", v: str = "y", w: str = "z") -> DataFrame:
-    """Least squares ``w = a*u + b*v + c`` around the mean, per group: ``(by, a, b, c)``. Sums, then a 3x3 solve; a group whose
-    points lie on a line has nulls."""
-    mean = pts.groupBy(by).agg(F.avg(u).alias("__u"), F.avg(v).alias("__v"))
-    d = pts.join(mean, by).select(by, (F.col(u) - F.col("__u")).alias("p"), (F.col(v) - F.col("__v")).alias("q"), F.col(w).alias("r"), "__u", "__v")
-    s = lambda e: F.sum(e)
-    p, q, r = F.col("p"), F.col("q"), F.col("r")
-    one = F.count("*").cast("double")
-    m = d.groupBy(by).agg(F.struct(s(p * p).alias("m00"), s(p * q).alias("m01"), s(p).alias("m02"), s(p * q).alias("m10"), s(q * q).alias("m11"), s(q).alias("m12"), s(p).alias("m20"), s(q).alias("m21"), one.alias("m22"), s(p * r).alias("b0"), s(q * r).alias("b1"), s(r).alias("b2")).alias("m"), F.first("__u").alias("__u"), F.first("__v").alias("__v"))
-    sol = m.withColumn("s", _solve3(F.col("m")))
-    return sol.select(by, F.col("s")[0].alias("a"), F.col("s")[1].alias("b"), (F.col("s")[2] - F.col("s")[0] * F.col("__u") - F.col("s")[1] * F.col("__v")).alias("c"))
+    """Least squares ``w = a*u + b*v + c``, per group: ``(by, a, b, c)``, from sums around the means; a group whose points lie on a line has nulls."""
+    sums = _plane_sums(pts, by, u, v, w).withColumn("det", F.expr(f"CASE WHEN {_SPANS} THEN suu * svv - suv * suv END"))
+    slopes = sums.withColumns({"a": F.expr("(suw * svv - svw * suv) / det"), "b": F.expr("(svw * suu - suw * suv) / det")})
+    return slopes.select(by, "a", "b", F.expr("mw - a * mu - b * mv").alias("c"))
+
+
+def ground_plane(cand: DataFrame, by: str = "tile") -> DataFrame:
+    """``(by, a, b, c)``: the least-squares plane of each tile's candidates. Fewer than three give a level one at their median z; of the many that fit
+    points on a line, the one with the least ``a*a + b*b + c*c``."""
+    sums = _plane_sums(cand, by, "x", "y", "z").join(cand.groupBy(by).agg(F.percentile("z", 0.5).alias("mid")), by)
+    # The line's direction (du, dv) and slope along it, and how far the plane tilts across it.
+    line = sums.withColumns({"du": F.expr("CASE WHEN suu >= svv THEN suu ELSE suv END"), "dv": F.expr("CASE WHEN suu >= svv THEN suv ELSE svv END")})
+    line = line.withColumn("len", F.expr("sqrt(du * du + dv * dv)")).withColumns({d: F.expr(f"CASE WHEN len > 0 THEN {d} / len ELSE 0D END") for d in ("du", "dv")})
+    line = line.withColumn("slope", F.expr("CASE WHEN len > 0 THEN (du * suw + dv * svw) / (suu + svv) ELSE 0D END"))
+    line = line.withColumns({"rest": F.expr("mw - slope * (du * mu + dv * mv)"), "off": F.expr("dv * mu * -1 + du * mv")})
+    line = line.withColumn("tilt", F.expr("rest * off / (1 + off * off)"))
+    point = F.expr("mu * mu + mv * mv + 1")
+    spans = F.expr(_SPANS)
+    told = {
+        "a": F.when(F.col("n") < 3, 0.0).when(spans, F.expr("(suw * svv - svw * suv) / (suu * svv - suv * suv)")).when(F.col("len") > 0, F.expr("slope * du - tilt * dv")).otherwise(F.col("mw") * F.col("mu") / point),
+        "b": F.when(F.col("n") < 3, 0.0).when(spans, F.expr("(svw * suu - suw * suv) / (suu * svv - suv * suv)")).when(F.col("len") > 0, F.expr("slope * dv + tilt * du")).otherwise(F.col("mw") * F.col("mv") / point),
+    }
+    level = F.when(F.col("n") < 3, F.col("mid")).when(spans | (F.col("len") > 0), F.expr("mw - a * mu - b * mv")).otherwise(F.col("mw") / point)
+    return line.withColumns(told).select(by, "a", "b", level.alias("c"))
 
 
 def ground_candidates(pts: DataFrame, size: float, band: float | None = None, by: str = "tile", id_col: str = "point_id", verticality: str | None = None, flat: float = 0.3) -> DataFrame:
@@ -181,7 +196,7 @@ def ground_candidates(pts: DataFrame, size: float, band: float | None = None, by
 def ground_elevation(pts: DataFrame, size: float, model: str = "plane", band: float | None = None, scale: float = 3.0, k: int = 3, by: str = "tile", id_col: str = "point_id", verticality: str | None = None, flat: float = 0.3) -> DataFrame:
     """``(by, point_id, elevation)``: height over a ground model of the candidates, divided by ``scale``; a tile without candidates uses all its points.
 
-    ``plane`` fits a plane and, with six candidates or more, drops those farther from it than 70 % of them (and than 0.01) and fits
+    ``plane`` fits one (``ground_plane``) and, with six candidates or more, drops those farther from it than 70 % of them (and than 0.01) and fits
     again if three are left; ``idw`` interpolates the ``k`` nearest candidates in x and y by ``1 / max(d, 1e-3)``.
     """
     cand = ground_candidates(pts, size, band, by, id_col, verticality, flat)
@@ -191,7 +206,7 @@ def ground_elevation(pts: DataFrame, size: float, model: str = "plane", band: fl
         base = idw(pts, cand, "z", k, by, id_col, dims=("x", "y"), least=1e-3).select(by, F.col("src").alias(id_col), F.col("z").alias("__g"))
         return pts.join(base, [by, id_col], "left").select(by, id_col, ((F.col("z") - F.coalesce("__g", "z")) / F.lit(float(scale))).alias("elevation"))
     on = lambda: F.col("__a") * F.col("x") + F.col("__b") * F.col("y") + F.col("__c")
-    plane_of = lambda d: fit_plane(d, by).select(by, *(F.col(c).alias(f"__{c}") for c in "abc"))
+    plane_of = lambda d: ground_plane(d, by).select(by, *(F.col(c).alias(f"__{c}") for c in "abc"))
     first = plane_of(cand)
     off = cand.join(first, by).withColumn("__r", F.abs(F.col("z") - on()))
     bound = off.groupBy(by).agg(F.greatest(F.percentile("__r", 0.7), F.lit(1e-2)).alias("__t"), F.count("*").alias("__n"))

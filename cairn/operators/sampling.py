@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from cairn.functions.scalar import unit_hash
 from cairn.operators.geometry import terrain_weights
 from cairn.operators.neighbors import checkpointed, radius_edges
 from cairn.operators.raster import low_frequency
+from cairn.operators.selection import in_order
 
 
 def nested_rank(pts: DataFrame, seed: int, keys: Sequence[str] = ("tile", "point_id"), name: str = "rank") -> DataFrame:
@@ -88,6 +90,33 @@ def _even(i: Column, n: Column, take: Column) -> Column:
     return F.when(take <= 0, False).when(take >= n, True).when(take == 1, i == 0).otherwise(near[0] | near[1] | near[2])
 
 
+def stratified_share(df: DataFrame, strata: Sequence[str], n: int, seed: int, by: str = "tile", id_col: str = "point_id") -> DataFrame:
+    """``n`` rows of each tile (all, if it has no more), strata in proportion to their sizes: each gets ``floor(n * size / total)``, at least 1; what is too
+    much is taken one by one from the largest share (ties: the first stratum) above 1; rows are drawn by hash within a stratum, and what is
+    still missing from all that are left. With more strata than ``n`` the first ones give a row each."""
+    tile, stratum = Window.partitionBy(by), Window.partitionBy(by, *strata)
+    sizes = df.groupBy(by, *strata).agg(F.count("*").alias("__c"))
+    lists = sizes.groupBy(by).agg(F.sum("__c").alias("__total"), F.array_sort(F.collect_list(F.struct(*strata, "__c"))).alias("__strata"))
+    share = F.transform("__strata", lambda e: F.greatest(F.lit(1), F.floor(F.lit(n) * e["__c"] / F.col("__total"))).cast("long"))
+    over = F.aggregate("__share", F.lit(0).cast("long"), lambda a, e: a + e) - F.lit(n)
+    steps = F.when(over > 0, F.sequence(F.lit(1).cast("long"), over)).otherwise(F.array().cast("array<bigint>"))
+
+    def less(shares: Column, _: Column) -> Column:
+        top = F.array_max(shares)
+        at = F.array_position(shares, top)
+        return F.when(top > 1, F.transform(shares, lambda e, i: F.when(i + 1 == at, e - 1).otherwise(e))).otherwise(shares)
+
+    shares = lists.withColumn("__share", share).withColumn("__share", F.aggregate(steps, F.col("__share"), less))
+    each = shares.select(by, "__total", F.posexplode(F.arrays_zip("__strata", "__share")).alias("__s", "e")).select(by, "__total", "__s", *(F.col(f"e.__strata.{c}").alias(f"__stratum_{c}") for c in strata), F.col("e.__share").alias("__take"))
+    same = [df[by].eqNullSafe(each[by]), *(df[c].eqNullSafe(each[f"__stratum_{c}"]) for c in strata)]
+    rows = df.join(each, functools.reduce(Column.__and__, same)).select(df["*"], "__total", "__s", "__take")
+    draw = unit_hash(seed, by, id_col)
+    ranked = rows.withColumn("__r", F.row_number().over(stratum.orderBy(draw, id_col))).withColumn("__rest", F.col("__r") > F.col("__take"))
+    # Drawn rows first, by stratum; then what fills up, by hash.
+    place = F.row_number().over(tile.orderBy("__rest", F.when(F.col("__rest"), 0).otherwise(F.col("__s")), draw, id_col))
+    return ranked.withColumn("__p", place).where((F.col("__total") <= n) | (F.col("__p") <= n)).select(*df.columns)
+
+
 def stratified(df: DataFrame, strata: Sequence[str], n: int, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """At most ``n`` rows of each tile: every stratum gives an equal base (``n div strata``, at least 1, or all it has) at even positions in the
     order of ids, then the rest of the tile fills up at even positions; of more than ``n`` the first by id stay. A tile of at most ``n`` rows stays whole."""
@@ -290,24 +319,21 @@ def epoch_plan(tiles: DataFrame, weights: DataFrame, loop: int, ranks: int, seed
     """``(slot, tile, rank)``: every tile once, then ``(loop - 1) * N`` slots drawn by weight with replacement (``plain``: all slots are
     drawn), shuffled by hash, padded to a multiple of ``ranks`` and dealt round robin. A tile of weight 0 is never drawn.
 
-    Draws are hashed uniforms found in the cumulative weights: a range join, made equal by coarse cells of the cumulative share.
+    Draws are hashed uniforms found in the cumulative weights: a range join, made equal by cells of the cumulative share, as many as tiles. Cumulative
+    weights and slots are summed and numbered range by range.
     """
-    cells = 1024
-    every = tiles.select(tile).distinct()
-    table = every.join(weights.select(tile, weight), tile, "left").withColumn("w", F.coalesce(weight, F.lit(0.0)))
-    upto = F.sum("w").over(Window.orderBy(tile).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("w").over(Window.partitionBy())
-    shares = table.where("w > 0").withColumn("hi", upto / total).withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy(tile)))
-    shares = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))))
-    n = every.agg(F.count("*").alias("n"))
-    count = F.col("n") * (loop if plain else loop - 1)
-    slots = n.select(F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("s")).where("s >= 0") if loop > (0 if plain else 1) else n.select(F.lit(0).cast("long").alias("s")).limit(0)
-    drawn = slots.withColumn("u", unit_hash(seed, "s")).withColumn("cell", F.floor(F.col("u") * cells)).join(shares, "cell").where("u >= lo AND u < hi").select(tile, F.concat(F.lit("d"), F.col("s").cast("string")).alias("k"))
+    every = checkpointed(tiles.select(tile).distinct().join(weights.select(tile, F.col(weight).alias("w")), tile, "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
+    size = every.agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    cells, total = max(1024, size["n"]), size["w"] or 0.0
+    cell = lambda share: F.floor(share * cells)
+    shares = in_order(every.where("w > 0"), [tile], F.col("w")).select(tile, ((F.col("upto") - F.col("w")) / F.lit(float(total))).alias("lo"), (F.col("upto") / F.lit(float(total))).alias("hi"))
+    shares = shares.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    slots = tiles.sparkSession.range(max(0, size["n"] * (loop if plain else loop - 1)) if total else 0).select(F.col("id").alias("s"))
+    drawn = slots.withColumn("u", unit_hash(seed, "s")).withColumn("cell", cell(F.col("u"))).join(shares, "cell").where("u >= lo AND u < hi").select(tile, F.concat(F.lit("d"), F.col("s").cast("string")).alias("k"))
     plan = drawn if plain else drawn.unionByName(every.select(tile, F.concat(F.lit("e"), F.col(tile).cast("string")).alias("k")))
-    placed = plan.withColumn("slot", F.row_number().over(Window.orderBy(unit_hash(f"{seed}/order", "k"), "k")) - 1)
-    size = placed.count()
-    short = -size % ranks
-    padding = placed.where(F.col("slot") < short).withColumn("slot", F.col("slot") + size)
+    placed = checkpointed(in_order(plan.withColumn("o", unit_hash(f"{seed}/order", "k")), ["o", "k"], F.lit(1)).select(F.col("place").alias("slot"), tile))
+    count = placed.count()
+    padding = placed.where(F.col("slot") < -count % ranks).withColumn("slot", F.col("slot") + count)
     return placed.unionByName(padding).select("slot", tile, (F.col("slot") % ranks).alias("rank"))
 
 

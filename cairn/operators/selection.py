@@ -39,6 +39,20 @@ def select_ranks(rows: DataFrame, keys: Sequence[str], value: str, targets: Data
         state = checkpointed(state.where("__lo = __hi").unionByName(narrowed))
 
 
+def in_order(df: DataFrame, order: Sequence[str | Column], value: Column) -> DataFrame:
+    """``df`` with ``place`` (from 0, in the given order) and ``upto`` (the sum of ``value`` over the rows up to and with this one).
+
+    Rows are dealt by ranges and sorted; a range's own sums are windows over that range, and one row per range carries what lies before it.
+    """
+    dealt = df.withColumn("__v", value).repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    rows = checkpointed(dealt.withColumn("__m", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__m", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per shuffle partition
+    parts = checkpointed(rows.groupBy("__part").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"), F.sum("__v").alias("__s")))
+    parts = parts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__sum"))
+    own = F.sum("__v").over(Window.partitionBy("__part").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(parts), "__part").withColumns({"place": F.col("__m") - F.col("__first") + F.col("__rows"), "upto": own + F.col("__sum")}).drop("__v", "__m", "__part", "__first", "__rows", "__sum")
+
+
 def percentiles(df: DataFrame, columns: dict[str, Column], shares: Sequence[float]) -> dict[str, list[float]]:
     """Percentiles of whole columns, interpolated between the neighbouring ranks; only the results are collected. Nulls and NaN do not count; a
     column without values has nulls."""

@@ -226,6 +226,16 @@ query("p23_align_pose", lambda t: r6(frames.align_poses(frames.fuse_frames(_pose
 query("w06_nested_rank", lambda t: sampling.nested_rank(t.pts, 42).select(*KEY, "rank"), f"SELECT tile, point_id, {U(42, 'tile', 'point_id')} AS rank FROM pts")
 query("a55_budget_counts", lambda t: sampling.budget_counts(sampling.nested_rank(t.pts, 42), [0.01, 0.1, 0.5]), f"SELECT classification, count(*) AS n, count(*) FILTER (u < 0.01) AS n_0, count(*) FILTER (u < 0.1) AS n_1, count(*) FILTER (u < 0.5) AS n_2 FROM (SELECT classification, {U(42, 'tile', 'point_id')} AS u FROM pts) GROUP BY 1")
 query("w07_block_split", lambda t: sampling.block_split(t.pts, "tile", 0.25).groupBy("tile", "held_out").agg(F.count("*").alias("n")), "SELECT tile, i IN (SELECT CAST(round_even(j * (m - 1) / (k - 1), 0) AS BIGINT) FROM nb, range(0, 100000) r(j) WHERE j < k) AS held_out, n FROM (SELECT tile, count(*) AS n, row_number() OVER (ORDER BY tile) - 1 AS i FROM pts GROUP BY 1)", "nb AS (SELECT count(DISTINCT tile) AS m, CAST(round_even(count(DISTINCT tile) * 0.25, 0) AS BIGINT) AS k FROM pts)")
+query(
+    "w08_stratified_share",
+    lambda t: sampling.stratified_share(t.pts, ["classification", "return_number"], 40, 5).select(*KEY, "classification"),
+    "SELECT tile, point_id, classification FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY r > take, CASE WHEN r > take THEN 0 ELSE s END, u, point_id) AS p FROM pd JOIN pk USING (tile, classification, return_number)) WHERE total <= 40 OR p <= 40",
+    f"""pd AS (SELECT tile, point_id, classification, return_number, u, row_number() OVER (PARTITION BY tile, classification, return_number ORDER BY u, point_id) AS r FROM (SELECT *, {U(5, 'tile', 'point_id')} AS u FROM pts)),
+    pc AS (SELECT tile, classification, return_number, c, sum(c) OVER (PARTITION BY tile) AS total, row_number() OVER (PARTITION BY tile ORDER BY classification, return_number) AS s FROM (SELECT tile, classification, return_number, count(*) AS c FROM pts GROUP BY 1, 2, 3)),
+    pa AS (SELECT *, CAST(greatest(1, 40 * c // total) AS BIGINT) AS share FROM pc),
+    pu AS (SELECT tile, s FROM (SELECT tile, s, unnest(range(2, share + 1)) AS h FROM pa) JOIN (SELECT tile, sum(share) - 40 AS over FROM pa GROUP BY 1) USING (tile) QUALIFY row_number() OVER (PARTITION BY tile ORDER BY h DESC, s) <= over),
+    pk AS (SELECT tile, classification, return_number, total, s, share - coalesce(gone, 0) AS take FROM pa LEFT JOIN (SELECT tile, s, count(*) AS gone FROM pu GROUP BY 1, 2) USING (tile, s))""",
+)
 query(
     "w08_stratified",
     lambda t: sampling.stratified(t.pts, ["classification", "return_number"], 40).select(*KEY, "classification"),
@@ -252,7 +262,15 @@ query("t07_downsample", lambda t: sampling.downsample(t.pts, 10, 5).select(*KEY)
 query("t08_keep_labels", lambda t: sampling.keep_labels(t.pts, 0.25, 0, 6).select(*KEY, "classification"), f"SELECT tile, point_id, CASE WHEN k <= floor(n * 0.25) THEN classification ELSE 0 END AS classification FROM (SELECT *, row_number() OVER (PARTITION BY tile, classification ORDER BY {U(6, 'tile', 'point_id')}, point_id) AS k, count(*) OVER (PARTITION BY tile, classification) AS n FROM pts)")
 query("t09_dropout", lambda t: sampling.dropout(t.pts, 0.5, 8, F.col("classification") == 1).select(*KEY), f"SELECT tile, point_id FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY {U(8, 'tile', 'point_id')}, point_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM pts) WHERE k > floor(n * 0.5) OR classification = 1")
 TW = lambda t: t.pts.groupBy("tile").agg((F.count("*") % 7).cast("double").alias("weight"))
-query("t10_epoch_plan", lambda t: sampling.epoch_plan(TW(t).select("tile"), TW(t), 3, 4, 1).groupBy("tile").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks")))
+query(
+    "t10_epoch_plan",
+    lambda t: sampling.epoch_plan(TW(t).select("tile"), TW(t), 3, 4, 1),
+    "SELECT slot, tile, slot % 4 AS rank FROM ep UNION ALL SELECT slot + n AS slot, tile, (slot + n) % 4 AS rank FROM ep WHERE slot < (4 - n % 4) % 4",
+    f"""tw AS (SELECT tile, CAST(count(*) % 7 AS DOUBLE) AS w FROM pts GROUP BY 1), ts AS (SELECT tile, (sum(w) OVER o - w) / sum(w) OVER () AS lo, sum(w) OVER o / sum(w) OVER () AS hi FROM tw WINDOW o AS (ORDER BY tile)),
+    dr AS (SELECT s, {U(1, 's')} AS u FROM (SELECT unnest(range(2 * count(*))) AS s FROM tw)),
+    ek AS (SELECT tile, 'd' || s AS k FROM dr JOIN ts ON u >= lo AND u < hi UNION ALL SELECT tile, 'e' || tile FROM tw),
+    ep AS (SELECT row_number() OVER (ORDER BY {U('1/order', 'k')}, k) - 1 AS slot, tile, count(*) OVER () AS n FROM ek)""",
+)
 query("t11_budget_sample", lambda t: sampling.budget_sample(t.pts, 2000, 0.5, 2).groupBy("tile").agg(F.count("*").alias("n")))
 _DL = f"""dl AS (SELECT *, CASE WHEN classification IN (1, 2, 3) AND (orig_idx % 8) / 8::DOUBLE < 0.75 AND {U('3/steep', 'tile', 'point_id')} < 0.4::DOUBLE OR classification IN (4, 7) AND {U('3/rare', 'tile', 'point_id')} < 0.4::DOUBLE THEN 5 ELSE classification END AS l FROM pts),
 de AS (SELECT a.tile, a.point_id FROM dl a JOIN dl b USING (tile) WHERE a.l <> 5 AND b.l <> 5 AND {D2} <= 64 GROUP BY 1, 2 HAVING min(b.l) <> max(b.l))"""

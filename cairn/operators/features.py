@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalar import l2norm, unit_hash
 from cairn.operators.selection import percentiles
+from cairn.operators.vectors import vector_knn
 
 
 def _vectors(df: DataFrame, feature: str) -> DataFrame:
@@ -100,30 +101,11 @@ def linear_probe(train: DataFrame, test: DataFrame, feature: str = "feature", la
     return model.transform(_vectors(test.withColumn("__f", l2norm(feature)), "__f")).drop("__f", "__v", "rawPrediction", "probability").withColumn("prediction", F.col("prediction").cast("int"))
 
 
-def knn_probe(train: DataFrame, test: DataFrame, k: int = 20, feature: str = "feature", label: str = "label", id_col: str = "vec_id", block: int = 4096) -> DataFrame:
-    """``(id, prediction)``: vote of the k nearest training rows by cosine distance, weights ``1 / (distance + 1e-6)``, ties to the lowest label.
-
-    Training rows are dealt into blocks; a task holds one block of each side and passes on k rows per query.
-    """
-    fold = lambda d, name: d.withColumn(name, F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-d.count() // block)))).cast("int"))
-    tr = fold(train.select(F.col(id_col), F.col(label), l2norm(feature).alias("v")), "tb")
-    te = fold(test.select(F.col(id_col), F.lit(None).cast(train.schema[label].dataType).alias(label), l2norm(feature).alias("v")), "qb")
-    tbs, qbs = tr.select("tb").distinct(), te.select("qb").distinct()
-    both = te.crossJoin(F.broadcast(tbs)).select("qb", "tb", id_col, label, "v", F.lit(True).alias("query")).unionByName(tr.crossJoin(F.broadcast(qbs)).select("qb", "tb", id_col, label, "v", F.lit(False).alias("query")))
-
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        q, t = frame[frame["query"]], frame[~frame["query"]].sort_values(id_col)
-        if q.empty or t.empty:
-            return pd.DataFrame({id_col: [], "other": [], "label": [], "d": []})
-        d = 1.0 - np.stack(q.v.to_numpy()) @ np.stack(t.v.to_numpy()).T
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({id_col: np.repeat(q[id_col].to_numpy(), take.shape[1]), "other": t[id_col].to_numpy()[take].ravel(), "label": t[label].to_numpy()[take].ravel(), "d": np.take_along_axis(d, take, 1).ravel()})
-
-    rows = both.groupBy("qb", "tb").applyInPandas(near, f"{id_col} long, other long, label int, d double")
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy("d", "other"))).where(F.col("r") <= k)
-    votes = top.groupBy(id_col, "label").agg(F.sum(1 / (F.greatest("d", F.lit(0.0)) + F.lit(1e-6))).alias("w"))
-    return votes.groupBy(id_col).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("prediction"))
-
+def knn_probe(train: DataFrame, test: DataFrame, k: int = 20, feature: str = "feature", label: str = "label", id_col: str = "vec_id") -> DataFrame:
+    """``(id, prediction)``: vote of the k nearest training rows by cosine distance, weights ``1 / (distance + 1e-6)``, ties to the lowest label."""
+    top = vector_knn(train, test, k, feature, id_col, carry=label)
+    votes = top.groupBy(id_col, label).agg(F.sum(1 / (F.greatest("d", F.lit(0.0)) + F.lit(1e-6))).alias("w"))
+    return votes.groupBy(id_col).agg(F.min_by(label, F.struct(-F.col("w"), F.col(label))).alias("prediction"))
 
 def permute_features(df: DataFrame, mode: str, seed: int, by: Sequence[str] = (), feature: str = "feature", id_col: str = "vec_id") -> DataFrame:
     """Control sets: ``dims`` shuffles every feature dimension on its own, ``rows`` exchanges whole vectors within ``by`` groups.

@@ -258,20 +258,27 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _in_order(texts, chars_a_part).select("part", "doc_id", "text", "copy").mapInArrow(run, schema)
 
 
-def bands(fingerprint: str, count: int = 16, width: int = 6) -> list[str]:
-    """Bit-sampled band keys: ``count`` tuples of ``width`` samples at shared places of each of the two coarser
-    views of a fingerprint, so that texts of neighbouring levels meet. A text shorter than a band is one key."""
-    mark = decode(fingerprint)
+def bands(fingerprint: str, count: int = 16, width: int = 6, later: int = 8) -> list[str]:
+    """Bit-sampled band keys over the whole of each of the two coarser views of a fingerprint, so that texts of neighbouring levels meet.
+
+    A view is cut into stretches of ``SAMPLES / 2`` steps, which are shared by all texts that reach so far. The first gives ``count`` tuples of ``width``
+    samples at shared places, each other one ``later``: texts that differ in one part meet by another. Of the last, shorter stretch only the
+    tuples count whose places it has. A text shorter than a band is one key.
+    """
+    mark, span = decode(fingerprint), SAMPLES // 2
     keys = []
     for level in (mark[0], mark[0] + 1):
         view = coarser(mark, level)
         if len(view) < width:
             keys.append(f"{level}|{view.tobytes().hex()}")
             continue
-        for b in range(count):
-            # Places are drawn from the first SAMPLES / 2 steps that every text of the level has.
-            places = _mixed(np.arange(b * width, (b + 1) * width, dtype=np.uint64) ^ np.uint64(level + 77)) % np.uint64(max(width, min(len(view), SAMPLES // 2)))
-            keys.append(f"{level}|{b}|{view[np.sort(places.astype(np.int64))].tobytes().hex()}")
+        for start in range(0, len(view), span):
+            stretch = view[start : start + span]
+            for b in range(later if start else count):
+                draws = _mixed(np.arange(b * width, (b + 1) * width, dtype=np.uint64) ^ np.uint64(level + 77 + 1000 * start))
+                places = np.sort((draws % np.uint64(span if start else max(width, len(stretch)))).astype(np.int64))
+                if places[-1] < len(stretch):
+                    keys.append(f"{level}|{start}|{b}|{stretch[places].tobytes().hex()}")
     return keys
 
 

@@ -82,7 +82,11 @@ def _vertices(t) -> DataFrame:
 
 
 query("j19_assign_groups", lambda t: labels.assign_groups(_vertices(t), _groups(t)).select("mesh", "vertex_id", "label", "instance"), "SELECT v.mesh, v.vertex_id, coalesce(g.label, -1) AS label, coalesce(g.object_id, -1) AS instance FROM (SELECT tile % 10 AS mesh, point_id AS vertex_id, orig_idx % 50 AS seg FROM pts) v LEFT JOIN g ON v.mesh = g.mesh AND v.seg = g.seg", "s AS (SELECT o_custkey % 10 AS mesh, o_orderkey, unnest([o_orderkey % 40, (o_orderkey * 3) % 40]) AS seg FROM orders), g AS (SELECT mesh, seg, max(o_orderkey) AS object_id, CAST(max(o_orderkey) % 6 AS INT) AS label FROM s GROUP BY 1, 2)")
-query("j20_assign_multilabel", lambda t: labels.assign_multilabel(_vertices(t), _groups(t)).drop("segment_id"))
+query("j20_assign_multilabel", lambda t: labels.assign_multilabel(_vertices(t), _groups(t)).drop("segment_id"), "SELECT v.mesh, v.vertex_id, coalesce(label_1, -1) AS label_1, coalesce(label_2, -1) AS label_2, coalesce(label_3, -1) AS label_3, coalesce(major, -1) AS major_label, coalesce(obj, -1) AS instance FROM v LEFT JOIN mp USING (mesh, seg)", """v AS (SELECT tile % 10 AS mesh, point_id AS vertex_id, orig_idx % 50 AS seg FROM pts),
+ml AS (SELECT DISTINCT o_custkey % 10 AS mesh, o_orderkey AS obj, CAST(o_orderkey % 6 AS INT) AS label, unnest([o_orderkey % 40, (o_orderkey * 3) % 40]) AS seg FROM orders),
+mt AS (SELECT *, row_number() OVER (PARTITION BY mesh, seg ORDER BY obj) AS slot FROM ml JOIN (SELECT mesh, seg, count(*) AS n FROM v GROUP BY 1, 2) USING (mesh, seg) QUALIFY slot <= 3),
+ms AS (SELECT *, sum(n) OVER (PARTITION BY mesh, obj) AS size FROM mt),
+mp AS (SELECT mesh, seg, max(label) FILTER (slot = 1) AS label_1, max(label) FILTER (slot = 2) AS label_2, max(label) FILTER (slot = 3) AS label_3, arg_min(label, (size, slot)) AS major, arg_min(obj, (size, slot)) AS obj FROM ms GROUP BY 1, 2)""")
 query("a59_vertex_vote", lambda t: labels.vertex_vote(t.pts.select(F.col("source_block").alias("mesh"), (F.col("orig_idx") % 97).alias("a"), (F.col("orig_idx") % 89).alias("b"), (F.col("orig_idx") % 83).alias("c"), F.col("classification").alias("label"))), "SELECT mesh, vertex_id, label FROM (SELECT mesh, vertex_id, label, row_number() OVER (PARTITION BY mesh, vertex_id ORDER BY n DESC, label) AS k FROM (SELECT mesh, vertex_id, label, count(*) AS n FROM (SELECT source_block AS mesh, unnest([orig_idx % 97, orig_idx % 89, orig_idx % 83]) AS vertex_id, classification AS label FROM pts) GROUP BY 1, 2, 3)) WHERE k = 1")
 
 # --- grids ------------------------------------------------------------------------------------------------------

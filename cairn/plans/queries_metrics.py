@@ -93,7 +93,11 @@ def _instances(t: Tables) -> tuple[DataFrame, DataFrame]:
     return pred, gt
 
 
-query("j21_match_instances", lambda t: metrics.match_instances(*_instances(t)).select("scene", "class", "pred_id", "instance", "both", "n_pred", "n_gt", "n_void"))
+query("j21_match_instances", lambda t: metrics.match_instances(*_instances(t)).select("scene", "class", "pred_id", "instance", "both", "n_pred", "n_gt", "n_void"), "SELECT scene, CAST(pred_id AS INT) AS class, CAST(pred_id AS BIGINT) AS pred_id, instance, coalesce(\"both\", 0) AS \"both\", n_pred, n_gt, n_void FROM iz LEFT JOIN io USING (scene, pred_id) LEFT JOIN ig USING (scene, segment, instance)", """ia AS (SELECT tile AS scene, point_id, classification AS segment, CAST(CASE WHEN return_number = 4 THEN -1 ELSE classification END AS BIGINT) AS instance, pred2 AS pred_id FROM pts),
+ij AS (SELECT p.scene, p.pred_id, g.segment, g.instance FROM ia p JOIN ia g USING (scene, point_id)),
+iz AS (SELECT scene, pred_id, count(*) AS n_pred, count(*) FILTER (instance < 0) AS n_void FROM ij GROUP BY 1, 2),
+io AS (SELECT scene, pred_id, segment, instance, count(*) AS "both" FROM ij WHERE segment = pred_id AND instance >= 0 GROUP BY 1, 2, 3, 4),
+ig AS (SELECT scene, segment, instance, count(*) AS n_gt FROM ia WHERE instance >= 0 GROUP BY 1, 2, 3)""")
 query("a30_instance_ap", lambda t: r6(metrics.instance_ap(*_instances(t), least=10), "ap"))
 query("a58_cls_metrics", lambda t: r6(metrics.cls_metrics(PT(t), ["source_block"]), "oa", "macc"), f"SELECT source_block, {rnd('sum(h) / sum(n)')} AS oa, {rnd('avg(h / n)')} AS macc FROM (SELECT source_block, classification, count(*) AS n, count(*) FILTER (classification = pred) AS h FROM pts GROUP BY 1, 2) GROUP BY 1")
 query("a58_best_run", lambda t: r6(metrics.best_run(metrics.cls_metrics(PT(t), ["tile"]), "tile", "oa"), "oa"), f"SELECT arg_min(tile, (-oa, tile)) AS tile, {rnd('max(oa)')} AS oa FROM (SELECT tile, count(*) FILTER (classification = pred) / count(*) AS oa FROM pts GROUP BY 1)")

@@ -198,7 +198,10 @@ def _overlaps(t: Tables) -> DataFrame:
 
 
 query("j23_overlap_pairs", _overlaps, "SELECT a.scene, a.v AS first, b.v AS second, count(*) AS both FROM (SELECT *, count(*) OVER (PARTITION BY scene, v) AS n FROM vi) a JOIN (SELECT *, count(*) OVER (PARTITION BY scene, v) AS n FROM vi) b ON a.scene = b.scene AND a.c = b.c AND a.v < b.v GROUP BY 1, 2, 3 HAVING count(*) >= 0.3 * least(max(a.n), max(b.n))", "vi AS (SELECT DISTINCT tile % 10 AS scene, tile AS v, point_id % 400 AS c FROM pts)")
-query("j25_vertex_normals", lambda t: r6(geometry.vertex_normals(t.pts.select(F.col("tile").alias("mesh"), F.col("point_id").alias("vertex_id"), "x", "y", "z"), _faces(t)), "nx", "ny", "nz", digits=5).select("mesh", "vertex_id", "nx", "ny", "nz"))
+query("j25_vertex_normals", lambda t: r6(geometry.vertex_normals(t.pts.select(F.col("tile").alias("mesh"), F.col("point_id").alias("vertex_id"), "x", "y", "z"), _faces(t)), "nx", "ny", "nz", digits=5).select("mesh", "vertex_id", "nx", "ny", "nz"), "SELECT p.tile AS mesh, point_id AS vertex_id, " + ", ".join(f"{rnd(f'CASE WHEN l > 0 THEN n{c} / l ELSE 0 END', 5)} AS n{c}" for c in "xyz") + " FROM pts p LEFT JOIN fn ON p.tile = fn.tile AND p.point_id = fn.v", f"""fc AS (SELECT tile, src AS a, max(dst) FILTER (rank = 1) AS b, max(dst) FILTER (rank = 2) AS c FROM {_knn(2, 'a.point_id <> b.point_id')} GROUP BY 1, 2),
+fe AS (SELECT f.*, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz FROM fc f JOIN pts a ON a.tile = f.tile AND a.point_id = f.a JOIN pts b ON b.tile = f.tile AND b.point_id = f.b JOIN pts c ON c.tile = f.tile AND c.point_id = f.c),
+fs AS (SELECT tile, v, sum(uy * vz - uz * vy) AS nx, sum(uz * vx - ux * vz) AS ny, sum(ux * vy - uy * vx) AS nz FROM (SELECT *, unnest([a, b, c]) AS v FROM fe) GROUP BY 1, 2),
+fn AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM fs)""")
 
 
 def _faces(t: Tables) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -50,8 +51,10 @@ def release(*tables: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing holds any more: it waits for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's Python lets go of plans first, then its JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def salts_of(spark: SparkSession) -> int:

@@ -274,22 +274,65 @@ def idw(src: DataFrame, ref: DataFrame, feature: str, k: int = 3, by: str = "til
     return rows.groupBy(by, "src").agg((F.sum(F.col(feature) * F.col("w")) / F.sum("w")).alias(feature))
 
 
+#: Keys of more rows than ``HEAVY`` are looked up apart, the ``HEAVIEST`` of them at most; no other key has more than one row in ``HEAVIEST``.
+HEAVY, HEAVIEST = 10_000, 1_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose rows are unique in ``on``; null where it has none. ``rows`` is read twice.
+
+    Keys that very many rows share are counted (combined before the shuffle) and answered where their rows lie, from at most ``HEAVIEST`` rows of
+    ``table``; only the others are shuffled by key, so a third of all rows with one key makes no task of its own.
+    """
+    hot = rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > HEAVY).orderBy(F.desc("__n")).limit(HEAVIEST).drop("__n")
+    if rows.count() <= HEAVY or hot.isEmpty():
+        return rows.join(table, on, "left")
+    known = checkpointed(hot.join(table, on, "left"))
+    small = F.broadcast(known)
+    return rows.join(small, on).unionByName(rows.join(small.select(*on), on, "left_anti").join(table, on, "left"))
+
+
+def _contracted(edges: DataFrame, by: str) -> list[DataFrame]:
+    """Per round, ``(by, src, dst)``: the node that each node left with an edge is drawn into.
+
+    A node looks to its neighbour that comes first in an order hashed anew for the round, and to where that one looks: there it goes, or, where the two
+    look at each other, both go to the first of them. So a star is gone after two rounds, and a chain shrinks by a constant factor.
+    """
+    ends = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    links = lambda df: checkpointed(df.where("src <> dst").select(by, ends("src", "dst").alias("e")).distinct().select(by, "e.*"))
+    left, drawn = links(edges), []
+    while not left.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(drawn)), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        both = left.unionByName(left.select(by, F.col("dst").alias("src"), F.col("src").alias("dst")))
+        first = checkpointed(both.groupBy(by, "src").agg(F.min(order("dst"))["v"].alias("dst")))
+        second = look_up(first, first.select(by, F.col("src").alias("dst"), F.col("dst").alias("__then")), [by, "dst"])
+        goal = F.when(F.col("__then") == F.col("src"), F.least(order("src"), order("dst"))["v"]).otherwise(F.col("__then"))
+        drawn.append(checkpointed(second.select(by, "src", goal.alias("dst"))))
+        for end in ("src", "dst"):
+            left = look_up(left, drawn[-1].select(by, F.col("src").alias(end), F.col("dst").alias("__to")), [by, end]).drop(end).withColumnRenamed("__to", end)
+        left = links(left)
+    return drawn
+
+
 def connected(nodes: DataFrame, edges: DataFrame, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """``(by, point_id, component)``: the smallest id that edges lead to; ids are unique within ``by``.
+    """``(by, point_id, component)``: the smallest id that edges lead to; ids are unique within ``by``. Edges go both ways.
 
-    Every round takes the least component among neighbours and then that component's own component (pointer
-    jumping); the table is written out after each round, and the loop ends when nothing changes.
+    The graph is contracted round by round, in a logarithmic number of rounds; then the names go back, from the few nodes of the last round to all of the
+    first. Each round is written out. Hubs and giant components are looked up apart (``look_up``).
     """
-    both = checkpointed(edges.where("src <> dst").select(by, "src", "dst").unionByName(edges.select(by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    state = checkpointed(nodes.select(by, id_col).distinct().withColumn("component", F.col(id_col)))
-    while True:
-        seen = both.join(state.select(by, F.col(id_col).alias("dst"), "component"), [by, "dst"]).groupBy(by, F.col("src").alias(id_col)).agg(F.min("component").alias("__least"))
-        lower = state.join(seen, [by, id_col], "left").select(by, id_col, F.col("component").alias("__was"), F.least("component", F.coalesce("__least", "component")).alias("component"))
-        jump = lower.select(by, F.col(id_col).alias("component"), F.col("component").alias("__to"))
-        after = checkpointed(lower.join(jump, [by, "component"], "left").select(by, id_col, "__was", F.least("component", F.coalesce("__to", "component")).alias("component")))
-        state = after.drop("__was")
-        if after.where("component <> __was").isEmpty():
-            return state
+    names = None
+    for drawn in reversed(_contracted(edges, by)):
+        if names is not None:
+            further = names.select(by, F.col("src").alias("dst"), F.col("dst").alias("__to"))
+            drawn = checkpointed(look_up(drawn, further, [by, "dst"]).select(by, "src", F.coalesce("__to", "dst").alias("dst")))
+        names = drawn
+    every = nodes.select(by, id_col).distinct()
+    if names is None:
+        return every.withColumn("component", F.col(id_col))
+    # A root names itself where it lies in a later round's graph; its own row is among those of the first.
+    least = names.groupBy(by, "dst").agg(F.min("src").alias("component"))
+    named = look_up(names, least, [by, "dst"]).select(by, F.col("src").alias(id_col), "component")
+    return every.join(named, [by, id_col], "left").withColumn("component", F.coalesce("component", id_col))
 
 
 def cluster(pts: DataFrame, radius: float, least: int = 1, label: str = "classification", by: str = "tile", id_col: str = "point_id", score: Column | None = None) -> DataFrame:
@@ -300,7 +343,7 @@ def cluster(pts: DataFrame, radius: float, least: int = 1, label: str = "classif
     found = connected(pts, edges, by, id_col)
     extra = [score.alias("score")] if score is not None else []
     sizes = found.join(pts, [by, id_col]).groupBy(by, "component").agg(F.count("*").alias("size"), *extra).where(F.col("size") >= least)
-    return found.join(sizes, [by, "component"])
+    return look_up(checkpointed(found), sizes, [by, "component"]).where("size IS NOT NULL")
 
 
 def superpoints(pts: DataFrame, edges: DataFrame, threshold: float = 0.1, least: int = 20, most: int = 10_000, by: str = "tile", id_col: str = "point_id") -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import unit_hash
 from cairn.operators.geometry import terrain_weights
-from cairn.operators.neighbors import checkpointed, radius_edges
+from cairn.operators.neighbors import checkpointed, look_up, radius_edges
 from cairn.operators.raster import low_frequency
 from cairn.operators.selection import in_order
 
@@ -263,56 +266,51 @@ def keep_largest(df: DataFrame, n: int, by: str = "n", ties: Sequence[str] = ())
 ENVIRONMENT_SHARES = {"urban": 0.22, "suburban": 0.20, "dense_vegetation": 0.20, "open_ground": 0.15, "water": 0.08, "rare_infrastructure": 0.10, "mixed": 0.05}
 
 
-def select_tiles(stats: DataFrame, n: int, cap: int, block: str = "source_block", tile: str = "tile", score: str = "priority", environment: str = "environment", classes: Sequence[str] = (), shares: dict[str, float] = ENVIRONMENT_SHARES, candidates: int = 100_000) -> DataFrame:
+def select_tiles(stats: DataFrame, n: int, cap: int, block: str = "source_block", tile: str = "tile", score: str = "priority", environment: str = "environment", classes: Sequence[str] = (), shares: dict[str, float] = ENVIRONMENT_SHARES) -> DataFrame:
     """``n`` tiles with at most ``cap`` per block, with the ``reason``: the best of every block by ``score``, for each of ``classes`` (count columns)
     the tile that has most of it, the best of each environment up to its share of ``n`` (rounded, at least 1), then the best overall.
 
-    Candidates come ranked from Spark: the ``cap`` best of each block, and of each block and environment, and the tile with most of each
-    class: a table whose size follows the blocks (checked against ``candidates``); the greedy choice runs on it in the driver.
-    Raises if the cap does not leave ``n`` tiles.
+    The choice is greedy, yet every step is a table: a tile that is not taken can be chosen if its rank among such tiles of its block is within
+    the room that earlier steps left there, and the best of these are, up to the quota. Only the ``cap`` best of each block, and of each block and environment, can
+    come to that. The driver sees counts and one tile per class. Equal scores go to the lower tile, null scores come last, tiles
+    without a block form one. Raises if the cap does not leave ``n`` tiles.
     """
-    best = lambda order, k, *by: F.row_number().over(Window.partitionBy(*by).orderBy(order, tile)) <= k
-    pool = stats.withColumn("__f", best(F.desc(score), cap, block) | best(F.desc(score), cap, block, environment)).where("__f").drop("__f")
-    strongest = {c: stats.where(F.col(c) > 0).orderBy(F.desc(c), tile).limit(1) for c in classes}
-    for row in strongest.values():
-        pool = pool.unionByName(row)
-    rows = [r.asDict() for r in pool.distinct().orderBy(F.desc(score), tile).limit(candidates + 1).collect()]
-    if len(rows) > candidates:
-        raise ValueError(f"more than {candidates} candidate tiles")
-    taken: dict = {}
-    used: dict = {}
-
-    def take(r: dict, why: str) -> bool:
-        if r[tile] in taken or used.get(r[block], 0) >= cap:
-            return False
-        taken[r[tile]] = why
-        used[r[block]] = used.get(r[block], 0) + 1
-        return True
-
-    leaders: dict = {}
-    for r in rows:
-        leaders.setdefault(r[block], r)
-    for b in sorted(leaders):
-        take(leaders[b], "block")
-    for c in classes:
-        have = [r for r in rows if (r[c] or 0) > 0]
-        if have:
-            take(min(have, key=lambda r: (-r[c], r[tile])), f"class {c}")
-    for e, share in shares.items():
-        own = [r for r in rows if r[environment] == e]
-        now, quota = sum(r[tile] in taken for r in own), max(1, round(n * share))
-        for r in own:
-            if now >= quota or len(taken) >= n:
-                break
-            now += take(r, "environment")
-    for r in rows:
-        if len(taken) >= n:
-            break
-        take(r, "fill")
-    if len(taken) != n:
-        raise ValueError(f"{len(taken)} tiles instead of {n}: change the cap or the number")
-    schema = f"{tile} {stats.schema[tile].dataType.simpleString()}, reason string"
-    return stats.join(stats.sparkSession.createDataFrame(list(taken.items()), schema), tile)
+    order, columns = [F.desc("score"), F.col("tile")], ["tile", "block", "environment", "score"]
+    named = dict(zip(columns, (tile, block, environment, score), strict=True))
+    rows = stats.select(*(F.col(c).alias(name) for name, c in named.items()), *(F.col(c).alias(f"__{i}") for i, c in enumerate(classes)))
+
+    def top(df: DataFrame, k: int, *per: str) -> DataFrame:
+        return df.withColumn("__r", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("__r") <= k)
+
+    pool = checkpointed(top(rows, cap, "block").select(*columns).union(top(rows, cap, "block", "environment").select(*columns)).distinct())
+    taken = top(pool, min(cap, 1), "block").select("tile", "block", "environment", F.lit("block").alias("reason"))
+    if classes and cap > 1:
+        most = rows.agg(*(F.min_by(F.struct("tile", "block", "environment"), F.when(F.col(f"__{i}") > 0, F.struct(-F.col(f"__{i}"), F.col("tile")))).alias(str(i)) for i in range(len(classes)))).first()
+        found = [(c, most[i]) for i, c in enumerate(classes) if most[i] is not None]
+        have = {r["tile"] for r in taken.where(F.col("tile").isin([r["tile"] for _, r in found])).collect()}
+        used: dict = {}  # of a block, beyond its best tile
+        more = []
+        for c, r in found:
+            if r["tile"] not in have and used.get(r["block"], 1) < cap:
+                have.add(r["tile"])
+                used[r["block"]] = used.get(r["block"], 1) + 1
+                more.append((*r, f"class {c}"))
+        taken = taken.unionByName(stats.sparkSession.createDataFrame(more, taken.schema))
+    taken = checkpointed(taken)
+    for name, quota in [*((e, max(1, round(n * share))) for e, share in shares.items()), (None, n)]:
+        own = F.lit(True) if name is None else F.coalesce(F.col("environment") == name, F.lit(False))
+        now = taken.agg(F.count("*").alias("all"), F.count_if(own).alias("own")).first()
+        room = min(quota - now["own"], n - now["all"])
+        if room > 0:
+            used_of = taken.groupBy(F.col("block").alias("__block")).agg(F.count("*").alias("__used"))
+            free = top(pool.where(own).join(taken.select("tile"), "tile", "left_anti"), cap, "block")
+            fits = free.join(used_of, F.col("block").eqNullSafe(F.col("__block")), "left").where(F.col("__r") <= cap - F.coalesce("__used", F.lit(0)))
+            reason = F.lit("fill" if name is None else "environment").alias("reason")
+            taken = checkpointed(taken.unionByName(fits.orderBy(*order).limit(room).select("tile", "block", "environment", reason)))
+    count = taken.count()
+    if count != n:
+        raise ValueError(f"{count} tiles instead of {n}: change the cap or the number")
+    return stats.join(taken.select(F.col("tile").alias(tile), "reason"), tile)
 
 
 def epoch_plan(tiles: DataFrame, weights: DataFrame, loop: int, ranks: int, seed: int, tile: str = "tile", weight: str = "weight", plain: bool = False) -> DataFrame:
@@ -337,20 +335,77 @@ def epoch_plan(tiles: DataFrame, weights: DataFrame, loop: int, ranks: int, seed
     return placed.unionByName(padding).select("slot", tile, (F.col("slot") % ranks).alias("rank"))
 
 
+#: Tiles that a task walks through when quotas are set.
+WALK = 50_000
+
+
+def _walk(caps: np.ndarray, k: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left after tiles of the given caps, of which the first has ``k - 1`` tiles after it, for each of several ``left`` to begin with; and the quotas of the first."""
+    left, quotas = left.copy(), np.zeros(len(caps), np.int64)
+    for i, c in enumerate(caps.tolist()):
+        take = np.minimum(left // (k - i), c)
+        quotas[i] = take[0]
+        left -= take
+    return left, quotas
+
+
+def tile_quotas(counts: DataFrame, most: int, by: str = "tile", cap: str = "cap") -> DataFrame:
+    """``counts`` with ``quota``: tiles in order get an even share of what is left of ``most`` (rounded down), at most their ``cap``; what a tile cannot use goes to
+    those after it. No number of tiles is too large.
+
+    Tiles are numbered and walked in runs of ``WALK``. What a run leaves depends on what it is given, but never falls when that grows, nor grows by
+    more than it: so each run tells what it leaves for a guess, for all numbers near it and for some far from it, and the driver chains the runs (one row each).
+    Where the chain meets a told number, or lies between two that leave no doubt, it is exact; elsewhere it is the next guess. The first
+    run that was guessed becomes exact every time, so this ends; guesses close in on the truth much sooner.
+    """
+    spark = counts.sparkSession
+    rows = checkpointed(in_order(counts, [by], F.lit(1)).drop("upto").withColumn("__run", F.floor(F.col("place") / WALK)))
+    n = rows.count()
+    runs = -(-n // WALK)
+    near = sorted({0, *(s * v for s in (-1, 1) for v in (*range(1, 33), *(2**j for j in range(6, 62))))})
+    given_to = lambda table: rows.join(F.broadcast(spark.createDataFrame(table, "__run long, __given long")), "__run").groupBy("__run")
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        given = np.array(sorted({min(max(int(frame["__given"].iloc[0]) + v, 0), most) for v in near}), np.int64)
+        left, _ = _walk(frame[cap].to_numpy(np.int64), n - int(frame.place.iloc[0]), given)
+        return pd.DataFrame({"run": [int(frame["__run"].iloc[0])], "given": [given], "left": [left]})
+
+    def quotas(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        _, quota = _walk(frame[cap].to_numpy(np.int64), n - int(frame.place.iloc[0]), frame["__given"].to_numpy(np.int64)[:1])
+        return pd.DataFrame({"place": frame.place, "quota": quota})
+
+    start, exact = [most - most * r // max(runs, 1) for r in range(runs)], 1
+    while exact < runs:
+        asked = range(exact - 1, runs)
+        known = {r["run"]: (r["given"], r["left"]) for r in given_to([(r, start[r]) for r in asked]).applyInPandas(told, "run long, given array<long>, left array<long>").collect()}
+        sure = True
+        for r in asked[:-1]:
+            given, left = known[r]
+            i = bisect.bisect_left(given, start[r])
+            if given[i] == start[r]:
+                start[r + 1] = left[i]
+            else:
+                rise, step = left[i] - left[i - 1], given[i] - given[i - 1]
+                sure = sure and rise in (0, step)
+                start[r + 1] = left[i - 1] + rise * (start[r] - given[i - 1]) // step
+            exact = r + 2 if sure else exact
+    return rows.join(given_to(list(enumerate(start))).applyInPandas(quotas, "place long, quota long"), "place").drop("place", "__run")
+
+
 def budget_sample(df: DataFrame, most: int, ratio: float, seed: int, by: str = "tile", keys: Sequence[str] = ("tile", "point_id")) -> DataFrame:
-    """At most ``most`` rows: tiles in order get an even share of what is left, at most ``ratio`` of their own rows; what a tile cannot use
-    goes to those after it. Quotas are sequential over one row per tile (checked); rows are then filtered by hashed rank."""
-    counts = df.groupBy(by).agg(F.count("*").alias("n")).orderBy(by).limit(1_000_001).collect()
-    if len(counts) > 1_000_000:
-        raise ValueError("more than a million tiles")
-    left, quotas = most, []
-    for i, r in enumerate(counts):
-        q = min(r["n"], int(r["n"] * ratio), left // (len(counts) - i)) if left > 0 else 0
-        left -= q
-        quotas.append((r[by], q))
-    table = df.sparkSession.createDataFrame(quotas, f"{by} {df.schema[by].dataType.simpleString()}, __q long")
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(unit_hash(seed, *keys), *keys)))
-    return ranked.join(table, by).where("__r <= __q").drop("__r", "__q")
+    """At most ``most`` rows: tiles in order get an even share of what is left, at most ``ratio`` of their own rows (``tile_quotas``); of a tile the rows
+    that come first in a hashed order. Rows are counted by buckets of the hash; only those of the bucket in which the quota ends are ranked."""
+    rows = df.withColumn("__b", F.floor(unit_hash(seed, *keys) * 1024).cast("int"))
+    counts = checkpointed(rows.groupBy(by, "__b").agg(F.count("*").alias("__c")))
+    totals = counts.groupBy(by).agg(F.sum("__c").alias("n"))
+    table = tile_quotas(totals.select(by, F.least(F.col("n"), F.floor(F.col("n") * F.lit(float(ratio)))).alias("cap")), most, by).select(by, "quota")
+    upto = F.sum("__c").over(Window.partitionBy(by).orderBy("__b"))
+    ends = counts.withColumn("__upto", upto).join(table, by).where((F.col("__upto") >= F.col("quota")) & (F.col("__upto") - F.col("__c") < F.col("quota")))
+    found = look_up(rows, checkpointed(ends.select(by, F.col("__b").alias("__end"), (F.col("quota") - F.col("__upto") + F.col("__c")).alias("__q"))), [by])
+    border = found.where("__b = __end").withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(unit_hash(seed, *keys), *keys))).where("__r <= __q")
+    return found.where("__b < __end").select(*df.columns).unionByName(border.select(*df.columns))
 
 
 def degrade_labels(

@@ -193,7 +193,27 @@ cl AS (SELECT tile, points, CASE WHEN p17 >= 5e-4 THEN 'rare_infrastructure' WHE
   {rnd('entropy + 0.1 * ln(1 + points) + 0.02 * span + 0.3 * (CAST(p2 > 0 AS INT) + CAST(p3 > 0 AS INT) + CAST(p6 > 0 AS INT) + CAST(p9 > 0 AS INT) + CAST(p17 > 0 AS INT)) + 20 * p17')} AS priority FROM cm)"""
 query("p26_tile_classes", lambda t: r6(_classed(t).select("tile", "environment", "scene_group", "priority"), "priority"), "SELECT tile, environment, scene_group, priority FROM cl", _CL)
 query("a21_scene_stats", lambda t: r6(features.scene_stats(_classed(t), "scene_group", regions=["n_1", "n_2"]), "ratio_n_1", "ratio_n_2"), f"SELECT scene_group, count(*) AS tiles, CAST(sum(points) AS BIGINT) AS points, CAST(sum(n1) AS BIGINT) AS n_1, CAST(sum(n2) AS BIGINT) AS n_2, {rnd('sum(n1) / sum(n1 + n2)')} AS ratio_n_1, {rnd('sum(n2) / sum(n1 + n2)')} AS ratio_n_2 FROM cl JOIN (SELECT tile, count(*) FILTER (classification = 1) AS n1, count(*) FILTER (classification = 2) AS n2 FROM pts GROUP BY 1) USING (tile) GROUP BY 1", _CL)
-query("t05_select_tiles", lambda t: sampling.select_tiles(_classed(t).withColumn("source_block", F.col("tile") % 10), 20, 3, classes=["n_1", "n_2"]).select("tile", "reason"))
+
+
+def _greedy(n: int, cap: int, classes: list[str]) -> tuple[str, str]:
+    """SQL of the greedy tile selection, a table per step, and the name of the last one."""
+    room, best = f"{cap} - (SELECT count(*) FROM %s u WHERE u.block = s.block)", "ORDER BY priority DESC, tile"
+    steps = [f"g0 AS MATERIALIZED (SELECT tile, block, environment, 'block' AS reason FROM cand QUALIFY row_number() OVER (PARTITION BY block {best}) = 1)"]
+    for c in classes:
+        was = f"g{len(steps) - 1}"
+        steps.append(f"g{len(steps)} AS MATERIALIZED (SELECT * FROM {was} UNION ALL SELECT tile, block, environment, 'class {c}' FROM (SELECT * FROM cand WHERE {c} > 0 ORDER BY {c} DESC, tile LIMIT 1) s WHERE tile NOT IN (SELECT tile FROM {was}) AND {room % was} > 0)")
+    for e, quota in [*((e, max(1, round(n * share))) for e, share in sampling.ENVIRONMENT_SHARES.items()), (None, n)]:
+        was, own = f"g{len(steps) - 1}", "true" if e is None else f"environment = '{e}'"
+        bound = f"greatest(0, least({quota} - (SELECT count(*) FROM {was} WHERE {own}), {n} - (SELECT count(*) FROM {was})))"
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY block {best}) AS r FROM cand WHERE {own} AND tile NOT IN (SELECT tile FROM {was})"
+        fits = f"SELECT tile, block, environment, row_number() OVER ({best}) AS place FROM ({ranked}) s WHERE r <= {room % was}"
+        steps.append(f"g{len(steps)} AS MATERIALIZED (SELECT * FROM {was} UNION ALL SELECT tile, block, environment, '{'fill' if e is None else 'environment'}' FROM ({fits}) WHERE place <= {bound})")
+    return ", ".join(steps), f"g{len(steps) - 1}"
+
+
+_STEPS, _LAST = _greedy(20, 3, ["n_1", "n_2"])
+_CAND = "cand AS MATERIALIZED (SELECT tile, tile % 10 AS block, environment, priority, n_1, n_2 FROM cl JOIN (SELECT tile, count(*) FILTER (classification = 1) AS n_1, count(*) FILTER (classification = 2) AS n_2 FROM pts GROUP BY 1) USING (tile))"
+query("t05_select_tiles", lambda t: sampling.select_tiles(r6(_classed(t), "priority").withColumn("source_block", F.col("tile") % 10), 20, 3, classes=["n_1", "n_2"]).select("tile", "reason"), f"SELECT tile, reason FROM {_LAST}", f"{_CL}, {_CAND}, {_STEPS}")
 query("a57_dataset_scale", lambda t: r6(features.dataset_scale(t.pts, ["source_block"]), "area", "density").withColumn("classes", F.col("classes").cast("long")), f"SELECT source_block, CAST(sum(n) AS BIGINT) AS points, count(*) AS tiles, {rnd('sum(a)')} AS area, max(k) AS classes, {rnd('sum(n) / sum(a)')} AS density FROM (SELECT source_block, tile, count(*) AS n, (max(x) - min(x)) * (max(y) - min(y)) AS a FROM pts GROUP BY 1, 2) JOIN (SELECT source_block, count(DISTINCT classification) AS k FROM pts GROUP BY 1) USING (source_block) GROUP BY 1")
 query("a56_curve_auc", lambda t: r6(sampling.curve_auc(t.pts.groupBy((F.col("tile") % 4).alias("method"), (F.col("return_number") / 4.0).alias("fraction")).agg(F.avg("x").alias("miou"))), "auc"), f"SELECT method, {rnd('auc')} AS auc, CAST(rank() OVER (ORDER BY auc DESC) AS INT) AS place FROM (SELECT method, sum((lx - px) * (m + pm) / 2) / (max(lx) - min(lx)) AS auc FROM (SELECT *, lag(lx) OVER w AS px, lag(m) OVER w AS pm FROM (SELECT tile % 4 AS method, log10(return_number / 4.0::DOUBLE) AS lx, avg(x) AS m FROM pts GROUP BY 1, 2) WINDOW w AS (PARTITION BY method ORDER BY lx)) GROUP BY 1)")
 query("t19_rank_by", lambda t: sampling.rank_by(t.pts.groupBy("source_block", "tile").agg(F.count("*").alias("n")), "n", ["source_block"]), "SELECT source_block, tile, count(*) AS n, CAST(rank() OVER (PARTITION BY source_block ORDER BY count(*) DESC) AS INT) AS place FROM pts GROUP BY 1, 2")

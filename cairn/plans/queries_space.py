@@ -274,7 +274,9 @@ query(
     ek AS (SELECT tile, 'd' || s AS k FROM dr JOIN ts ON u >= lo AND u < hi UNION ALL SELECT tile, 'e' || tile FROM tw),
     ep AS (SELECT row_number() OVER (ORDER BY {U('1/order', 'k')}, k) - 1 AS slot, tile, count(*) OVER () AS n FROM ek)""",
 )
-query("t11_budget_sample", lambda t: sampling.budget_sample(t.pts, 2000, 0.5, 2).groupBy("tile").agg(F.count("*").alias("n")))
+_QUOTAS = """c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tile) AS i, count(*) OVER () AS k FROM (SELECT tile, CAST(floor(count(*) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS cap FROM pts GROUP BY 1)),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(2000 AS BIGINT) AS rest, CAST(0 AS BIGINT) AS quota UNION ALL SELECT c.i, w.rest - least(c.cap, w.rest // (c.k - w.i)), least(c.cap, w.rest // (c.k - w.i)) FROM w JOIN c ON c.i = w.i + 1)"""
+query("t11_budget_sample", lambda t: sampling.budget_sample(t.pts, 2000, 0.5, 2).select(*KEY), f"SELECT tile, point_id FROM (SELECT tile, point_id, quota, row_number() OVER (PARTITION BY tile ORDER BY {U(2, 'tile', 'point_id')}, tile, point_id) AS r FROM pts JOIN c USING (tile) JOIN w USING (i)) WHERE r <= quota", _QUOTAS)
 _DL = f"""dl AS (SELECT *, CASE WHEN classification IN (1, 2, 3) AND (orig_idx % 8) / 8::DOUBLE < 0.75 AND {U('3/steep', 'tile', 'point_id')} < 0.4::DOUBLE OR classification IN (4, 7) AND {U('3/rare', 'tile', 'point_id')} < 0.4::DOUBLE THEN 5 ELSE classification END AS l FROM pts),
 de AS (SELECT a.tile, a.point_id FROM dl a JOIN dl b USING (tile) WHERE a.l <> 5 AND b.l <> 5 AND {D2} <= 64 GROUP BY 1, 2 HAVING min(b.l) <> max(b.l))"""
 query("t12_degrade_labels", lambda t: sampling.degrade_labels(t.pts.withColumn("nz", (F.col("orig_idx") % 8) / 8), 3, (1, 2, 3), (4, 7), radius=8.0).select(*KEY, "classification"), f"SELECT tile, point_id, CASE WHEN de.point_id IS NOT NULL AND {U('3/edge', 'tile', 'point_id')} < 0.15::DOUBLE THEN 5 ELSE l END AS classification FROM dl LEFT JOIN de USING (tile, point_id)", _DL)

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from cairn.functions.scalar import unit_hash
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write an iteration's table to the cluster's shared folder (``spark.checkpoint.dir``) and read it back."""
-    spark: SparkSession = df.sparkSession
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -25,9 +24,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write an iteration's table to the cluster's shared folder and read it back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Reference points of a leaf, and strips (of a cloud) or leaves (of a strip) at most; what is denser is split by id.

@@ -11,6 +11,7 @@ from cairn.functions.scalar import return_role
 from cairn.operators import augment, features, frames, geometry, grid, neighbors, raster, sampling, visibility
 from cairn.plans.queries_labels import KEY, ROLE, U, r6
 from cairn.plans.registry import Tables, query, rnd
+from cairn.sources import sinks
 
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)"
 
@@ -336,3 +337,16 @@ query("p33_shift", lambda t: r6(augment.shift(t.pts, 1), "x", "y").select(*KEY,
 query("p34_augment_color", lambda t: r6(augment.augment_color(t.pts, 1, [("auto_contrast", {"p": 1.0}), ("translation", {}), ("jitter", {}), ("greyscale", {}), ("hue_saturation", {}), ("brightness_contrast", {}), ("drop", {})]), "r", "g", "b", digits=4).select(*KEY, "r", "g", "b"))
 query("p35_drop_attr", lambda t: augment.drop_attr(t.pts, ["intensity"], 0.3, 5).select(*KEY, "intensity"), f"SELECT tile, point_id, CASE WHEN k <= floor(n * 0.3::DOUBLE) THEN 0 ELSE intensity END AS intensity FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY {U('5/attr', 'tile', 'point_id')}, point_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM pts)")
 query("p36_elastic", lambda t: r6(augment.elastic(t.pts, 20.0, 0.5, 3), "x", "y", "z", digits=4).select(*KEY, "x", "y", "z"))
+
+
+def _stored(t: Tables) -> DataFrame:
+    """All points through a tile store, and of its boxes what two scans return: a box, and the tiles of one source."""
+    path = neighbors.shared_path(t.spark, "tiles")
+    sinks.write_tiles(t.pts, path, "source_block", "tile", rows=100_000)
+    tiles = t.spark.read.parquet(f"{path}/tiles")
+    read = lambda what, **of: sinks.read_tiles(t.spark, path, source="source_block", tile="tile", **of).groupBy("source_block", "tile").agg(F.count("*").alias(what))
+    keys = ["source_block", "tile"]
+    return tiles.join(read("in_box", box=(10.0, 20.0, 40.5, 60.0)), keys, "left").join(read("listed", tiles=tiles.where("source_block = 3")), keys, "left").fillna(0, ["in_box", "listed"])
+
+
+query("s13_tile_store", _stored, "SELECT source_block, tile, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n, any_value(c) AS source_point_count, count(*) FILTER (x BETWEEN 10 AND 40.5 AND y BETWEEN 20 AND 60) AS in_box, count(*) FILTER (source_block = 3) AS listed FROM pts JOIN (SELECT source_block, count(DISTINCT orig_idx) AS c FROM pts GROUP BY 1) USING (source_block) GROUP BY 1, 2")

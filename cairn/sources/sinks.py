@@ -4,20 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import map_values
+from cairn.functions.scalar import map_values, zorder
 from cairn.operators import grid, sampling
+from cairn.operators.neighbors import checkpointed
 
 
-def write_tiles(pts: DataFrame, path: str, source: str = "source", tile: str = "tile_no") -> None:
-    """Points partitioned by source and tile (``orig_idx`` and all extra columns kept), and a table of the tiles' core boxes and
-    source counts. A tile's rows are gathered before writing, so it has one file."""
-    boxes = grid.core_boxes(pts, [source, tile])
-    totals = pts.groupBy(source).agg(F.count_distinct("orig_idx").alias("source_point_count"))
-    pts.repartition(source, tile).write.mode("overwrite").partitionBy(source, tile).parquet(f"{path}/points")
-    boxes.join(totals, source).write.mode("overwrite").parquet(f"{path}/tiles")
+def write_tiles(pts: DataFrame, path: str, source: str = "source", tile: str = "tile_no", rows: int = 4_000_000, cell: float = 1.0) -> None:
+    """Points (``orig_idx`` and all extra columns kept) and tables of the ``tiles`` (core boxes, counts, source counts) and ``ranges``.
+
+    Files follow rows, not tiles: points are dealt by ranges of source and place along a space-filling curve over cells, about ``rows`` to a range, and a range
+    is a folder with one file, sorted along the curve, so that its row groups have narrow boxes. Points of one cell may be split. ``ranges`` has a row
+    per range and tile with its box and count: what ``read_tiles`` looks up. Points without a place are stored, too.
+    """
+    if "file_range" in pts.columns:
+        raise ValueError("a column is named file_range")
+    spark = pts.sparkSession
+    at = lambda c: F.floor(F.col(c) / F.lit(float(cell))).cast("long")
+    coded = pts.withColumn("__code", F.coalesce(zorder(at("x"), at("y"), F.lit(0)), F.lit(-1).cast("long"))).withColumn("__salt", F.xxhash64("orig_idx"))
+    dealt = coded.repartitionByRange(max(1, -(-pts.count() // rows)), source, "__code", "__salt").withColumn("file_range", F.spark_partition_id())
+    dealt.sortWithinPartitions("file_range", source, "__code").drop("__code", "__salt").write.mode("overwrite").partitionBy("file_range").parquet(f"{path}/points")
+    # With no rows at all nothing is written, not even a schema.
+    stored = spark.read.schema(f"{pts._jdf.schema().toDDL()}, file_range INT").parquet(f"{path}/points")
+    grid.core_boxes(stored, ["file_range", source, tile]).write.mode("overwrite").parquet(f"{path}/ranges")
+    box = [f(c).alias(c) for c, f in (("min_x", F.min), ("max_x", F.max), ("min_y", F.min), ("max_y", F.max), ("n", F.sum))]
+    totals = stored.groupBy(source).agg(F.count_distinct("orig_idx").alias("source_point_count"))
+    spark.read.parquet(f"{path}/ranges").groupBy(source, tile).agg(*box).join(totals, source).write.mode("overwrite").parquet(f"{path}/tiles")
+
+
+def read_tiles(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, tiles: DataFrame | None = None, source: str = "source", tile: str = "tile_no") -> DataFrame:
+    """Points of a store, all or those in ``box`` (least x and y, greatest x and y, borders included) and of ``tiles`` (source and tile).
+
+    The ranges that can hold such points are looked up in the catalogue and prune the folders when the query runs; only their files are read. Within a file the
+    box goes down to the row groups.
+    """
+    points, ranges = spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/ranges")
+    if box is not None:
+        x0, y0, x1, y1 = (F.lit(float(v)) for v in box)
+        ranges = ranges.where((F.col("max_x") >= x0) & (F.col("min_x") <= x1) & (F.col("max_y") >= y0) & (F.col("min_y") <= y1))
+        points = points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    if tiles is not None:
+        ranges = checkpointed(ranges.join(tiles.select(source, tile), [source, tile], "left_semi").select("file_range").distinct())
+        points = points.join(tiles.select(source, tile), [source, tile], "left_semi")
+    if box is not None or tiles is not None:
+        # A number per range of millions of points. The optimizer prunes folders only by a side that has a filter of its own.
+        wanted = ranges.where("file_range >= 0").select("file_range").distinct()
+        points = points.join(F.broadcast(wanted), "file_range", "left_semi")
+    return points.drop("file_range")
 
 
 def join_predictions(pts: DataFrame, preds: DataFrame, keys: Sequence[str] = ("tile", "point_id"), cols: dict[str, str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import inside, l2norm, threshold_region, to_patch
+from cairn.operators.neighbors import checkpointed
 
 
 def bbox_join(a: DataFrame, b: DataFrame, by: list[str] = (), size: float | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def local_spacing(pts: DataFrame, returns: str | None = "return_number", by: str
     box = box.withColumn("__side", side).withColumn("__bw", F.col("__w") / F.col("__side")).withColumn("__bh", F.col("__h") / F.col("__side")).withColumn("__flat", flat)
     spot = lambda c, o, w: F.when(F.col("__flat"), 0).otherwise(F.least(F.floor((F.col(c) - F.col(o)) / F.col(w)), F.col("__side") - 1))
     placed = pts.join(box, by).withColumn("__c", spot("x", "__x", "__bw")).withColumn("__r", spot("y", "__y", "__bh"))
-    bins = placed.groupBy(by, "__c", "__r").agg(F.sum((counted | ~F.col("__any")).cast("long")).alias("__k"))
+    bins = checkpointed(placed.groupBy(by, "__c", "__r").agg(F.sum((counted | ~F.col("__any")).cast("long")).alias("__k")))  # a row per some 256 points
     middle = bins.where("__k > 0").groupBy(by).agg(F.percentile("__k", 0.5).alias("__m"))
     own = F.when(F.col("__flat"), 1.0).otherwise(F.sqrt(F.col("__bw") * F.col("__bh") / F.when(F.col("__k") > 0, F.col("__k")).otherwise(F.col("__m"))))
     spaced = bins.join(middle, by).join(box.select(by, "__bw", "__bh", "__flat"), by).select(by, "__c", "__r", "__k", own.alias("spacing"))
@@ -123,8 +124,10 @@ def surface_visibility(
     spaced = spaced.withColumn("__rc", F.least(reach, F.lit(float(max_radius_cells))).cast("int"))
     shifts = ((0.0, 0.0),) if offsets == 1 else ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5), (0.5, 0.5))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("ox"), F.lit(j).alias("oy")) for k, (i, j) in enumerate(shifts))))
-    placed = spaced.select(by, id_col, "z", "__cell", "__rc", "__x", "__y", "x", "y", each.alias("s"))
-    placed = placed.select(by, id_col, "z", "__cell", "__rc", F.col("s.k").alias("k"), F.floor((F.col("x") - F.col("__x")) / F.col("__cell") + F.col("s.ox")).alias("cx"), F.floor((F.col("y") - F.col("__y")) / F.col("__cell") + F.col("s.oy")).alias("cy"))
+    # Written once: cells and scores both start from here.
+    kept = checkpointed(spaced.select(by, id_col, "z", "__cell", "__rc", ((F.col("x") - F.col("__x")) / F.col("__cell")).alias("__gx"), ((F.col("y") - F.col("__y")) / F.col("__cell")).alias("__gy")))
+    placed = kept.select("*", each.alias("s"))
+    placed = placed.select(by, id_col, "z", "__cell", "__rc", F.col("s.k").alias("k"), F.floor(F.col("__gx") + F.col("s.ox")).alias("cx"), F.floor(F.col("__gy") + F.col("s.oy")).alias("cy"))
     # Cells first: the splat then moves one row per occupied cell and radius, not per point.
     tops = placed.groupBy(by, "k", "cx", "cy", "__rc").agg(F.max("z").alias("top"), F.first("__cell").alias("__cell"))
     m = max_radius_cells

@@ -350,48 +350,6 @@ def cluster(pts: DataFrame, radius: float, least: int = 1, label: str = "classif
     return look_up(checkpointed(found), sizes, [by, "component"]).where("size IS NOT NULL")
 
 
-def superpoints(pts: DataFrame, edges: DataFrame, threshold: float = 0.1, least: int = 20, most: int = 10_000, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """Graph segmentation ``(by, point_id, segment)``: edges by ascending normal difference (one less the product of the normals, squared where
-    the surface is convex: the second normal points away from the first point) join two segments when the weight is at most
-    each one's largest inner weight plus ``threshold / size``; small segments then join over their cheapest edge, within ``most``.
-
-    Weights are SQL; the union is sequential by definition and runs per tile, tiles in parallel. ``pts`` has nx, ny, nz.
-    """
-    end = lambda key, p: pts.select(by, F.col(id_col).alias(key), *(F.col(f"n{c}").alias(f"{p}n{c}") for c in "xyz"), *(F.col(c).alias(f"{p}{c}") for c in "xyz"))
-    joined = edges.where("src < dst").select(by, "src", "dst").distinct().join(end("src", "a"), [by, "src"]).join(end("dst", "b"), [by, "dst"])
-    turn = 1 - sum((F.col(f"an{c}") * F.col(f"bn{c}") for c in "xyz"), F.lit(0.0))
-    away = sum((F.col(f"bn{c}") * (F.col(f"b{c}") - F.col(f"a{c}")) for c in "xyz"), F.lit(0.0))
-    weights = joined.select(by, "src", "dst", F.greatest(F.when(away > 0, turn * turn).otherwise(turn), F.lit(0.0)).alias("w"))
-    rows = weights.unionByName(pts.select(by, F.col(id_col).alias("src"), F.col(id_col).alias("dst"), F.lit(-1.0).alias("w")))
-    kind = pts.schema[by].dataType.simpleString()
-
-    def segment(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(frame.src[frame.w < 0].unique())
-        links = frame[frame.w >= 0].sort_values(["w", "src", "dst"])
-        s, d, w = np.searchsorted(ids, links.src), np.searchsorted(ids, links.dst), links.w.to_numpy()
-        parent, size, inner = list(range(len(ids))), [1] * len(ids), [0.0] * len(ids)
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        for final in (False, True):
-            for i, j, x in zip(s.tolist(), d.tolist(), w.tolist(), strict=True):
-                i, j = root(i), root(j)
-                if i == j or size[i] + size[j] > most:
-                    continue
-                small = min(size[i], size[j]) < least
-                if small if final else x <= min(inner[i] + threshold / size[i], inner[j] + threshold / size[j]):
-                    i, j = min(i, j), max(i, j)
-                    parent[j] = i
-                    size[i] += size[j]
-                    inner[i] = max(x, inner[i], inner[j])
-        return pd.DataFrame({by: frame[by].iloc[0], id_col: ids, "segment": ids[[root(i) for i in range(len(ids))]]})
-
-    return rows.groupBy(by).applyInPandas(segment, f"{by} {kind}, {id_col} long, segment long")
-
-
 def fps(pts: DataFrame, m: int, by: str = "tile", id_col: str = "point_id", order: str | None = None) -> DataFrame:
     """Farthest-point sampling ``(by, point_id, rank)`` from the first point (lowest id): sequential within a cloud, clouds in
     parallel. Thin a huge cloud by voxel first. Ties go to the lower id."""

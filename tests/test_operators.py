@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import hilbert, scalar
-from cairn.operators import bootstrap, features, frames, geometry, grid, labels, merge, metrics, neighbors, sampling, visibility
+from cairn.operators import bootstrap, features, frames, geometry, grid, labels, merge, metrics, neighbors, sampling, segments, visibility
 from cairn.sources import sinks
 
 
@@ -202,7 +202,7 @@ def test_components_and_superpoints(spark):
     pts = cloud(spark, xyz, classification=1, nx=0.0, ny=0.0, nz=1.0)
     found = neighbors.cluster(pts, 1.0, 8).toPandas()
     assert len(found) == 40 and set(found.component) == {0}
-    seg = neighbors.superpoints(pts, neighbors.radius_edges(pts, pts, 1.0), least=5).toPandas()
+    seg = segments.superpoints(pts, neighbors.radius_edges(pts, pts, 1.0), least=5).toPandas()
     assert seg.segment.nunique() == 2
 
 

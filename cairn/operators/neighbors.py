@@ -1,4 +1,4 @@
-"""Neighbourhood joins over leaves of equal counts: kNN, balls, radius graphs, interpolation, components, sampling."""
+"""Neighbourhood joins over leaves of equal counts: kNN, balls, radius graphs, interpolation, components."""
 
 from __future__ import annotations
 
@@ -53,14 +53,15 @@ class _Leaves:
     """A cloud's plane cut into leaves of about ``LEAF`` reference points: strips along the first axis, each cut along the second. The cuts are
     written out, so a task that runs again finds the same leaves. A leaf of many more points (copies of a place) is split by id."""
 
-    def __init__(self, ref: DataFrame, by: str, id_col: str, dims: tuple[str, ...]) -> None:
+    def __init__(self, ref: DataFrame, by: str, id_col: str, dims: tuple[str, ...], leaf: int | None = None) -> None:
+        leaf = leaf or LEAF
         self.by, self.id_col, self.dims, self.key = by, id_col, dims, [by, "__strip", "__part", "__sub"]
         a, b = dims[:2]
         points = self.points(ref)
-        self.clouds = checkpointed(points.groupBy(by).agg(_cuts(a, F.sqrt(F.count("*") / F.lit(float(LEAF)))).alias("__xs")))
+        self.clouds = checkpointed(points.groupBy(by).agg(_cuts(a, F.sqrt(F.count("*") / F.lit(float(leaf)))).alias("__xs")))
         stripped = points.join(self.clouds, by).withColumn("__strip", _place("__xs", F.col(a))).drop("__xs")
-        cuts = checkpointed(stripped.groupBy(by, "__strip").agg(_cuts(b, F.count("*") / F.lit(float(LEAF))).alias("__ys")))
-        counts = stripped.join(cuts, [by, "__strip"]).groupBy(by, "__strip", _place("__ys", F.col(b)).alias("__part")).agg(F.ceil(F.count("*") / F.lit(4.0 * LEAF)).cast("int").alias("n"))
+        cuts = checkpointed(stripped.groupBy(by, "__strip").agg(_cuts(b, F.count("*") / F.lit(float(leaf))).alias("__ys")))
+        counts = stripped.join(cuts, [by, "__strip"]).groupBy(by, "__strip", _place("__ys", F.col(b)).alias("__part")).agg(F.ceil(F.count("*") / F.lit(4.0 * leaf)).cast("int").alias("n"))
         split = counts.where("n > 1").groupBy(by, "__strip").agg(F.map_from_entries(F.collect_list(F.struct("__part", "n"))).alias("__split"))
         self.strips = checkpointed(cuts.join(split, [by, "__strip"], "left"))
 
@@ -348,29 +349,3 @@ def cluster(pts: DataFrame, radius: float, least: int = 1, label: str = "classif
     extra = [score.alias("score")] if score is not None else []
     sizes = found.join(pts, [by, id_col]).groupBy(by, "component").agg(F.count("*").alias("size"), *extra).where(F.col("size") >= least)
     return look_up(checkpointed(found), sizes, [by, "component"]).where("size IS NOT NULL")
-
-
-def fps(pts: DataFrame, m: int, by: str = "tile", id_col: str = "point_id", order: str | None = None) -> DataFrame:
-    """Farthest-point sampling ``(by, point_id, rank)`` from the first point (lowest id): sequential within a cloud, clouds in
-    parallel. Thin a huge cloud by voxel first. Ties go to the lower id."""
-    kind = pts.schema[by].dataType.simpleString()
-
-    def sample(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(id_col)
-        xyz, ids = frame[["x", "y", "z"]].to_numpy(), frame[id_col].to_numpy()
-        take, far = [0], np.full(len(ids), np.inf)
-        while len(take) < min(m, len(ids)):
-            far = np.minimum(far, ((xyz - xyz[take[-1]]) ** 2).sum(axis=1))
-            far[take[-1]] = -1.0
-            take.append(int(far.argmax()))
-        return pd.DataFrame({by: frame[by].iloc[0], id_col: ids[take], "rank": np.arange(len(take))})
-
-    return pts.select(by, id_col, "x", "y", "z").groupBy(by).applyInPandas(sample, f"{by} {kind}, {id_col} long, rank int")
-
-
-def patches(pts: DataFrame, count: int, size: int, by: str = "tile", id_col: str = "point_id") -> DataFrame:
-    """``count`` patches per cloud: farthest-point centres with their ``size`` nearest points."""
-    centers = fps(pts, count, by, id_col)
-    near = knn(pts.join(centers.select(by, id_col), [by, id_col]), pts, size, by, id_col)
-    return near.join(centers.select(by, F.col(id_col).alias("src"), F.col("rank").alias("patch")), [by, "src"])
-

@@ -99,6 +99,8 @@ def _rounds(nodes: DataFrame, links: DataFrame, by: str, small: bool, threshold:
         done.append(checkpointed(own.select(columns).unionByName(dealt.select(columns)).groupBy(by, "cell").applyInPandas(_settle(by, small, threshold, least, most), out)))
         # A segment that is not open has settled all of its links.
         opened = done[-1].where("open")
+        if opened.isEmpty():
+            break
         to = lambda e: opened.select(by, F.col("node").alias(e), F.col("segment").alias(f"to_{e}"))  # noqa: B023, E731
         ends = links.join(to("a"), [by, "a"]).join(to("b"), [by, "b"])
         links = checkpointed(_first(ends.select(by, F.col("to_a").alias("a"), F.col("to_b").alias("b"), "w", "src", "dst"), by))
@@ -115,8 +117,7 @@ def _named(done: list[DataFrame], by: str) -> DataFrame:
         drawn = drawn.select(by, "node", "segment")
         if names is not None:
             later = names.select(by, F.col("node").alias("segment"), F.col("segment").alias("__to"))
-            drawn = look_up(drawn, later, [by, "segment"]).select(by, "node", F.coalesce("__to", "segment").alias("segment"))
-            drawn = checkpointed(drawn)
+            drawn = checkpointed(look_up(drawn, later, [by, "segment"]).select(by, "node", F.coalesce("__to", "segment").alias("segment")))
         names = drawn
     return names
 
@@ -141,7 +142,7 @@ def superpoints(pts: DataFrame, edges: DataFrame, threshold: float = 0.1, least:
     # No segment can accept more than threshold * (1 + 1/2 + ... + 1/most).
     light = weights.where(F.col("w") <= threshold * (1 + math.log(max(most, 1))) * (1 + 1e-9))
     first = _rounds(checkpointed(placed), _first(light.select(by, F.col("src").alias("a"), F.col("dst").alias("b"), "w", "src", "dst"), by), by, False, threshold, least, most)
-    names = checkpointed(_named(first, by))
+    names = _named(first, by)
     sizes = names.groupBy(by, F.col("segment").alias("node")).agg(F.count("*").alias("size"))
     nodes = checkpointed(sizes.join(first[0].select(by, "node", *_CELL), [by, "node"]).withColumn("inner", F.lit(0.0)))
     to = lambda key, e: names.join(sizes.withColumnRenamed("node", "segment"), [by, "segment"]).select(by, F.col("node").alias(key), F.col("segment").alias(e), F.col("size").alias(f"n_{e}"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import return_role
-from cairn.operators import augment, features, frames, geometry, grid, neighbors, raster, sampling, segments, visibility
+from cairn.operators import augment, features, frames, geometry, grid, neighbors, raster, sampling, segments, spread, visibility
 from cairn.plans.queries_labels import KEY, ROLE, U, r6
 from cairn.plans.registry import Tables, query, rnd
 from cairn.sources import sinks
@@ -55,8 +55,8 @@ query("j15_covered", lambda t: visibility.covered(*_cover(t), size=8.0), "SELECT
 query("j26_check_catalog", lambda t: visibility.check_catalog(t("part").select(F.format_string("%08d", "p_partkey").alias("path"), F.col("p_brand").alias("dtype"), F.col("p_size").alias("bands")), ["dtype", "bands"]), "SELECT path, c AS \"column\", v AS value, e AS expected FROM (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS path, unnest([{'c': 'dtype', 'v': p_brand, 'e': b0}, {'c': 'bands', 'v': CAST(p_size AS VARCHAR), 'e': CAST(s0 AS VARCHAR)}], recursive := true) FROM part, (SELECT arg_min(p_brand, p_partkey) AS b0, arg_min(p_size, p_partkey) AS s0 FROM part)) WHERE v <> e")
 query("a53_cluster", lambda t: neighbors.cluster(t.pts, 10.0, 2).select(*KEY, "component", "size"), "SELECT tile, point_id, component, count(*) OVER (PARTITION BY tile, component) AS size FROM (SELECT tile, point_id, min(r) AS component FROM rch GROUP BY 1, 2) QUALIFY count(*) OVER (PARTITION BY tile, component) >= 2", f"ed AS (SELECT a.tile, a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON a.tile = b.tile AND a.classification = b.classification WHERE {D2} <= 100), rch AS (SELECT tile, point_id, point_id AS r FROM pts UNION SELECT rch.tile, ed.b, rch.r FROM rch JOIN ed ON rch.tile = ed.tile AND rch.point_id = ed.a)")
 query("a54_superpoints", lambda t: segments.superpoints(_with_normals(t), neighbors.knn(t.pts, t.pts, 6).select("tile", "src", "dst"), least=5, most=200))
-query("t14_fps", lambda t: neighbors.fps(t.pts, 16))
-query("t14_patches", lambda t: r6(neighbors.patches(t.pts, 4, 8), "dist"))
+query("t14_fps", lambda t: spread.fps(t.pts, 16))
+query("t14_patches", lambda t: r6(spread.patches(t.pts, 4, 8), "dist"))
 
 
 def _with_normals(t: Tables) -> DataFrame:

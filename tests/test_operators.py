@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import hilbert, scalar
-from cairn.operators import bootstrap, features, frames, geometry, grid, labels, merge, metrics, neighbors, sampling, segments, visibility
+from cairn.operators import bootstrap, features, frames, geometry, grid, labels, merge, metrics, neighbors, sampling, segments, spread, visibility
 from cairn.sources import sinks
 
 
@@ -207,7 +207,7 @@ def test_components_and_superpoints(spark):
 
 
 def test_fps_spreads(spark):
-    got = neighbors.fps(cloud(spark, [(0, 0, 0), (1, 0, 0), (10, 0, 0), (5, 0, 0)]), 3).toPandas().sort_values("rank")
+    got = spread.fps(cloud(spark, [(0, 0, 0), (1, 0, 0), (10, 0, 0), (5, 0, 0)]), 3).toPandas().sort_values("rank")
     assert got.point_id.tolist() == [0, 2, 3]
 
 

@@ -55,8 +55,19 @@ query("j15_covered", lambda t: visibility.covered(*_cover(t), size=8.0), "SELECT
 query("j26_check_catalog", lambda t: visibility.check_catalog(t("part").select(F.format_string("%08d", "p_partkey").alias("path"), F.col("p_brand").alias("dtype"), F.col("p_size").alias("bands")), ["dtype", "bands"]), "SELECT path, c AS \"column\", v AS value, e AS expected FROM (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS path, unnest([{'c': 'dtype', 'v': p_brand, 'e': b0}, {'c': 'bands', 'v': CAST(p_size AS VARCHAR), 'e': CAST(s0 AS VARCHAR)}], recursive := true) FROM part, (SELECT arg_min(p_brand, p_partkey) AS b0, arg_min(p_size, p_partkey) AS s0 FROM part)) WHERE v <> e")
 query("a53_cluster", lambda t: neighbors.cluster(t.pts, 10.0, 2).select(*KEY, "component", "size"), "SELECT tile, point_id, component, count(*) OVER (PARTITION BY tile, component) AS size FROM (SELECT tile, point_id, min(r) AS component FROM rch GROUP BY 1, 2) QUALIFY count(*) OVER (PARTITION BY tile, component) >= 2", f"ed AS (SELECT a.tile, a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON a.tile = b.tile AND a.classification = b.classification WHERE {D2} <= 100), rch AS (SELECT tile, point_id, point_id AS r FROM pts UNION SELECT rch.tile, ed.b, rch.r FROM rch JOIN ed ON rch.tile = ed.tile AND rch.point_id = ed.a)")
 query("a54_superpoints", lambda t: segments.superpoints(_with_normals(t), neighbors.knn(t.pts, t.pts, 6).select("tile", "src", "dst"), least=5, most=200))
-query("t14_fps", lambda t: spread.fps(t.pts, 16))
-query("t14_patches", lambda t: r6(spread.patches(t.pts, 4, 8), "dist"))
+
+
+def _far(m: int) -> str:
+    """CTE ``far`` in SQL: per step the squared distance of each point to those taken (below 0: taken) and, as ``hit``, the point taken."""
+    away = " + ".join(f"({c} - max({c}) FILTER (WHERE hit) OVER w) * ({c} - max({c}) FILTER (WHERE hit) OVER w)" for c in "xyz")
+    step = f"SELECT tile, point_id, x, y, z, CASE WHEN hit OR d < 0 THEN -1 ELSE least(d, {away}) END AS d, step FROM far WHERE step < {m - 1} WINDOW w AS (PARTITION BY tile)"
+    return f"""far AS (SELECT tile, point_id, x, y, z, CAST('inf' AS DOUBLE) AS d, point_id = min(point_id) OVER (PARTITION BY tile) AS hit, 0 AS step FROM pts
+      UNION ALL SELECT tile, point_id, x, y, z, d, d >= 0 AND row_number() OVER (PARTITION BY tile ORDER BY d DESC, point_id) = 1, step + 1 FROM ({step}))"""
+
+
+query("t14_fps", lambda t: spread.fps(t.pts, 16), "SELECT tile, point_id, step AS rank FROM far WHERE hit", _far(16))
+query("t14_patches", lambda t: r6(spread.patches(t.pts, 4, 8), "dist"), f"SELECT tile, src, dst, CAST(rank AS INT) AS rank, {rnd('sqrt(d2)')} AS dist, patch FROM ne WHERE rank <= 8", _far(4) + """, ne AS (SELECT tile, src, dst, d2, patch, row_number() OVER (PARTITION BY tile, src ORDER BY d2, dst) AS rank FROM
+      (SELECT a.tile, a.point_id AS src, b.point_id AS dst, a.step AS patch, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) AS d2 FROM far a JOIN pts b ON a.tile = b.tile WHERE a.hit))""")
 
 
 def _with_normals(t: Tables) -> DataFrame:

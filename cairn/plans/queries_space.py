@@ -203,10 +203,7 @@ query("j24_images_for_view", lambda t: visibility.images_for_view(TOK(t).withCol
 
 def _overlaps(t: Tables) -> DataFrame:
     views = t.pts.select((F.col("tile") % 10).alias("scene"), F.col("tile").alias("view"), (F.col("point_id") % 400).alias("cell")).distinct()
-    sizes = views.groupBy("scene", "view").agg(F.count("*").alias("n"))
-    both = views.alias("a").join(views.alias("b"), ["scene", "cell"]).where("a.view < b.view").groupBy("scene", F.col("a.view").alias("first"), F.col("b.view").alias("second")).agg(F.count("*").alias("both"))
-    out = both.join(sizes.select("scene", F.col("view").alias("first"), F.col("n").alias("n1")), ["scene", "first"]).join(sizes.select("scene", F.col("view").alias("second"), F.col("n").alias("n2")), ["scene", "second"])
-    return out.where(F.col("both") >= 0.3 * F.least("n1", "n2")).select("scene", "first", "second", "both")
+    return visibility.overlap_pairs(views, 0.3)
 
 
 query("j23_overlap_pairs", _overlaps, "SELECT a.scene, a.v AS first, b.v AS second, count(*) AS both FROM (SELECT *, count(*) OVER (PARTITION BY scene, v) AS n FROM vi) a JOIN (SELECT *, count(*) OVER (PARTITION BY scene, v) AS n FROM vi) b ON a.scene = b.scene AND a.c = b.c AND a.v < b.v GROUP BY 1, 2, 3 HAVING count(*) >= 0.3 * least(max(a.n), max(b.n))", "vi AS (SELECT DISTINCT tile % 10 AS scene, tile AS v, point_id % 400 AS c FROM pts)")

@@ -67,3 +67,16 @@ def test_ground_planes_are_made_from_written_candidates(spark):
     out = geometry.ground_elevation(pts, 2.0)
     assert out.where("abs(elevation) > 0.5").count() == 0
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_overlaps_by_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(visibility, "VIEWS", 7)
+    monkeypatch.setattr(visibility, "PANEL", 5)
+    rng = random.Random(8)
+    held = {(s, v): set(rng.sample(range(30), rng.randrange(1, 20))) for s in (0, 1) for v in range(40)}
+    rows = [(s, v, c) for (s, v), cells in held.items() for c in cells]
+    views = spark.createDataFrame(rows + rows[:50], "scene long, view long, cell long")
+    out = visibility.overlap_pairs(views, 0.3)
+    want = {(s, a, b, len(held[s, a] & held[s, b])) for s in (0, 1) for a in range(40) for b in range(a + 1, 40) if (n := len(held[s, a] & held[s, b])) and n >= 0.3 * min(len(held[s, a]), len(held[s, b]))}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "Join Inner, (cell" not in out._jdf.queryExecution().optimizedPlan().toString()

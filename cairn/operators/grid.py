@@ -62,7 +62,8 @@ def voxel_centroids(pts: DataFrame, size: float, by: str = "tile") -> DataFrame:
     """Mean position per cell of a lattice that is anchored at the tile's minimum."""
     least = pts.groupBy(by).agg(*(F.min(c).alias(f"__{c}") for c in XYZ))
     cells = pts.join(least, by).withColumns({g: _floor(F.col(c) - F.col(f"__{c}"), size) for g, c in zip(CELL, XYZ, strict=True)})
-    return cells.groupBy(by, *CELL).agg(*(F.avg(c).alias(c) for c in XYZ), F.count("*").alias("n"))
+    # Dealt by cell before they are added up: with few points to a cell, sums before the shuffle would hold all of a task's input.
+    return cells.repartition(by, *CELL).groupBy(by, *CELL).agg(*(F.avg(c).alias(c) for c in XYZ), F.count("*").alias("n"))
 
 
 def voxel_sample(pts: DataFrame, size: float, seed: int = 0, by: str = "tile", id_col: str = "point_id", forced: Column | None = None) -> DataFrame:

@@ -92,3 +92,10 @@ def test_crops_of_large_tiles_are_counted_in_parts(spark, monkeypatch):
     assert told() == whole
     plan = features.crop_scan(pts, ["pred"], [1, 2, 3])._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_centroids_are_dealt_before_they_are_added_up(spark):
+    pts = spark.range(500).selectExpr("1 AS tile", "CAST(id AS double) AS x", "0.0D AS y", "0.0D AS z")
+    out = grid.voxel_centroids(pts, 2.0)
+    assert {(r["gx"], r["x"], r["n"]) for r in out.collect()} == {(i, 2 * i + 0.5, 2) for i in range(250)}
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()

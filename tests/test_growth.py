@@ -99,3 +99,16 @@ def test_centroids_are_dealt_before_they_are_added_up(spark):
     out = grid.voxel_centroids(pts, 2.0)
     assert {(r["gx"], r["x"], r["n"]) for r in out.collect()} == {(i, 2 * i + 0.5, 2) for i in range(250)}
     assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_surfaces_by_blocks_equal_one_block(spark, monkeypatch):
+    """A tile over many small blocks, with disks across their edges, scores as in one block; no row per grid or disk cell."""
+    rng = np.random.default_rng(6)
+    rows = [("t", i, float(x), float(y), float(z), int(r)) for i, (x, y, z, r) in enumerate(zip(*rng.uniform(0, 40, (2, 900)), rng.uniform(0, 9, 900), rng.integers(1, 4, 900), strict=True))]
+    pts = spark.createDataFrame(rows, "tile string, point_id long, x double, y double, z double, return_number int")
+    told = lambda: {r["point_id"]: r["q"] for r in visibility.surface_visibility(pts, tolerance=2.0, slope_degrees=30.0).collect()}
+    whole = told()
+    monkeypatch.setattr(visibility, "BLOCK", 3)
+    assert told() == whole and len(whole) == 900 and 0.2 < np.mean(list(whole.values())) < 0.9
+    plan = visibility.surface_visibility(pts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 2 and "Generate explode([[" not in plan and "Generate explode(array(" not in plan

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,33 +154,65 @@ def drop_attr(pts: DataFrame, cols: Sequence[str], ratio: float, seed: int, p: f
     return pts.withColumn("__gone", gone).withColumns({c: F.when(F.col("__gone"), 0).otherwise(F.col(c)) for c in cols}).drop("__gone")
 
 
+#: Nodes along a block's side.
+NODES = 8
+
+
+def _node_moves(seed: int, name: str, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Noise of a tile's nodes after both averages, at the nodes ``low`` to ``high`` of a grid of ``size`` nodes: axes x, y, z first."""
+    first, last = np.maximum(low - 2, 0), np.minimum(high + 2, size - 1)
+    spans = [range(a, b + 1) for a, b in zip(first, last, strict=True)]
+    tails = [f":{name}:{i}:{j}:{k}".encode() for i in spans[0] for j in spans[1] for k in spans[2]]
+    told = lambda lead: np.frombuffer(b"".join([hashlib.md5(lead + tail).digest()[:4] for tail in tails]), ">u4") / 2.0**32
+    noise = np.stack([np.sqrt(-2.0 * np.log(np.maximum(told(f"{seed}/{c}/u".encode()), 1e-12))) * np.cos(2 * math.pi * told(f"{seed}/{c}/v".encode())) for c in "xyz"])
+    noise = noise.reshape(3, *(len(span) for span in spans))
+    for axis, span in enumerate(spans):
+        here, to = np.array(span), np.arange(low[axis], high[axis] + 1)[:, None]
+        weight = np.minimum(np.minimum(here, to) + 1, size[axis] - 1) - np.maximum(np.maximum(here, to) - 1, 0) + 1
+        noise = np.moveaxis(np.tensordot(np.where(abs(here - to) <= 2, weight, 0) / 9, noise, (1, axis + 1)), 0, axis + 1)
+    return noise
+
+
 def elastic(pts: DataFrame, granularity: float, magnitude: float, seed: int, p: float = 1.0, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """Elastic distortion of a hashed share ``p`` of the tiles: normal noise at the nodes of a grid (from one node below the tile's minimum), averaged twice over boxes
-    of 3 x 3 x 3 nodes with zeros outside, added trilinearly.
+    of 3 x 3 x 3 nodes with zeros outside, added trilinearly. Points without a place are left out.
 
-    Node noise is hashed from the node. Both averages together are a product of weights per axis: of a noise node and a result, the number of nodes of the grid
-    next to both, over 9; one axis is averaged after the other, over the nodes that points need.
+    Node noise is hashed from the node (``normal_hash``), so the task that holds a block's points makes it anew where it needs it. Both averages together are a product of
+    weights per axis: of a noise node and a result, the number of nodes of the grid next to both, over 9. Points are dealt by block and read a batch at a time; no
+    corner of a point and no node is a row.
     """
-    axes, step = tuple(zip(("gx", "gy", "gz"), "xyz", "ijk", strict=True)), F.lit(float(granularity))
-    box = pts.groupBy(by).agg(*(e for _, c, _ in axes for e in (F.min(c).alias(f"__lo{c}"), (F.floor((F.max(c) - F.min(c)) / step) + 3).alias(f"__k{c}"))))
-    base = pts.select(by, id_col, *"xyz").join(box, by).withColumns({f"__t{c}": (F.col(c) - F.col(f"__lo{c}")) / step + 1 for c in "xyz"})
-    corner = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k), strict=True))) for i in (0, 1) for j in (0, 1) for k in (0, 1))))
-    rows, weight = base.withColumn("o", corner), F.lit(1.0)
-    for _, c, o in axes:
-        t = F.col(f"__t{c}") - F.floor(f"__t{c}")
-        weight = weight * F.when(F.col(f"o.{o}") == 1, t).otherwise(1 - t)
-    sizes = [f"__k{c}" for c in "xyz"]
-    rows = rows.select(by, id_col, *sizes, weight.alias("w"), *((F.floor(f"__t{c}") + F.col(f"o.{o}")).alias(g) for g, c, o in axes))
-    noise = rows.select(by, *sizes, "gx", "gy", "gz").distinct()
-    around = {g: F.explode(F.sequence(F.greatest(F.col(g) - 2, F.lit(0)), F.least(F.col(g) + 2, F.col(f"__k{c}") - 1))) for g, c, _ in axes}
-    for g, _, _ in axes:
-        noise = noise.withColumn(g, around[g]).distinct()
-    noise = noise.withColumns({f"d{c}": normal_hash(f"{seed}/{c}", by, "gx", "gy", "gz") for c in "xyz"})
-    for g, c, _ in axes:
-        low, high = F.greatest(F.greatest(g, "__to") - 1, F.lit(0)), F.least(F.least(g, "__to") + 1, F.col(f"__k{c}") - 1)
-        others = [o for o, _, _ in axes if o != g]
-        noise = noise.withColumn("__to", around[g]).groupBy(by, *sizes, *others, "__to").agg(*(F.sum(F.col(f"d{d}") * (high - low + 1) / 9).alias(f"d{d}") for d in "xyz")).withColumnRenamed("__to", g)
-    noise = noise.drop(*sizes)
-    moves = rows.join(noise, [by, "gx", "gy", "gz"]).groupBy(by, id_col).agg(*((F.sum(F.col("w") * F.col(f"d{c}")) * magnitude).alias(f"__d{c}") for c in "xyz"))
-    told = unit_hash(f"{seed}/elastic", by) < p
-    return pts.join(moves, [by, id_col]).withColumns({c: F.when(told, F.col(c) + F.col(f"__d{c}")).otherwise(F.col(c)) for c in "xyz"}).drop("__dx", "__dy", "__dz")
+    step = F.lit(float(granularity))
+    placed = pts.dropna(subset=list("xyz")).withColumns({c: F.col(c).cast("double") for c in "xyz"})
+    kinds, columns = placed.schema, placed.columns
+    box = pts.groupBy(by).agg(*(e for c in "xyz" for e in (F.min(c).alias(f"__lo{c}"), (F.floor((F.max(c) - F.min(c)) / step) + 3).alias(f"__k{c}"))))
+    at = placed.join(box, by).withColumns({f"__t{c}": (F.col(c) - F.col(f"__lo{c}")) / step + 1 for c in "xyz"}).withColumns({f"__b{c}": F.floor(F.col(f"__t{c}") / NODES) for c in "xyz"})
+    at = at.withColumns({"__name": F.col(by).cast("string"), "__told": unit_hash(f"{seed}/elastic", by) < p}).drop(*(f"__lo{c}" for c in "xyz"))
+    key = [by, *(f"__b{c}" for c in "xyz")]
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = None, None
+        for batch in batches:
+            name, told = (batch[c].to_numpy(zero_copy_only=False) for c in ("__name", "__told"))
+            t, size, block = (np.stack([batch[f"__{n}{c}"].to_numpy() for c in "xyz"]) for n in "tkb")
+            new = (name[1:] != name[:-1]) | (block[:, 1:] != block[:, :-1]).any(axis=0)
+            starts = [0, *(np.flatnonzero(new) + 1), len(name)]
+            away = np.zeros(t.shape)
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b or not told[a]:
+                    continue
+                cell = np.floor(t[:, a:b]).astype(np.int64)
+                low, high = cell.min(axis=1), cell.max(axis=1) + 1
+                this = (name[a], *block[:, a])
+                if kept is not None and kept[0] == this:
+                    low, high = np.minimum(low, kept[1]), np.maximum(high, kept[2])
+                if kept is None or kept[0] != this or (low != kept[1]).any() or (high != kept[2]).any():
+                    kept, held = (this, low, high), _node_moves(seed, name[a], low, high, size[:, a])
+                share, (i, j, k) = t[:, a:b] - cell, cell - low[:, None]
+                for o in np.ndindex(2, 2, 2):
+                    weight = np.prod([s if one else 1 - s for s, one in zip(share, o, strict=True)], axis=0)
+                    away[:, a:b] += weight * held[:, i + o[0], j + o[1], k + o[2]]
+            out = {c: batch[c] for c in columns}
+            out |= {c: pa.array(batch[c].to_numpy() + magnitude * away[axis]) for axis, c in enumerate("xyz")}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return at.repartition(*key).sortWithinPartitions(*key).mapInArrow(moved, kinds)

@@ -8,7 +8,7 @@ import numpy as np
 import pyspark.sql.functions as F
 
 from __spark_entry__ import queries
-from cairn.operators import features, geometry, grid, neighbors, visibility
+from cairn.operators import augment, features, geometry, grid, neighbors, visibility
 
 
 def test_names_of_five_digits_stay_whole(spark, tmp_path):
@@ -112,3 +112,24 @@ def test_surfaces_by_blocks_equal_one_block(spark, monkeypatch):
     assert told() == whole and len(whole) == 900 and 0.2 < np.mean(list(whole.values())) < 0.9
     plan = visibility.surface_visibility(pts)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(sequence") == 2 and "Generate explode([[" not in plan and "Generate explode(array(" not in plan
+
+
+def test_elastic_has_no_row_per_corner_or_node(spark, monkeypatch):
+    """p36_elastic: eight corners of a point and 125 nodes round each were rows; the same moves with small blocks and batches, tiles not drawn unchanged."""
+    rng = np.random.default_rng(5)
+    rows = [(t, i, *map(float, p)) for t in range(4) for i, p in enumerate(rng.uniform(0, 30, (200, 3)))] + [(1, 900, None, 1.0, 2.0), (7, 901, 1.0, 1.0, 2.0)]
+    pts = spark.createDataFrame(rows, "tile long, point_id long, x double, y double, z double")
+    told = lambda p: {(r["tile"], r["point_id"]): np.array([r["x"], r["y"], r["z"]]) for r in augment.elastic(pts, 2.0, 0.5, 9, p).collect()}
+    whole = told(1.0)
+    assert len(whole) == 801
+    monkeypatch.setattr(augment, "NODES", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        parts, some = told(1.0), told(0.5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts.keys() == whole.keys() and max(np.abs(parts[k] - whole[k]).max() for k in whole) < 1e-12
+    drawn = {t for t, i in some if any(abs(some[t, i] - whole[t, i]) < 1e-12)}
+    assert 0 < len(drawn) < 5
+    plan = augment.elastic(pts, 2.0, 0.5, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan

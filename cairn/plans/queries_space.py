@@ -27,7 +27,7 @@ _BALL = f"bq AS (SELECT a.tile, a.point_id AS src, b.point_id AS dst, {D2} AS d2
 query("j07_ball_query", lambda t: r6(neighbors.ball_query(t.pts, t.pts, 15.0, 4, 1.0), "dist"), f"SELECT tile, src, dst, CAST(j AS INT) AS rank, {rnd('sqrt(d2)')} AS dist FROM br, range(0, 4) r(j) WHERE c <= 4 AND i = j OR c > 4 AND floor(j * c / 4) = i", _BALL)
 query("j08_ball_query_random", lambda t: r6(neighbors.ball_query(t.pts, t.pts, 15.0, 4, order="random", seed=5), "dist").select("tile", "src", "dst", "rank"), f"SELECT tile, src, dst, CAST(i AS INT) AS rank FROM (SELECT tile, src, dst, row_number() OVER (PARTITION BY tile, src ORDER BY {U(5, 'src', 'dst')}, dst) - 1 AS i FROM (SELECT a.tile, a.point_id AS src, b.point_id AS dst FROM pts a JOIN pts b USING (tile) WHERE {D2} < 225)) WHERE i < 4")
 query("j09_radius_csr", lambda t: neighbors.csr(neighbors.radius_edges(t.pts, t.pts, 8.0)).select("tile", "src", "degree", F.col("neighbors")[0].alias("least"), F.array_max("neighbors").alias("most")), f"SELECT a.tile, a.point_id AS src, count(*) AS degree, min(b.point_id) AS least, max(b.point_id) AS most FROM pts a JOIN pts b USING (tile) WHERE {D2} <= 64 GROUP BY 1, 2")
-query("j10_group_neighbors", lambda t: neighbors.group_neighbors(neighbors.knn(t.pts, t.pts, 6), t.pts, ["intensity"], t.pts, 1).select("tile", "src", F.size("group").alias("n"), F.col("group")[1]["intensity"].alias("i1"), F.col("group")[2]["dx"].alias("dx2")), f"SELECT e.tile, e.src, CAST(count(*) AS INT) AS n, max(b.intensity) FILTER (rank = 3) AS i1, max(b.x - a.x) FILTER (rank = 5) AS dx2 FROM {_knn(6)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id WHERE rank % 2 = 1 GROUP BY 1, 2")
+query("j10_group_neighbors", lambda t: neighbors.grouped_nearest(t.pts, t.pts, 6, ["intensity"], 1).select("tile", "src", F.size("group").alias("n"), F.col("group")[1]["intensity"].alias("i1"), F.col("group")[2]["dx"].alias("dx2")), f"SELECT e.tile, e.src, CAST(count(*) AS INT) AS n, max(b.intensity) FILTER (rank = 3) AS i1, max(b.x - a.x) FILTER (rank = 5) AS dx2 FROM {_knn(6)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id WHERE rank % 2 = 1 GROUP BY 1, 2")
 query("j11_idw", lambda t: r6(neighbors.idw(t.pts.where("classification = 1"), t.pts.where("classification > 4"), "intensity"), "intensity"), f"SELECT e.tile, src, {rnd('sum(b.intensity / (sqrt(d2) + 1e-8)) / sum(1 / (sqrt(d2) + 1e-8))')} AS intensity FROM {_knn(3, 'a.classification = 1 AND b.classification > 4')} e JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
 #: Boxes of all points of a tile and a square of 20 by 20.
 _BOXES = "bx AS (SELECT tile, source_block, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT * REPLACE (tile * 100 + CAST(floor(x / 20) * 10 + floor(y / 20) AS BIGINT) AS tile) FROM pts) GROUP BY 1, 2)"
@@ -77,13 +77,13 @@ def _with_normals(t: Tables) -> DataFrame:
 
 
 # --- geometry ------------------------------------------------------------------------------------------------------
-query("a35_role_context", lambda t: r6(features.role_context(neighbors.knn(t.pts, t.pts, 8, exclude_self=True), t.pts, return_role("return_number", "number_of_returns")), "role_0", "role_1", "role_2", "role_3"), "SELECT tile, src, " + ", ".join(rnd(f"coalesce(count(*) FILTER (role = {k}) / nullif(count(*) FILTER (role >= 0), 0), 0)") + f" AS role_{k}" for k in range(4)) + f", count(*) FILTER (role >= 0) AS n_valid FROM {_knn(8, 'a.point_id <> b.point_id')} e JOIN (SELECT tile, point_id AS dst, {ROLE} AS role FROM pts) USING (tile, dst) GROUP BY 1, 2")
+query("a35_role_context", lambda t: r6(features.nearest_role_context(t.pts, t.pts, 8, return_role("return_number", "number_of_returns")), "role_0", "role_1", "role_2", "role_3"), "SELECT tile, src, " + ", ".join(rnd(f"coalesce(count(*) FILTER (role = {k}) / nullif(count(*) FILTER (role >= 0), 0), 0)") + f" AS role_{k}" for k in range(4)) + f", count(*) FILTER (role >= 0) AS n_valid FROM {_knn(8, 'a.point_id <> b.point_id')} e JOIN (SELECT tile, point_id AS dst, {ROLE} AS role FROM pts) USING (tile, dst) GROUP BY 1, 2")
 
 
 def _context(t: Tables) -> DataFrame:
     from cairn.operators import metrics
 
-    ctx = features.role_context(neighbors.knn(t.pts, t.pts, 8, exclude_self=True), t.pts, return_role("return_number", "number_of_returns"))
+    ctx = neighbors.checkpointed(features.nearest_role_context(t.pts, t.pts, 8, return_role("return_number", "number_of_returns")))
     prior = ctx.agg(*(F.avg(f"role_{k}").alias(f"p_{k}") for k in range(4)))
     return r6(metrics.context_scores(ctx.select(*(F.col(f"role_{k}").alias(f"t_{k}") for k in range(4))).crossJoin(F.broadcast(prior)), ["0", "1", "2", "3"]), *(f"mae_{k}" for k in range(4)), "cross_entropy", "entropy", "kl")
 
@@ -214,8 +214,9 @@ fn AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM fs)""")
 
 
 def _faces(t: Tables) -> DataFrame:
-    near = neighbors.knn(t.pts, t.pts, 2, exclude_self=True)
-    return near.groupBy(F.col("tile").alias("mesh"), F.col("src").alias("a")).agg(F.min_by("dst", "rank").alias("b"), F.max_by("dst", "rank").alias("c"))
+    near = neighbors.neighbor_lists(t.pts, t.pts, 2, exclude_self=True)
+    corner = {"b": F.element_at("near", 1), "c": F.element_at("near", -1)}
+    return near.select(F.col("tile").alias("mesh"), F.col("src").alias("a"), *(e["dst"].alias(p) for p, e in corner.items()), *(e[f"d{c}"].alias(f"{p}{c}") for p, e in corner.items() for c in "xyz"))
 
 
 # --- frames ------------------------------------------------------------------------------------------------------------

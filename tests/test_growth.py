@@ -8,6 +8,7 @@ import numpy as np
 import pyspark.sql.functions as F
 
 from __spark_entry__ import queries
+from cairn.functions.scalar import unit_hash
 from cairn.operators import augment, features, geometry, grid, neighbors, visibility
 
 
@@ -133,3 +134,83 @@ def test_elastic_has_no_row_per_corner_or_node(spark, monkeypatch):
     assert 0 < len(drawn) < 5
     plan = augment.elastic(pts, 2.0, 0.5, 9)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def _two_clouds(spark):
+    """A cloud of many leaves (with LEAF at 64) beside a small one, a lone point and a point without a place."""
+    rng = np.random.default_rng(7)
+    rows = [(n, i, *(float(v) for v in p), int(rng.integers(1, 4)), int(rng.integers(-1, 4))) for n, m in ((1, 900), (2, 30), (3, 1)) for i, p in enumerate(np.round(rng.uniform(0, 30, (m, 3)), 1))]
+    return spark.createDataFrame([*rows, (2, 77, None, 0.0, 0.0, 1, 1), (2, 78, 1.0, 1.0, 1.0, None, None)], "tile long, point_id long, x double, y double, z double, classification int, role int")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_role_context_travels_in_lists(spark, monkeypatch):
+    """a36_context_scores: the same as from edges, without a join of edges with roles."""
+    monkeypatch.setattr(neighbors, "LEAF", 64)
+    pts = _two_clouds(spark)
+    got = features.nearest_role_context(pts, pts, 8, F.col("role"))
+    want = features.role_context(neighbors.knn(pts, pts, 8, exclude_self=True), pts, F.col("role"))
+    told = lambda df: {r["src"] + 1000 * r["tile"]: r.asDict() for r in df.collect()}
+    assert told(got) == told(want) and len(told(got)) == 931
+    small = pts.where("tile <> 1")
+    assert "Join" not in _plan(features.nearest_role_context(small, small, 8, F.col("role"))).split("Union")[0]
+
+
+def test_grouped_neighbors_travel_in_lists(spark, monkeypatch):
+    """j10_group_neighbors: the same groups as from edges joined with both ends."""
+    monkeypatch.setattr(neighbors, "LEAF", 64)
+    pts = _two_clouds(spark)
+    got = neighbors.grouped_nearest(pts, pts, 6, ["classification"], 1)
+    want = neighbors.group_neighbors(neighbors.knn(pts, pts, 6), pts, ["classification"], pts, 1)
+    key = lambda r: r[:2]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_hashed_balls_are_cut_in_the_leaf(spark, monkeypatch):
+    """j08_ball_query_random: the first of a ball in the hashed order, without a row or a window row per pair."""
+    monkeypatch.setattr(neighbors, "LEAF", 64)
+    pts = _two_clouds(spark)
+    for least in (0.0, 2.0):
+        got = neighbors.ball_query(pts, pts, 6.0, 4, least, order="random", seed=5)
+        both = neighbors.radius_edges(pts, pts, 6.0).where(f"d2 <= 1e-5 OR d2 >= {least * least} AND d2 < 36").withColumn("u", unit_hash(5, "src", "dst"))
+        want = {}
+        for r in sorted(both.collect(), key=lambda r: (r["u"], r["dst"])):
+            want.setdefault((r["tile"], r["src"]), []).append(r["dst"])
+        found = {}
+        for r in sorted(got.collect(), key=lambda r: r["rank"]):
+            found.setdefault((r["tile"], r["src"]), []).append(r["dst"])
+            assert r["rank"] == len(found[r["tile"], r["src"]]) - 1
+        assert found == {k: v[:4] for k, v in want.items()}
+    assert "Window" not in _plan(got)
+
+
+def test_clusters_come_from_few_links(spark, monkeypatch):
+    """a53_cluster: a leaf's task keeps a link per point at most, labels are not joined to pairs; components as from all pairs."""
+    monkeypatch.setattr(neighbors, "LEAF", 64)
+    pts = _two_clouds(spark)
+    got = {(r["tile"], r["point_id"]): r["component"] for r in neighbors.cluster(pts, 4.0, 1).collect()}
+    labels = pts.select("tile", F.col("point_id").alias("dst"), F.col("classification").alias("b"))
+    edges = neighbors.radius_edges(pts, pts, 4.0).join(labels, ["tile", "dst"]).join(labels.select("tile", F.col("dst").alias("src"), F.col("b").alias("a")), ["tile", "src"]).where("a = b AND src < dst")
+    want = {(r["tile"], r["point_id"]): r["component"] for r in neighbors.connected(pts, edges).collect()}
+    assert got == want and 5 < len(set(want.values())) < 900
+    small = pts.where("tile <> 1")
+    links, whole = neighbors._label_links(small, 9.0, "classification", "tile", "point_id")
+    assert whole
+    assert 0 < links.count() < 30 and "Join" not in _plan(links)
+
+
+def test_faces_bring_their_sides(spark):
+    """j25_vertex_normals: faces with their sides give the normals of faces that look their corners up, without a join but the last."""
+    pts = _two_clouds(spark).where("x IS NOT NULL")
+    lists = neighbors.neighbor_lists(pts, pts, 2, exclude_self=True)
+    ends = {"b": F.element_at("near", 1), "c": F.element_at("near", -1)}
+    faces = lists.select(F.col("tile").alias("mesh"), F.col("src").alias("a"), *(e["dst"].alias(p) for p, e in ends.items()), *(e[f"d{c}"].alias(f"{p}{c}") for p, e in ends.items() for c in "xyz"))
+    vertices = pts.select(F.col("tile").alias("mesh"), F.col("point_id").alias("vertex_id"), "x", "y", "z")
+    told = lambda f: {(r["mesh"], r["vertex_id"]): np.array([r["nx"], r["ny"], r["nz"]]) for r in geometry.vertex_normals(vertices, f).collect()}
+    got, want = told(faces), told(faces.select("mesh", "a", "b", "c"))
+    assert got.keys() == want.keys() and len(got) == 932 and max(np.abs(got[k] - want[k]).max() for k in got) < 1e-6
+    flat = faces.select(*(F.lit(0).cast(f.dataType).alias(f.name) for f in faces.schema))
+    assert _plan(geometry.vertex_normals(vertices, flat)).count("Join") == 1

@@ -214,3 +214,28 @@ def test_faces_bring_their_sides(spark):
     assert got.keys() == want.keys() and len(got) == 932 and max(np.abs(got[k] - want[k]).max() for k in got) < 1e-6
     flat = faces.select(*(F.lit(0).cast(f.dataType).alias(f.name) for f in faces.schema))
     assert _plan(geometry.vertex_normals(vertices, flat)).count("Join") == 1
+
+
+def test_boxes_of_a_cell_meet_in_several_tasks(spark, monkeypatch):
+    """j13_bbox_join: pairs as by brute force, and those of one full cell come from several tasks."""
+    monkeypatch.setattr(visibility, "BOXES", 16, raising=False)
+    spread = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(6)
+        low = np.r_[np.round(rng.uniform(0, 3, (120, 2)), 2), np.round(rng.uniform(0, 40, (60, 2)), 2)]
+        side = np.r_[np.full((100, 2), 6.0), np.round(rng.uniform(0, 9, (80, 2)), 2)]
+        rows = [(i % 2, i, *map(float, (p[0], p[0] + s[0], p[1], p[1] + s[1]))) for i, (p, s) in enumerate(zip(low, side, strict=True))]
+        rows += [(0, 900, 1.0, 1.0, 1.0, 1.0), (None, 901, 0.0, 9.0, 0.0, 9.0), (0, 902, None, 9.0, 0.0, 9.0), (0, 903, 5.0, 3.0, 2.0, 1.0)]
+        a = spark.createDataFrame(rows, "block int, id int, min_x double, max_x double, min_y double, max_y double")
+        out = visibility.bbox_join(a, a.withColumnRenamed("id", "other"), ["block"], 10.0)
+        assert out.columns == ["block", "id", "min_x", "max_x", "min_y", "max_y", "other", "b_min_x", "b_max_x", "b_min_y", "b_max_y"]
+        got = sorted((r["id"], r["other"]) for r in out.collect())
+        meet = lambda p, q: p[0] == q[0] and p[2] < q[3] and q[2] < p[3] and p[4] < q[5] and q[4] < p[5]
+        whole = [r for r in rows if None not in r]
+        assert got == sorted((p[1], q[1]) for p in whole for q in whole if meet(p, q))
+        full = a.where("id < 100 AND block = 0").where("max_x < 10 AND max_y < 10")
+        made = visibility.bbox_join(full, full.withColumnRenamed("id", "other"), ["block"], 10.0).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in made) == full.count() ** 2 and len(made) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", spread)

@@ -64,7 +64,8 @@ def nearest_filled(cells: DataFrame, blocks: DataFrame, halo: int, block: int =
 def smoothed(placed: DataFrame, cells: DataFrame, sigma: float, fill: str = "mean", bilinear: bool = False, block: int = BLOCK, by: str = "tile", id_col: str = "point_id") -> DataFrame:
     """``(by, id, surface)``: a raster's values after a Gaussian of ``sigma`` cells with mirrored edges, at every point of ``placed``.
 
-    Empty cells have the mean of the occupied ones (``mean``) or the nearest occupied one's value (``nearest``). A point reads its own cell, or
+    Empty cells have the mean of the occupied ones (``mean``) or the nearest occupied one's value (``nearest``; a raster that is one block is filled
+    in its task, only wider ones are searched). A point reads its own cell, or
     with ``bilinear`` the four cell centres round it, the raster continued beyond its edges by its border cells.
     """
     weights = gaussian(sigma)
@@ -74,7 +75,10 @@ def smoothed(placed: DataFrame, cells: DataFrame, sigma: float, fill: str = "mea
     blocks = checkpointed(at.groupBy(*key).agg(F.first("__ni").alias("__ni"), F.first("__nj").alias("__nj"), F.ceil(F.count("*") / F.lit(float(MOST_POINTS))).cast("int").alias("__parts")))
     cells = checkpointed(cells.withColumn("value", F.col("value").cast("double")))
     if fill == "nearest":
-        cells = nearest_filled(cells, blocks, halo, block, by)
+        wide = (F.col("__ni") > block) | (F.col("__nj") > block)
+        broad = blocks.where(wide)
+        if not broad.isEmpty():
+            cells = cells.where(~wide).unionByName(nearest_filled(cells.where(wide), broad, halo, block, by))
     level = cells.groupBy(by).agg(F.avg("value").alias("level"))
     sent = cells.withColumn("__bi", _reach("i", halo, block)).withColumn("__bj", _reach("j", halo, block)).join(blocks.drop("__ni", "__nj"), key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).join(level, by)
     split = blocks.where("__parts > 1").select(*key, "__parts")
@@ -95,6 +99,8 @@ def smoothed(placed: DataFrame, cells: DataFrame, sigma: float, fill: str = "mea
         i, j = known["__i"].to_numpy(), known["__j"].to_numpy()
         inside = (i >= lo0) & (i < hi0) & (j >= lo1) & (j < hi1)
         grid[i[inside] - lo0, j[inside] - lo1] = known["value"].to_numpy()[inside]
+        if fill == "nearest" and max(first["__ni"], first["__nj"]) <= block:
+            _fill_nearest(grid, i, j)
         grid = np.pad(grid, [(reach - (a - lo), reach - (hi - b)) for a, b, lo, hi in cut], mode="symmetric")
         rows = sum(w * grid[t : t + b0 - a0] for t, w in enumerate(weights))
         done = sum(w * rows[:, t : t + b1 - a1] for t, w in enumerate(weights))
@@ -110,6 +116,18 @@ def smoothed(placed: DataFrame, cells: DataFrame, sigma: float, fill: str = "mea
     return dealt.groupBy(*group).cogroup(sent.groupBy(*group)).applyInArrow(read, f"`{by}` {kinds[by]}, id {kinds['id']}, surface double")
 
 
+def _fill_nearest(grid: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give every cell of a whole raster but the occupied ``i, j`` the value of the nearest of those (ties to the lower row, then column)."""
+    occupied = np.zeros(grid.shape, bool)
+    occupied[i, j] = True
+    known, empty = np.argwhere(occupied), np.argwhere(~occupied)
+    step = max(1, 2**20 // len(known))
+    for k in range(0, len(empty), step):
+        part = empty[k : k + step]
+        near = known[((part[:, None, :] - known) ** 2).sum(axis=2).argmin(axis=1)]
+        grid[part[:, 0], part[:, 1]] = grid[near[:, 0], near[:, 1]]
+
+
 def _between(position: np.ndarray, n: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two cells (counted from ``start``) whose centres enclose a position, and its share of the way."""
     at = np.clip(position - 0.5, 0, n - 1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import unit_hash
-from cairn.operators.geometry import terrain_weights
+from cairn.operators.geometry import weighed
 from cairn.operators.neighbors import checkpointed, look_up, radius_edges
 from cairn.operators.raster import low_frequency
 from cairn.operators.selection import in_order
@@ -437,33 +437,35 @@ def terrain_split(
     ``low`` adds ``gt_low``: for queries the smooth part of the whole tile's terrain (``low_frequency`` at that cell size), else null.
     """
     u = lambda name, *more: unit_hash(f"{seed}/{name}", by, *more)
-    box = pts.groupBy(by).agg(
-        *(f(c).alias(f"__{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))), F.count("*").alias("__n"),
-        F.array(*(F.min_by(F.struct("x", "y"), F.struct(u(f"block{i}", id_col), F.col(id_col))) for i in range(blocks))).alias("__at"),
-    )
-    extent = {c: F.greatest((F.col(f"__hi{c}") - F.col(f"__lo{c}")) * (0.5 + 0.3 * u("share")), F.lit(1.0)) for c in "xy"}
-    middle = {c: F.col(f"__lo{c}") + (F.col(f"__hi{c}") - F.col(f"__lo{c}")) * u(f"large/{c}") for c in "xy"}
-    side = {c: lambda i, c=c: F.lit(block_size[0]) + (block_size[1] - block_size[0]) * u(f"{c}/{i}") for c in "xy"}
-    hole = lambda x, y, w, h: F.struct(x.alias("x"), y.alias("y"), (w / 2).alias("w"), (h / 2).alias("h"))
-    some = F.array(*(hole(F.col("__at")[i]["x"], F.col("__at")[i]["y"], side["x"](i), side["y"](i)) for i in range(blocks)))
-    large = F.when(u("extreme") < extreme, F.array(hole(middle["x"], middle["y"], extent["x"], extent["y"]))).otherwise(F.slice(some, 1, 0))
-    number = F.floor(u("blocks") * (blocks + 1)).cast("int")
-    holes = box.select(by, "__n", F.concat(large, F.slice(some, 1, number)).alias("__holes"))
-    inside = F.exists("__holes", lambda h: (F.abs(F.col("x") - h["x"]) <= h["w"]) & (F.abs(F.col("y") - h["y"]) <= h["h"]))
-    weights = terrain_weights(pts, resolution, by, id_col).withColumnRenamed("weight", "__w")
-    rows = pts.join(holes, by).join(weights, [by, id_col], "left")
-    place = lambda key: F.row_number().over(Window.partitionBy(by).orderBy(key, id_col))
-    drawn = -F.log(F.greatest(u("feature", id_col), F.lit(1e-12))) / F.greatest(F.coalesce("__w", F.lit(0.0)), F.lit(1e-300))
-    rows = rows.withColumn("__f", place(drawn)).withColumn("__r", place(u("random", id_col)))
-    share = lambda s: F.floor(F.col("__n") * F.lit(float(s)))
+    side = lambda c, i: F.lit(block_size[0]) + (block_size[1] - block_size[0]) * u(f"{c}/{i}")
+    sides = F.array(*(F.struct((side("x", i) / 2).alias("w"), (side("y", i) / 2).alias("h")) for i in range(blocks)))
+    drawn = {"__number": F.floor(u("blocks") * (blocks + 1)).cast("int"), "__sides": sides, "__large": u("extreme") < extreme, "__share": 0.5 + 0.3 * u("share"), "__ux": u("large/x"), "__uy": u("large/y")}
+    tiles = pts.groupBy(by).agg(F.count("*").alias("__n")).select(by, "__n", *(e.alias(n) for n, e in drawn.items()))
+    # A point's hashes and keys are columns before any sort: a sort would compute an expression anew at every comparison.
+    hashes = {**{f"__u{i}": u(f"block{i}", id_col) for i in range(blocks)}, **{f"__u{n}": u(n, id_col) for n in ("feature", "random", "keep")}}
+    rows = weighed(pts, resolution, by, "left").withColumnRenamed("weight", "__w").withColumns(hashes).join(tiles, by)
+    whole = Window.partitionBy(by)
+    ends = {f"__{n}{c}": f(c).over(whole) for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))}
+    rows = rows.withColumns(ends | {f"__at{i}": F.min_by(F.struct("x", "y"), F.struct(f"__u{i}", id_col)).over(whole) for i in range(blocks)})
+    within = lambda x, y, w, h: (F.abs(F.col("x") - x) <= w) & (F.abs(F.col("y") - y) <= h)
+    extent = {c: F.greatest((F.col(f"__hi{c}") - F.col(f"__lo{c}")) * F.col("__share"), F.lit(1.0)) for c in "xy"}
+    middle = {c: F.col(f"__lo{c}") + (F.col(f"__hi{c}") - F.col(f"__lo{c}")) * F.col(f"__u{c}") for c in "xy"}
+    inside = F.col("__large") & within(middle["x"], middle["y"], extent["x"] / 2, extent["y"] / 2)
+    for i in range(blocks):
+        at, wide = F.col(f"__at{i}"), F.col("__sides")[i]
+        inside = inside | ((F.col("__number") > i) & within(at["x"], at["y"], wide["w"], wide["h"]))
+    key = -F.log(F.greatest(F.col("__ufeature"), F.lit(1e-12))) / F.greatest(F.coalesce("__w", F.lit(0.0)), F.lit(1e-300))
     may = F.lit(True) if ground is None else F.coalesce(F.col(col) == ground, F.lit(False))
-    chosen = may & (inside | (F.col("__f") <= share(feature)) | (F.col("__r") <= share(random)))
-    rows = rows.withColumn("__q", chosen)
+    rows = rows.select(*pts.columns, "__n", key.alias("__key"), "__urandom", "__ukeep", F.coalesce(inside, F.lit(False)).alias("__in"), may.alias("__may"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(by).orderBy(*keys, id_col))
+    rows = rows.withColumn("__f", place("__key")).withColumn("__r", place("__urandom"))
+    share = lambda s: F.floor(F.col("__n") * F.lit(float(s)))
+    rows = rows.withColumn("__q", F.col("__may") & (F.col("__in") | (F.col("__f") <= share(feature)) | (F.col("__r") <= share(random))))
     bound = F.greatest(F.lit(1), share(most)) if query_max is None else F.least(F.greatest(F.lit(1), share(most)), F.lit(query_max))
     # Chosen points first, then what may stand in; a tile's first place is a query in any case, as long as support is left.
-    rows = rows.withColumn("__k", place(F.struct(~F.col("__q"), ~may, u("keep", id_col))))
+    rows = rows.withColumn("__k", place(F.desc("__q"), F.desc("__may"), "__ukeep"))
     query = ((F.col("__q") & (F.col("__k") <= bound)) | (F.col("__k") == 1)) & (F.col("__n") >= 10) & (F.col("__k") < F.col("__n"))
-    out = rows.withColumn("role", F.when(query, "query").otherwise("support")).drop("__n", "__holes", "__w", "__f", "__r", "__q", "__k")
+    out = rows.select(by, id_col, *(c for c in pts.columns if c not in (by, id_col)), F.when(query, "query").otherwise("support").alias("role"))
     if low is None:
         return out
     target = low_frequency(pts, low, by=by, id_col=id_col).withColumnRenamed("z_low", "gt_low")

@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 
 from __spark_entry__ import queries
 from cairn.functions.scalar import unit_hash
-from cairn.operators import augment, features, geometry, grid, neighbors, visibility
+from cairn.operators import augment, features, geometry, grid, neighbors, raster, sampling, visibility
 
 
 def test_names_of_five_digits_stay_whole(spark, tmp_path):
@@ -239,3 +239,17 @@ def test_boxes_of_a_cell_meet_in_several_tasks(spark, monkeypatch):
         assert sum(r["count"] for r in made) == full.count() ** 2 and len(made) > 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", spread)
+
+
+def test_terrain_is_split_by_keys_and_filled_in_its_block(spark, monkeypatch):
+    """t13_terrain_split: sorts compare columns (a hash in a sort is computed at every comparison), and rasters of one block are filled without a search."""
+    monkeypatch.setattr(raster, "nearest_filled", lambda *a, **k: (_ for _ in ()).throw(AssertionError("searched")))
+    g = np.random.default_rng(3)
+    rows = [(t, i, *map(float, p), 1 + i % 2) for t in (1, 2) for i, p in enumerate(np.round(np.c_[g.uniform(0, 60, (120, 2)), g.normal(0, 1, 120)], 3))]
+    pts = spark.createDataFrame(rows, "tile int, point_id int, x double, y double, z double, classification int")
+    out = sampling.terrain_split(pts, 4, ground=2, low=10.0)
+    assert out.columns == ["tile", "point_id", "x", "y", "z", "classification", "role", "gt_low"]
+    windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line and "Window [" in line]
+    assert windows and not any("md5" in line for line in windows)
+    got = out.toPandas()
+    assert len(got) == 240 and set(got.classification[got.role == "query"]) == {2} and got.gt_low.notna().equals(got.role == "query")

@@ -96,7 +96,7 @@ query("a41_curvature_planarity", lambda t: r6(geometry.curvature_planarity(t.pts
 query("a41_eigen_features", lambda t: geometry.eigen_features(t.pts, 12))
 query("a42_normals", lambda t: geometry.normals(t.pts, 8, cls=1, toward=(50.0, 50.0, 500.0)).select(*KEY, "nx", "ny", "nz"))
 query("a43_column_strata", lambda t: geometry.column_strata(t.pts, 8.0).select(*KEY, "density", "overstory", "vegetation_overstory", "multilayer", "boundary", "valid_return"), "SELECT tile, point_id, count(*) OVER w AS density, max(z) OVER w - z >= 3 AND count(*) OVER w >= 8 AS overstory, coalesce(max(CASE WHEN classification = 3 THEN z END) OVER w - z >= 3, false) AND count(*) OVER w >= 8 AS vegetation_overstory, max(z) OVER w - min(z) OVER w >= 3 AND count(*) OVER w >= 8 AS multilayer, bool_or(classification = 3) OVER w AND bool_or(classification = 6) OVER w AS boundary, return_number >= 1 AND number_of_returns >= 1 AND return_number <= number_of_returns AS valid_return FROM (SELECT *, floor((x - min(x) OVER (PARTITION BY tile)) / 8) AS cx, floor((y - min(y) OVER (PARTITION BY tile)) / 8) AS cy FROM pts) WINDOW w AS (PARTITION BY tile, cx, cy)")
-query("a44_height_descriptor", lambda t: r6(geometry.height_descriptor(neighbors.knn(t.pts, t.pts, 8), t.pts), "z_std", "log_density", "z_to_median"), f"SELECT e.tile, src, max(a.z) - min(b.z) AS z_above_min, max(b.z) - max(a.z) AS z_below_max, max(b.z) - min(b.z) AS z_range, {rnd('stddev_pop(b.z)')} AS z_std, {rnd('max(a.z) - quantile_cont(b.z, 0.5)')} AS z_to_median, {rnd('ln(1 + count(*) / (4.0::DOUBLE / 3 * pi() * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3)))')} AS log_density FROM {_knn(8)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
+query("a44_height_descriptor", lambda t: r6(geometry.nearest_height_descriptor(t.pts, 8), "z_std", "log_density", "z_to_median"), f"SELECT e.tile, src, max(a.z) - min(b.z) AS z_above_min, max(b.z) - max(a.z) AS z_below_max, max(b.z) - min(b.z) AS z_range, {rnd('stddev_pop(b.z)')} AS z_std, {rnd('max(a.z) - quantile_cont(b.z, 0.5)')} AS z_to_median, {rnd('ln(1 + count(*) / (4.0::DOUBLE / 3 * pi() * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3) * greatest(sqrt(max(d2)), 1e-3)))')} AS log_density FROM {_knn(8)} e JOIN pts a ON e.tile = a.tile AND e.src = a.point_id JOIN pts b ON e.tile = b.tile AND e.dst = b.point_id GROUP BY 1, 2")
 query("a45_height_above_ground", lambda t: r6(geometry.height_above_ground(t.pts, 2, 8.0), "hag"), f"SELECT tile, point_id, {rnd('greatest(z - gz, 0)')} AS hag FROM hp JOIN hn USING (tile, cx, cy)", "hp AS (SELECT *, CAST(floor((x - min(x) OVER t) / 8) AS BIGINT) AS cx, CAST(floor((y - min(y) OVER t) / 8) AS BIGINT) AS cy FROM pts WINDOW t AS (PARTITION BY tile)), hg AS (SELECT tile, cx AS gx, cy AS gy, quantile_cont(z, 0.1) AS gz FROM hp WHERE classification = 2 GROUP BY 1, 2, 3), hn AS (SELECT tile, cx, cy, arg_min(gz, ((cx - gx) * (cx - gx) + (cy - gy) * (cy - gy)) * 100000000 + gx * 10000 + gy) AS gz FROM (SELECT DISTINCT tile, cx, cy FROM hp) JOIN hg USING (tile) GROUP BY 1, 2, 3)")
 def _plane_sql(rows: str, more: str = "") -> str:
     """``(tile, n, a, b, c)``: the least-squares plane of each tile."""

@@ -253,3 +253,37 @@ def test_terrain_is_split_by_keys_and_filled_in_its_block(spark, monkeypatch):
     assert windows and not any("md5" in line for line in windows)
     got = out.toPandas()
     assert len(got) == 240 and set(got.classification[got.role == "query"]) == {2} and got.gt_low.notna().equals(got.role == "query")
+
+
+def _large(spark, rows, most):
+    """Large and small clouds, with copies of one place, on a few heights."""
+    rng = np.random.default_rng(rows)
+    table = [(t, i, *map(float, p)) for t, n in ((1, rows), (2, most), (3, 1)) for i, p in enumerate(np.c_[rng.integers(0, 30, (n, 2)), rng.integers(0, 9, n) / 4])]
+    return spark.createDataFrame([*table, (2, 999, None, 0.0, 0.0)], "tile long, point_id long, x double, y double, z double")
+
+
+def _shuffled(df):
+    """Shuffles of the whole plan that are not of a broadcast or a single row."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_heights_travel_in_lists(spark, monkeypatch):
+    """a44_height_descriptor: the same as from edges; a table of small clouds moves once, each point as one row."""
+    monkeypatch.setattr(neighbors, "LEAF", 64)
+    pts = _large(spark, 400, 50)
+    told = lambda d: {(r["tile"], r["src"]): [round(r[c], 9) for c in ("z_above_min", "z_below_max", "z_range", "z_std", "z_to_median", "log_density")] for r in d.collect()}
+    got = told(geometry.nearest_height_descriptor(pts, 8))
+    assert len(got) == 451 and got == told(geometry.height_descriptor(neighbors.knn(pts, pts, 8), pts))
+    small = geometry.nearest_height_descriptor(pts.where("tile > 1"), 8)
+    assert _shuffled(small) == 1 and "Join" not in _plan(small) and "Union" not in _plan(small) and "Generate" not in _plan(small)
+
+
+def test_points_that_ask_themselves_move_once(spark):
+    """A cloud is searched from one row per point where it asks itself, also by two equal plans; elsewhere from both tables."""
+    pts = _large(spark, 100, 50)
+    again = pts.where("tile < 9"), pts.where("tile < 9")
+    assert "Union" not in _plan(neighbors.knn(*again, 3)) and "Union" in _plan(neighbors.knn(pts, pts.where("z > 0"), 3))
+    rank = lambda d: sorted(map(tuple, d.select("tile", "src", "dst", "rank").collect()))
+    assert rank(neighbors.knn(*again, 3)) == rank(neighbors.knn(pts, pts.withColumn("x", F.col("x") + 0), 3))
+    for sums in (neighbors.neighbor_sums(pts, pts, 3), neighbors.knn(pts, pts, 3)):
+        assert _shuffled(sums) == 1

@@ -54,7 +54,7 @@ def _cover(t: Tables) -> tuple[DataFrame, DataFrame]:
 query("j15_covered", lambda t: visibility.covered(*_cover(t), size=8.0), "SELECT t.tile, bool_and(EXISTS (SELECT 1 FROM re WHERE mx + i + 0.5 > x AND mx + i + 0.5 < x + w AND my + j + 0.5 > y AND my + j + 0.5 < y + h)) AS covered FROM (SELECT s_suppkey AS tile, (s_suppkey * 11) % 60 AS mx, (s_suppkey * 17) % 60 AS my FROM supplier) t, range(0, 6) a(i), range(0, 4) b(j) GROUP BY 1", "re AS (SELECT DISTINCT o_orderkey % 90 AS x, (o_orderkey * 3) % 70 AS y, CASE WHEN o_orderkey % 40 < 6 THEN 3 + o_orderkey % 4 ELSE 0.25 END AS w, CASE WHEN o_orderkey % 40 < 6 THEN 5 ELSE 0.25 END AS h FROM orders)")
 query("j26_check_catalog", lambda t: visibility.check_catalog(t("part").select(F.format_string("%08d", "p_partkey").alias("path"), F.col("p_brand").alias("dtype"), F.col("p_size").alias("bands")), ["dtype", "bands"]), "SELECT path, c AS \"column\", v AS value, e AS expected FROM (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS path, unnest([{'c': 'dtype', 'v': p_brand, 'e': b0}, {'c': 'bands', 'v': CAST(p_size AS VARCHAR), 'e': CAST(s0 AS VARCHAR)}], recursive := true) FROM part, (SELECT arg_min(p_brand, p_partkey) AS b0, arg_min(p_size, p_partkey) AS s0 FROM part)) WHERE v <> e")
 query("a53_cluster", lambda t: neighbors.cluster(t.pts, 10.0, 2).select(*KEY, "component", "size"), "SELECT tile, point_id, component, count(*) OVER (PARTITION BY tile, component) AS size FROM (SELECT tile, point_id, min(r) AS component FROM rch GROUP BY 1, 2) QUALIFY count(*) OVER (PARTITION BY tile, component) >= 2", f"ed AS (SELECT a.tile, a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON a.tile = b.tile AND a.classification = b.classification WHERE {D2} <= 100), rch AS (SELECT tile, point_id, point_id AS r FROM pts UNION SELECT rch.tile, ed.b, rch.r FROM rch JOIN ed ON rch.tile = ed.tile AND rch.point_id = ed.a)")
-query("a54_superpoints", lambda t: segments.superpoints(_with_normals(t), neighbors.knn(t.pts, t.pts, 6).select("tile", "src", "dst"), least=5, most=200))
+query("a54_superpoints", lambda t: segments.nearest_superpoints(_with_normals(t), 6, least=5, most=200))
 
 
 def _far(m: int) -> str:

@@ -62,16 +62,17 @@ def salts_of(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def attach_group(df: DataFrame, keys: list[str], spread: str, aggs: list[Column], salts: int | None = None) -> DataFrame:
+def attach_group(df: DataFrame, keys: list[str], spread: str, aggs: list[Column], salts: int | None = None, having: Column | None = None) -> DataFrame:
     """Add per-group aggregates to every row, also where one group holds a large part of all rows.
 
     Aggregation combines map-side; the way back joins on the keys and a salt of ``spread``, so a group
     of any size is met by at most ``salts`` copies of its one result row, and by no more copies than it
-    has rows. Keys must not be null.
+    has rows. Keys must not be null. Rows of groups for which ``having`` does not hold are left out.
     """
     salts = salts or salts_of(df.sparkSession)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     groups = salted.groupBy(*keys).agg(*aggs, F.collect_set("__salt").alias("__salts"))
+    groups = groups if having is None else groups.where(having)
     groups = groups.withColumn("__salt", F.explode("__salts")).drop("__salts")
     return salted.join(groups, [*keys, "__salt"]).drop("__salt")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -282,11 +283,76 @@ def bands(fingerprint: str, count: int = 16, width: int = 6, later: int = 8) ->
     return keys
 
 
+@cache
+def _places(level: int, start: int, span: int, count: int, width: int) -> np.ndarray:
+    """The places of the bands of a stretch, one row a band, ascending: a draw is shared by all texts of a level that reach so far."""
+    draws = _mixed(np.arange(count * width, dtype=np.uint64) ^ np.uint64(level + 77 + 1000 * start))
+    return np.sort((draws % np.uint64(span)).astype(np.int64).reshape(count, width), axis=1)
+
+
+def band_numbers(mark: tuple[int, np.ndarray], count: int = 16, width: int = 6, later: int = 8) -> np.ndarray:
+    """``bands`` as numbers, equal where the keys are equal: level, stretch, band and samples of four bits each have their own bits."""
+    span, powers, found = SAMPLES // 2, 16 ** np.arange(width, dtype=np.int64), []
+    for level in (mark[0], mark[0] + 1):
+        view = coarser(mark, level).astype(np.int64)
+        if len(view) < width:
+            found.append(np.array([1 << 62 | level << 56 | len(view) << 32 | int((view * powers[: len(view)]).sum())]))
+            continue
+        for start in range(0, len(view), span):
+            stretch = view[start : start + span]
+            places = _places(level, start, span if start else max(width, len(stretch)), later if start else count, width)
+            fits = np.flatnonzero(places[:, -1] < len(stretch))
+            found.append((level << 56 | start // span << 40) + (fits << 32) + stretch[places[fits]] @ powers)
+    return np.unique(np.concatenate(found))
+
+
+#: Words of 16 samples in a sketch.
+_WORDS = 8
+_SKETCH = "own int, n int, coarser_n int, " + ", ".join(f"s{k} long" for k in range(_WORDS))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two rows a fingerprint, one for each level of its bands: its own level, the samples of its own and of its next level, and the first samples at the row's level."""
+    for batch in batches:
+        ids, levels, own, n, coarser_n, heads = [], [], [], [], [], []
+        for ident, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            mark = decode(text)
+            views = [mark[1], coarser(mark, mark[0] + 1)]
+            for up, view in enumerate(views):
+                head = np.zeros(16 * _WORDS, np.uint8)
+                head[: min(len(head), len(view))] = view[: len(head)]
+                heads.append(head[::2] | head[1::2] << 4)
+                for column, value in ((ids, ident), (levels, mark[0] + up), (own, mark[0]), (n, len(views[0])), (coarser_n, len(views[1]))):
+                    column.append(value)
+        if ids:
+            words = np.stack(heads).view(np.int64)
+            columns = [pa.array(ids, pa.int64()), *(pa.array(c, pa.int32()) for c in (levels, own, n, coarser_n)), *(pa.array(words[:, k]) for k in range(_WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "level", "own", "n", "coarser_n", *(f"s{k}" for k in range(_WORDS))])
+
+
+def _may_be_alike(x: str, y: str, least: float) -> Column:
+    """False only where sketches of two documents at one level rule out a ``likeness`` of ``least``; documents without a sketch may always be alike.
+
+    Likeness asks that, of the samples of the longer, at most a share of ``1 - least`` be unequal or beyond the shorter. The samples of a coarser level are among
+    those of the level that counts, in the same steps, so what differs among their first, the longer's beyond the shorter's included, is no more than that.
+    """
+    at = lambda c, d: F.col(f"{c}_{d}")
+    counted = F.greatest(at("own", x), at("own", y))
+    n = [F.when(at("own", d) == counted, at("n", d)).otherwise(at("coarser_n", d)) for d in (x, y)]
+    most, apart = F.greatest(*n), F.lit(0)
+    for k in range(_WORDS):
+        differs = at(f"s{k}", x).bitwiseXOR(at(f"s{k}", y))
+        for step in (1, 2):
+            differs = differs.bitwiseOR(F.shiftrightunsigned(differs, step))
+        apart = apart + F.bit_count(differs.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.coalesce((F.least(*n) >= F.lit(least) * most - 1e-6) & (apart <= F.lit(1 - least) * most + 1e-6), F.lit(True))
+
+
 def edit_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id``: near copies by fingerprint. Documents that share a band key link when their ``likeness`` is
     at least ``least``; groups follow links.
 
-    Members of a key are first held against its leader (the smallest id), one comparison each. Then all pairs of
+    Pairs that their sketches rule out (``_may_be_alike``) are not compared. Members of a key are first held against its leader (the smallest id), one comparison each. Then all pairs of
     a key whose documents are not in one group by now are tested, so no link that a key offers is lost. Rows that
     repeat an id link by any of their texts. Null ids get a null group.
     """
@@ -294,9 +360,10 @@ def edit_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, k) for d, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k in sorted(set(bands(f)))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "key"])
+            keys = [band_numbers(decode(f)) for f in batch.column(1).to_pylist()]
+            if keys:
+                docs_ = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(np.concatenate(keys))], ["doc_id", "key"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,19 +377,33 @@ def edit_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     def pair(left: str, right: str) -> list[Column]:
         return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
-    rows = materialize(marks.mapInArrow(keyed, "doc_id long, key string").distinct(), "band-keys")
-    led = attach_group(rows, ["key"], "doc_id", [F.min("doc_id").alias("leader")])
-    star = materialize(led.where("doc_id <> leader").select(*pair("doc_id", "leader")).distinct(), "leader-pairs")
+    level = F.shiftright("key", 56).bitwiseAND(F.lit(63)).cast("int").alias("level")
+    several = marks.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
+    sketched = marks.join(several, "doc_id", "left_anti").mapInArrow(_sketches, f"doc_id long, level int, {_SKETCH}")
+    sketched = materialize(sketched.unionByName(several.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("level")), allowMissingColumns=True), "sketches")
+
+    def sketch(rows: DataFrame, ident: str) -> DataFrame:
+        """``rows`` with the sketch of a document at a key's level, its columns behind the document's name."""
+        return rows.join(sketched.select(F.col("doc_id").alias(ident), "level", *(F.col(c).alias(f"{c}_{ident}") for c in sketched.columns[2:])), [ident, "level"])
+
+    rows = materialize(marks.mapInArrow(keyed, "doc_id long, key long").distinct(), "band-keys")
+    # Keys of one document pair nobody.
+    led = materialize(attach_group(rows, ["key"], "doc_id", [F.min("doc_id").alias("leader"), F.count("*").alias("n")], having=F.col("n") > 1).drop("n"), "shared-keys")
+    star = sketch(sketch(led.where("doc_id <> leader").select("doc_id", "leader", level).distinct(), "doc_id"), "leader")
+    star = materialize(star.where(_may_be_alike("doc_id", "leader", least)).select(*pair("doc_id", "leader")).distinct(), "leader-pairs")
     direct = linked(star)
 
     # What is left: pairs across components. Keys that are one component by now hold none.
-    named = rows.join(connected_components(direct).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    named = led.select("doc_id", "key").join(connected_components(direct).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").select("key", "main")
-    open_keys = materialize(named.join(mixed, "key"), "open-keys")
-    everyone = open_keys.select("key", F.col("root").alias("root_y"), F.col("doc_id").alias("y"))
-    others = open_keys.where("root <> main").select("key", F.col("root").alias("root_x"), F.col("doc_id").alias("x"))
-    rest = others.join(everyone, "key").where("root_x <> root_y").select(*pair("x", "y")).distinct().join(star, ["a", "b"], "left_anti")
+    open_keys = materialize(sketch(named.join(mixed, "key").select("key", "main", "root", F.col("doc_id").alias("x"), level), "x"), "open-keys").drop("level")
+    open_keys = open_keys.withColumnRenamed("root", "root_x")
+    everyone = open_keys.select(*(F.col(c).alias(c.removesuffix("x") + "y" if c.endswith("x") else c) for c in open_keys.columns if c != "main"))
+    others = open_keys.where("root_x <> main").drop("main")
+    # Most pairs of a key are unlike: their sketches say so where they meet, before a pair becomes a row that moves.
+    met = others.join(everyone, "key").where("root_x <> root_y").where(_may_be_alike("x", "y", least))
+    rest = met.select(*pair("x", "y")).distinct().join(star, ["a", "b"], "left_anti")
     roots = connected_components(direct.union(linked(materialize(rest, "cross-pairs"))))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     found = attach_group(named.where("root IS NOT NULL"), ["root"], "doc_id", [F.min("doc_id").alias("group_id")]).select("doc_id", "group_id")
